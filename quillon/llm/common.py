@@ -95,6 +95,7 @@ _BASE = 0x9E3779B97F4A7C15
 _B, _C, _K = _U(_BASE), _U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTE_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -124,24 +125,24 @@ def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[0::2], e[1::2]
 
 
-def _word_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _word_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray, byte: np.ndarray) -> np.ndarray:
     power, inverse = _pow(len(a))
     total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_BYTE[a] * power[: len(a)], out=total[1:])
+    np.cumsum(byte[a] * power[: len(a)], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start])
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased; long texts go in blocks that end between words."""
-    a = np.frombuffer(text, np.uint8)
+def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased if asked; long texts go in blocks that end between words."""
+    a, byte = np.frombuffer(text, np.uint8), _BYTE if fold else _BYTE_CASED
     start, end = word_bounds(a)
     if len(a) <= _BLOCK or not len(start):
-        return _word_hashes(a, start, end) if len(start) else np.empty(0, np.uint64)
+        return _word_hashes(a, start, end, byte) if len(start) else np.empty(0, np.uint64)
     parts, i = [], 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, "right")))
         lo, hi = start[i], end[j - 1]
-        parts.append(_word_hashes(a[lo:hi], start[i:j] - lo, end[i:j] - lo))
+        parts.append(_word_hashes(a[lo:hi], start[i:j] - lo, end[i:j] - lo, byte))
         i = j
     return np.concatenate(parts)
 

@@ -62,8 +62,7 @@ def _repeated(text: bytes, n: int, size: int = 8) -> int:
     """Words inside windows of `size` words that occur twice or more; here case counts."""
     if n <= size:
         return 0
-    w = _cased_hashes(text)
-    h = windows(w, size)
+    h = windows(word_hashes(text, fold=False), size)
     s = np.sort(h)
     again = distinct(s[1:][s[1:] == s[:-1]])
     if not len(again):
@@ -75,22 +74,6 @@ def _repeated(text: bytes, n: int, size: int = 8) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def _cased_hashes(text: bytes) -> np.ndarray:
-    """Word hashes that tell upper from lower case: the folded hash and a sum over the capitals' places."""
-    a = np.frombuffer(text, np.uint8)
-    start, end = word_bounds(a)
-    place = np.arange(len(a), dtype=np.uint64)
-    upper = (a >= 65) & (a <= 90)
-    first = np.zeros(len(a), np.uint64)
-    first[start] = start.astype(np.uint64)
-    first = np.maximum.accumulate(first)
-    mark = np.where(upper, (place - first + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-    mark = mark * mark * np.uint64(0xD6E8FEB86659FD93)
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(mark, out=total[1:])
-    return word_hashes(text) + (total[end] - total[start])
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> QualityModel | None:
     """Learns from labelled rows outside the held-out fifth; None if a label is missing."""
     rows = labelled(docs, labels, label, per_label, id_col, text_col)
