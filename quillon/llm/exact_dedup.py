@@ -85,7 +85,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """id, keep_id, group_size, kept and _sha (null if unique) for every row of docs."""
     hashed = cut(full_hashes(docs, id_col, text_col, broadcast_keys))
     sizes = hashed.where("_sha is not null").groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
-    out = hashed.join(maybe_broadcast(cut(sizes), broadcast_keys // 10), "_sha", "left")
+    out = hashed.where("_sha is not null").join(maybe_broadcast(cut(sizes), broadcast_keys // 10), "_sha", "left")
+    # rows without an equal stay out of the join: their null hash would meet in one task
+    out = out.unionByName(hashed.where("_sha is null"), allowMissingColumns=True)
     keep = F.coalesce("_keep", "_id")
     return out.select(
         F.col("_id").alias(id_col),
