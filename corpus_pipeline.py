@@ -1,18 +1,23 @@
-"""From documents to packed sequences in five stages, each over all rows that the one before kept."""
+"""From documents to packed sequences in five stages, each over all rows that the one before kept.
+
+language_id drops the documents that the language model rejects; exact_dedup
+keeps the largest doc_id of equal texts; jaccard_join keeps the smallest
+doc_id of each group of near duplicates; mixing samples what is left to the
+target weights; packing returns one row for each piece of a sequence, with its
+token ids.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, language_id, packing
+from quillon.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from quillon.llm.common import stored, table
-
-WORD_BPE = "word_bpe_49k.json"
+from quillon.llm.queries import MIX, WORD_BPE
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents; documents that the model rejects go."""
     return language_id.keep_known(docs, language_id.fit(docs))
 
 
@@ -20,24 +25,34 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.keep_last(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample(docs, MIX)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(WORD_BPE))
+    return packing.pack(docs, public_tokenizers.path(WORD_BPE), with_ids=True)
 
 
 STAGES = [
     ("language_id", keep_known_language),
     ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 
-#: Trained models and differencing are beyond SQL; tests hold run() against a brute-force version.
+#: The trained model and the differencing are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
+        if name != STAGES[-1][0]:
             docs = stored(docs)
     return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, language_id, link_trust, packing, quality, token_count, toxicity
+from . import chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, quality, token_count, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,20 @@ BYTE_BPE = "byte_bpe_50k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+#: Even out sources and languages, hold down tables and marked-up texts, keep half of all tokens.
+MIX = mixing.Mix(source=0.5, lang={"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}, topic={"table": 0.05, "marked": 0.03, "loud": 0.02}, budget=0.5)
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.with_probability(table(spark, sf_dir, "documents"), MIX)
+    names = {"_source": "source", "_lang": "lang", "_topic": "topic", "_tokens": "n_tokens"}
+    return out.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()), F.round("_p", 6).alias("probability"), F.col("_sampled").alias("sampled"))
+
+
+def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_views.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,7 +88,67 @@ def oracle_sql() -> dict[str, str]:
 
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _link_trust_sql() -> str:
+    """Rules, host edges and the rounds of propagation, one common table expression each."""
+    from .link_trust import DAMPING, ROUNDS, THRESHOLD
+
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda u: low(f"regexp_extract(regexp_extract(coalesce({u}, ''), '(?s)^.*?://(.*)$', 1), '^[^/?#]*')")
+    fits = lambda t: "((host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '/{1}'))".format(*t.split("/", 1))
+    ranked = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+    rule = "case " + " ".join(f"when {fits(t)} then '{t}'" for _, t in ranked) + " end"
+    says = "case " + " ".join(f"when {fits(t)} then '{v}'" for v, t in ranked) + " end"
+    parts = [
+        f"""p as (select page_id, {host("url")} as host,
+            regexp_extract(regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1), '^[^/?#]*([^?#]*)', 1) as path, html from pages)""",
+        f"j as (select *, {rule} as rule, {says} as says from p)",
+        f"""l as (select host as src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as tgt from p where host <> '')""",
+        f"""e0 as (select src, case when starts_with(tgt, '//') then {host("'x:' || tgt")} when contains(tgt, '://') then {host("tgt")} else src end as dst, 1.0::double as w from l),
+        h as (select distinct host from p where host <> ''),
+        e as (select src, dst, sum(w) as w from (
+            select * from e0 where dst <> '' union all
+            select host, regexp_extract(host, '^[^.]+[.](.+[.].+)$', 1), 1.0 from h where regexp_extract(host, '^[^.]+[.](.+[.].+)$', 1) <> '') group by all)""",
+        "g as (select 'trust' as kind, src, dst, w from e union all select 'distrust', dst, src, w from e)",
+        """mass as (select host, case when host = 'org' or ends_with(host, '.org') then 1.0 else 0.0 end as good,
+            count(*) filter (says = 'block')::double / count(*) as bad from j where host <> '' group by host)""",
+        """sd as (select kind, host, m / sum(m) over (partition by kind) as v from (
+            select 'trust' as kind, host, good::double as m from mass union all select 'distrust', host, bad from mass) where m > 0)""",
+        """st0 as (select kind, src, dst, w / sum(w) over (partition by kind, src) as p from g)""",
+        """nodes as (select kind, dst as host from g union select kind, host from sd)""",
+        """st as (select * from st0 union all select kind, host, host, 1.0 from nodes n
+            where not exists (select 1 from st0 where st0.kind = n.kind and st0.src = n.host))""",
+        "r0 as (select kind, host, v as r from sd)",
+    ]
+    for i in range(ROUNDS):
+        parts.append(f"""r{i + 1} as (select kind, host, sum(r) as r from (
+            select st.kind, dst as host, {DAMPING} * p * r as r from st join r{i} on st.kind = r{i}.kind and st.src = r{i}.host
+            union all select kind, host, {1 - DAMPING} * v from sd) group by all)""")
+    parts.append(f"""k as (select host, round(coalesce(sum(r) filter (kind = 'trust'), 0), 9) as t,
+        round(coalesce(sum(r) filter (kind = 'distrust'), 0), 9) as d from r{ROUNDS} group by host)""")
+    return f"""with {", ".join(x.replace(" as (", " as materialized (", 1) for x in parts)}
+        select page_id, host, path, rule, coalesce(says, case when coalesce(d, 0) > {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict,
+               coalesce(t, 0) as trust, coalesce(d, 0) as distrust
+        from j left join k using (host)"""
+
+
 ORACLES = {
+    "op1_mix_sources": mixing.oracle(MIX),
+    "op2_chat_views": chat_views.ORACLE,
+    "op3_jaccard_join": f"""
+        with recursive d as materialized (select doc_id, regexp_extract_all({_AZ}, '{_WORD}') as w from documents),
+        s as materialized (
+            select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+        n as materialized (select doc_id, count(*) as n from s group by doc_id),
+        k as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+        links as materialized (select a, b from k join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= 75 * (p.n + q.n - k)),
+        r(a, b) as (select doc_id, doc_id from documents union select r.a, links.b from r join links on r.b = links.a)
+        select doc_id, coalesce(n, 0) as n_shingles, m as component_id
+        from (select a as doc_id, min(b) as m from r group by a) left join n using (doc_id)""",
+    "op4_url_filters": _link_trust_sql(),
     "op5_exact_dedup": f"""
         with d as (select doc_id, {_AZ} as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
