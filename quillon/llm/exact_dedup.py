@@ -102,11 +102,12 @@ def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """The rows of docs that stay, with all their columns."""
     gone = exact_duplicates(docs, id_col, text_col, broadcast_keys).where(~F.col("kept"))
     # an id may be repeated with other texts, which stay
-    gone = cut(gone.groupBy(F.col(id_col).alias("_gone")).agg(F.collect_set("_sha").alias("_shas")))
-    sha = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    same = docs[id_col].eqNullSafe(F.col("_gone"))
-    out = docs.join(maybe_broadcast(gone, broadcast_keys // 10), same, "left")
-    return out.where(F.col("_shas").isNull() | ~F.array_contains("_shas", sha)).select(*(docs[c] for c in docs.columns))
+    gone = cut(gone.groupBy(F.col(id_col).alias("gone")).agg(F.collect_set("_sha").alias("shas")))
+    rows = docs.select(F.struct("*").alias("row"))
+    id_, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    out = rows.join(maybe_broadcast(gone, broadcast_keys // 10), id_.eqNullSafe(F.col("gone")), "left")
+    sha = F.unhex(F.sha2(normalised(text), 256))
+    return out.where(F.col("shas").isNull() | ~F.array_contains("shas", sha)).select("row.*")
 
 
 def normalised(text):

@@ -368,5 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = cut(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(maybe_broadcast(gone, BROADCAST_IDS // 4), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = cut(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct())
+    rows = docs.select(F.struct("*").alias("row"))
+    gone = maybe_broadcast(gone, BROADCAST_IDS // 4)
+    return rows.join(gone, F.col("row").getField(id_col) == F.col("gone"), "left_anti").select("row.*")

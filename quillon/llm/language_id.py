@@ -95,30 +95,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang_pred, score, rejected for every row; carry names columns that go along, for filters."""
+def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score and rejected for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [id_col, text_col, *carry]
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             names, scores, rejected = [], [], []
-            for text in utf8(b.column("_text")):
+            for text in utf8(b.column(1)):
                 known = m is not None and _letter(text.decode()) is not None
                 p = m.scores(text) if known else None
                 names.append(m.languages[int(p.argmax())] if known else UNKNOWN)
                 scores.append(float(p.max()) if known else 0.0)
                 rejected.append(not known or scores[-1] < m.threshold)
-            own = [b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names_out)
-
-    columns = [id_col] if not carry else keep
-    names_out = [*columns, "_lang", "_score", "_rejected"]
-    rows = docs.select(*(docs[c] for c in columns), docs[text_col].cast("string").alias("_text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", _lang string, _score double, _rejected boolean"
-    out = rows.mapInArrow(scan, schema)
-    return out.select(*columns, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_rejected").alias("rejected"))
+            columns = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "lang_pred", "score", "rejected"])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return rows.mapInArrow(scan, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:

@@ -60,11 +60,11 @@ def topic_of(text: Column, words: Column) -> Column:
 
 
 def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens (whole texts, counted in words)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    out = docs.withColumn("_tokens", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    return out.withColumns({"_source": blank("source"), "_lang": blank("lang"), "_topic": topic_of(text, F.col("_tokens"))})
+    """(_row, _source, _lang, _topic, _tokens): the row, its cell, and the words of its whole text."""
+    rows = docs.select(F.struct("*").alias("_row"))
+    blank = lambda c: F.coalesce(F.col("_row").getField(c).cast("string"), F.lit(""))
+    out = rows.withColumn("_tokens", F.regexp_count(blank(text_col), F.lit(WORD)).cast("long"))
+    return out.withColumns({"_source": blank("source"), "_lang": blank("lang"), "_topic": topic_of(blank(text_col), F.col("_tokens"))})
 
 
 def draw(seed: str, id_col: Column) -> Column:
@@ -146,17 +146,18 @@ def _rake_spread(cells: DataFrame, mix: Mix, total: float) -> DataFrame:
 
 
 def with_probability(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _p and _sampled."""
+    """(_row, _source, _lang, _topic, _tokens, _p, _sampled) of every row of docs."""
     names = ["_" + d for d in DIMS]
     rows = described(docs, text_col)
     cells = cut(rows.groupBy(*names).agg(F.sum("_tokens").cast("double").alias("base")))
     rates = rake(cells, mix).select(*names, F.col("probability").alias("_p"))
-    return rows.join(rates, names, "left").withColumn("_sampled", draw(mix.seed, F.col(id_col)) < F.col("_p"))
+    id_ = F.col("_row").getField(id_col)
+    return rows.join(rates, names, "left").withColumn("_sampled", draw(mix.seed, id_) < F.col("_p"))
 
 
 def sample(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled rows of docs with their own columns."""
-    return with_probability(docs, mix, id_col, text_col).where("_sampled").select(*docs.columns)
+    return with_probability(docs, mix, id_col, text_col).where("_sampled").select("_row.*")
 
 
 def oracle(mix: Mix) -> str:

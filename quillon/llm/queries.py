@@ -26,7 +26,7 @@ MIX = mixing.Mix(source=0.5, lang={"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2},
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.with_probability(table(spark, sf_dir, "documents"), MIX)
     names = {"_source": "source", "_lang": "lang", "_topic": "topic", "_tokens": "n_tokens"}
-    return out.select("doc_id", *(F.col(k).alias(v) for k, v in names.items()), F.round("_p", 6).alias("probability"), F.col("_sampled").alias("sampled"))
+    return out.select("_row.doc_id", *(F.col(k).alias(v) for k, v in names.items()), F.round("_p", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
 
 def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
