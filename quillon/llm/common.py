@@ -73,6 +73,16 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield x or b""
 
 
+def byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = [""] * 256, 0
+    for b in range(256):
+        out[b] = chr(b) if b in shown else chr(256 + extra)
+        extra += b not in shown
+    return out
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows never learned from: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -61,7 +61,7 @@ def sparse(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for r in rows:
         i, n = np.unique(r, return_counts=True)
-        out.append((i, (n / max(1, len(r))).astype(np.float32)))
+        out.append((i.astype(np.int32), (n / max(1, len(r))).astype(np.float32)))
     return out
 
 

@@ -21,21 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import byte_symbols, utf8
 
 MEMO = 400_000
 
 
-def _byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, extra = [""] * 256, 0
-    for b in range(256):
-        out[b] = chr(b) if b in shown else chr(256 + extra)
-        extra += b not in shown
-    return out
-
-
 class PairCounter(dict):
     """Pre-token (text) -> number of tokens."""
 
@@ -45,7 +35,7 @@ class PairCounter(dict):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.rank = {pair: i for i, pair in enumerate(merges)}
         self.find = regex.compile(pattern).findall

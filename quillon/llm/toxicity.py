@@ -30,7 +30,7 @@ from .linear import sigmoid, training_sample
 from .quality import labelled
 
 SAMPLE_PER_LABEL = 4000
-LEAST_TEXTS, LEAST_ODDS = 6, 30.0
+LEAST_TEXTS, LEAST_ODDS = 6, 8.0  # the odds by their lower bound, two standard errors down
 STEM, WORD = (5, 9), (3, 24)
 FUZZY_FROM = 5
 SPAN = 6
@@ -97,6 +97,13 @@ class Trie:
         return node.get("")
 
 
+def _by_length(parts) -> list[tuple[int, set[str]]]:
+    out: dict[int, set[str]] = {}
+    for x in parts:
+        out.setdefault(len(x), set()).add(x)
+    return sorted(out.items())
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float]  # with the logarithm of their odds
@@ -108,7 +115,7 @@ class Lexicon:
         self.trie, self.stem_trie = Trie(self.words), Trie(self.stems)
         long = [t for t in self.words if len(t) >= FUZZY_FROM]
         # one edit leaves the first or the last half of a term as it is
-        self.heads, self.tails = {t[:2] for t in long}, {t[-2:] for t in long}
+        self.heads, self.tails = _by_length(t[: len(t) // 2] for t in long), _by_length(t[len(t) // 2 :] for t in long)
 
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "innocent": self.innocent}
@@ -130,12 +137,15 @@ class Lexicon:
             return 1, self.words[word]
         if stem := self.stem_trie.stem_of(word):
             return 2, self.stems[stem]
-        if len(word) >= FUZZY_FROM - 1 and word not in self.innocent and (word[:2] in self.heads or word[-2:] in self.tails):
+        if len(word) >= FUZZY_FROM - 1 and word not in self.innocent and self._half_fits(word):
             near = [self.words[t] for t in self.trie.within(LevenshteinAutomaton(word, 1)) if len(t) >= FUZZY_FROM]
             if near:
                 return 3, max(near)
         return 0, 0.0
 
+    def _half_fits(self, word: str) -> bool:
+        return any(word[:n] in h for n, h in self.heads) or any(word[-n:] in t for n, t in self.tails)
+
     def features(self, text: str) -> list[float]:
         """Strength of hits by kind and context, their density, and the sum and maximum over different terms."""
         low = text.lower()
@@ -189,7 +199,8 @@ def learn_lexicon(texts: list[str], y: np.ndarray) -> Lexicon:
                 if counts is toxic:
                     ends.setdefault(w[:n], set()).add(w)
     odds = {t: ((k + 0.5) / (n1 + 1)) / ((other[t] + 0.5) / (n0 + 1)) for t, k in toxic.items() if k >= LEAST_TEXTS}
-    good = {t for t, o in odds.items() if o >= LEAST_ODDS}
+    low = {t: np.log(o) - 2 * np.sqrt(1 / (toxic[t] + 0.5) + 1 / (other[t] + 0.5)) for t, o in odds.items()}
+    good = {t for t, o in low.items() if o >= np.log(LEAST_ODDS)}
     words = {t for t in good if not t.endswith("*")}
     stems = {t[:-1] for t in good if t.endswith("*") and len(ends[t[:-1]]) >= 3}  # one word with its ending is that word
     stems = {s for s in stems if not any(s[:n] in stems for n in range(STEM[0], len(s)))}

@@ -1,9 +1,9 @@
 """Splitting, balancing, sampling weights and option-count draws.
 
 Order inside a group comes from hashed keys, so results do not depend on the
-partitioning. Ranks within a class use a window over that class; where a class
-may hold most rows, `capped` first keeps the rows under a hash bound that the
-class counts give, so the window sorts little more than what is kept.
+partitioning. A rank within a group is the running count of 4096 hash buckets
+plus the rank inside the bucket, so a group with most of the rows is ranked by
+many tasks. `capped` keeps only rows under a hash bound before it ranks them.
 """
 
 from __future__ import annotations
@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 from ..functions.hashing import digest, uniform
 
 
+def hash_ranked(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
+    """rows with _rank (from 1, in hashed order within the group) and _n (rows of the group)."""
+    bucket = F.substring(digest(seed, F.col(key)), 1, 3)
+    rows = rows.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("_c").over(order.orderBy("_bucket")) - F.col("_c")
+    counts = counts.select(*by, "_bucket", before.alias("_before"), F.sum("_c").over(order).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(digest(seed, F.col(key)), key))
+    ranked = rows.withColumn("_in", inside).join(counts, [*by, "_bucket"])
+    return ranked.withColumn("_rank", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
+
+
 def ratio_split(rows: DataFrame, by: list[str], seed: str, key: str, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """The first floor(test * n) rows of each group in hashed order are test, the next floor(val * n) val, the rest train."""
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(digest(seed, F.col(key)), key))
-    n = F.count("*").over(w)
-    a, b = F.floor(test * n), F.floor(val * n)
-    return rows.withColumn("split", F.when(rank <= a, "test").when(rank <= a + b, "val").otherwise("train"))
+    a, b = F.floor(test * F.col("_n")), F.floor(val * F.col("_n"))
+    split = F.when(F.col("_rank") <= a, "test").when(F.col("_rank") <= a + b, "val").otherwise("train")
+    return hash_ranked(rows, by, seed, key).withColumn("split", split).drop("_rank", "_n")
 
 
 def carve_size(n: Column, val_n: int) -> Column:
@@ -29,21 +40,16 @@ def carve_size(n: Column, val_n: int) -> Column:
 
 def group_split(rows: DataFrame, group: str, seed: str, shares: tuple[float, float] = (0.7, 0.15)) -> DataFrame:
     """Whole groups go to a split; groups are ranked, not rows."""
-    groups = rows.select(group).distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy(digest(seed, F.col(group)), group)
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(w)
-    a = F.floor(shares[0] * n)
-    placed = groups.withColumn("split", F.when(rank <= a, "train").when(rank <= a + F.floor(shares[1] * n), "val").otherwise("test"))
-    return rows.join(placed, group)
+    groups = hash_ranked(rows.select(group).distinct(), [], seed, group)
+    a = F.floor(shares[0] * F.col("_n"))
+    split = F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= a + F.floor(shares[1] * F.col("_n")), "val").otherwise("test")
+    return rows.join(groups.select(group, split.alias("split")), group)
 
 
 def held_out_labels(rows: DataFrame, label: str, seed: str, share: float = 0.15) -> DataFrame:
     """(label): the first floor(share * n) labels in hashed order."""
-    labels = rows.select(label).distinct()
-    w = Window.partitionBy(F.lit(0))
-    ranked = labels.withColumn("_r", F.row_number().over(w.orderBy(digest(seed, F.col(label)), label))).withColumn("_n", F.count("*").over(w))
-    return ranked.where("_r <= floor(_n * {})".format(share)).select(label)
+    ranked = hash_ranked(rows.select(label).distinct(), [], seed, label)
+    return ranked.where(F.col("_rank") <= F.floor(share * F.col("_n"))).select(label)
 
 
 def capped(rows: DataFrame, by: list[str], cap: DataFrame, seed: str, key: str) -> DataFrame:
@@ -52,8 +58,7 @@ def capped(rows: DataFrame, by: list[str], cap: DataFrame, seed: str, key: str)
     # a hash bound with ample room above the share that is kept; the exact rank follows
     bound = F.when(F.col("cap") >= F.col("n"), 2.0).otherwise((F.col("cap") + 6 * F.sqrt(F.col("cap") + F.lit(1.0)) + 20) / F.col("n"))
     near = rows.join(cap.select(*by, "cap", "n"), by).where(u <= bound)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(digest(seed, F.col(key)), key))
-    return near.withColumn("_r", rank).where("_r <= cap").drop("_r", "cap", "n")
+    return hash_ranked(near, by, seed, key).where("_rank <= cap").drop("_rank", "_n", "cap", "n")
 
 
 def class_counts(rows: DataFrame, by: str) -> DataFrame:

@@ -102,9 +102,13 @@ def keyword_match(spark, sf):
     select lang, round(corr(r, level),6) as corr from x group by lang"""
 )
 def rank_correlation(spark, sf):
-    """Correlation of the length rank with an ordinal level; a rank is a window over its label."""
-    x = table(spark, sf, "documents").select("lang", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")).alias("r"), (F.col("doc_id") % 5).alias("level"))
-    return x.groupBy("lang").agg(F.round(F.corr("r", "level"), 6).alias("corr"))
+    """Correlation of the length rank with an ordinal level; a rank is the running count of lengths plus the place among equals."""
+    d = table(spark, sf, "documents").select("lang", "n_chars", "doc_id", (F.col("doc_id") % 5).alias("level"))
+    c = d.groupBy("lang", "n_chars").agg(F.count("*").alias("k"))
+    c = c.select("lang", "n_chars", (F.sum("k").over(Window.partitionBy("lang").orderBy("n_chars")) - F.col("k")).alias("before"))
+    x = d.join(c, ["lang", "n_chars"])
+    r = F.col("before") + F.row_number().over(Window.partitionBy("lang", "n_chars").orderBy("doc_id"))
+    return x.select("lang", r.alias("r"), "level").groupBy("lang").agg(F.round(F.corr("r", "level"), 6).alias("corr"))
 
 
 @query(
