@@ -43,31 +43,37 @@ def _scan_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64())], ["_id", "_len", "_key"])
 
 
-def _full(texts: list[bytes], alive: np.ndarray) -> pa.Array:
-    """Hashes of the whole content, of surviving texts only."""
-    return pa.array([hashlib.sha256(x).digest() if s else None for x, s in zip(texts, alive)], pa.binary())
+def _full(ids: pa.Array, texts: list[bytes], alive: np.ndarray, digests: bool) -> pa.RecordBatch:
+    """Hashes of the whole content, of surviving texts only; `digests` adds those of all texts."""
+    sha = [hashlib.sha256(x).digest() if s or digests else None for x, s in zip(texts, alive)]
+    columns = [ids, pa.array([x if s else None for x, s in zip(sha, alive)], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns + [pa.array(sha, pa.binary())] * digests, ["_id", "_sha"] + ["_digest"] * digests)
 
 
-def _scan_full(keys):
+def _scan_full(keys, digests: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x.lower() for x in utf8(b.column(1))]
             alive = among(np.array(_level_keys(texts)[1], np.int64), keys.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), _full(texts, alive)], ["_id", "_sha"])
+            yield _full(b.column(0), texts, alive, digests)
 
     return scan
 
 
-def _scan_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [x.lower() for x in utf8(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), _full(texts, np.array(b.column(2).to_pylist(), bool))], ["_id", "_sha"])
+def _scan_joined(digests: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.lower() for x in utf8(b.column(1))]
+            yield _full(b.column(0), texts, np.array(b.column(2).to_pylist(), bool), digests)
+
+    return scan
 
 
-def full_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(_id, _sha) for every row of docs; _sha is null where no other row can be equal."""
+def full_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, digests: bool = False) -> DataFrame:
+    """(_id, _sha) for every row of docs; _sha is null where no other row can be equal. `digests` adds _digest, never null."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    schema = f"_id {kind}, _sha binary" + ", _digest binary" * digests
     keys = cut(rows.mapInArrow(_scan_keys, f"_id {kind}, _len bigint, _key bigint"))
     lengths = keys.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
     lengths = maybe_broadcast(cut(lengths), broadcast_keys)
@@ -75,15 +81,15 @@ def full_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = cut(second.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
     if small(alive, broadcast_keys):
         found = spark.sparkContext.broadcast(sorted_longs(alive, "_key"))
-        return rows.mapInArrow(_scan_full(found), f"_id {kind}, _sha binary")
-    ids = keys.join(alive, "_key", "left_semi").select("_id").distinct().withColumn("_hit", F.lit(True))
-    joined = rows.join(ids, "_id", "left").select("_id", "_text", F.coalesce("_hit", F.lit(False)).alias("_hit"))
-    return joined.mapInArrow(_scan_joined, f"_id {kind}, _sha binary")
+        return rows.mapInArrow(_scan_full(found, digests), schema)
+    ids = keys.join(alive, "_key", "left_semi").select(F.col("_id").alias("_i")).distinct().withColumn("_hit", F.lit(True))
+    joined = rows.join(ids, F.col("_id").eqNullSafe(F.col("_i")), "left").select("_id", "_text", F.coalesce("_hit", F.lit(False)).alias("_hit"))
+    return joined.mapInArrow(_scan_joined(digests), schema)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """id, keep_id, group_size, kept and _sha (null if unique) for every row of docs."""
-    hashed = cut(full_hashes(docs, id_col, text_col, broadcast_keys))
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, digests: bool = False) -> DataFrame:
+    """id, keep_id, group_size, kept and _sha (null if unique) for every row of docs; `digests` adds _digest of every text."""
+    hashed = cut(full_hashes(docs, id_col, text_col, broadcast_keys, digests))
     sizes = hashed.where("_sha is not null").groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
     out = hashed.where("_sha is not null").join(maybe_broadcast(cut(sizes), broadcast_keys // 10), "_sha", "left")
     # rows without an equal stay out of the join: their null hash would meet in one task
@@ -95,6 +101,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"),
         "_sha",
+        *["_digest"] * digests,
     )
 
 
@@ -113,16 +120,3 @@ def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 def normalised(text):
     """Null as empty, A-Z lower-cased and no other letter."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
-
-
-def text_sha256(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_sha256) for every row: the digest of the whole normalised text."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [hashlib.sha256(x.lower()).hexdigest() for x in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [id_col, "text_sha256"])
-
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(scan, f"`{id_col}` {kind}, text_sha256 string")

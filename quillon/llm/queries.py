@@ -42,14 +42,9 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = exact_dedup.exact_duplicates(docs)
     # the operator hashes survivors only; the result wants a digest of every row
-    unique = out.where("_sha is null").select("doc_id", "keep_id", "group_size", "kept")
-    known = out.where("_sha is not null").withColumn("text_sha256", F.lower(F.hex("_sha"))).drop("_sha")
-    digests = exact_dedup.text_sha256(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_id")
-    rest = unique.join(digests.distinct(), unique["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    return known.unionByName(rest)
+    out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digests=True)
+    return out.withColumn("text_sha256", F.lower(F.hex("_digest"))).drop("_sha", "_digest")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
