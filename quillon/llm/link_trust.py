@@ -6,8 +6,10 @@ its parent domain. Personalised PageRank runs from the hosts that allow rules
 cover whole (trust, along links) and from hosts by their share of blocked
 pages (distrust, against links). Edges are counted before they are shuffled,
 so a host with a third of all pages is one row for each task; ranks are small
-rows of hosts and are checkpointed every few rounds. A host is blocked if its
-distrust is above the threshold and above its trust.
+rows of hosts and are checkpointed every few rounds. Trust and distrust are
+given as multiples of an even share over all hosts, so the threshold means the
+same for any number of them. A host is blocked if its distrust is above the
+threshold and above its trust.
 
 Null urls and urls without `://` have empty host and path, match no rule and
 are allowed. Null html has no links. Repeated rows get equal verdicts; an
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import UPPER, cut, maybe_broadcast
 
 DAMPING, ROUNDS, EACH = 0.85, 20, 5
-THRESHOLD = 0.05  # share of all distrust
+THRESHOLD = 1.0  # multiple of an even share of all distrust
 BROADCAST_HOSTS = 200_000
 
 
@@ -99,7 +101,8 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: float =
     links = cut(edges(rows))
     graph = links.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     ranks = propagate(graph, seeds)
-    pick = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)), 9)
+    even = float(mass.count())
+    pick = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)) * even, 6)
     hosts = maybe_broadcast(cut(ranks.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))), BROADCAST_HOSTS)
     out = rows.drop("html").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

@@ -121,8 +121,8 @@ def _link_trust_sql() -> str:
         parts.append(f"""r{i + 1} as (select kind, host, sum(r) as r from (
             select st.kind, dst as host, {DAMPING} * p * r as r from st join r{i} on st.kind = r{i}.kind and st.src = r{i}.host
             union all select kind, host, {1 - DAMPING} * v from sd) group by all)""")
-    parts.append(f"""k as (select host, round(coalesce(sum(r) filter (kind = 'trust'), 0), 9) as t,
-        round(coalesce(sum(r) filter (kind = 'distrust'), 0), 9) as d from r{ROUNDS} group by host)""")
+    parts.append(f"""k as (select host, round(coalesce(sum(r) filter (kind = 'trust'), 0) * (select count(*) from mass), 6) as t,
+        round(coalesce(sum(r) filter (kind = 'distrust'), 0) * (select count(*) from mass), 6) as d from r{ROUNDS} group by host)""")
     return f"""with {", ".join(x.replace(" as (", " as materialized (", 1) for x in parts)}
         select page_id, host, path, rule, coalesce(says, case when coalesce(d, 0) > {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict,
                coalesce(t, 0) as trust, coalesce(d, 0) as distrust
