@@ -6,10 +6,12 @@ and are no one's perspective. The result has one row for each perspective and
 message, with the rendered text, its place in the rendering, and the span that
 the loss mask covers (the assistant's words and the end mark).
 
-Messages follow turn, then role, then text. A message's position and offset
-are running sums in two steps: within a partition of a range partitioning by
-that order, and over the partitions' totals. A dialogue that holds a third of
-all messages is therefore spread over many tasks and never gathered in one.
+Messages follow turn, then role, then text. Texts are shuffled once, by
+dialogue and part. A dialogue of up to HOT messages is one part; a longer one
+is cut at sampled messages into parts of about that many, so that a dialogue
+with a third of all messages is spread over many tasks. What earlier parts
+hold reaches a part as counts and lengths, which are summed without texts.
+Equal messages of one dialogue share a part.
 
 Null texts count as empty and null roles as `unknown`; repeated messages are
 repeated in the rendering; a null turn comes first. Dialogues of system
@@ -19,60 +21,111 @@ broken by a space. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut
 
 SYSTEM = "system"
-END = "<|end|>\n"
+ASSISTANT_HEAD, SYSTEM_HEAD, END = "<|assistant|>\n", "<|system|>\n", "<|end|>\n"
+USER_HEAD = len("<|user name=|>\n")
+HOT = 1000
+#: Parts of a dialogue at most, sampled messages for each part, and characters of a text that a cut compares.
+PARTS, PICKS, PREFIX = 1024, 20, 256
+#: Array entries that are broadcast; beyond it the join is a shuffle.
+BROADCAST_ENTRIES = 50_000
+
+
+def _attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, null being equal to null."""
+    right = right.withColumnsRenamed({k: "_r" + k for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col("_r" + k)) for k in keys))
+    return left.join(right, same, how).drop(*("_r" + k for k in keys))
+
+
+def _bounded(df: DataFrame, entries: str) -> DataFrame:
+    """Marks a checkpointed table for broadcast if its arrays have few entries in all."""
+    total = df.agg(F.sum(F.size(entries))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_ENTRIES else df
+
+
+def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with _part, and in the parts of hot dialogues _views: what each perspective has before the part."""
+    key = F.struct("_turn", "_role", F.substring("_text", 1, PREFIX).alias("_head"))
+    hot = hot.withColumn("_parts", F.least(F.lit(PARTS), F.ceil(F.col("_count") / HOT)))
+    small = hot.count() <= BROADCAST_ENTRIES
+    picked = _attach(rows, F.broadcast(hot) if small else hot, ["_conv"], "inner")
+    picked = picked.where(F.rand(7) < PICKS * F.col("_parts") / F.col("_count")).select("_conv", "_parts", key.alias("_key"))
+    all_ = Window.partitionBy("_conv")
+    picked = picked.withColumns({"_rank": F.row_number().over(all_.orderBy("_key")), "_of": F.count("*").over(all_)})
+    step = lambda r: F.floor(r * F.col("_parts") / F.col("_of"))
+    ends = (step(F.col("_rank")) > step(F.col("_rank") - 1)) & (F.col("_rank") < F.col("_of"))
+    cuts = cut(picked.where(ends).groupBy("_conv").agg(F.collect_set("_key").alias("_cuts")))
+
+    rows = _attach(rows, _bounded(cuts, "_cuts"), ["_conv"])
+    part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= key)))
+    rows = rows.withColumns({"_part": part, "_is_cut": F.col("_cuts").isNotNull()}).drop("_cuts")
+
+    units = cut(rows.where("_is_cut").groupBy("_conv", "_part", "_role").agg(F.count("*").alias("_rows"), F.sum("_len").alias("_chars")))
+    people = units.where(F.col("_role") != SYSTEM).select("_conv", F.col("_role").alias("perspective")).distinct()
+    own = units.select("_conv", "_part", F.col("_role").alias("perspective"), F.col("_rows").alias("_own"))
+    parts = units.groupBy("_conv", "_part").agg(F.sum("_rows").alias("_rows"), F.sum("_chars").alias("_chars"))
+    grid = _attach(_attach(parts, people, ["_conv"], "inner"), own, ["_conv", "_part", "perspective"])
+    before = Window.partitionBy("_conv", "perspective").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    view = F.struct("perspective", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias("_before" + c) for c in ("_rows", "_chars", "_own")))
+    views = cut(grid.select("_conv", "_part", view.alias("_view")).groupBy("_conv", "_part").agg(F.collect_list("_view").alias("_views")))
+    return _attach(rows.drop("_is_cut"), _bounded(views, "_views"), ["_conv", "_part"])
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, perspective, position, turn, speaker, role_out, rendered, char_start, mask_start, mask_end); spans are half open, and null without a mask."""
-    order = ["_turn", "_role", "_text"]
     rows = turns.select(
         F.col(conv).alias("_conv"),
         F.col(turn).alias("_turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("_role"),
         F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("_text"),
     )
-    n = shuffle_partitions(turns.sparkSession)
-    # the number of a row's partition must stay the same for both sums
-    rows = cut(rows.repartitionByRange(n, "_conv", *order).withColumn("_part", F.spark_partition_id()))
-    own = F.char_length("_text") + len(END)
-    as_assistant = own + len("<|assistant|>\n")
-    as_other = own + F.when(F.col("_role") == SYSTEM, len("<|system|>\n")).otherwise(F.char_length("_role") + len("<|user name=|>\n"))
-    rows = rows.withColumn("_a", as_assistant.cast("long")).withColumn("_o", as_other.cast("long"))
-
-    people = rows.where(F.col("_role") != SYSTEM).groupBy("_conv", F.col("_role").alias("perspective")).agg(F.lit(1).alias("_one")).drop("_one")
-    seen = rows.join(people.withColumnRenamed("_conv", "_c"), F.col("_conv").eqNullSafe(F.col("_c"))).drop("_c")
-    mine = F.col("_role") == F.col("perspective")
-    seen = seen.withColumn("_len", F.when(mine, F.col("_a")).otherwise(F.col("_o")))
+    # the length in the views of others
+    head = F.when(F.col("_role") == SYSTEM, len(SYSTEM_HEAD)).otherwise(F.char_length("_role") + USER_HEAD)
+    rows = rows.withColumn("_len", (head + F.char_length("_text") + len(END)).cast("long"))
 
-    parts = seen.groupBy("_conv", "perspective", "_part").agg(F.sum("_len").alias("_chars"), F.count("*").alias("_rows"))
-    before = Window.partitionBy("_conv", "perspective").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_conv", "perspective", "_part", F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_chars"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"))
-    parts = parts.withColumnsRenamed({"_conv": "_c", "perspective": "_p", "_part": "_k"})
-
-    inside = Window.partitionBy("_conv", "perspective", "_part").orderBy(*order)
-    seen = seen.withColumn("_row", F.row_number().over(inside)).withColumn("_start", F.sum("_len").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_len"))
-    same = F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & (F.col("_part") == F.col("_k"))
-    out = seen.join(parts, same)
-    role_out = F.when(mine, "assistant").when(F.col("_role") == SYSTEM, SYSTEM).otherwise("user")
-    head = F.when(mine, "<|assistant|>\n").when(F.col("_role") == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user name="), F.col("_role"), F.lit("|>\n")))
-    start = F.col("_start") + F.col("_chars")
-    return out.select(
+    hot = cut(rows.groupBy("_conv").agg(F.count("*").alias("_count")).where(F.col("_count") > HOT))
+    views_type = "array<struct<perspective:string,_before_rows:bigint,_before_chars:bigint,_before_own:bigint>>"
+    if hot.isEmpty():
+        rows = rows.withColumns({"_part": F.lit(0), "_views": F.lit(None).cast(views_type)})
+    else:
+        rows = _spread(rows, hot)
+
+    part = Window.partitionBy("_conv", "_part")
+    inside, earlier = part.orderBy("_turn", "_role", "_text"), (Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "_row": F.row_number().over(inside) - 1,
+        "_at": F.coalesce(F.sum("_len").over(inside.rowsBetween(*earlier)), F.lit(0)),
+        "_here": F.collect_set(F.when(F.col("_role") != SYSTEM, F.col("_role"))).over(part),
+    })
+    alone = F.transform("_here", lambda p: F.struct(p.alias("perspective"), *(F.lit(0).cast("long").alias("_before" + c) for c in ("_rows", "_chars", "_own"))))
+    seen = rows.withColumn("_view", F.explode(F.coalesce("_views", alone.cast(views_type)))).select("*", "_view.*").drop("_view", "_views", "_here")
+
+    mine = F.col("_role") == F.col("perspective")
+    spoken = F.sum(mine.cast("long")).over(Window.partitionBy("_conv", "_part", "perspective").orderBy("_row").rowsBetween(*earlier))
+    # an own message has the assistant's head in place of the user's
+    gain = len(ASSISTANT_HEAD) - USER_HEAD - F.char_length("perspective")
+    start = F.col("_before_chars") + F.col("_at") + (F.col("_before_own") + F.coalesce(spoken, F.lit(0))) * gain
+    seen = seen.withColumn("_start", start.cast("long"))
+    is_system = F.col("_role") == SYSTEM
+    return seen.select(
         F.col("_conv").alias(conv),
         "perspective",
-        (F.col("_row") + F.col("_rows") - 1).cast("long").alias("position"),
+        (F.col("_row") + F.col("_before_rows")).cast("long").alias("position"),
         F.col("_turn").alias(turn),
         F.col("_role").alias("speaker"),
-        role_out.alias("role_out"),
-        F.concat(head, F.col("_text"), F.lit(END)).alias("rendered"),
-        start.cast("long").alias("char_start"),
-        F.when(mine, start + len("<|assistant|>\n")).cast("long").alias("mask_start"),
-        F.when(mine, start + F.col("_len")).cast("long").alias("mask_end"),
+        F.when(mine, "assistant").when(is_system, SYSTEM).otherwise("user").alias("role_out"),
+        F.concat(F.when(mine, ASSISTANT_HEAD).when(is_system, SYSTEM_HEAD).otherwise(F.concat(F.lit("<|user name="), F.col("_role"), F.lit("|>\n"))), F.col("_text"), F.lit(END)).alias("rendered"),
+        F.col("_start").alias("char_start"),
+        F.when(mine, F.col("_start") + len(ASSISTANT_HEAD)).cast("long").alias("mask_start"),
+        F.when(mine, F.col("_start") + F.col("_len") + gain).cast("long").alias("mask_end"),
     )
 
 

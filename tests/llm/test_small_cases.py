@@ -245,6 +245,18 @@ def test_chat_views(spark):
                 assert r.mask_start is None
 
 
+def test_chat_views_of_long_dialogues(spark, monkeypatch):
+    """A dialogue cut into parts has the same views as one that is not."""
+    rows = [(c, t // 3, "abcd"[t * 7 % 4] * (t % 4 + 1) if t % 11 else "system", f"say {t * t % 13} " + "x" * (t % 5)) for c, n in ((1, 90), (2, 7), (None, 60)) for t in range(n)]
+    turns = spark.createDataFrame(rows + rows[:2], "conv_id long, turn long, role string, text string").repartition(3)
+    want = chat_views.rotate(turns)
+    monkeypatch.setattr(chat_views, "HOT", 10)
+    for entries in (50_000, 0):
+        monkeypatch.setattr(chat_views, "BROADCAST_ENTRIES", entries)
+        got = chat_views.rotate(turns)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_empty_tables(spark):
     docs = table(spark).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
