@@ -18,7 +18,8 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,46 +27,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import byte_symbols, utf8
 
 WINDOW = 2048
 END_ID = 1
 GROUP = 384
 MEMO = 400_000
-TEXTS = 128
-#: Lower-case Latin letters that have one form under NFC, then ASCII marks without the apostrophe.
-PLAIN = re.compile(r"([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Texts and bytes that are encoded at once; a longer text goes by itself.
+TEXTS, BYTES = 512, 2 << 20
+#: One line each: lower-case Latin letters that have one form under NFC, then ASCII marks without the apostrophe; or anything else.
+PLAIN = re.compile(r"^(?:([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE).findall
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp: indices of `sizes` dealt to k windows of near-equal sums."""
-    # a partial partition: window sums in descending order, and what each window holds as a linked list
-    heap = []
-    for i, n in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = n
-        heap.append((-n, i, sums, [(i, None)] + [None] * (k - 1)))
+    # a partial partition: its windows in use as (sum, tree of members) by descending sum; a leaf is (member, None)
+    heap = [(-n if k > 1 else 0, i, [(n, (i, None))]) for i, n in enumerate(sizes)]
     heapq.heapify(heap)
     mark = len(sizes)
     while len(heap) > 1:
-        _, _, s, a = heapq.heappop(heap)
-        _, _, t, b = heapq.heappop(heap)
-        sums = s + t[::-1]  # largest with smallest
-        held = [_joined(x, y) for x, y in zip(a, reversed(b))]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), mark, sums, [held[i] for i in order]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        both = len(a) + len(b) - k
+        if both <= 0:  # all meet empty windows
+            merged = a + b
+        else:  # largest with smallest
+            merged = a[:-both] + b[:-both] + [(s + t, (x, y)) for (s, x), (t, y) in zip(a[-both:], reversed(b[-both:]))]
+        merged.sort(key=itemgetter(0), reverse=True)
+        least = merged[-1][0] if len(merged) == k else 0
+        heapq.heappush(heap, (least - merged[0][0], mark, merged))
         mark += 1
-    return [list(_members(x)) for x in heap[0][3]] if heap else [[] for _ in range(k)]
-
-
-def _joined(x, y):
-    """Trees of members; (leaf, None) is one, (left, right) both."""
-    return y if x is None else x if y is None else (x, y)
+    out = [list(_members(tree)) for _, tree in heap[0][2]] if heap else []
+    return out + [[] for _ in range(k - len(out))]
 
 
 def _members(tree) -> Iterator[int]:
-    stack = [tree] if tree is not None else []
+    stack = [tree]
     while stack:
         left, right = stack.pop()
         if right is None:
@@ -96,6 +93,7 @@ class WordIds:
     marks are therefore split here, and their parts go, many at once, to the
     same model without those steps: the last token of a part, and no other,
     carries the end-of-word suffix. Every other chunk takes the whole way.
+    Ids are kept as bytes, so that a text's ids are one join.
     """
 
     def __init__(self, path: str):
@@ -103,40 +101,67 @@ class WordIds:
 
         self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([])
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[bytes, list[int]] = {}
-        self.parts: dict[str, list[int]] = {"": []}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        plain = {}
-        for c in chunks:
-            text = c.decode()
-            m = PLAIN(text.lower())
-            if m:
-                plain[c] = m.groups()
-            else:
-                self.chunks[c] = self.whole.encode(text, add_special_tokens=False).ids
-        new = list({x for pair in plain.values() for x in pair} - self.parts.keys())
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            ids = self.model.encode(" ".join(some), add_special_tokens=False).ids
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
+        symbols = byte_symbols()
+        self.symbols = {chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        found = PLAIN(b"\n".join(chunks).decode().lower())
+        if len(found) != len(chunks):
+            raise ValueError("a chunk has a line break")
+        new = list({x for pair in found for x in pair}.difference(self.parts))
+        if new:
+            shown = "\n".join(new)
+            # no stand-in holds another of these letters
+            for c in {c for c in set(shown) if c > "\x7f"}:
+                shown = shown.replace(c, self.symbols[c])
+            ids = np.array(self.model.encode_batch_fast([shown.split("\n")], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(stops) != len(new):
                 raise ValueError("a part has not exactly one end")
-            self.parts.update(zip(some, (ids[i:j] for i, j in zip([0, *stops.tolist()], stops.tolist()))))
-        self.chunks.update((c, self.parts[a] + self.parts[b]) for c, (a, b) in plain.items())
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
+            held = ids.tobytes()
+            self.parts.update((x, held[i:j]) for x, i, j in zip(new, [0, *stops], stops))
+        parts = self.parts
+        self.chunks.update(zip(chunks, [parts[a] + parts[b] for a, b in found]))
+        for c, (a, _) in zip(chunks, found):
+            if not a:
+                self.chunks[c] = np.array(self.whole.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         if len(self.chunks) > MEMO:
             self.chunks.clear()
         if len(self.parts) > MEMO:
-            self.parts = {"": []}
+            self.parts = {"": b""}
         split = [t.split() for t in texts]
-        self._learn({c for words in split for c in words if c not in self.chunks})
-        return [list(chain.from_iterable(map(self.chunks.__getitem__, words))) for words in split]
+        new = set().union(*split).difference(self.chunks)
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One for each Python worker; its memo, of bounded size, outlives a task."""
+    return WordIds(path)
+
+
+def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (row, text) in lists of at most TEXTS rows, and BYTES unless one text has more."""
+    block, size = [], 0
+    for row, text in rows:
+        if block and (len(block) == TEXTS or size + len(text) > BYTES):
+            yield block
+            block, size = [], 0
+        block.append((row, text))
+        size += len(text)
+    if block:
+        yield block
 
 
 def _pack(docs: list[tuple], first: int, capacity: int) -> tuple[list[tuple], int]:
@@ -183,16 +208,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays(columns, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words, end = _word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
         seq = TaskContext.get().partitionId() << 40
         waiting: list[tuple] = []
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            for at in range(0, len(b), TEXTS):
-                some = b.slice(at, TEXTS)
-                ids = words.encode(list(utf8(some.column(1))))
-                waiting += [(row, np.array(x + [END_ID], "<u4")) for row, x in zip(some.column(0).to_pylist(), ids)]
+            rows = zip(b.column(0).to_pylist(), utf8(b.column(1)))
+            for some in _blocks(rows):
+                ids = words.encode([text for _, text in some])
+                waiting += [(row, np.frombuffer(x + end, "<u4")) for (row, _), x in zip(some, ids)]
                 while len(waiting) >= 2 * group:  # a group's worth stays, so the last one is never small
                     pieces, seq = _pack(waiting[:group], seq, capacity)
                     del waiting[:group]
