@@ -18,7 +18,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -145,12 +144,6 @@ class WordIds:
         return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
 
 
-@lru_cache(maxsize=1)
-def _word_ids(path: str) -> WordIds:
-    """One for each Python worker; its memo, of bounded size, outlives a task."""
-    return WordIds(path)
-
-
 def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
     """Rows (row, text) in lists of at most TEXTS rows, and BYTES unless one text has more."""
     block, size = [], 0
@@ -208,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pa.RecordBatch.from_arrays(columns, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        words, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
         seq = TaskContext.get().partitionId() << 40
         waiting: list[tuple] = []
         id_type = None
