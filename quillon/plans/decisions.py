@@ -323,6 +323,25 @@ def late_interaction(spark, sf):
     return x.select("vec_id", F.col("b.label").alias("label"), F.round(F.array_max(s), 6).alias("max_sim"), F.round(P.total(s) / F.size(s), 6).alias("mean_sim"))
 
 
+@query(
+    f"""with ev as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+    g as (select label, vec_id % 3 as part, i, avg(v[i]) as a from ev, range(1,65) r(i) group by all),
+    c as (select label, part, list(a order by i) as c from g group by all),
+    u as (select label, part, list_transform(c, lambda x: x/sqrt(list_dot_product(c,c))) as c from c),
+    t as (select e.vec_id, u.label, max(list_dot_product(e.v,u.c)/sqrt(list_dot_product(e.v,e.v))) as m, avg(list_dot_product(e.v,u.c)/sqrt(list_dot_product(e.v,e.v))) as a from ev e, u group by all)
+    select vec_id, label, round(m,6) as max_sim, round(a,6) as mean_sim from t"""
+)
+def late_interaction_all(spark, sf):
+    """`late_interaction` for every vector."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", P.doubles(F.col("embedding")).alias("v"))
+    g = e.select("label", (F.col("vec_id") % 3).alias("part"), F.posexplode("v").alias("i", "x")).groupBy("label", "part", "i").agg(F.avg("x").alias("a"))
+    c = g.groupBy("label", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("c"))
+    bank = c.groupBy("label").agg(F.collect_list("c").alias("parts")).agg(F.collect_list(F.struct("label", "parts")).alias("bank"))
+    x = e.select("vec_id", "v").crossJoin(F.broadcast(bank)).select("vec_id", "v", F.explode("bank").alias("b"))
+    s = F.transform("b.parts", lambda q: P.cosine(F.col("v"), q))
+    return x.select("vec_id", F.col("b.label").alias("label"), F.round(F.array_max(s), 6).alias("max_sim"), F.round(P.total(s) / F.size(s), 6).alias("mean_sim"))
+
+
 @query("select label, i::int as i, round(avg(embedding[i]::double),6) as mean from embeddings, range(1,65) r(i) group by label, i")
 def mean_pool(spark, sf):
     x = table(spark, sf, "embeddings").select("label", F.posexplode(P.doubles(F.col("embedding"))).alias("i", "x"))

@@ -34,6 +34,19 @@ def foreign_without_own(spark, sf):
     return own.crossJoin(F.broadcast(pool)).select("p_brand", F.size(rest).alias("n"), F.try_element_at(rest, F.lit(1)).alias("first"))
 
 
+@query(
+    """with p as (select list(distinct p_name order by p_name) as pool from part), o as (select p_brand, list(distinct p_name order by p_name) as own from part group by p_brand)
+    select p_brand, len(list_filter(pool, lambda x: not list_contains(own, x)))::int as n, list_filter(pool, lambda x: not list_contains(own, x))[1] as first from o, p"""
+)
+def foreign_without_own_all(spark, sf):
+    """`foreign_without_own` with all names of a brand as its own."""
+    names = table(spark, sf, "part").select("p_brand", "p_name")
+    pool = names.agg(F.array_sort(F.collect_set("p_name")).alias("pool"))
+    rest = F.array_except("pool", "own")
+    own = names.groupBy("p_brand").agg(F.collect_set("p_name").alias("own"))
+    return own.crossJoin(F.broadcast(pool)).select("p_brand", F.size(rest).alias("n"), F.try_element_at(rest, F.lit(1)).alias("first"))
+
+
 @query(
     f"""select k::int as draw, case when {uniform_sql('task', 'k')} < 0.5 then 'intent' when {uniform_sql('task', 'k')} < 0.8 then 'mcq' else 'bool' end as task, floor({uniform_sql('item', 'k')}*1000)::bigint as item from range(500) r(k)"""
 )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import digest, digest_sql, uniform, uniform_sql
+from ..operators import splits as S
 from .registry import query, table
 
 _LABELS = "l as (select distinct p_name as label, list_distinct(regexp_extract_all(lower(p_name),'[a-z0-9]+')) as w from part)"
@@ -65,6 +66,32 @@ def hard_negatives(spark, sf):
     return same.unionByName(rest.withColumn("r", rank("any")).where("r <= 3").select("p_partkey", F.lit("any").alias("kind"), "label"))
 
 
+def drawn_ranks(seed: str, key: Column, n: Column, taken: Column, k: int) -> Column:
+    """Up to k ranks of 0..n-1, uniformly and without repeats, none of them in `taken`; fewer if there are not so many."""
+    left = lambda t: n - F.size(t)
+    skip = lambda t, p: F.aggregate(F.array_sort(t), p, lambda at, x: F.when(x <= at, at + 1).otherwise(at))
+    place = lambda t, j: skip(t, F.floor(uniform(seed, key, j) * left(t)).cast("long"))
+    start = taken.cast("array<bigint>")
+    every = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), start, lambda t, j: F.when(left(t) > 0, F.array_append(t, place(t, j))).otherwise(t))
+    return F.slice(every, F.size(start) + 1, F.lit(k))
+
+
+@query()
+def hard_negatives_all(spark, sf):
+    """`hard_negatives` for every row: ranks of the catalogue are drawn without repeats and joined by equality, so no row meets all labels."""
+    q = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name").where("p_name is not null")
+    s = q.select(F.col("p_brand").alias("b"), F.col("p_name").alias("label")).distinct()
+    place = lambda rows, by, seed: S.hash_ranked(rows, by, seed, "label").select(*by, "label", (F.col("_rank") - 1).alias("pos"), "_n")
+    within, bank = place(s, ["b"], "hard"), place(s.select("label").distinct(), [], "any")
+    mine = q.select("p_partkey", F.col("p_brand").alias("b"), F.col("p_name").alias("label"))
+    key = F.col("p_partkey")
+    picked = mine.join(within, ["b", "label"]).select("p_partkey", "b", F.explode(drawn_ranks("hard", key, F.col("_n"), F.array("pos"), 4)).alias("pos"))
+    same = picked.join(within, ["b", "pos"]).select("p_partkey", "label")
+    taken = same.unionByName(mine.select("p_partkey", "label")).join(bank, "label").groupBy("p_partkey").agg(F.collect_list("pos").alias("t"), F.first("_n").alias("_n"))
+    others = taken.select("p_partkey", F.explode(drawn_ranks("any", key, F.col("_n"), F.array_sort("t"), 3)).alias("pos")).join(bank, "pos")
+    return same.select("p_partkey", F.lit("same").alias("kind"), "label").unionByName(others.select("p_partkey", F.lit("any").alias("kind"), "label"))
+
+
 _BUILD = f"""with {_DIS}, o as (select p_partkey, p_name as t, p_name as truth from part union all select p_partkey, other, p_name from part join d on d.label = p_name where r <= 3),
     b as (select p_partkey, truth, list(t order by {digest_sql('mix', 'p_partkey', 't')}) as opts from o group by all)"""
 
@@ -135,6 +162,23 @@ def validation_suite(spark, sf):
     return r.groupBy("grp", "qtype").agg(F.count("*").alias("n"), F.sum("answer_idx").alias("checksum")).withColumn("selected", family.isin("paraphrase", "score"))
 
 
+@query(
+    f"""with r as (select 'paraphrase/all' as grp, item_id as id, 'bool' as qtype, item_id%2 as answer_idx from benchmark union all
+      select 'oos/all', doc_id, 'bool', (lang='en')::int from documents union all select 'score/orders', o_orderkey, 'score', substr(o_orderpriority,1,1)::int-1 from orders),
+    t as (select * from r qualify row_number() over (partition by grp order by {digest_sql('suite', 'id')}, id) <= 500)
+    select grp, qtype, count(*) as n, sum(answer_idx)::bigint as checksum, split_part(grp,'/',1) in ('paraphrase','score') as selected from t group by all"""
+)
+def validation_suite_taken(spark, sf):
+    """`validation_suite` with a seeded take of 500 of each group out of all its rows."""
+    one = lambda t, g, i, q, a: table(spark, sf, t).select(F.lit(g).alias("grp"), i.cast("long").alias("id"), F.lit(q).alias("qtype"), a.cast("int").alias("answer_idx"))
+    r = one("benchmark", "paraphrase/all", F.col("item_id"), "bool", F.col("item_id") % 2)
+    r = r.unionByName(one("documents", "oos/all", F.col("doc_id"), "bool", F.col("lang") == "en"))
+    r = r.unionByName(one("orders", "score/orders", F.col("o_orderkey"), "score", F.substring("o_orderpriority", 1, 1).cast("int") - 1))
+    t = S.capped(r, ["grp"], r.groupBy("grp").agg(F.count("*").alias("n")).withColumn("cap", F.lit(500)), "suite", "id")
+    family = F.split_part("grp", F.lit("/"), F.lit(1))
+    return t.groupBy("grp", "qtype").agg(F.count("*").alias("n"), F.sum("answer_idx").alias("checksum")).withColumn("selected", family.isin("paraphrase", "score"))
+
+
 @query(
     """with g as (select c_custkey, list_filter(['up','down','left','right'], lambda x, i: (c_custkey >> (i-1)) % 2 = 1) as opts from customer)
     select c_custkey, case len(opts) when 0 then 'trapped' when 1 then 'forced' else 'model' end as gate, case when len(opts) = 1 then 1.0 end::double as prob from g"""
