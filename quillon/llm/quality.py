@@ -2,7 +2,8 @@
 
 The base rules count whole texts. The model is trained on a bounded sample of
 labelled rows (see `linear`), its probabilities are calibrated on rows left
-out of the training, and every row is scored in Arrow batches against a fixed
+out of the training and corrected to the labels' shares in all rows, so they
+do not depend on how much of the table the sample holds, and every row is scored in Arrow batches against a fixed
 threshold. The broadcast model has a fixed size.
 
 Words are runs of anything but ASCII white space. Null texts have no words and
@@ -86,13 +87,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
     w, b = logistic([r for r, s in zip(x, left) if not s], y[~left], 1 << BITS, scale=SCALE)
     z = np.array([b + SCALE * float(w[i] @ v) for i, v in (r for r, s in zip(x, left) if s)])
     a, c = platt(z, y[left])
-    return QualityModel(w, b, a, c)
+    # the left-out fifth holds the labels at the sample's shares; the intercept goes back to the labels' own
+    share = {r[0]: r[1] for r in label_rows(labels, label, id_col).groupBy("_y").count().limit(1000).collect()}
+    up = y[left].sum()
+    prior = np.log(share[1] / share[0]) - np.log((up + 1) / (left.sum() - up + 1))
+    return QualityModel(w, b, a, float(c + prior))
+
+
+def label_rows(labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """(_id, _y): the label of each id outside the held-out fifth."""
+    y = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
+    return y.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_label: int, id_col: str, text_col: str) -> DataFrame:
     """Texts of a bounded number of labelled ids; the ids are few, so the texts stay where they are read."""
-    y = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
-    y = y.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"))
+    y = label_rows(labels, label, id_col)
     counts = {r[0]: r[1] for r in y.groupBy("_y").count().limit(1000).collect()}
     u = F.pmod(F.xxhash64(F.lit(17), F.col("_id")), F.lit(1 << 30)) / float(1 << 30)
     if counts:
