@@ -3,7 +3,8 @@
 The lexicon (words, and stems that accept any ending) is learned from labelled
 rows: terms far likelier in toxic than in other texts. A word of a text is
 looked up by walking the trie along the word's Levenshtein automaton of
-distance 1; a hit is a term, a stem or a misspelling. The window around a hit
+distance 1, or with two neighbours swapped; a hit is a term, a stem or a
+misspelling, which may have a digit or mark inside. The window around a hit
 tells quotation (quotation marks, words of saying) from abuse. A logistic
 regression over the hits of each kind, fit on a bounded labelled sample and
 calibrated by its own likelihood, gives the score.
@@ -32,10 +33,11 @@ from .quality import labelled
 SAMPLE_PER_LABEL = 4000
 LEAST_TEXTS, LEAST_ODDS = 6, 8.0  # the odds by their lower bound, two standard errors down
 STEM, WORD = (5, 9), (3, 24)
-FUZZY_FROM = 5
+FUZZY_FROM, GUARDED_FROM = 5, 4  # terms of four letters only where innocent words are known
 SPAN = 6
 MEMO = 400_000
 _words = regex.compile(r"[^\W\d_]+")
+_joined = regex.compile(r"(?<![^\W\d_])(?=([^\W\d_]++[^\s\p{L}\p{M}][^\W\d_]++))[^\W\d_]++")  # two runs of letters and the mark or digit between
 
 # fixed values: words of saying and marks of quotation
 SAYING = {"said", "says", "called", "word", "term", "quote", "quoted", "wrote", "dit", "mot", "terme", "sagte", "wort", "dijo", "palabra"}
@@ -108,12 +110,14 @@ def _by_length(parts) -> list[tuple[int, set[str]]]:
 class Lexicon:
     words: dict[str, float]  # with the logarithm of their odds
     stems: dict[str, float]
-    innocent: frozenset[str] = frozenset()
+    innocent: frozenset[str] | None = None  # words near a term that clean texts hold; None if not known
     memo: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.trie, self.stem_trie = Trie(self.words), Trie(self.stems)
-        long = [t for t in self.words if len(t) >= FUZZY_FROM]
+        self.fuzzy_from = FUZZY_FROM if self.innocent is None else GUARDED_FROM
+        long = [t for t in self.words if len(t) >= self.fuzzy_from]
+        self.lengths = {len(t) for t in long}
         # one edit leaves the first or the last half of a term as it is
         self.heads, self.tails = _by_length(t[: len(t) // 2] for t in long), _by_length(t[len(t) // 2 :] for t in long)
 
@@ -137,8 +141,10 @@ class Lexicon:
             return 1, self.words[word]
         if stem := self.stem_trie.stem_of(word):
             return 2, self.stems[stem]
-        if len(word) >= FUZZY_FROM - 1 and word not in self.innocent and self._half_fits(word):
-            near = [self.words[t] for t in self.trie.within(LevenshteinAutomaton(word, 1)) if len(t) >= FUZZY_FROM]
+        if len(word) >= self.fuzzy_from - 1 and word not in (self.innocent or ()):
+            near = self._swapped(word)
+            if self._half_fits(word):
+                near += [self.words[t] for t in self.trie.within(LevenshteinAutomaton(word, 1)) if len(t) >= self.fuzzy_from]
             if near:
                 return 3, max(near)
         return 0, 0.0
@@ -146,21 +152,42 @@ class Lexicon:
     def _half_fits(self, word: str) -> bool:
         return any(word[:n] in h for n, h in self.heads) or any(word[-n:] in t for n, t in self.tails)
 
-    def features(self, text: str) -> list[float]:
-        """Strength of hits by kind and context, their density, and the sum and maximum over different terms."""
+    def _swapped(self, word: str) -> list[float]:
+        """Strengths of the terms that two swapped neighbours make of the word."""
+        if len(word) not in self.lengths:
+            return []
+        others = (word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1))
+        return [self.words[t] for t in others if t in self.words]
+
+    def _masked(self, low: str, found: list[str], kinds: dict) -> list[tuple[int, tuple[int, float]]]:
+        """Misspelt terms with a digit or mark inside, at the place of their first half, where neither half is a hit."""
+        hits = {w: k for w in set(_joined.findall(low)) if (k := self.kind(w))[0] == 3}
+        if not hits:
+            return []
+        spans = [m.span() for m in _words.finditer(low)]
+        whole = ((i, hits.get(low[a[0] : b[1]])) for i, (a, b) in enumerate(zip(spans, spans[1:])) if b[0] == a[1] + 1)
+        return [(i, k) for i, k in whole if k and found[i] not in kinds and found[i + 1] not in kinds]
+
+    def features(self, text: str, as_terms: bool = False) -> list[float]:
+        """Strength of hits by kind and context, their density, and the sum and maximum over different terms; as_terms: misspelt terms count as terms."""
         low = text.lower()
         found = _words.findall(low)
         kinds = {w: k for w in set(found) if (k := self.kind(w))[0]}
+        masked = self._masked(low, found, kinds)
         out = [0.0] * 9
-        if kinds:
-            places = [(i, kinds[w]) for i, w in enumerate(found) if w in kinds]
+        if kinds or masked:
+            places = sorted([(i, kinds[w]) for i, w in enumerate(found) if w in kinds] + masked)
+            different = [*kinds.values(), *{found[i] + "\0" + found[i + 1]: k for i, k in masked}.values()]
+            if as_terms:
+                places = [(i, (1 if k == 3 else k, strength)) for i, (k, strength) in places]
+                different = [(1 if k == 3 else k, strength) for k, strength in different]
             quoted = self._quoted(low, len(found)) if any(q in low for q in QUOTES) else None
             for i, (k, strength) in places:
                 near = found[max(0, i - SPAN) : i] + found[i + 1 : i + 1 + SPAN]
                 cited = (quoted is not None and quoted[i]) or not SAYING.isdisjoint(near)
                 out[k - 1 + 3 * cited] += strength
             out[6] = min(1.0, 20 * len(places) / len(found))
-            out[7], out[8] = sum(s for k, s in kinds.values() if k < 3) / 4, float(max((s for k, s in kinds.values() if k < 3), default=0))
+            out[7], out[8] = sum(s for k, s in different if k < 3) / 4, float(max((s for k, s in different if k < 3), default=0))
         return [*np.log1p(out[:6]), *out[6:]]
 
     @staticmethod
@@ -179,9 +206,10 @@ class ToxicityModel:
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
+    as_terms: bool = False  # too few labelled texts hold misspelt terms to weigh these by themselves
 
     def score(self, text: str) -> float:
-        return float(sigmoid(self.bias + float(self.weights @ np.array(self.lexicon.features(text)))))
+        return float(sigmoid(self.bias + float(self.weights @ np.array(self.lexicon.features(text, self.as_terms)))))
 
 
 def learn_lexicon(texts: list[str], y: np.ndarray) -> Lexicon:
@@ -191,7 +219,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray) -> Lexicon:
         w = {x for x in _words.findall(t.lower()) if WORD[0] <= len(x) <= WORD[1]}
         (toxic if label else other).update(w)
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    clean = set(other)
+    clean = set(other).union(*(_joined.findall(t.lower()) for t, label in zip(texts, y) if not label))
     for counts in (toxic, other):  # a stem is found as often as its words together
         for w, k in list(counts.items()):
             for n in range(STEM[0], min(STEM[1] + 1, len(w))):
@@ -205,7 +233,7 @@ def learn_lexicon(texts: list[str], y: np.ndarray) -> Lexicon:
     stems = {t[:-1] for t in good if t.endswith("*") and len(ends[t[:-1]]) >= 3}  # one word with its ending is that word
     stems = {s for s in stems if not any(s[:n] in stems for n in range(STEM[0], len(s)))}
     strength = lambda t: float(np.log(odds[t]))
-    lexicon = Lexicon({w: strength(w) for w in sorted(words)}, {s: strength(s + "*") for s in sorted(stems)})
+    lexicon = Lexicon({w: strength(w) for w in sorted(words)}, {s: strength(s + "*") for s in sorted(stems)}, frozenset())
     return Lexicon(lexicon.words, lexicon.stems, frozenset(w for w in clean if lexicon.kind(w)[0] == 3))
 
 
@@ -218,6 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
     texts = [t.decode() for t in texts]
     lexicon = learn_lexicon(texts, y)
     x = np.array([lexicon.features(t) for t in texts])
+    as_terms = bool(((x[:, 2] + x[:, 5] > 0) & (y > 0)).sum() < LEAST_TEXTS)
+    if as_terms:
+        x = np.array([lexicon.features(t, True) for t in texts])
     x1, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     ridge = np.diag([0.5] * x.shape[1] + [1e-6])
     for _ in range(40):  # Newton's method with a small penalty
@@ -229,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
     # the sample holds more of the rarer label than there is; the bias goes back to the labels' own shares
     all_y = {r[0]: r[1] for r in labels.where(~held_out(id_col)).groupBy(F.col(label).cast("int")).count().collect()}
     prior = np.log(all_y[1] / all_y[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return ToxicityModel(lexicon, w[:-1], float(w[-1] + prior))
+    return ToxicityModel(lexicon, w[:-1], float(w[-1] + prior), as_terms)
 
 
 def scores(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
