@@ -7,13 +7,19 @@ time, so memory is bounded by the batch and not by the partition.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
+import shutil
+import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,11 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only if that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; only a local session may do without, with a new folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        conf = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(conf or "/tmp/quillon-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -63,6 +74,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- Python in tasks --------------------------------------------------------
+
+BATCH_BYTES, BLOCK_BYTES = 4 << 20, 1 << 18
+_space = re.compile(rb"[\x20\x09-\x0D]").search
+
+
+def arrow_scan(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow over batches of a few MB, whatever the length of the texts; what a task took goes back to the system at its end."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(key)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Returns freed memory to the system: a worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --- texts ----------------------------------------------------------------
 
 
@@ -98,6 +140,46 @@ def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(h, F.col(key)).limit(limit)
 
 
+def block_bounds(text: bytes) -> Iterator[tuple[int, int]]:
+    """Consecutive parts of a text of about BLOCK_BYTES, each but the last ending after white space; a longer word is not cut."""
+    i = 0
+    while i < len(text):
+        m = _space(text, i + BLOCK_BYTES) if i + BLOCK_BYTES < len(text) else None
+        j = m.end() if m else len(text)
+        yield i, j
+        i = j
+
+
+#: Longs of a bit map of hashed keys at most, and longs for each key as long as that suffices.
+BITMAP_WORDS, WORDS_PER_KEY = 1 << 20, 4
+
+
+def with_hit(rows: DataFrame, own: str, keys: DataFrame, key: str) -> DataFrame:
+    """rows with _hit: whether their hash `own` may be among those of `keys`, a checkpointed table; never false for one that is.
+
+    The keys become a bit map of bounded size by aggregation, so their number may be any; false hits grow with it.
+    """
+    words = min(BITMAP_WORDS, max(64, WORDS_PER_KEY * keys.count()))
+    shift, bit = (lambda f, c, by: F.call_function(f, c, by)), (lambda c: F.col(c).bitwiseAND(63).cast("int"))
+    slot = lambda c: F.pmod(F.shiftright(c, 6), F.lit(words))
+    bits = cut(keys.groupBy(slot(key).alias("_word")).agg(F.bit_or(shift("shiftleft", F.lit(1).cast("long"), bit(key))).alias("_bits")))
+    out = rows.join(F.broadcast(bits), slot(own) == F.col("_word"), "left")
+    return out.withColumn("_hit", F.coalesce(shift("shiftright", F.col("_bits"), bit(own)).bitwiseAND(1) == 1, F.lit(False))).drop("_word", "_bits")
+
+
+def without_listed(rows: DataFrame, gone: DataFrame, same: Column, limit: int) -> DataFrame:
+    """The _row of rows (_row, _own) that no row of gone (_pair, ...) is the same as; equal rows have _own = _pair.
+
+    While gone, a checkpointed table, is small it is broadcast; beyond that rows that surely stay are told by a bit map
+    and are not shuffled.
+    """
+    if small(gone, limit):
+        return rows.join(F.broadcast(gone), same, "left_anti").select("_row.*")
+    marked = with_hit(rows, "_own", gone, "_pair")
+    stay = marked.where(~F.col("_hit")).select("_row.*")
+    return stay.unionByName(marked.where("_hit").join(gone, same, "left_anti").select("_row.*"))
+
+
 # --- hashing of words and shingles ------------------------------------------
 
 _U = np.uint64
@@ -110,6 +192,7 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BLOCK = 1 << 18
+LONG_WORD = 256
 _powers: list[np.ndarray] = []
 
 
@@ -139,7 +222,11 @@ def _word_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray, byte: np.nda
     power, inverse = _pow(len(a))
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(byte[a] * power[: len(a)], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start])
+    out = mix((total[end] - total[start]) * inverse[start])
+    for k in np.flatnonzero(end - start > LONG_WORD):  # structured long words can meet under a polynomial
+        word = a[start[k] : end[k]].tobytes()
+        out[k] = xxhash.xxh3_64_intdigest(word.lower() if byte is _BYTE else word)
+    return out
 
 
 def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:

@@ -26,14 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, utf8
+from .common import arrow_scan, byte_symbols, utf8
 
 WINDOW = 2048
 END_ID = 1
 GROUP = 384
-MEMO = 400_000
+#: Bytes that each of a task's two memos holds at most, and what an entry takes beside its key and value.
+MEMO_BYTES, ENTRY = 24 << 20, 160
 #: Texts and bytes that are encoded at once; a longer text goes by itself.
 TEXTS, BYTES = 512, 2 << 20
+#: Parts of chunks in a string for the model.
+LINE = 500
 #: One line each: lower-case Latin letters that have one form under NFC, then ASCII marks without the apostrophe; or anything else.
 PLAIN = re.compile(r"^(?:([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE).findall
 
@@ -84,6 +87,23 @@ def windows_for(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
         k += 1
 
 
+class Memo(dict):
+    """Ids of chunks or parts, emptied when they come to more than so many bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def learn(self, keys: list, values: list[bytes]) -> None:
+        self.update(zip(keys, values))
+        self.size += ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values))
+
+    def trim(self) -> None:
+        if self.size > self.limit:
+            self.clear()
+            self.size = 0
+
+
 class WordIds:
     """Token ids of texts, as the library gives them for each chunk between white space by itself.
 
@@ -95,48 +115,56 @@ class WordIds:
     Ids are kept as bytes, so that a text's ids are one join.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([])
-        vocab = self.model.get_vocab()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.bare = (normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit())
+        vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         symbols = byte_symbols()
         self.symbols = {chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(128, 256)}
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.chunks, self.parts = Memo(memo_bytes), Memo(memo_bytes)
+
+    def _ids(self, texts: list[str], steps: tuple) -> list[np.ndarray]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        shown = "\n".join(parts)
+        # no stand-in holds another of these letters
+        for c in {c for c in set(shown) if c > "\x7f"}:
+            shown = shown.replace(c, self.symbols[c])
+        shown = shown.split("\n")
+        ids = np.concatenate(self._ids([" ".join(shown[i : i + LINE]) for i in range(0, len(shown), LINE)], self.bare))
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(stops) != len(parts):
+            raise ValueError("a part has not exactly one end")
+        held = ids.tobytes()
+        self.parts.learn(parts, [held[i:j] for i, j in zip([0, *stops], stops)])
 
     def _learn(self, chunks: list[bytes]) -> None:
         found = PLAIN(b"\n".join(chunks).decode().lower())
         if len(found) != len(chunks):
             raise ValueError("a chunk has a line break")
-        new = list({x for pair in found for x in pair}.difference(self.parts))
+        new = {x for pair in found for x in pair}.difference(self.parts)
+        new.discard("")
         if new:
-            shown = "\n".join(new)
-            # no stand-in holds another of these letters
-            for c in {c for c in set(shown) if c > "\x7f"}:
-                shown = shown.replace(c, self.symbols[c])
-            ids = np.array(self.model.encode_batch_fast([shown.split("\n")], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) != len(new):
-                raise ValueError("a part has not exactly one end")
-            held = ids.tobytes()
-            self.parts.update((x, held[i:j]) for x, i, j in zip(new, [0, *stops], stops))
+            self._learn_parts(list(new))
         parts = self.parts
-        self.chunks.update(zip(chunks, [parts[a] + parts[b] for a, b in found]))
-        for c, (a, _) in zip(chunks, found):
-            if not a:
-                self.chunks[c] = np.array(self.whole.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        out = [parts[a] + parts[b] if b else parts[a] if a else b"" for a, b in found]
+        odd = [k for k, (a, _) in enumerate(found) if not a]
+        if odd:
+            for k, ids in zip(odd, self._ids([chunks[k].decode() for k in odd], self.whole)):
+                out[k] = ids.tobytes()
+        self.chunks.learn(chunks, out)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.chunks) > MEMO:
-            self.chunks.clear()
-        if len(self.parts) > MEMO:
-            self.parts = {"": b""}
+        self.chunks.trim()
+        self.parts.trim()
         split = [t.split() for t in texts]
         new = set().union(*split).difference(self.chunks)
         if new:
@@ -219,4 +247,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             pieces, seq = _pack(waiting, seq, capacity)
             yield out(pieces, id_type)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, schema)
+    return arrow_scan(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_symbols, utf8
+from .common import arrow_scan, byte_symbols, utf8
 
 MEMO = 400_000
 
@@ -99,4 +99,4 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(scan, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
+    return arrow_scan(rows, scan, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint")
