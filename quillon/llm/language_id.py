@@ -2,16 +2,17 @@
 
 Subwords are byte n-grams of the folded text and whole words, hashed to
 buckets. Embeddings and output layer are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows (see `linear`); a tenth
+descent in numpy on a bounded sample of labelled rows (see `linear`); a fifth
 of the sample is left out to fit a temperature and the rejection threshold.
 The trained product of embedding and output is one row of scores per bucket,
 sent to the tasks as a broadcast of fixed size.
 
 Every row gets a learned language; a text that is null or has no letter gets
 `und` and score 0. Rows below the threshold are marked rejected: the threshold
-is the score that all but a small share of the left-out rows reach, and one
-half at most, so clean rows stay. With no labelled rows nothing can be learned
-and every row is `und`. Repeated rows are scored alike; extra columns are not
+is the score that all but a small share of the rightly told left-out rows
+reach, one half at most, so clean rows stay, and above an even share, so that
+a text unlike all languages goes. With no labelled rows nothing can be learned:
+every row is `und` and none is rejected. An empty table gives an empty result. Repeated rows are scored alike; extra columns are not
 read.
 """
 
@@ -26,12 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
-from .linear import buckets, char_grams, sparse, training_sample, word_grams
+from .common import arrow_scan, utf8
+from .linear import gram_buckets, mean_score, sparse, training_sample
 
 BITS, DIM, EPOCHS = 16, 16, 6
 SAMPLE_PER_LANGUAGE = 800
-REJECT_SHARE = 0.001
+#: The left-out part of the sample; the share of its rightly told rows that may lie below the threshold; and even shares that the threshold is at least.
+LEFT_OUT, REJECT_SHARE, EVEN_SHARES = 5, 0.002, 1.2
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}").search
 
@@ -45,15 +47,15 @@ class LanguageModel:
     threshold: float
 
     def scores(self, text: bytes) -> np.ndarray:
-        f = features(text)
-        z = np.ones(len(f), np.float32) @ self.table.take(f, axis=0) / len(f) + self.bias
+        total, n = mean_score(self.table, features(text))
+        z = total / n + self.bias
         z = np.exp((z - z.max()) / self.temperature)
         return z / z.sum()
 
 
-def features(text: bytes) -> np.ndarray:
-    """Buckets of all subwords of a text with at least one word; each side is padded by a space."""
-    return buckets(char_grams(b" " + text + b" ", (2, 3, 4), True) + word_grams(text, 1), BITS)
+def features(text: bytes) -> Iterator[np.ndarray]:
+    """Buckets of all subwords of a text, in blocks; each side is padded by a space."""
+    return gram_buckets(b" " + text + b" ", (2, 3, 4), 1, BITS, fold=True)
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel | None:
@@ -62,8 +64,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_
     if not pairs:
         return None
     names = sorted({y for _, y in pairs})
-    rows, y = sparse([features(t) for t, _ in pairs]), np.array([names.index(v) for _, v in pairs])
-    test = np.arange(len(rows)) % 10 == 9
+    rows, y = sparse([np.concatenate(list(features(t))) for t, _ in pairs]), np.array([names.index(v) for _, v in pairs])
+    test = np.arange(len(rows)) % LEFT_OUT == LEFT_OUT - 1
     rng = np.random.default_rng(3)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
@@ -86,8 +88,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_
     left = np.flatnonzero(test) if test.any() else np.arange(len(rows))
     z = np.array([x @ table[i] for i, x in (rows[k] for k in left)]) + bias
     temperature = min((float(t) for t in np.geomspace(0.1, 10, 60)), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(left)), y[left]] + 1e-12).sum())
-    true = np.sort(_softmax(z / temperature)[np.arange(len(left)), y[left]])
-    return LanguageModel(names, table.astype(np.float32), bias, temperature, float(min(0.5, true[int(REJECT_SHARE * len(true))])))
+    p = _softmax(z / temperature)
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[left]])
+    reached = right[int(REJECT_SHARE * len(right))] if len(right) else 0.0
+    # no largest probability lies below an even share
+    threshold = max(min(0.5, float(reached)), min(1.0, EVEN_SHARES / len(names)))
+    return LanguageModel(names, table.astype(np.float32), bias, temperature, threshold if len(names) > 1 else 0.0)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -109,23 +115,25 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
                 p = m.scores(text) if known else None
                 names.append(m.languages[int(p.argmax())] if known else UNKNOWN)
                 scores.append(float(p.max()) if known else 0.0)
-                rejected.append(not known or scores[-1] < m.threshold)
+                rejected.append(m is not None and (not known or scores[-1] < m.threshold))
             columns = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(scan, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return arrow_scan(rows, scan, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not rejected, all columns unchanged; the decision is made where the row is read."""
+    """The rows of docs that are not rejected (all without a model), all columns unchanged; the decision is made where the row is read."""
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            ok = [m is not None and _letter(t.decode()) is not None and float(m.scores(t).max()) >= m.threshold for t in utf8(b.column(at))]
+            ok = [_letter(t.decode()) is not None and float(m.scores(t).max()) >= m.threshold for t in utf8(b.column(at))]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return arrow_scan(docs, scan, docs.schema)

@@ -1,19 +1,23 @@
 """Hashed n-gram features and linear models trained in numpy, shared by the text classifiers.
 
 Only the training sample is bounded: at most so many labelled rows of each
-class, of texts up to so many bytes, chosen by hashed id. Scoring covers every
-row and whole texts.
+class, of texts up to so many bytes each and about so many bytes in all, chosen
+by hashed id. Scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, windows, word_hashes
+from .common import block_bounds, held_out, mix, windows, word_hashes
 
 MAX_TRAINING_BYTES = 1 << 16
+#: Bytes of texts in a training sample, about, over all labels.
+MAX_SAMPLE_BYTES = 24 << 20
 _U = np.uint64
 _CHAR = np.random.default_rng(99).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _CHAR_FOLDED = _CHAR.copy()
@@ -22,19 +26,30 @@ for _s in (9, 10, 11, 12, 13):
     _CHAR_FOLDED[_s] = _CHAR_FOLDED[32]
 
 
-def char_grams(text: bytes, sizes: tuple[int, ...], fold: bool) -> list[np.ndarray]:
-    """Hashes of all byte n-grams, of each size by itself; fold: A-Z as a-z, white space as a space."""
-    a = (_CHAR_FOLDED if fold else _CHAR)[np.frombuffer(text, np.uint8)]
-    return [mix(windows(a, n) ^ _U(n)) for n in sizes]
-
-
-def word_grams(text: bytes, size: int) -> list[np.ndarray]:
-    w = word_hashes(text)
-    return [w] + [windows(w, n) for n in range(2, size + 1)]
+def gram_buckets(text: bytes, sizes: tuple[int, ...], words: int, bits: int, fold: bool = False) -> Iterator[np.ndarray]:
+    """Buckets of all byte n-grams of the sizes and of all runs of up to `words` words, in blocks of the text.
 
-
-def buckets(hashes: list[np.ndarray], bits: int) -> np.ndarray:
-    return (np.concatenate(hashes) >> _U(64 - bits)).astype(np.int64)
+    fold: byte n-grams take A-Z as a-z and white space as a space. Blocks bound the memory of a long text; grams across their borders are not lost.
+    """
+    char, before = _CHAR_FOLDED if fold else _CHAR, np.empty(0, np.uint64)
+    for i, j in block_bounds(text):
+        a = char[np.frombuffer(text[i : j + max(sizes) - 1], np.uint8)]
+        hashes = [mix(windows(a[: j - i + n - 1], n) ^ _U(n)) for n in sizes]
+        own = word_hashes(text[i:j])
+        hashes.append(own)
+        for n in range(2, words + 1):
+            hashes.append(windows(np.concatenate([before[max(0, len(before) - n + 1) :], own]), n))
+        before = np.concatenate([before, own])[-max(1, words - 1) :]
+        yield (np.concatenate(hashes) >> _U(64 - bits)).astype(np.int32)
+
+
+def mean_score(table: np.ndarray, blocks: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Sum of the table's entries over all buckets, and the number of buckets."""
+    total, n = np.zeros(table.shape[1:], np.float64), 0
+    for b in blocks:
+        total += table.take(b, axis=0).sum(axis=0, dtype=np.float64)
+        n += len(b)
+    return total, n
 
 
 def training_sample(docs: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text"):
@@ -42,14 +57,15 @@ def training_sample(docs: DataFrame, label: str, limit: int, id_col: str = "doc_
 
     The rate for each label comes from its count over all rows; the number of label values is bounded by 1000.
     """
-    rows = docs.where(F.col(label).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(1000).collect()}
+    rows = docs.where(F.col(label).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAINING_BYTES))
+    sizes = rows.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes"))
+    counts = {r[0]: (r[1], r[2]) for r in sizes.orderBy(F.desc("n"), label).limit(1000).collect()}
     if not counts:
         return [], []
     u = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    rates = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * limit / n))))
+    share = MAX_SAMPLE_BYTES / len(counts)
+    rates = F.create_map(*(F.lit(x) for k, (n, size) in counts.items() for x in (k, min(1.0, 1.3 * limit / n, share / max(size, 1)))))
     picked = rows.where(u < F.try_element_at(rates, F.col(label)))
-    picked = picked.where(F.octet_length(text_col) <= MAX_TRAINING_BYTES)
     got = picked.select(F.col(label).alias("y"), F.col(text_col).alias("t"), u.alias("u"), F.col(id_col).alias("i"))
     got = got.orderBy("u", "i").limit(int(1.3 * limit * len(counts)) + 1).toPandas()
     got = got.groupby("y", sort=True).head(limit).sort_values(["u", "i"], kind="stable")

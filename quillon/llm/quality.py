@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, among, distinct, held_out, maybe_broadcast, utf8, windows, word_bounds, word_hashes
-from .linear import buckets, char_grams, logistic, platt, sigmoid, sparse, training_sample, word_grams
+from .common import SPACE, among, arrow_scan, distinct, held_out, maybe_broadcast, utf8, windows, word_bounds, word_hashes
+from .linear import gram_buckets, logistic, mean_score, platt, sigmoid, sparse, training_sample
 
 BITS = 18
 SCALE = 40.0
@@ -40,13 +40,13 @@ class QualityModel:
     intercept: float
 
     def probability(self, text: bytes) -> float:
-        f = features(text)
-        z = self.bias + (SCALE * float(self.weights.take(f).sum()) / len(f) if len(f) else 0.0)
+        total, n = mean_score(self.weights, features(text))
+        z = self.bias + (SCALE * float(total) / n if n else 0.0)
         return float(sigmoid(self.slope * z + self.intercept))
 
 
-def features(text: bytes) -> np.ndarray:
-    return buckets(char_grams(text, (2, 3, 4), False) + word_grams(text, 2), BITS)
+def features(text: bytes) -> Iterator[np.ndarray]:
+    return gram_buckets(text, (2, 3, 4), 2, BITS)
 
 
 def rule_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
     y = np.array(y, float)
     if len(set(y)) < 2:
         return None
-    x = sparse([features(t) for t in texts])
+    x = sparse([np.concatenate([np.empty(0, np.int32), *features(t)]) for t in texts])
     left = np.arange(len(x)) % 5 == 4
     w, b = logistic([r for r, s in zip(x, left) if not s], y[~left], 1 << BITS, scale=SCALE)
     z = np.array([b + SCALE * float(w[i] @ v) for i, v in (r for r, s in zip(x, left) if s)])
@@ -95,8 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
 
 
 def label_rows(labels: DataFrame, label: str, id_col: str) -> DataFrame:
-    """(_id, _y): the label of each id outside the held-out fifth."""
-    y = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
+    """(_id, _y): the label, 0 or 1, of each id outside the held-out fifth; other values are no labels."""
+    y = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     return y.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"))
 
 
@@ -129,6 +129,6 @@ def judge(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(p, pa.float64())], names)
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    out = rows.mapInArrow(scan, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in names[1:6]) + ", probability double")
+    out = arrow_scan(rows, scan, f"`{id_col}` {kind}, " + ", ".join(f"{c} bigint" for c in names[1:6]) + ", probability double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("probability") >= keep_from))
