@@ -5,7 +5,7 @@ rows: terms far likelier in toxic than in other texts. A word of a text is
 looked up by walking the trie along the word's Levenshtein automaton of
 distance 1, or with two neighbours swapped; a hit is a term, a stem or a
 misspelling, which may have a digit or mark inside. The window around a hit
-tells quotation (quotation marks, words of saying) from abuse. A logistic
+tells quotation (a pair of quotation marks, words of saying) from abuse. A logistic
 regression over the hits of each kind, fit on a bounded labelled sample and
 calibrated by its own likelihood, gives the score.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, utf8
+from .common import arrow_scan, utf8
 from .linear import sigmoid, training_sample
-from .quality import labelled
+from .quality import label_rows, labelled
 
 SAMPLE_PER_LABEL = 4000
 LEAST_TEXTS, LEAST_ODDS = 6, 8.0  # the odds by their lower bound, two standard errors down
 STEM, WORD = (5, 9), (3, 24)
 FUZZY_FROM, GUARDED_FROM = 5, 4  # terms of four letters only where innocent words are known
-SPAN = 6
+#: Words on each side of a hit that are its context, and characters in which they are looked for; characters of a text taken at once.
+SPAN, REACH, PART = 6, 240, 1 << 16
+_space = regex.compile(r"\s").search
 MEMO = 400_000
 _words = regex.compile(r"[^\W\d_]+")
 _joined = regex.compile(r"(?<![^\W\d_])(?=([^\W\d_]++[^\s\p{L}\p{M}][^\W\d_]++))[^\W\d_]++")  # two runs of letters and the mark or digit between
@@ -159,46 +162,69 @@ class Lexicon:
         others = (word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1))
         return [self.words[t] for t in others if t in self.words]
 
-    def _masked(self, low: str, found: list[str], kinds: dict) -> list[tuple[int, tuple[int, float]]]:
-        """Misspelt terms with a digit or mark inside, at the place of their first half, where neither half is a hit."""
-        hits = {w: k for w in set(_joined.findall(low)) if (k := self.kind(w))[0] == 3}
-        if not hits:
-            return []
-        spans = [m.span() for m in _words.finditer(low)]
-        whole = ((i, hits.get(low[a[0] : b[1]])) for i, (a, b) in enumerate(zip(spans, spans[1:])) if b[0] == a[1] + 1)
-        return [(i, k) for i, k in whole if k and found[i] not in kinds and found[i + 1] not in kinds]
+    def _hits(self, low: str, a: int, b: int) -> tuple[int, list[tuple[int, int, tuple[int, float], str]]]:
+        """Number of words from a to b, and the hits there: (start, end, kind and strength, what was found)."""
+        found = _words.findall(low, a, b)
+        kinds = {w: k for w in set(found) if (k := self.kind(w))[0]}
+        marked = {w: k for w in set(_joined.findall(low, a, b)) if (k := self.kind(w))[0] == 3}
+        if not kinds and not marked:
+            return len(found), []
+        spans = [m.span() for m in _words.finditer(low, a, b)]
+        hits = [(*spans[i], kinds[w], w) for i, w in enumerate(found) if w in kinds]
+        if marked:  # misspelt terms with a digit or mark inside, where neither half is a hit
+            for i, ((x, y), (u, v)) in enumerate(zip(spans, spans[1:])):
+                if u == y + 1 and (k := marked.get(low[x:v])) and found[i] not in kinds and found[i + 1] not in kinds:
+                    hits.append((x, v, k, low[x:v]))
+        return len(found), hits
 
     def features(self, text: str, as_terms: bool = False) -> list[float]:
         """Strength of hits by kind and context, their density, and the sum and maximum over different terms; as_terms: misspelt terms count as terms."""
         low = text.lower()
-        found = _words.findall(low)
-        kinds = {w: k for w in set(found) if (k := self.kind(w))[0]}
-        masked = self._masked(low, found, kinds)
-        out = [0.0] * 9
-        if kinds or masked:
-            places = sorted([(i, kinds[w]) for i, w in enumerate(found) if w in kinds] + masked)
-            different = [*kinds.values(), *{found[i] + "\0" + found[i + 1]: k for i, k in masked}.values()]
-            if as_terms:
-                places = [(i, (1 if k == 3 else k, strength)) for i, (k, strength) in places]
-                different = [(1 if k == 3 else k, strength) for k, strength in different]
-            quoted = self._quoted(low, len(found)) if any(q in low for q in QUOTES) else None
-            for i, (k, strength) in places:
-                near = found[max(0, i - SPAN) : i] + found[i + 1 : i + 1 + SPAN]
-                cited = (quoted is not None and quoted[i]) or not SAYING.isdisjoint(near)
-                out[k - 1 + 3 * cited] += strength
-            out[6] = min(1.0, 20 * len(places) / len(found))
-            out[7], out[8] = sum(s for k, s in different if k < 3) / 4, float(max((s for k, s in different if k < 3), default=0))
+        out, words, places, different = [0.0] * 9, 0, 0, {}
+        for a, b in _parts(low):
+            n, hits = self._hits(low, a, b)
+            words += n
+            places += len(hits)
+            for start, end, (k, strength), what in hits:
+                k = 1 if as_terms and k == 3 else k
+                out[k - 1 + 3 * self._cited(low, start, end)] += strength
+                different[what] = (k, strength)
+        if places:
+            terms = [strength for k, strength in different.values() if k < 3]
+            out[6] = min(1.0, 20 * places / words)
+            out[7], out[8] = sum(terms) / 4, float(max(terms, default=0))
         return [*np.log1p(out[:6]), *out[6:]]
 
     @staticmethod
-    def _quoted(low: str, n: int) -> list[bool]:
-        """Whether an odd number of quotation marks stands before each word."""
-        inside, at, out = False, 0, []
-        for m in _words.finditer(low):
-            inside ^= sum(low.count(q, at, m.start()) for q in QUOTES) % 2 == 1
-            at = m.start()
-            out.append(inside)
-        return out
+    def _cited(low: str, start: int, end: int) -> bool:
+        """Whether the window of SPAN words around a hit has a word of saying, or puts the hit between an opening and a closing mark.
+
+        A mark opens if it begins a word, and closes if it ends one, so a mark of inches or one far away cites nothing.
+        """
+        lo, hi = max(0, start - REACH), min(len(low), end + REACH)
+        before, after = [*_words.finditer(low, lo, start)][-SPAN:], [*islice(_words.finditer(low, end, hi), SPAN)]
+        if not SAYING.isdisjoint([m[0] for m in before + after]):
+            return True
+        if before:
+            lo = max(0, before[0].start() - 2)
+        if after:
+            hi = min(len(low), after[-1].end() + 2)
+        left = max(low.rfind(q, lo, start) for q in QUOTES)
+        right = min((k for q in QUOTES if (k := low.find(q, end, hi)) >= 0), default=-1)
+        if left < 0 or right < 0:
+            return False
+        opens = left == 0 or low[left - 1].isspace() or low[left - 1] in "([{"
+        return opens and (low[right] in "”»" or not low[right - 1].isspace())
+
+
+def _parts(low: str) -> Iterator[tuple[int, int]]:
+    """Parts of a long text that end after white space, so that no list of all its words is held."""
+    a = 0
+    while a < len(low):
+        m = _space(low, a + PART) if a + PART < len(low) else None
+        b = m.end() if m else len(low)
+        yield a, b
+        a = b
 
 
 @dataclass
@@ -258,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
         if abs(step).max() < 1e-8:
             break
     # the sample holds more of the rarer label than there is; the bias goes back to the labels' own shares
-    all_y = {r[0]: r[1] for r in labels.where(~held_out(id_col)).groupBy(F.col(label).cast("int")).count().collect()}
+    all_y = {r[0]: r[1] for r in label_rows(labels, label, id_col).groupBy("_y").count().collect()}
     prior = np.log(all_y[1] / all_y[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return ToxicityModel(lexicon, w[:-1], float(w[-1] + prior), as_terms)
 
@@ -274,4 +300,4 @@ def scores(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
             out = [m.score(t.decode()) if m else 0.0 for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], [id_col, "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"`{id_col}` {kind}, score double")
+    return arrow_scan(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"`{id_col}` {kind}, score double")
