@@ -1,11 +1,12 @@
 """Exact deduplication by progressive refinement: length, prefix hash, full hash.
 
-Rows are grouped by the byte length of the normalised text; only rows whose
-length occurs twice go on to the hash of a prefix, and only rows whose group
-still has two members have their whole content hashed. Every level counts with
-aggregation on the map side, so a group with a third of all rows costs one row
-for each task. Surviving keys are looked up in a broadcast array while their
-checked number is within a bound, else by a shuffled join.
+Rows are grouped by the byte length of the text; only rows whose length occurs
+twice go on to the hash of a prefix, and only rows whose group still has two
+members have their whole content hashed. Both levels are columns of the scan.
+Every level counts with aggregation on the map side, so a group with a third of
+all rows costs one row for each task. The prefix hashes that survive are looked
+up in a bit map of bounded size, whatever their number: a false hit costs one
+more hash, and no text is shuffled to find groups.
 
 Texts are equal when they are identical after lower-casing A-Z; null counts as
 empty. The row with the largest id stays. Rows that repeat both id and text
@@ -19,79 +20,57 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, among, cut, maybe_broadcast, small, sorted_longs, utf8
+from .common import UPPER, arrow_scan, cut, maybe_broadcast, utf8, with_hit, without_listed
 
-PREFIX_BYTES = 256
-BROADCAST_KEYS = 1_000_000
+PREFIX_CHARS = 256
+BROADCAST_ROWS = 100_000
 
 
-def _level_keys(texts: list[bytes]) -> tuple[list[int], list[int]]:
-    """Length, and a hash of length and prefix, of normalised texts."""
-    sizes = [len(x) for x in texts]
-    return sizes, [xxhash.xxh3_64_intdigest(x[:PREFIX_BYTES], n & (2**64 - 1)) - 2**63 for x, n in zip(texts, sizes)]
-
+def normalised(text: Column) -> Column:
+    """Null as empty, A-Z lower-cased and no other letter."""
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
 
-def _scan_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size, key = _level_keys([x.lower() for x in utf8(b.column(1))])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64())], ["_id", "_len", "_key"])
 
+def prefix_key(text: Column) -> Column:
+    """A hash of the length and the first characters of a normalised text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(F.octet_length(text), normalised(F.substring(text, 1, PREFIX_CHARS)))
 
-def _full(ids: pa.Array, texts: list[bytes], alive: np.ndarray, digests: bool) -> pa.RecordBatch:
-    """Hashes of the whole content, of surviving texts only; `digests` adds those of all texts."""
-    sha = [hashlib.sha256(x).digest() if s or digests else None for x, s in zip(texts, alive)]
-    columns = [ids, pa.array([x if s else None for x, s in zip(sha, alive)], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns + [pa.array(sha, pa.binary())] * digests, ["_id", "_sha"] + ["_digest"] * digests)
 
+def _digests(every: bool):
+    """Hashes of the whole content of rows with a hit; `every` adds those of all rows."""
 
-def _scan_full(keys, digests: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.lower() for x in utf8(b.column(1))]
-            alive = among(np.array(_level_keys(texts)[1], np.int64), keys.value)
-            yield _full(b.column(0), texts, alive, digests)
+            hit = b.column(3).to_pylist()
+            sha = [hashlib.sha256(x.lower()).digest() if h or every else None for x, h in zip(utf8(b.column(2)), hit)]
+            columns = [b.column(0), b.column(1), pa.array([x if h else None for x, h in zip(sha, hit)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(sha, pa.binary())] * every, ["_id", "_key", "_sha"] + ["_digest"] * every)
 
     return scan
 
 
-def _scan_joined(digests: bool):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.lower() for x in utf8(b.column(1))]
-            yield _full(b.column(0), texts, np.array(b.column(2).to_pylist(), bool), digests)
-
-    return scan
-
-
-def full_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, digests: bool = False) -> DataFrame:
-    """(_id, _sha) for every row of docs; _sha is null where no other row can be equal. `digests` adds _digest, never null."""
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    schema = f"_id {kind}, _sha binary" + ", _digest binary" * digests
-    keys = cut(rows.mapInArrow(_scan_keys, f"_id {kind}, _len bigint, _key bigint"))
-    lengths = keys.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
-    lengths = maybe_broadcast(cut(lengths), broadcast_keys)
-    second = keys.join(lengths, "_len", "left_semi")
+def full_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(_id, _key, _sha) for every row of docs; _sha is null where no other row can be equal. `digests` adds _digest, never null."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), prefix_key(F.col(text_col)).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    keys = cut(docs.select(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_len"), prefix_key(F.col(text_col)).alias("_key")))
+    lengths = cut(keys.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"))
+    second = keys.join(maybe_broadcast(lengths, BROADCAST_ROWS), "_len", "left_semi")
     alive = cut(second.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
-    if small(alive, broadcast_keys):
-        found = spark.sparkContext.broadcast(sorted_longs(alive, "_key"))
-        return rows.mapInArrow(_scan_full(found, digests), schema)
-    ids = keys.join(alive, "_key", "left_semi").select(F.col("_id").alias("_i")).distinct().withColumn("_hit", F.lit(True))
-    joined = rows.join(ids, F.col("_id").eqNullSafe(F.col("_i")), "left").select("_id", "_text", F.coalesce("_hit", F.lit(False)).alias("_hit"))
-    return joined.mapInArrow(_scan_joined(digests), schema)
+    rows = with_hit(rows, "_key", alive.withColumnRenamed("_key", "_alive"), "_alive")
+    return arrow_scan(rows, _digests(digests), f"_id {kind}, _key bigint, _sha binary" + ", _digest binary" * digests)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, digests: bool = False) -> DataFrame:
-    """id, keep_id, group_size, kept and _sha (null if unique) for every row of docs; `digests` adds _digest of every text."""
-    hashed = cut(full_hashes(docs, id_col, text_col, broadcast_keys, digests))
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """id, keep_id, group_size, kept, _key and _sha (null if unique) for every row of docs; `digests` adds _digest of every text."""
+    hashed = cut(full_hashes(docs, id_col, text_col, digests))
     sizes = hashed.where("_sha is not null").groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
-    out = hashed.where("_sha is not null").join(maybe_broadcast(cut(sizes), broadcast_keys // 10), "_sha", "left")
+    out = hashed.where("_sha is not null").join(maybe_broadcast(cut(sizes), BROADCAST_ROWS), "_sha", "left")
     # rows without an equal stay out of the join: their null hash would meet in one task
     out = out.unionByName(hashed.where("_sha is null"), allowMissingColumns=True)
     keep = F.coalesce("_keep", "_id")
@@ -100,23 +79,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         keep.alias("keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"),
+        "_key",
         "_sha",
         *["_digest"] * digests,
     )
 
 
-def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col, broadcast_keys).where(~F.col("kept"))
-    # an id may be repeated with other texts, which stay
-    gone = cut(gone.groupBy(F.col(id_col).alias("gone")).agg(F.collect_set("_sha").alias("shas")))
-    rows = docs.select(F.struct("*").alias("row"))
-    id_, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
-    out = rows.join(maybe_broadcast(gone, broadcast_keys // 10), id_.eqNullSafe(F.col("gone")), "left")
-    sha = F.unhex(F.sha2(normalised(text), 256))
-    return out.where(F.col("shas").isNull() | ~F.array_contains("shas", sha)).select("row.*")
-
-
-def normalised(text):
-    """Null as empty, A-Z lower-cased and no other letter."""
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
+def keep_last(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    What goes is known by id and hash, for an id may be repeated with other texts, which stay.
+    """
+    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept"))
+    pair = F.xxhash64(id_col, "_key")
+    gone = cut(gone.select(pair.alias("_pair"), F.col(id_col).alias("_gone"), F.lower(F.hex("_sha")).alias("_sha")).distinct())
+    key = F.xxhash64(F.col("_row").getField(id_col), prefix_key(F.col("_row").getField(text_col)))
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_own", key)
+    # startswith is no join key, so a text is hashed only where id and prefix agree
+    sha = F.sha2(normalised(F.col("_row").getField(text_col)), 256)
+    same = (F.col("_own") == F.col("_pair")) & F.col("_row").getField(id_col).eqNullSafe(F.col("_gone")) & F.startswith(sha, F.col("_sha"))
+    return without_listed(rows, gone, same, broadcast_rows)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import chat_views, exact_dedup, language_id, link_trust, mixing, packing, quality, token_count, toxicity
+from quillon.llm import chat_views, common, exact_dedup, language_id, link_trust, mixing, packing, quality, token_count, toxicity
 from quillon.llm.queries import BYTE_BPE, MIX, URL_RULES, WORD_BPE
 
 LONG = "Lorem ipsum dolor " * 30_000
@@ -30,29 +30,31 @@ def az(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_exact_dedup(spark):
+def test_exact_dedup(spark, monkeypatch):
     ids = [*range(len(TEXTS) - 1), 3]  # an id that repeats with another text
-    for keys in (10**6, 0):  # by broadcast and by shuffled joins
-        got = exact_dedup.exact_duplicates(table(spark, ids=ids), broadcast_keys=keys).collect()
+    for rows, words in ((10**6, 1 << 20), (0, 1 << 20), (0, 1)):  # by broadcast, by a join of suspects, and with a bit map that is full
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(common, "BITMAP_WORDS", words)
+        got = exact_dedup.exact_duplicates(table(spark, ids=ids)).collect()
         groups = collections.defaultdict(list)
         for i, t in zip(ids, TEXTS):
             groups[az(t)].append(i)
         want = sorted((i, max(groups[az(t)]), len(groups[az(t)]), i == max(groups[az(t)])) for i, t in zip(ids, TEXTS))
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
-        kept = exact_dedup.keep_last(table(spark, ids=ids), broadcast_keys=keys)
+        kept = exact_dedup.keep_last(table(spark, ids=ids), broadcast_rows=rows)
         assert kept.columns == table(spark).columns
         assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in zip(ids, TEXTS) if i == max(groups[az(t)]))
         # every row has the digest of its own text, also where ids repeat
-        got = exact_dedup.exact_duplicates(table(spark, ids=ids), broadcast_keys=keys, digests=True).collect()
+        got = exact_dedup.exact_duplicates(table(spark, ids=ids), digests=True).collect()
         assert sorted((r.doc_id, r._digest.hex()) for r in got) == sorted((i, hashlib.sha256(az(t).encode()).hexdigest()) for i, t in zip(ids, TEXTS))
 
 
 def test_exact_dedup_null_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
-    for keys in (10**6, 0):
-        got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs, broadcast_keys=keys).collect()), key=str)
-        assert got == sorted([(None, 1, 3), (None, 1, 3), (1, 1, 3), (None, None, 1)], key=str)
-    assert sorted(map(tuple, exact_dedup.keep_last(docs).collect()), key=str) == sorted([(1, "a"), (None, "b")], key=str)
+    got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 1, 3), (None, 1, 3), (1, 1, 3), (None, None, 1)], key=str)
+    for rows in (10**6, 0):
+        assert sorted(map(tuple, exact_dedup.keep_last(docs, broadcast_rows=rows).collect()), key=str) == sorted([(1, "a"), (None, "b")], key=str)
 
 
 def test_packing_round_trip(spark):
