@@ -1,33 +1,40 @@
-"""Exact Jaccard similarity join of shingle sets as a metric-space join with pivots.
-
-With 5-word shingles nearly every document is at distance 1 from any document
-pivot, so the first pivots are single shingles: under one global order of
-shingles (common ones last) a set's nearest pivots are its first shingles, and
-two sets within the threshold share one of the first n - ceil(t n) + 1 of
-each. Each set is replicated to those regions, and no linked pair is missed.
-
-1. Frequent shingles are found by counting over all sets, in two passes: the
-   shingles of the lower part of the hash range, then all others of the sets
-   whose first pivots would be frequent. They come last in the order.
-2. Regions of other shingles hold at most FREQUENT sets each, so their pairs
-   are bounded; a pair stays a candidate if the regions that it shares can
-   still add up to the overlap needed.
-3. Regions of frequent shingles choose document pivots: the member with the
-   smallest share of infrequent shingles. All members are measured against
-   their region's pivot; cells of the same pivot are one Voronoi cell. Members
-   within the radius are linked through the pivot, so only pairs with a member
-   outside it remain, and of those only pairs whose pivot distances differ by
-   the radius at most. Cells above a size are split again around another pivot
-   (inside two radii, outside one; the boundary goes to both) and joined
-   recursively; the others are compared exactly, in blocks.
-
-Equal sets are one node, known by a 64-bit fingerprint of the set. Links are
+"""Exact Jaccard similarity join of shingle sets as a metric-space join with document pivots.
+
+The distance 1 - J is a metric; sets are linked within a radius of 1/4.
+
+1. Pivots. With 5-word shingles nearly every document is at distance 1 from any
+   other, so a pivot serves only those that share shingles with it. In one
+   global order of shingles (frequent ones last) two linked sets share one of
+   the first n - ceil(3n/4) + 1 of each. The sets that hold such a shingle
+   elect one of themselves as its pivot: the one with the smallest share of
+   infrequent shingles, so that one document is elected by most shingles of its
+   like. A set belongs to the regions of all pivots that its shingles elect,
+   and linked sets always meet in a region. No pair is formed within the
+   holders of a shingle.
+2. Distances. Every member is measured against the pivot of its region. Members
+   within the radius are linked through the pivot. A region is done unless a
+   member lies outside the radius; then only pairs with such a member remain,
+   and of those only pairs whose distances to the pivot differ by the radius at
+   most (the triangle inequality).
+3. Recursion. A region above a size chooses several pivots among its members.
+   Each member goes to the Voronoi cell of its nearest one, and is replicated
+   to any cell whose pivot is farther by two radii at most, where alone it can
+   have links; the cells are treated as regions again. Where members are all
+   equally far from each other the cells do not shrink. Such a region is joined
+   by the shingles that are rare within it, under the same bounds.
+4. Cells of a bounded size are compared exactly by an index of their shingles.
+
+Frequent shingles are found by counting over all sets, in two passes: the
+shingles of the lower part of the hash range, then all others of the sets whose
+first shingles would be frequent.
+
+Equal sets are one node, known by a 128-bit fingerprint of the set. Links are
 joined to components, so near copies are never expanded into all pairs.
 
 Texts that are null, empty or without words have no shingles and link with
 nothing; repeated rows have equal sets and share a component. A null id is
-never the smallest of its component unless it is alone. Extra columns are not
-read.
+never the smallest of its component unless all its ids are null. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -35,24 +42,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, stored, utf8
+from .common import among, arrow_scan, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, stored, utf8, without_listed
 from .components import components
 
 NUM, DEN = 3, 4  # similarity of at least 3/4
+RADIUS = 1 - NUM / DEN
 COUNTED = np.uint64(int(0.35 * 2**64))  # the part of the hash range counted over all sets
 FREQUENT = 16
 MAX_FREQUENT = 2_000_000
 BROADCAST_IDS = 2_000_000
-SEEN = 500_000
-LEAF = 8192
-BLOCK = 256
-DEPTH = 4
+SEEN = 100_000
+SALT = 16  # tasks that the holders of one frequent shingle are dealt to
+LEAF, DEPTH, PIVOTS = 256, 4, 16
 
 
 def linked(common, a, b):
@@ -60,12 +66,13 @@ def linked(common, a, b):
     return DEN * common >= NUM * (a + b - common)
 
 
-def prefix_size(n: int) -> int:
+def prefix_size(n):
+    """How many first shingles of a set of n decide its regions; for numbers and arrays alike."""
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-def _set_id(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
+def _set_id(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -77,9 +84,9 @@ class _Fresh:
     """Sets that this task has not met before, as far as a bounded memory tells."""
 
     def __init__(self):
-        self.seen: set[int] = set()
+        self.seen: set[bytes] = set()
 
-    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    def __call__(self, column: pa.Array) -> Iterator[tuple[bytes, np.ndarray]]:
         for s in _sets(column):
             if len(s) and (i := _set_id(s)) not in self.seen:
                 if len(self.seen) >= SEEN:
@@ -92,6 +99,20 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(signed(np.concatenate(parts)) if parts else np.empty(0, np.int64))
 
 
+def _id_array(ids: np.ndarray) -> pa.Array:
+    """A binary column of 16-byte ids, given as rows of two numbers."""
+    ids = np.ascontiguousarray(ids, np.uint64)
+    ends = np.arange(len(ids) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+
+
+def _id_rows(column: pa.Array) -> np.ndarray:
+    """The 16-byte ids of a binary column without nulls, as rows of two numbers."""
+    column = column.cast(pa.binary())
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.empty(0, np.uint8)
+    return data[column.offset * 16 : (column.offset + len(column)) * 16].view(np.uint64).reshape(-1, 2)
+
+
 def _lacking(s: np.ndarray, common: np.ndarray) -> bool:
     """Whether a set's infrequent counted shingles are fewer than its prefix."""
     low = s[: np.searchsorted(s, COUNTED)]
@@ -107,7 +128,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_longs([s[: np.searchsorted(s, COUNTED)] for _, s in fresh(b.column(0))])], ["s"])
 
-    first = _above(docs.mapInArrow(counted, "s bigint"))
+    first = _above(arrow_scan(docs, counted, "s bigint"))
     if not len(first):
         return first
     known = sc.broadcast(first)
@@ -118,7 +139,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             parts = [s[np.searchsorted(s, COUNTED) :] for _, s in fresh(b.column(0)) if _lacking(s, known.value)]
             yield pa.RecordBatch.from_arrays([_longs(parts)], ["s"])
 
-    return np.union1d(first, _above(docs.mapInArrow(others, "s bigint")))
+    return np.union1d(first, _above(arrow_scan(docs, others, "s bigint")))
 
 
 def _above(shingles: DataFrame) -> np.ndarray:
@@ -129,95 +150,82 @@ def _above(shingles: DataFrame) -> np.ndarray:
     return sorted_longs(counts.where(F.col("count") > least), "s")
 
 
-def _regions(docs: DataFrame, common) -> DataFrame:
-    """(s, id, n, hp, rare, hot): the regions of every set. hp: how many of them are frequent; rare: infrequent shingles of the set."""
+def _holders(docs: DataFrame, common, hot: bool) -> DataFrame:
+    """(s, id, rare): the deciding shingles of every set, infrequent or frequent (hot) ones; rare: the share of infrequent shingles in the set."""
 
-    def scan(batches):
+    def run(batches):
         fresh = _Fresh()
         for b in batches:
-            s_, id_, n_, hp_, rare_, hot_ = [], [], [], [], [], []
+            s_, id_, count, rare = [], [], [], []
             for i, s in fresh(b.column(0)):
                 p = prefix_size(len(s))
                 often = among(signed(s), common.value)
                 cold = s[~often]
-                rare = len(cold)
-                cold = cold[:p]
-                hot = s[often][: p - len(cold)]
-                k = len(cold) + len(hot)
-                s_ += [cold, hot]
-                id_.append(np.full(k, i, np.int64))
-                for out, v in ((n_, len(s)), (hp_, len(hot)), (rare_, rare)):
-                    out.append(np.full(k, v, np.int32))
-                hot_.append(np.arange(k) >= len(cold))
+                take = s[often][: p - min(p, len(cold))] if hot else cold[:p]
+                if len(take):
+                    s_.append(take)
+                    id_.append(i)
+                    count.append(len(take))
+                    rare.append(len(cold) / len(s))
             if s_:
-                columns = [_longs(s_), *(pa.array(np.concatenate(x)) for x in (id_, n_, hp_, rare_, hot_))]
-                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "n", "hp", "rare", "hot"])
+                ids = np.frombuffer(b"".join(id_), np.uint64).reshape(-1, 2)
+                columns = [_longs(s_), _id_array(np.repeat(ids, count, axis=0)), pa.array(np.repeat(np.array(rare, np.float32), count))]
+                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "rare"])
 
-    return docs.mapInArrow(scan, "s bigint, id bigint, n int, hp int, rare int, hot boolean")
+    return arrow_scan(docs, run, "s bigint, id binary, rare float")
 
 
-def _region_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of each region of bounded size; the rows are sorted by region and set."""
+def _elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, id) for the holders of each infrequent shingle; rows are sorted by shingle, and within it by the order of election."""
     rest: list[np.ndarray] = []
 
-    def pairs(s, i, n, hp):
-        keep = np.ones(len(s), bool)
-        keep[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])  # a set that several tasks met
-        s, i, n, hp = s[keep], i[keep], n[keep].astype(np.int64), hp[keep].astype(np.int64)
-        out, step = [], 1
-        while step < len(s):
-            at = np.flatnonzero(s[step:] == s[:-step])
-            if not len(at):
-                break
-            to = at + step
-            ok = NUM * np.maximum(n[at], n[to]) <= DEN * np.minimum(n[at], n[to])
-            out.append((at[ok], to[ok]))
-            step += 1
-        a = np.concatenate([x[0] for x in out]) if out else np.empty(0, np.int64)
-        b = np.concatenate([x[1] for x in out]) if out else np.empty(0, np.int64)
-        # what the pair needs beyond the prefixes that it shares
-        short = np.maximum(n[a] - prefix_sizes(n[a]), n[b] - prefix_sizes(n[b])) + np.minimum(hp[a], hp[b])
-        names = ["a", "b", "na", "nb", "beyond"]
-        columns = [i[a], i[b], n[a].astype(np.int32), n[b].astype(np.int32), short.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+    def pairs(s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        first = np.ones(len(s), bool)
+        first[1:] = s[1:] != s[:-1]
+        pivot = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        other = (pivot != ids).any(axis=1)
+        return pa.RecordBatch.from_arrays([_id_array(pivot[other]), _id_array(ids[other])], ["pivot", "id"])
 
     for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        now = [batch.column(0).to_numpy(zero_copy_only=False), _id_rows(batch.column(1))]
         rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
         if len(rest[0]):
-            end = int(np.searchsorted(rest[0], rest[0][-1]))  # the last region may go on
+            end = int(np.searchsorted(rest[0], rest[0][-1]))  # the last shingle may go on
             yield pairs(*(x[:end] for x in rest))
             rest = [x[end:] for x in rest]
     if rest and len(rest[0]):
         yield pairs(*rest)
 
 
-def prefix_sizes(n: np.ndarray) -> np.ndarray:
-    return n - (NUM * n + DEN - 1) // DEN + 1
-
-
-def _candidates(regions: DataFrame) -> DataFrame:
-    """(a, b) of infrequent regions that can still reach the overlap needed."""
-    n = shuffle_partitions(regions.sparkSession)
-    rows = regions.where(~F.col("hot")).select("s", "id", "n", "hp")
-    rows = rows.repartition(n, "s").sortWithinPartitions("s", "id")
-    pairs = rows.mapInArrow(_region_pairs, "a bigint, b bigint, na int, nb int, beyond int")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "beyond")))
-    return pairs.where(linked(F.col("c") + F.col("beyond"), F.col("na"), F.col("nb"))).select("a", "b")
+def _regions(docs: DataFrame, common) -> DataFrame:
+    """(pivot, id): the regions of every set that shares a deciding shingle with another."""
+    n = shuffle_partitions(docs.sparkSession)
+    order = [F.col("rare"), F.xxhash64("id"), F.col("id")]
+    cold = _holders(docs, common, False).repartition(n, "s").sortWithinPartitions("s", *order)
+    cold = arrow_scan(cold.select("s", "id"), _elected, "pivot binary, id binary")
+    hot = stored(_holders(docs, common, True).distinct())
+    pivots = hot.groupBy("s").agg(F.min(F.struct(order[0].alias("x"), order[1].alias("h"), order[2].alias("id")))["id"].alias("pivot"))
+    # many sets hold one shingle: they are dealt by salt, each salt with its own copy of the pivot
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(pivots, ["s", "salt"]).where("id <> pivot").select("pivot", "id")
+    return cold.unionByName(hot).distinct()
 
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, bytes): the whole sets of the ids, once each."""
+    """(id, set): the whole sets of the ids, once each."""
     few = small(ids, BROADCAST_IDS)
-    wanted = docs.sparkSession.sparkContext.broadcast(sorted_longs(ids, "id") if few else None)
+    wanted = docs.sparkSession.sparkContext.broadcast(sorted_longs(ids.select(F.xxhash64("id").alias("h")), "h") if few else None)
 
-    def scan(batches):
+    def run(batches):
         fresh = _Fresh()
         for b in batches:
-            got = [(i, s.tobytes()) for i, s in fresh(b.column(0)) if wanted.value is None or among(np.array([i]), wanted.value)[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.binary())], ["id", "set"])
+            got = list(fresh(b.column(0)))
+            if wanted.value is not None and got:
+                hashed = np.array([xxhash.xxh64_intdigest(i, 42) for i, _ in got], np.uint64)  # what the column function gives
+                got = [x for x, ok in zip(got, among(signed(hashed), wanted.value)) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.binary()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["id", "set"])
 
-    sets = docs.mapInArrow(scan, "id bigint, set binary")
+    sets = arrow_scan(docs, run, "id binary, set binary")
     if not few:
         sets = sets.join(ids, "id", "left_semi")
     return stored(sets.dropDuplicates(["id"]), zstd=False)
@@ -227,148 +235,207 @@ def _common(a: bytes, b: bytes) -> int:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) > len(y):
         x, y = y, x
-    return int(among(signed(x), signed_sorted(y)).sum()) if len(x) else 0
+    return int(_among(x, y).sum()) if len(x) else 0
 
 
-def signed_sorted(s: np.ndarray) -> np.ndarray:
-    """Sorted as signed numbers: a sorted unsigned array with its upper half first."""
-    v = signed(s)
-    at = int(np.searchsorted(s, np.uint64(1 << 63)))
-    return np.concatenate([v[at:], v[:at]])
+def _among(a: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(keys, a)
+    at[at == len(keys)] = 0
+    return keys[at] == a
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, k): sizes and exact overlap of every pair."""
+    """The columns of pairs (a, b, ...) without sets, and na, nb, k: sizes and exact overlap of every pair."""
+    names = pairs.columns
 
-    def scan(batches):
+    def run(batches):
         for t in batches:
-            a, b = t.column(2).to_pylist(), t.column(3).to_pylist()
+            a, b = t.column(len(names)).to_pylist(), t.column(len(names) + 1).to_pylist()
             sizes = [pa.array([len(x) // 8 for x in y], pa.int64()) for y in (a, b)]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), *sizes, pa.array([_common(x, y) for x, y in zip(a, b)], pa.int64())], ["a", "b", "na", "nb", "k"])
+            yield pa.RecordBatch.from_arrays([*t.columns[: len(names)], *sizes, pa.array([_common(x, y) for x, y in zip(a, b)], pa.int64())], [*names, "na", "nb", "k"])
 
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return rows.select("a", "b", "sa", "sb").mapInArrow(scan, "a bigint, b bigint, na bigint, nb bigint, k bigint")
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_sa")), "a")
+    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("set").alias("_sb")), "b")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return arrow_scan(rows.select(*names, "_sa", "_sb"), run, kinds + ", na bigint, nb bigint, k bigint")
 
 
 def _distance() -> Column:
-    return (1 - F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("d")
+    return 1 - F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
 
 
 def _links(measured: DataFrame) -> DataFrame:
     return measured.where(linked(F.col("k"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _cells(hot: DataFrame) -> DataFrame:
-    """(pivot, id) of frequent regions; the pivot of a region is its member with the smallest share of infrequent shingles."""
-    order = F.struct((F.col("rare") / F.col("n")).alias("x"), F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    pivots = hot.groupBy("s").agg(F.min(order)["id"].alias("pivot"))
-    return hot.join(pivots, "s").where("id <> pivot").select("pivot", "id").distinct()
-
-
 def _settle(cells: DataFrame, sets: DataFrame, leaf: int, depth: int) -> list[DataFrame]:
-    """Links of cells (cell, id, d, open): between members of which one at least is open and d differs by the radius at most."""
+    """Links of cells (cell, id, n, d, open, home) between members of which one at least is open (outside the radius) and one at home."""
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("any and size > 1")
     cells = cut(cells.join(sizes.select("cell", "size"), "cell"))
-    big = cells.where(F.col("size") > leaf) if depth else cells.where("false")
-    out = [_in_blocks(cells.where(F.col("size") <= leaf) if depth else cells, sets)]
-    if not big.isEmpty():
-        order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-        pivots = big.where("open").groupBy("cell").agg(F.min(order)["id"].alias("pivot"))
-        rows = big.join(pivots, "cell").where("id <> pivot")
-        measured = stored(_measured(rows.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets))
-        rows = rows.drop("d").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), _distance()), ["pivot", "id"])
-        near, radius = F.col("d") <= 1 - NUM / DEN, 1 - NUM / DEN
-        inside = rows.where(F.col("d") <= 2 * radius).select(F.xxhash64("cell", F.lit(1)).alias("cell"), "id", "d", (~near).alias("open"))
-        outside = rows.where(~near).select(F.xxhash64("cell", F.lit(2)).alias("cell"), "id", "d", "open")
-        out += [_links(measured), *_settle(cut(inside.unionByName(outside)), sets, leaf, depth - 1)]
+    out = [_in_leaves(cells.where(F.col("size") <= leaf), sets)]
+    big = cells.where(F.col("size") > leaf)
+    if big.isEmpty():
+        return out
+    stuck = big
+    if depth:
+        inner, stuck, links = _voronoi(big, sets, leaf)
+        out += [links, *_settle(inner, sets, leaf, depth - 1)]
+    if not stuck.isEmpty():
+        out.append(_links(_measured(stored(_by_shingles(stuck, sets)), sets)))
     return out
 
 
-def _in_blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Compares the members of each cell in pairs of blocks of about BLOCK members."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "d", "open")
-    rows = rows.join(sets, "id")
-
-    def compare(key, members: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        members = members.reset_index(drop=True)
-        own, d, open_ = members["own"].to_numpy(), members["d"].to_numpy(), members["open"].to_numpy(bool)
-        of = [np.frombuffer(x, np.uint64) for x in members["set"]]
-        n = np.array([len(x) for x in of])
-        flat, row = np.concatenate(of), np.repeat(np.arange(len(of)), n)
-        value, at = np.unique(flat, return_inverse=True)
-        found = []
-        has = [at[row == r] for r in range(len(of))] if len(of) < 64 else np.split(at, np.cumsum(n)[:-1])
-        order = np.argsort(at, kind="stable")
-        begin = np.searchsorted(at[order], np.arange(len(value) + 1))
-        holders = row[order]
-        for r in np.flatnonzero(open_):
-            h = has[r]
-            lengths = begin[h + 1] - begin[h]
-            hit = holders[np.repeat(begin[h] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())]
-            k = np.bincount(hit, minlength=len(of))
-            ok = linked(k, n[r], n) & (np.abs(d - d[r]) <= 1 - NUM / DEN + 1e-9)
-            ok &= (own != own[r]) if i != j else (np.arange(len(of)) != r)
-            found += [(r, q) for q in np.flatnonzero(ok)]
-        ids = members["id"].to_numpy()
-        return pd.DataFrame({"a": [ids[r] for r, _ in found], "b": [ids[q] for _, q in found]}, dtype="int64")
-
-    return rows.groupBy("cell", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+def _voronoi(big: DataFrame, sets: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The Voronoi cells of the regions that they divide, the regions that they do not, and the links to the pivots."""
+    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
+    # the smallest few by hash, as partial results of fixed size
+    slots = big.withColumn("slot", F.pmod(F.xxhash64(F.lit(5), "id"), F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("size") / leaf))))
+    pivots = cut(slots.groupBy("cell", "slot").agg(F.min(order)["id"].alias("pivot")).select("cell", "pivot"))
+    pairs = big.select("cell", "id", "n", "size").join(pivots, "cell").where("id <> pivot")
+    measured = stored(_measured(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "cell", "size"), sets))
+    rows = measured.select("cell", "size", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
+    # a pivot is in its own cell through its distance 0; it is linked or compared as a member of the others
+    nearest = rows.unionByName(pivots.join(big.select("cell", "size", "id", "n"), "cell").where("id = pivot").withColumn("d", F.lit(0.0)))
+    least = nearest.groupBy("cell", "id").agg(F.min(F.struct("d", "pivot")).alias("own"))
+    within = cut(nearest.join(least, ["cell", "id"]).where(F.col("d") <= F.col("own.d") + 2 * RADIUS + 1e-9).withColumn("home", F.col("pivot") == F.col("own.pivot")))
+    spread = within.groupBy("cell", "pivot").agg(F.count("*").alias("m"), F.first("size").alias("size")).groupBy("cell").agg((F.max("m") <= 0.7 * F.first("size")).alias("fewer"), (F.sum("m") <= 3 * F.first("size")).alias("lean"))
+    done = cut(spread.where("fewer and lean").select("cell"))
+    inner = within.join(done, "cell", "left_semi").where("id <> pivot")
+    inner = inner.select(F.xxhash64("cell", "pivot").alias("cell"), "id", "n", "d", (F.col("d") > RADIUS).alias("open"), "home")
+    return cut(inner), big.join(done, "cell", "left_anti"), _links(measured)
+
+
+def _in_leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Compares the members of each bounded cell by an index of their shingles."""
+    rows = cells.join(sets, "id").select("cell", "id", "d", "open", "home", "set")
+    rows = rows.repartition(shuffle_partitions(sets.sparkSession), "cell").sortWithinPartitions("cell")
+
+    def run(batches):
+        rest: list = []
+        for b in batches:
+            rest += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())
+            at = next((k for k in range(len(rest) - 1, 0, -1) if rest[k][0] != rest[k - 1][0]), 0)  # the last cell may go on
+            if at:
+                yield _compared(rest[:at])
+                del rest[:at]
+        if rest:
+            yield _compared(rest)
+
+    return arrow_scan(rows, run, "a binary, b binary")
+
+
+def _compared(rows: list[tuple]) -> pa.RecordBatch:
+    """Links within each cell of rows (cell, id, d, open, home, set), sorted by cell."""
+    found: list[tuple[bytes, bytes]] = []
+    i = 0
+    while i < len(rows):
+        j = i + 1
+        while j < len(rows) and rows[j][0] == rows[i][0]:
+            j += 1
+        _, ids, d, open_, home, of = zip(*rows[i:j])
+        found += ((ids[a], ids[b]) for a, b in _cell_links(np.array(d), np.array(open_), np.array(home), [np.frombuffer(x, np.uint64) for x in of]))
+        i = j
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
+
+
+def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    if len(of) < 2 or not open_.any():
+        return
+    n = np.array([len(x) for x in of])
+    if len(of) == 2:
+        if (home.any()) and abs(d[0] - d[1]) <= RADIUS + 1e-9 and linked(_among(of[0], of[1]).sum(), n[0], n[1]):
+            yield 0, 1
+        return
+    value, at = np.unique(np.concatenate(of), return_inverse=True)
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    order = np.argsort(at, kind="stable")
+    begin = np.searchsorted(at[order], np.arange(len(value) + 1))
+    holders = np.repeat(np.arange(len(of)), n)[order]
+    for r in np.flatnonzero(open_):
+        h = at[bounds[r] : bounds[r + 1]]
+        lengths = begin[h + 1] - begin[h]
+        hit = holders[np.repeat(begin[h] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())]
+        k = np.bincount(hit, minlength=len(of))
+        ok = linked(k, n[r], n) & (np.abs(d - d[r]) <= RADIUS + 1e-9) & (home | home[r])
+        ok[r] = False
+        yield from ((int(r), int(q)) for q in np.flatnonzero(ok))
+
+
+def _by_shingles(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of regions that pivots do not divide, which share a shingle among the deciding ones in the order of the region, rare ones first."""
+
+    def run(batches):
+        for b in batches:
+            of = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            n = [len(x) for x in of]
+            rows = np.repeat(np.arange(len(of)), n)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), _longs(of)], ["cell", "id", "s"])
+
+    spread = arrow_scan(cells.select("cell", "id").join(sets, "id").select("cell", "id", "set"), run, "cell binary, id binary, s bigint" if cells.schema["cell"].dataType.simpleString() == "binary" else "cell bigint, id binary, s bigint")
+    spread = stored(spread)
+    often = spread.groupBy("cell", "s").agg(F.count("*").alias("c")).where("c > 1")
+    shared = spread.join(often, ["cell", "s"])  # what one member alone holds comes first in the order and meets nobody
+    of = F.struct("c", "s")
+    per = shared.groupBy("cell", "id").agg(F.sort_array(F.collect_list(of)).alias("all"))
+    per = per.join(cells, ["cell", "id"])
+    take = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.size("all"))).cast("int")
+    first = per.select("cell", "id", "n", "d", "open", "home", F.explode(F.slice("all", 1, take)).alias("x")).select("*", "x.s").drop("x")
+    a, b = (first.select("cell", "s", *(F.col(c).alias(p + c) for c in ("id", "n", "d", "open", "home"))) for p in ("a_", "b_"))
+    near = (F.abs(F.col("a_d") - F.col("b_d")) <= RADIUS + 1e-9) & (F.col("a_open") | F.col("b_open")) & (F.col("a_home") | F.col("b_home"))
+    near &= NUM * F.greatest("a_n", "b_n") <= DEN * F.least("a_n", "b_n")
+    return a.join(b, ["cell", "s"]).where((F.col("a_id") < F.col("b_id")) & near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
 def set_links(docs: DataFrame, text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(a, b): fingerprints of linked sets; enough links to connect all that are linked."""
+    """(a, b): fingerprints of linked sets; a spanning set of links, enough to connect all that are linked."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    regions = _regions(texts, common)
-    cold = stored(_candidates(regions))
-    hot = stored(regions.where("hot").drop("hot", "hp").distinct())
-    cells = stored(_cells(hot))
-    ids = cold.select(F.col("a").alias("id")).union(cold.select("b")).union(cells.select("id")).union(cells.select("pivot")).distinct()
-    sets = _set_table(texts, cut(ids))
-    stars = stored(_measured(cells.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets))
-    links = [_links(_measured(cold, sets)), _links(stars)]
-    members = stars.select(F.col("a").alias("cell"), F.col("b").alias("id"), _distance())
-    members = members.withColumn("open", F.col("d") > 1 - NUM / DEN)
-    links += _settle(members, sets, leaf, depth)
-    out = links[0]
-    for x in links[1:]:
+    regions = stored(_regions(texts, common))
+    sets = _set_table(texts, cut(regions.select("id").union(regions.select("pivot")).distinct()))
+    stars = stored(_measured(regions.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets))
+    members = stars.select(F.col("a").alias("cell"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
+    members = members.withColumns({"open": F.col("d") > RADIUS, "home": F.lit(True)})
+    out = _links(stars)
+    for x in _settle(members, sets, leaf, depth):
         out = out.unionByName(x)
     return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """id, n_shingles and component_id of every row of docs."""
+    """id, n_shingles, component_id and _key (a hash of the text) of every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def facts(batches):
         for b in batches:
-            sets = list(_sets(b.column(1)))
-            ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), ids], ["_id", "n_shingles", "_set"])
+            sets = list(_sets(b.column(2)))
+            ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), ids], ["_id", "_key", "n_shingles", "_set"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string"))
-    rows = stored(rows.mapInArrow(facts, f"_id {kind}, n_shingles bigint, _set bigint"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
+    rows = stored(arrow_scan(rows, facts, f"_id {kind}, _key bigint, n_shingles bigint, _set binary"))
     roots = cut(components(set_links(docs, text_col, leaf, depth)))
     roots = maybe_broadcast(roots, BROADCAST_IDS // 20)
     sets = rows.where("_set is not null").join(roots.withColumnRenamed("node", "_set"), "_set", "left")
     sets = sets.withColumn("_root", F.coalesce("root", "_set"))
     least = sets.groupBy("_root").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
     out = sets.join(maybe_broadcast(cut(least), BROADCAST_IDS // 20), "_root", "left")
-    out = out.select("_id", "n_shingles", F.coalesce("_least", "_id").alias("component_id"))
+    out = out.select("_id", "n_shingles", F.coalesce("_least", "_id").alias("component_id"), "_key")
     # rows without shingles stay out of the joins: their null key would meet in one task
-    alone = rows.where("_set is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    alone = rows.where("_set is null").select("_id", "n_shingles", F.col("_id").alias("component_id"), "_key")
     return out.unionByName(alone).withColumnRenamed("_id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
+    """The rows of docs whose id is the smallest of its component, with all their columns.
+
+    What goes is known by id and text, for an id may be repeated with another text. A null id goes if its component has
+    another id, and stays otherwise. Rows that repeat id and text stay or go together.
+    """
     found = near_duplicates(docs, id_col, text_col)
-    gone = cut(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct())
-    rows = docs.select(F.struct("*").alias("row"))
-    gone = maybe_broadcast(gone, BROADCAST_IDS // 4)
-    return rows.join(gone, F.col("row").getField(id_col) == F.col("gone"), "left_anti").select("row.*")
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = cut(gone.select(F.xxhash64(id_col, "_key").alias("_pair"), F.col(id_col).alias("_gone")).distinct())
+    id_, text = F.col("_row").getField(id_col), F.col("_row").getField(text_col).cast("string")
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_own", F.xxhash64(id_, F.xxhash64(text)))
+    same = (F.col("_own") == F.col("_pair")) & id_.eqNullSafe(F.col("_gone"))
+    return without_listed(rows, gone, same, BROADCAST_IDS // 4)

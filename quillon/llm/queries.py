@@ -34,7 +34,7 @@ def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the operator hashes survivors only; the result wants a digest of every row
     out = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digests=True)
-    return out.withColumn("text_sha256", F.lower(F.hex("_digest"))).drop("_sha", "_digest")
+    return out.withColumn("text_sha256", F.lower(F.hex("_digest"))).drop("_key", "_sha", "_digest")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
