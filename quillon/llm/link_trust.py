@@ -1,12 +1,14 @@
 """URL verdicts: host and path rules, else trust and distrust propagated over the host link graph.
 
 DataFrame operations only. Links of a page lead from its host to the host of
-the link; a link without a host stays on its own, and every host also links to
-its parent domain. Personalised PageRank runs from the hosts that allow rules
+the link: absolute links begin with a scheme and `://` or with `//`, other
+schemes (mailto and the like) are no links, a link without a host stays on its
+own, and every host also links to its parent domain. Personalised PageRank runs from the hosts that allow rules
 cover whole (trust, along links) and from hosts by their share of blocked
 pages (distrust, against links). Edges are counted before they are shuffled,
 so a host with a third of all pages is one row for each task; ranks are small
-rows of hosts and are checkpointed every few rounds. Trust and distrust are
+rows of hosts, are checkpointed every few rounds, and are done when a round
+moves no more than a set part of all rank. Trust and distrust are
 given as multiples of an even share over all hosts, so the threshold means the
 same for any number of them. A host is blocked if its distrust is above the
 threshold and above its trust.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, cut, maybe_broadcast
 
-DAMPING, ROUNDS, EACH = 0.85, 20, 5
+DAMPING, EACH = 0.85, 5
+TOLERANCE = 1e-7  # of all rank, moved by the last round
 THRESHOLD = 1.0  # multiple of an even share of all distrust
 BROADCAST_HOSTS = 200_000
 
@@ -54,10 +57,21 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, says
 
 
+#: The value of a link's attribute, with its quotes of either kind or none, in any case; and what begins a link that has a scheme.
+HREF = r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
 def edges(pages: DataFrame) -> DataFrame:
     """(src, dst, w): links between hosts with their number; each host links to its parent domain once."""
-    links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("to")).where("host <> ''")
-    there = F.when(F.startswith("to", F.lit("//")), host_of(F.concat(F.lit("x:"), F.col("to")))).when(F.contains("to", F.lit("://")), host_of(F.col("to"))).otherwise(F.col("host"))
+    links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("to")).where("host <> ''")
+    links = links.select("host", F.btrim("to", F.lit(" \t\r\n\"'")).alias("to"))
+    there = (
+        F.when(F.startswith("to", F.lit("//")), host_of(F.concat(F.lit("x:"), F.col("to"))))
+        .when(F.col("to").rlike(SCHEME + "//"), host_of(F.col("to")))
+        .when(F.col("to").rlike(SCHEME), F.lit(""))
+        .otherwise(F.col("host"))
+    )
     out = links.select(F.col("host").alias("src"), there.alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     hosts = pages.select("host").where("host <> ''").distinct()
     parent = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
@@ -65,10 +79,10 @@ def edges(pages: DataFrame) -> DataFrame:
     return out.unionByName(up).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(graph: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(graph: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, r) by personalised PageRank; graph (kind, src, dst, w), seeds (kind, host, v), v sums to 1 for each kind.
 
-    Hosts without links out keep their rank.
+    Hosts without links out keep their rank. What is left to move is at most DAMPING / (1 - DAMPING) of the tolerance.
     """
     out = graph.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     ends = graph.select("kind", F.col("dst").alias("src")).union(seeds.select("kind", "host")).distinct()
@@ -77,12 +91,17 @@ def propagate(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     seeds = cut(seeds)
     ranks = seeds.select("kind", "host", F.col("v").alias("r"))
     base = seeds.select("kind", "host", ((1 - DAMPING) * F.col("v")).alias("r"))
-    for i in range(ROUNDS):
-        moved = steps.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("p") * F.col("r")).alias("r"))
-        ranks = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if i % EACH == EACH - 1:
-            ranks = cut(ranks)
-    return ranks
+    while True:  # a round moves at most DAMPING of what the one before moved, so this ends
+        for k in range(EACH):
+            last = ranks
+            moved = steps.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("p") * F.col("r")).alias("r"))
+            parts = moved.unionByName(base).withColumn("was", F.lit(0.0))
+            if k == EACH - 1:
+                parts = parts.unionByName(last.select("kind", "host", F.lit(0.0).alias("r"), F.col("r").alias("was")))
+            ranks = parts.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("was").alias("was"))
+        ranks = cut(ranks)
+        if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0) <= tolerance:
+            return ranks.drop("was")
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -102,7 +121,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: float =
     graph = links.select(F.lit("trust").alias("kind"), "src", "dst", "w").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     ranks = propagate(graph, seeds)
     even = float(mass.count())
-    pick = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)) * even, 6)
+    pick = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("r"))), F.lit(0.0)) * even, 3)
     hosts = maybe_broadcast(cut(ranks.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))), BROADCAST_HOSTS)
     out = rows.drop("html").join(hosts, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

@@ -87,8 +87,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _link_trust_sql() -> str:
-    """Rules, host edges and the rounds of propagation, one common table expression each."""
-    from .link_trust import DAMPING, ROUNDS, THRESHOLD
+    """Rules, host edges and enough rounds of propagation that nothing moves, one common table expression each."""
+    from .link_trust import DAMPING, THRESHOLD
+
+    rounds = 90
 
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lambda u: low(f"regexp_extract(regexp_extract(coalesce({u}, ''), '(?s)^.*?://(.*)$', 1), '^[^/?#]*')")
@@ -100,8 +102,11 @@ def _link_trust_sql() -> str:
         f"""p as (select page_id, {host("url")} as host,
             regexp_extract(regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1), '^[^/?#]*([^?#]*)', 1) as path, html from pages)""",
         f"j as (select *, {rule} as rule, {says} as says from p)",
-        f"""l as (select host as src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as tgt from p where host <> '')""",
-        f"""e0 as (select src, case when starts_with(tgt, '//') then {host("'x:' || tgt")} when contains(tgt, '://') then {host("tgt")} else src end as dst, 1.0::double as w from l),
+        """raw as (select host as src, unnest(string_split(regexp_replace(html, '(^|[^-A-Za-z0-9_])[hH][rR][eE][fF]\\s*=\\s*', chr(1), 'g'), chr(1))[2:]) as tail from p where host <> ''),
+        l as (select src, trim(case left(tail, 1) when chr(34) then split_part(tail[2:], chr(34), 1) when chr(39) then split_part(tail[2:], chr(39), 1)
+            else regexp_extract(tail, '^[^\\s>\\x22\\x27]*') end, chr(32) || chr(9) || chr(10) || chr(13)) as tgt from raw)""",
+        f"""e0 as (select src, case when tgt[1:2] = '//' then {host("'x:' || tgt")} when not regexp_matches(split_part(tgt, ':', 1), '^[A-Za-z][A-Za-z0-9+.-]*$') or not contains(tgt, ':') then src
+            when starts_with(split_part(tgt, ':', 2), '//') then {host("tgt")} else '' end as dst, 1.0::double as w from l),
         h as (select distinct host from p where host <> ''),
         e as (select src, dst, sum(w) as w from (
             select * from e0 where dst <> '' union all
@@ -117,12 +122,12 @@ def _link_trust_sql() -> str:
             where not exists (select 1 from st0 where st0.kind = n.kind and st0.src = n.host))""",
         "r0 as (select kind, host, v as r from sd)",
     ]
-    for i in range(ROUNDS):
+    for i in range(rounds):
         parts.append(f"""r{i + 1} as (select kind, host, sum(r) as r from (
             select st.kind, dst as host, {DAMPING} * p * r as r from st join r{i} on st.kind = r{i}.kind and st.src = r{i}.host
             union all select kind, host, {1 - DAMPING} * v from sd) group by all)""")
-    parts.append(f"""k as (select host, round(coalesce(sum(r) filter (kind = 'trust'), 0) * (select count(*) from mass), 6) as t,
-        round(coalesce(sum(r) filter (kind = 'distrust'), 0) * (select count(*) from mass), 6) as d from r{ROUNDS} group by host)""")
+    parts.append(f"""k as (select host, round(coalesce(sum(r) filter (kind = 'trust'), 0) * (select count(*) from mass), 3) as t,
+        round(coalesce(sum(r) filter (kind = 'distrust'), 0) * (select count(*) from mass), 3) as d from r{rounds} group by host)""")
     return f"""with {", ".join(x.replace(" as (", " as materialized (", 1) for x in parts)}
         select page_id, host, path, rule, coalesce(says, case when coalesce(d, 0) > {THRESHOLD} and coalesce(d, 0) > coalesce(t, 0) then 'block' else 'allow' end) as verdict,
                coalesce(t, 0) as trust, coalesce(d, 0) as distrust
