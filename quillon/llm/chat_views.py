@@ -6,12 +6,13 @@ and are no one's perspective. The result has one row for each perspective and
 message, with the rendered text, its place in the rendering, and the span that
 the loss mask covers (the assistant's words and the end mark).
 
-Messages follow turn, then role, then text. Texts are shuffled once, by
-dialogue and part. A dialogue of up to HOT messages is one part; a longer one
-is cut at sampled messages into parts of about that many, so that a dialogue
-with a third of all messages is spread over many tasks. What earlier parts
-hold reaches a part as counts and lengths, which are summed without texts.
-Equal messages of one dialogue share a part.
+Messages follow turn, then role, then text. The texts of a dialogue of up to
+HOT messages are shuffled once, by dialogue. The messages of all longer
+dialogues are counted where they are equal and dealt to ranges of that order,
+so that a dialogue with a third of all messages, or a message repeated without
+end, is spread over as many tasks as there are shuffle partitions. What earlier
+ranges hold of a dialogue reaches a range as counts and lengths, which are
+summed without texts.
 
 Null texts count as empty and null roles as `unknown`; repeated messages are
 repeated in the rendering; a null turn comes first. Dialogues of system
@@ -26,14 +27,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_partitions, stored
 
 SYSTEM = "system"
 ASSISTANT_HEAD, SYSTEM_HEAD, END = "<|assistant|>\n", "<|system|>\n", "<|end|>\n"
 USER_HEAD = len("<|user name=|>\n")
 HOT = 1000
-#: Parts of a dialogue at most, sampled messages for each part, and characters of a text that a cut compares.
-PARTS, PICKS, PREFIX = 1024, 20, 256
 #: Array entries that are broadcast; beyond it the join is a shuffle.
 BROADCAST_ENTRIES = 50_000
 
@@ -52,23 +51,18 @@ def _bounded(df: DataFrame, entries: str) -> DataFrame:
 
 
 def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows with _part, and in the parts of hot dialogues _views: what each perspective has before the part."""
-    key = F.struct("_turn", "_role", F.substring("_text", 1, PREFIX).alias("_head"))
-    hot = hot.withColumn("_parts", F.least(F.lit(PARTS), F.ceil(F.col("_count") / HOT)))
-    small = hot.count() <= BROADCAST_ENTRIES
-    picked = _attach(rows, F.broadcast(hot) if small else hot, ["_conv"], "inner")
-    picked = picked.where(F.rand(7) < PICKS * F.col("_parts") / F.col("_count")).select("_conv", "_parts", key.alias("_key"))
-    all_ = Window.partitionBy("_conv")
-    picked = picked.withColumns({"_rank": F.row_number().over(all_.orderBy("_key")), "_of": F.count("*").over(all_)})
-    step = lambda r: F.floor(r * F.col("_parts") / F.col("_of"))
-    ends = (step(F.col("_rank")) > step(F.col("_rank") - 1)) & (F.col("_rank") < F.col("_of"))
-    cuts = cut(picked.where(ends).groupBy("_conv").agg(F.collect_set("_key").alias("_cuts")))
-
-    rows = _attach(rows, _bounded(cuts, "_cuts"), ["_conv"])
-    part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= key)))
-    rows = rows.withColumns({"_part": part, "_is_cut": F.col("_cuts").isNotNull()}).drop("_cuts")
-
-    units = cut(rows.where("_is_cut").groupBy("_conv", "_part", "_role").agg(F.count("*").alias("_rows"), F.sum("_len").alias("_chars")))
+    """rows with _part, and for hot dialogues with _copies of equal messages and _views: what each perspective has before the part."""
+    few = hot.count() <= BROADCAST_ENTRIES
+    rows = _attach(rows, F.broadcast(hot) if few else hot, ["_conv"])
+    same = ["_conv", "_turn", "_role", "_text", "_len"]
+    big = rows.where("_count is not null").groupBy(*same).agg(F.count("*").alias("_all"))
+    # a message repeated without end is dealt in lots
+    big = big.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_all - 1) div {HOT}"))))
+    big = big.withColumn("_copies", F.least(F.lit(HOT), F.col("_all") - F.col("_lot") * HOT).cast("long")).drop("_all")
+    big = big.repartitionByRange(shuffle_partitions(rows.sparkSession), "_conv", "_turn", "_role", "_text", "_lot")
+    big = stored(big.withColumn("_part", F.spark_partition_id() + 1))
+
+    units = cut(big.groupBy("_conv", "_part", "_role").agg(F.sum("_copies").alias("_rows"), F.sum(F.col("_len") * F.col("_copies")).alias("_chars")))
     people = units.where(F.col("_role") != SYSTEM).select("_conv", F.col("_role").alias("perspective")).distinct()
     own = units.select("_conv", "_part", F.col("_role").alias("perspective"), F.col("_rows").alias("_own"))
     parts = units.groupBy("_conv", "_part").agg(F.sum("_rows").alias("_rows"), F.sum("_chars").alias("_chars"))
@@ -76,7 +70,10 @@ def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
     before = Window.partitionBy("_conv", "perspective").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     view = F.struct("perspective", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias("_before" + c) for c in ("_rows", "_chars", "_own")))
     views = cut(grid.select("_conv", "_part", view.alias("_view")).groupBy("_conv", "_part").agg(F.collect_list("_view").alias("_views")))
-    return _attach(rows.drop("_is_cut"), _bounded(views, "_views"), ["_conv", "_part"])
+    big = _attach(big.drop("_lot"), _bounded(views, "_views"), ["_conv", "_part"])
+    rest = rows.where("_count is null").drop("_count").withColumns({"_copies": F.lit(1).cast("long"), "_part": F.lit(0)})
+    # dialogues of system messages alone have no views, and no rows
+    return rest.unionByName(big.where("_views is not null"), allowMissingColumns=True)
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -94,31 +91,33 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     hot = cut(rows.groupBy("_conv").agg(F.count("*").alias("_count")).where(F.col("_count") > HOT))
     views_type = "array<struct<perspective:string,_before_rows:bigint,_before_chars:bigint,_before_own:bigint>>"
     if hot.isEmpty():
-        rows = rows.withColumns({"_part": F.lit(0), "_views": F.lit(None).cast(views_type)})
+        rows = rows.withColumns({"_part": F.lit(0), "_copies": F.lit(1).cast("long"), "_views": F.lit(None).cast(views_type)})
     else:
         rows = _spread(rows, hot)
 
     part = Window.partitionBy("_conv", "_part")
     inside, earlier = part.orderBy("_turn", "_role", "_text"), (Window.unboundedPreceding, -1)
     rows = rows.withColumns({
-        "_row": F.row_number().over(inside) - 1,
-        "_at": F.coalesce(F.sum("_len").over(inside.rowsBetween(*earlier)), F.lit(0)),
+        "_row": F.coalesce(F.sum("_copies").over(inside.rowsBetween(*earlier)), F.lit(0)),
+        "_at": F.coalesce(F.sum(F.col("_len") * F.col("_copies")).over(inside.rowsBetween(*earlier)), F.lit(0)),
+        "_seat": F.row_number().over(inside),
         "_here": F.collect_set(F.when(F.col("_role") != SYSTEM, F.col("_role"))).over(part),
     })
     alone = F.transform("_here", lambda p: F.struct(p.alias("perspective"), *(F.lit(0).cast("long").alias("_before" + c) for c in ("_rows", "_chars", "_own"))))
     seen = rows.withColumn("_view", F.explode(F.coalesce("_views", alone.cast(views_type)))).select("*", "_view.*").drop("_view", "_views", "_here")
 
     mine = F.col("_role") == F.col("perspective")
-    spoken = F.sum(mine.cast("long")).over(Window.partitionBy("_conv", "_part", "perspective").orderBy("_row").rowsBetween(*earlier))
+    spoken = F.sum(F.when(mine, F.col("_copies")).otherwise(0)).over(Window.partitionBy("_conv", "_part", "perspective").orderBy("_seat").rowsBetween(*earlier))
     # an own message has the assistant's head in place of the user's
     gain = len(ASSISTANT_HEAD) - USER_HEAD - F.char_length("perspective")
     start = F.col("_before_chars") + F.col("_at") + (F.col("_before_own") + F.coalesce(spoken, F.lit(0))) * gain
-    seen = seen.withColumn("_start", start.cast("long"))
+    seen = seen.withColumn("_start", start.cast("long")).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    seen = seen.withColumn("_start", F.col("_start") + F.col("_copy") * (F.col("_len") + F.when(mine, gain).otherwise(0)))
     is_system = F.col("_role") == SYSTEM
     return seen.select(
         F.col("_conv").alias(conv),
         "perspective",
-        (F.col("_row") + F.col("_before_rows")).cast("long").alias("position"),
+        (F.col("_row") + F.col("_before_rows") + F.col("_copy")).cast("long").alias("position"),
         F.col("_turn").alias(turn),
         F.col("_role").alias("speaker"),
         F.when(mine, "assistant").when(is_system, SYSTEM).otherwise("user").alias("role_out"),
