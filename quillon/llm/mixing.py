@@ -16,12 +16,14 @@ empty texts have no tokens and are kept with their cell's probability. A
 target names shares of the values of one dimension, or an exponent that
 tempers the shares there are; values that a target does not name keep their
 own share. A document's draw hashes its id, so repeated rows are kept or
-dropped together, and a run can be repeated. An empty table gives an empty
+dropped together, and a run can be repeated. Without a topic column the form of
+a text stands in for it; a caller can pass another expression. An empty table gives an empty
 result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +34,8 @@ from .common import cut, small
 
 DIMS = ("source", "lang", "topic")
 SWEEPS, FILLS = 15, 8
-DRIVER_CELLS = 100_000
+#: Cells that are raked on the driver at most; tasks that a hot cell's rows are dealt to beyond that.
+DRIVER_CELLS, SALT = 100_000, 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,12 +62,15 @@ def topic_of(text: Column, words: Column) -> Column:
     )
 
 
-def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
+Topic = Callable[[Column, Column], Column]  # of a text and its number of words
+
+
+def described(docs: DataFrame, text_col: str = "text", topic: Topic = topic_of) -> DataFrame:
     """(_row, _source, _lang, _topic, _tokens): the row, its cell, and the words of its whole text."""
     rows = docs.select(F.struct("*").alias("_row"))
     blank = lambda c: F.coalesce(F.col("_row").getField(c).cast("string"), F.lit(""))
     out = rows.withColumn("_tokens", F.regexp_count(blank(text_col), F.lit(WORD)).cast("long"))
-    return out.withColumns({"_source": blank("source"), "_lang": blank("lang"), "_topic": topic_of(blank(text_col), F.col("_tokens"))})
+    return out.withColumns({"_source": blank("source"), "_lang": blank("lang"), "_topic": topic(blank(text_col), F.col("_tokens"))})
 
 
 def draw(seed: str, id_col: Column) -> Column:
@@ -145,19 +151,23 @@ def _rake_spread(cells: DataFrame, mix: Mix, total: float) -> DataFrame:
     return cut(w.withColumn("probability", F.when(F.col("base") > 0, p).otherwise(1.0))).select(*cells.columns, "probability")
 
 
-def with_probability(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_probability(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", topic: Topic = topic_of) -> DataFrame:
     """(_row, _source, _lang, _topic, _tokens, _p, _sampled) of every row of docs."""
     names = ["_" + d for d in DIMS]
-    rows = described(docs, text_col)
+    rows = described(docs, text_col, topic)
     cells = cut(rows.groupBy(*names).agg(F.sum("_tokens").cast("double").alias("base")))
     rates = rake(cells, mix).select(*names, F.col("probability").alias("_p"))
     id_ = F.col("_row").getField(id_col)
-    return rows.join(rates, names, "left").withColumn("_sampled", draw(mix.seed, id_) < F.col("_p"))
+    if not small(cells, DRIVER_CELLS):  # no broadcast: the rows of a cell are dealt by salt, each salt with its own copy of the rate
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(SALT)).cast("int"))
+        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        names = [*names, "_salt"]
+    return rows.join(rates, names, "left").drop("_salt").withColumn("_sampled", draw(mix.seed, id_) < F.col("_p"))
 
 
-def sample(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", topic: Topic = topic_of) -> DataFrame:
     """The sampled rows of docs with their own columns."""
-    return with_probability(docs, mix, id_col, text_col).where("_sampled").select("_row.*")
+    return with_probability(docs, mix, id_col, text_col, topic).where("_sampled").select("_row.*")
 
 
 def oracle(mix: Mix) -> str:
