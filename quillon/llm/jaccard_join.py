@@ -10,7 +10,8 @@ The distance 1 - J is a metric; sets are linked within a radius of 1/4.
    infrequent shingles, so that one document is elected by most shingles of its
    like. A set belongs to the regions of all pivots that its shingles elect,
    and linked sets always meet in a region. No pair is formed within the
-   holders of a shingle.
+   holders of a shingle. Members leave a region if sizes and numbers of shared
+   shingles alone put all others of the region out of their reach.
 2. Distances. Every member is measured against the pivot of its region. Members
    within the radius are linked through the pivot. A region is done unless a
    member lies outside the radius; then only pairs with such a member remain,
@@ -151,64 +152,135 @@ def _above(shingles: DataFrame) -> np.ndarray:
 
 
 def _holders(docs: DataFrame, common, hot: bool) -> DataFrame:
-    """(s, id, rare): the deciding shingles of every set, infrequent or frequent (hot) ones; rare: the share of infrequent shingles in the set."""
+    """(s, id, rare, n, hp): the deciding shingles of every set, infrequent or frequent (hot) ones.
+
+    rare: the share of infrequent shingles in the set; n: its size; hp: how many deciding ones are frequent.
+    """
 
     def run(batches):
         fresh = _Fresh()
         for b in batches:
-            s_, id_, count, rare = [], [], [], []
+            s_, id_, count, rare, n, hp = [], [], [], [], [], []
             for i, s in fresh(b.column(0)):
                 p = prefix_size(len(s))
                 often = among(signed(s), common.value)
                 cold = s[~often]
-                take = s[often][: p - min(p, len(cold))] if hot else cold[:p]
+                of_hot = p - min(p, len(cold))
+                take = s[often][:of_hot] if hot else cold[:p]
                 if len(take):
                     s_.append(take)
                     id_.append(i)
                     count.append(len(take))
                     rare.append(len(cold) / len(s))
+                    n.append(len(s))
+                    hp.append(of_hot)
             if s_:
                 ids = np.frombuffer(b"".join(id_), np.uint64).reshape(-1, 2)
-                columns = [_longs(s_), _id_array(np.repeat(ids, count, axis=0)), pa.array(np.repeat(np.array(rare, np.float32), count))]
-                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "rare"])
+                per_set = [pa.array(np.repeat(np.array(x, t), count)) for x, t in ((rare, np.float32), (n, np.int32), (hp, np.int32))]
+                yield pa.RecordBatch.from_arrays([_longs(s_), _id_array(np.repeat(ids, count, axis=0)), *per_set], ["s", "id", "rare", "n", "hp"])
 
-    return arrow_scan(docs, run, "s bigint, id binary, rare float")
+    return arrow_scan(docs, run, "s bigint, id binary, rare float, n int, hp int")
 
 
 def _elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, id) for the holders of each infrequent shingle; rows are sorted by shingle, and within it by the order of election."""
+    """(pivot, id, n, hp) for the holders of each infrequent shingle that has two; rows are sorted by shingle, and within it by the order of election."""
     rest: list[np.ndarray] = []
 
-    def pairs(s: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    def members(s: np.ndarray, ids: np.ndarray, n: np.ndarray, hp: np.ndarray) -> pa.RecordBatch:
         first = np.ones(len(s), bool)
         first[1:] = s[1:] != s[:-1]
-        pivot = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        run = np.cumsum(first) - 1
+        pivot = ids[np.flatnonzero(first)[run]]
         other = (pivot != ids).any(axis=1)
-        return pa.RecordBatch.from_arrays([_id_array(pivot[other]), _id_array(ids[other])], ["pivot", "id"])
+        keep = np.bincount(run, other, run[-1] + 1)[run] > 0 if len(s) else other
+        keep[1:] &= first[1:] | (ids[1:] != ids[:-1]).any(axis=1)  # a set that several tasks met
+        return pa.RecordBatch.from_arrays([_id_array(pivot[keep]), _id_array(ids[keep]), pa.array(n[keep]), pa.array(hp[keep])], ["pivot", "id", "n", "hp"])
 
     for batch in batches:
-        now = [batch.column(0).to_numpy(zero_copy_only=False), _id_rows(batch.column(1))]
+        now = [batch.column(0).to_numpy(zero_copy_only=False), _id_rows(batch.column(1)), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))]
         rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
         if len(rest[0]):
             end = int(np.searchsorted(rest[0], rest[0][-1]))  # the last shingle may go on
-            yield pairs(*(x[:end] for x in rest))
+            yield members(*(x[:end] for x in rest))
             rest = [x[end:] for x in rest]
     if rest and len(rest[0]):
-        yield pairs(*rest)
+        yield members(*rest)
 
 
-def _regions(docs: DataFrame, common) -> DataFrame:
-    """(pivot, id): the regions of every set that shares a deciding shingle with another."""
+def _regions(docs: DataFrame, common, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(pivot, id): the members other than the pivot of every region where two sets may be linked; and (pivot): the regions above the size of a leaf."""
     n = shuffle_partitions(docs.sparkSession)
     order = [F.col("rare"), F.xxhash64("id"), F.col("id")]
     cold = _holders(docs, common, False).repartition(n, "s").sortWithinPartitions("s", *order)
-    cold = arrow_scan(cold.select("s", "id"), _elected, "pivot binary, id binary")
+    cold = arrow_scan(cold.select("s", "id", "n", "hp"), _elected, "pivot binary, id binary, n int, hp int").withColumn("m", F.lit(1))
     hot = stored(_holders(docs, common, True).distinct())
     pivots = hot.groupBy("s").agg(F.min(F.struct(order[0].alias("x"), order[1].alias("h"), order[2].alias("id")))["id"].alias("pivot"))
     # many sets hold one shingle: they are dealt by salt, each salt with its own copy of the pivot
-    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    hot = hot.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(pivots, ["s", "salt"]).where("id <> pivot").select("pivot", "id")
-    return cold.unionByName(hot).distinct()
+    hot = _salted(hot, "id").join(_each_salt(pivots), ["s", "_salt"]).select("pivot", "id", "n", "hp", F.lit(0).alias("m"))
+    rows = cold.unionByName(hot).groupBy("pivot", "id").agg(F.first("n").alias("n"), F.first("hp").alias("hp"), F.sum("m").alias("m"))
+    rows = stored(rows)
+    most = rows.groupBy("id").agg((F.sum("m") + F.first("hp")).alias("shared"))
+    sizes = cut(rows.groupBy("pivot").agg(F.count("*").alias("size")).where(F.col("size") > leaf).select("pivot"))
+    big = maybe_broadcast(sizes, BROADCAST_IDS // 20)
+    rest = rows.join(big, "pivot", "left_anti").join(most, "id").select("pivot", "id", "n", "shared")
+    rest = rest.repartition(n, "pivot").sortWithinPartitions("pivot")
+    kept = arrow_scan(rest, _viable, "pivot binary, id binary").unionByName(rows.join(big, "pivot", "left_semi").select("pivot", "id"))
+    return stored(kept.where("id <> pivot")), sizes
+
+
+def _salted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+
+
+def _each_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def shared_at_least(n, m):
+    """How many deciding shingles two linked sets of n and m share at least."""
+    union = NUM * (n + m)
+    return (union + NUM + DEN - 1) // (NUM + DEN) - np.maximum((NUM * n + DEN - 1) // DEN, (NUM * m + DEN - 1) // DEN) + 1
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of batches sorted by their first column, in lists that hold each value's rows whole."""
+    rest: list[tuple] = []
+    for b in batches:
+        rest += zip(*(c.to_pylist() for c in b.columns))
+        at = next((k for k in range(len(rest) - 1, 0, -1) if rest[k][0] != rest[k - 1][0]), 0)  # the last value may go on
+        if at:
+            yield rest[:at]
+            del rest[:at]
+    if rest:
+        yield rest
+
+
+def _runs(rows: list[tuple]) -> Iterator[list[tuple]]:
+    i = 0
+    while i < len(rows):
+        j = i + 1
+        while j < len(rows) and rows[j][0] == rows[i][0]:
+            j += 1
+        yield rows[i:j]
+        i = j
+
+
+def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, id) of rows (pivot, id, n, shared) sorted by pivot: members that have another of their region in reach.
+
+    A bound of each region: sizes must fit, and neither set may share fewer deciding shingles with all others together
+    than linked sets of their sizes share with each other.
+    """
+    for rows in _by_cell(batches):
+        out = []
+        for members in _runs(rows):
+            if len(members) > 1:
+                n, shared = (np.array([m[k] for m in members], np.int64) for k in (2, 3))
+                a, b = n[:, None], n[None, :]
+                ok = (NUM * np.maximum(a, b) <= DEN * np.minimum(a, b)) & (np.minimum(shared[:, None], shared[None, :]) >= shared_at_least(a, b))
+                np.fill_diagonal(ok, False)
+                out += [m[:2] for m, some in zip(members, ok.any(axis=1)) if some]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["pivot", "id"])
 
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -244,8 +316,8 @@ def _among(a: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == a
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The columns of pairs (a, b, ...) without sets, and na, nb, k: sizes and exact overlap of every pair."""
+def _measured(pairs: DataFrame, sets: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """The columns of pairs (a, b, ...) and na, nb, k: sizes and exact overlap of every pair; pairs of an `a` in hot (a) are dealt by salt."""
     names = pairs.columns
 
     def run(batches):
@@ -254,7 +326,14 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             sizes = [pa.array([len(x) // 8 for x in y], pa.int64()) for y in (a, b)]
             yield pa.RecordBatch.from_arrays([*t.columns[: len(names)], *sizes, pa.array([_common(x, y) for x, y in zip(a, b)], pa.int64())], [*names, "na", "nb", "k"])
 
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_sa")), "a")
+    of_a = sets.select(F.col("id").alias("a"), F.col("set").alias("_sa"))
+    if hot is None:
+        rows = pairs.join(of_a, "a")
+    else:
+        small_list = maybe_broadcast(hot, BROADCAST_IDS // 20)
+        rows = pairs.join(small_list, "a", "left_anti").join(of_a, "a")
+        many = _salted(pairs.join(small_list, "a", "left_semi"), "b").join(_each_salt(of_a.join(small_list, "a", "left_semi")), ["a", "_salt"])
+        rows = rows.unionByName(many.drop("_salt"))
     rows = rows.join(sets.select(F.col("id").alias("b"), F.col("set").alias("_sb")), "b")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
     return arrow_scan(rows.select(*names, "_sa", "_sb"), run, kinds + ", na bigint, nb bigint, k bigint")
@@ -270,10 +349,10 @@ def _links(measured: DataFrame) -> DataFrame:
 
 def _settle(cells: DataFrame, sets: DataFrame, leaf: int, depth: int) -> list[DataFrame]:
     """Links of cells (cell, id, n, d, open, home) between members of which one at least is open (outside the radius) and one at home."""
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("any and size > 1")
-    cells = cut(cells.join(sizes.select("cell", "size"), "cell"))
-    out = [_in_leaves(cells.where(F.col("size") <= leaf), sets)]
-    big = cells.where(F.col("size") > leaf)
+    sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("any and size > 1").select("cell", "size"))
+    above = maybe_broadcast(cut(sizes.where(F.col("size") > leaf)), BROADCAST_IDS // 20)
+    out = [_in_leaves(cells.join(above, "cell", "left_anti").join(sizes.select("cell"), "cell", "left_semi"), sets)]
+    big = cut(cells.join(above, "cell"))  # a region of any size is not shuffled by its name
     if big.isEmpty():
         return out
     stuck = big
@@ -291,15 +370,17 @@ def _voronoi(big: DataFrame, sets: DataFrame, leaf: int) -> tuple[DataFrame, Dat
     # the smallest few by hash, as partial results of fixed size
     slots = big.withColumn("slot", F.pmod(F.xxhash64(F.lit(5), "id"), F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("size") / leaf))))
     pivots = cut(slots.groupBy("cell", "slot").agg(F.min(order)["id"].alias("pivot")).select("cell", "pivot"))
-    pairs = big.select("cell", "id", "n", "size").join(pivots, "cell").where("id <> pivot")
-    measured = stored(_measured(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "cell", "size"), sets))
+    listed = maybe_broadcast(pivots, BROADCAST_IDS // 20)
+    pairs = big.select("cell", "id", "n", "size").join(listed, "cell").where("id <> pivot")
+    measured = stored(_measured(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "cell", "size"), sets, cut(pivots.select(F.col("pivot").alias("a")).distinct())))
     rows = measured.select("cell", "size", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
     # a pivot is in its own cell through its distance 0; it is linked or compared as a member of the others
-    nearest = rows.unionByName(pivots.join(big.select("cell", "size", "id", "n"), "cell").where("id = pivot").withColumn("d", F.lit(0.0)))
+    nearest = rows.unionByName(big.select("cell", "size", "id", "n").join(listed, "cell").where("id = pivot").withColumn("d", F.lit(0.0)))
     least = nearest.groupBy("cell", "id").agg(F.min(F.struct("d", "pivot")).alias("own"))
     within = cut(nearest.join(least, ["cell", "id"]).where(F.col("d") <= F.col("own.d") + 2 * RADIUS + 1e-9).withColumn("home", F.col("pivot") == F.col("own.pivot")))
     spread = within.groupBy("cell", "pivot").agg(F.count("*").alias("m"), F.first("size").alias("size")).groupBy("cell").agg((F.max("m") <= 0.7 * F.first("size")).alias("fewer"), (F.sum("m") <= 3 * F.first("size")).alias("lean"))
     done = cut(spread.where("fewer and lean").select("cell"))
+    done = maybe_broadcast(done, BROADCAST_IDS // 20)
     inner = within.join(done, "cell", "left_semi").where("id <> pivot")
     inner = inner.select(F.xxhash64("cell", "pivot").alias("cell"), "id", "n", "d", (F.col("d") > RADIUS).alias("open"), "home")
     return cut(inner), big.join(done, "cell", "left_anti"), _links(measured)
@@ -311,33 +392,16 @@ def _in_leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.repartition(shuffle_partitions(sets.sparkSession), "cell").sortWithinPartitions("cell")
 
     def run(batches):
-        rest: list = []
-        for b in batches:
-            rest += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())
-            at = next((k for k in range(len(rest) - 1, 0, -1) if rest[k][0] != rest[k - 1][0]), 0)  # the last cell may go on
-            if at:
-                yield _compared(rest[:at])
-                del rest[:at]
-        if rest:
-            yield _compared(rest)
+        for rows in _by_cell(batches):
+            found: list[tuple[bytes, bytes]] = []
+            for members in _runs(rows):
+                _, ids, d, open_, home, of = zip(*members)
+                found += ((ids[a], ids[b]) for a, b in _cell_links(np.array(d), np.array(open_), np.array(home), [np.frombuffer(x, np.uint64) for x in of]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
 
     return arrow_scan(rows, run, "a binary, b binary")
 
 
-def _compared(rows: list[tuple]) -> pa.RecordBatch:
-    """Links within each cell of rows (cell, id, d, open, home, set), sorted by cell."""
-    found: list[tuple[bytes, bytes]] = []
-    i = 0
-    while i < len(rows):
-        j = i + 1
-        while j < len(rows) and rows[j][0] == rows[i][0]:
-            j += 1
-        _, ids, d, open_, home, of = zip(*rows[i:j])
-        found += ((ids[a], ids[b]) for a, b in _cell_links(np.array(d), np.array(open_), np.array(home), [np.frombuffer(x, np.uint64) for x in of]))
-        i = j
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
-
-
 def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     if len(of) < 2 or not open_.any():
         return
@@ -390,9 +454,9 @@ def set_links(docs: DataFrame, text_col: str = "text", leaf: int = LEAF, depth:
     """(a, b): fingerprints of linked sets; a spanning set of links, enough to connect all that are linked."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    regions = stored(_regions(texts, common))
+    regions, big = _regions(texts, common, leaf)
     sets = _set_table(texts, cut(regions.select("id").union(regions.select("pivot")).distinct()))
-    stars = stored(_measured(regions.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets))
+    stars = stored(_measured(regions.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, big.withColumnRenamed("pivot", "a")))
     members = stars.select(F.col("a").alias("cell"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
     members = members.withColumns({"open": F.col("d") > RADIUS, "home": F.lit(True)})
     out = _links(stars)
