@@ -3,53 +3,77 @@
 Greedy packing depends on order, so it runs within shards: rows go to shards
 by hash, are sorted by length there, and each shard is packed by itself in one
 pass over Arrow batches. A shard's batches differ from those of one global
-pass; its size is set by the number of shards, which grows with the rows.
+pass; the number of shards grows with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .splits import hash_ranked
+
 
 def pad64(n: int) -> int:
     return -(-n // 64) * 64
 
 
-def greedy_batches(rows: DataFrame, key: str, length: str, options: str, max_tokens: int = 16_384, max_options: int = 512, shards: int = 8) -> DataFrame:
-    """(key, shard, batch): a new batch starts when the padded length times the rows, or the options, would exceed the budget."""
-    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
-    placed = rows.select(F.col(key).cast("long").alias("key"), F.col(length).cast("int").alias("len"), F.col(options).cast("int").alias("opts"), shard.alias("shard"))
-    placed = placed.repartition(shards, "shard").sortWithinPartitions("shard", "len", "key")
+#: Rows of a shard, about; a shard is packed by one task.
+SHARD_ROWS = 100_000
+
+
+def shards_for(rows: DataFrame, size: int = SHARD_ROWS) -> int:
+    return max(8, -(-rows.count() // size))
+
+
+def _packed(rows: DataFrame, group: str, fits: Callable[[int, int, int], bool]) -> DataFrame:
+    """(key, group, batch) for rows (key, len, opts, group) sorted by group, length and key; fits(largest, rows, options) of a batch with one more."""
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, count, used = None, -1, 0, 0
+        now, batch, count, used, top = None, -1, 0, 0, 0
         for pdf in parts:
             out = []
-            for key_, len_, opts_, shard_ in pdf.itertuples(index=False):
-                if shard_ != now:
-                    now, batch, count, used = shard_, -1, 0, 0
-                if batch < 0 or pad64(len_) * (count + 1) > max_tokens or used + opts_ > max_options:
-                    batch, count, used = batch + 1, 0, 0
-                count, used = count + 1, used + opts_
-                out.append((key_, shard_, batch))
-            yield pd.DataFrame(out, columns=["key", "shard", "batch"])
-
-    return placed.mapInPandas(pack, "key long, shard int, batch int")
-
-
-def window_batches(rows: DataFrame, key: str, length: str, seed: str, window: int = 256, max_tokens: int = 16_384) -> DataFrame:
-    """(key, window, batch): rows are dealt to windows by hash, sorted by length there, and cut where the padded running budget rolls over."""
-    from pyspark.sql import Window
-
-    n = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(1, window)))
-    w = Window.partitionBy("window").orderBy("len", "key").rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.select(F.col(key).cast("long").alias("key"), F.col(length).alias("len"), n.cast("int").alias("window"))
-    padded = F.ceil(F.col("len") / 64) * 64
-    return x.withColumn("used", F.sum(padded).over(w)).select("key", "window", F.floor((F.col("used") - 1) / max_tokens).cast("int").alias("batch"))
+            for key_, len_, opts_, group_ in pdf.itertuples(index=False):
+                if group_ != now:
+                    now, batch, count, used, top = group_, -1, 0, 0, 0
+                if batch < 0 or not fits(max(top, len_), count + 1, used + opts_):
+                    batch, count, used, top = batch + 1, 0, 0, 0
+                count, used, top = count + 1, used + opts_, max(top, len_)
+                out.append((key_, group_, batch))
+            yield pd.DataFrame(out, columns=["key", group, "batch"])
+
+    return rows.mapInPandas(pack, f"key long, {group} long, batch int")
+
+
+def greedy_batches(rows: DataFrame, key: str, length: str, options: str, max_tokens: int = 16_384, max_options: int = 512, shards: int | None = None) -> DataFrame:
+    """(key, shard, batch): a new batch starts when the padded length times the rows, or the options, would exceed the budget.
+
+    The number of shards follows the number of rows unless it is given. A row above the budget is a batch by itself.
+    """
+    shards = shards or shards_for(rows)
+    shard = F.pmod(F.xxhash64(key), F.lit(shards))
+    dealt = rows.select(F.col(key).cast("long").alias("key"), F.col(length).cast("long").alias("len"), F.col(options).cast("long").alias("opts"), shard.alias("shard"))
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "len", "key")
+    return _packed(dealt, "shard", lambda top, n, opts: pad64(top) * n <= max_tokens and opts <= max_options)
+
+
+def window_batches(rows: DataFrame, key: str, length: str, seed: str, max_tokens: int = 16_384, window_mult: int = 20, least: int = 64, max_rows: int | None = None, cap: int | None = None) -> DataFrame:
+    """(key, window, batch): rows in hashed order are cut into windows, sorted by length there, and batched while the largest length times the rows fits.
+
+    A window has window_mult budgets of the longest row, and `least` rows at least; `cap` leaves out longer rows. A row above
+    the budget is a batch by itself. Rows are dealt to windows by rank, so windows are as many as the rows need.
+    """
+    x = rows.select(F.col(key).cast("long").alias("key"), F.col(length).cast("long").alias("len"))
+    if cap is not None:
+        x = x.where(F.col("len") <= cap)
+    longest = x.agg(F.max("len")).first()[0] or 1
+    size = max(least, max_tokens * window_mult // max(1, longest))
+    ranked = hash_ranked(x, [], seed, "key").select("key", "len", F.lit(0).cast("long").alias("opts"), F.floor((F.col("_rank") - 1) / size).cast("long").alias("window"))
+    ranked = ranked.repartition("window").sortWithinPartitions("window", "len", "key")
+    return _packed(ranked, "window", lambda top, n, _: top * n <= max_tokens and (max_rows is None or n <= max_rows))
 
 
 def branch_layout(rows: DataFrame, key: str, prefix: str, branches: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as P
+from .splits import placed
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ def conformal(scores: DataFrame, score: str, alpha: float, key: str) -> DataFram
     if not n:
         return scores.sparkSession.range(1).select(F.lit(0.5).alias("threshold"), F.lit(0).cast("long").alias("n"))
     rank = min(max(int(alpha * (n + 1)) - 1, 0), n - 1)
-    head = scores.select(score, key).orderBy(score, key).limit(rank + 1)
-    return head.agg(F.max(score).alias("threshold"), F.lit(n).cast("long").alias("n"))
+    at = placed(scores.select(score, key), [], [score, key]).where(F.col("_place") == rank + 1)
+    return at.agg(F.max(score).alias("threshold"), F.lit(n).cast("long").alias("n"))
 
 
 def depth_records(rows: DataFrame, depths: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, uniform
+from ..session import cut
 
 
 def hash_ranked(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
@@ -27,6 +28,24 @@ def hash_ranked(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFram
     return ranked.withColumn("_rank", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
 
 
+def placed(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """rows with _place (from 1) in the given order, within each group of `by`; no task sees more than one range of the order.
+
+    Rows are dealt to ranges, which are ranked by themselves; the sizes of earlier ranges are added. The ranges are checkpointed,
+    since their bounds are sampled.
+    """
+    ranges = cut(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy(*by, "_range").agg(F.count("*").alias("_c"))
+    earlier = F.sum("_c").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")) - F.col("_c")  # a row for each range
+    sizes = sizes.select(*(F.col(c).alias("_g" + c) for c in by), F.col("_range").alias("_r"), earlier.alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col("_g" + c))
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    out = ranges.withColumn("_in", inside).join(F.broadcast(sizes), same)  # as many rows as ranges and groups that they hold
+    return out.withColumn("_place", F.col("_before") + F.col("_in")).drop("_range", "_r", "_in", "_before", *("_g" + c for c in by))
+
+
 def ratio_split(rows: DataFrame, by: list[str], seed: str, key: str, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """The first floor(test * n) rows of each group in hashed order are test, the next floor(val * n) val, the rest train."""
     a, b = F.floor(test * F.col("_n")), F.floor(val * F.col("_n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import uniform, uniform_sql
+from ..operators.splits import placed
 from .registry import query, table
 
 LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -224,4 +225,4 @@ def predictable_rows(spark, sf):
     p = F.round(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")), 9)
     rows = blind_nb(spark, sf).select("doc_id", p.alias("q"))
     n = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_semi").count()
-    return rows.orderBy(F.desc("q"), "doc_id").limit(n // 20).select("doc_id")
+    return placed(rows, [], [F.desc("q"), F.col("doc_id")]).where(F.col("_place") <= n // 20).select("doc_id")

@@ -11,7 +11,7 @@ from ..operators import dedup as D
 from ..operators import splits as S
 from .registry import query, table
 
-KEY = "md5(trim(regexp_replace(regexp_replace(lower(text),'[^a-z0-9 ]',' ','g'),'\\s+',' ','g')))"
+KEY = "md5(trim(regexp_replace(regexp_replace(lower(coalesce(text,'')),'[^a-z0-9 ]',' ','g'),'\\s+',' ','g')))"
 DOCS = f"""docs as (select *, {KEY} as k, case when u < 0.1 then 0 when u < 0.2 then 1 else 2 end as rnk
     from (select *, {uniform_sql('split', 'doc_id')} as u from documents))"""
 
@@ -41,17 +41,10 @@ def blocklist_anti_join(spark, sf):
       regexp_replace(lower(documents.text),'[^a-z0-9]+',' ','g'), trim(regexp_replace(lower(b.text),'[^a-z0-9]+',' ','g'))))"""
 )
 def contains_benchmark(spark, sf):
-    """Documents that contain no benchmark passage: first six words find candidates by key, containment decides."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 5, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 6), " "))
-    b = table(spark, sf, "benchmark").select("item_id", norm("text").alias("passage"))
-    w = F.split("passage", " ")
-    # the first and last word may be parts of longer words of the document
-    b = b.withColumn("g", F.array_join(F.slice(w, 2, 6), " "))
-    docs = table(spark, sf, "documents").select("doc_id", norm("text").alias("t"))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(grams(F.split("t", " ")))).alias("g")).join(F.broadcast(b.select("g").distinct()), "g", "left_semi").select("doc_id", "g").distinct()
-    hits = keys.join(b, "g").join(docs, "doc_id").where(F.contains("t", F.col("passage"))).select("doc_id").distinct()
-    return docs.select("doc_id").join(hits, "doc_id", "left_anti")
+    """Documents that contain no benchmark passage, as runs of letters and digits between single spaces."""
+    docs = table(spark, sf, "documents").select("doc_id", D.spaced(F.col("text")).alias("t"))
+    passages = table(spark, sf, "benchmark").select(D.spaced(F.col("text")).alias("passage"))
+    return D.without_passages(docs, "doc_id", "t", passages).select("doc_id")
 
 
 @query(f"with {DOCS} select doc_id, rnk::int as rnk from docs qualify row_number() over (partition by k order by rnk, doc_id) = 1")

@@ -1,4 +1,4 @@
-"""Composites: phrase buckets, candidate sets, adapters, suites, pooling, flood fill and settlements."""
+"""Composites: phrase buckets, candidate sets, adapters, suites and pooling."""
 
 from __future__ import annotations
 
@@ -185,19 +185,6 @@ def depth_stratified(spark, sf):
     return a.groupBy("grp").agg(F.round(F.avg("acc"), 6).alias("score"), F.sum("n").alias("n"))
 
 
-@query(
-    """with b as (select o_orderkey, (o_orderkey%16+11)::int as player, (o_custkey%14+12)::int as dealer from orders)
-    select o_orderkey, case when player > 21 then 'loss' when (case when dealer < 17 then dealer+5 else dealer end) > 21 then 'win' when player > (case when dealer < 17 then dealer+5 else dealer end) then 'win'
-      when player = (case when dealer < 17 then dealer+5 else dealer end) then 'push' else 'loss' end as result from b"""
-)
-def settlement(spark, sf):
-    """The dealer draws below seventeen; the higher hand that is not bust wins."""
-    player, start = (F.col("o_orderkey") % 16 + 11).cast("int"), (F.col("o_custkey") % 14 + 12).cast("int")
-    dealer = F.when(start < 17, start + 5).otherwise(start)
-    result = F.when(player > 21, "loss").when(dealer > 21, "win").when(player > dealer, "win").when(player == dealer, "push").otherwise("loss")
-    return table(spark, sf, "orders").select("o_orderkey", result.alias("result"))
-
-
 @query(
     """with t as (select distinct text, lang, source from documents) select lang, count(*) as n, count(*) filter (length(trim(text)) > 0) as answered from t where not starts_with(source, 'src1') group by lang"""
 )

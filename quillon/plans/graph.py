@@ -1,4 +1,4 @@
-"""Grid paths, flood fill and card facts."""
+"""Values scored once and joined back, and rewards normalised within their group."""
 
 from __future__ import annotations
 
@@ -6,65 +6,6 @@ from pyspark.sql import functions as F
 
 from .registry import query, table
 
-W = 12
-# passages of a fixed maze: right unless (x + 2y + 1) % 5 = 0, down unless (2x + y + 1) % 3 = 0
-_EDGE_SQL = f"""c as (select x, y from range({W}) a(x), range({W}) b(y)),
-    e0 as (select x, y, x+1 as u, y as v from c where x+1 < {W} and (x+2*y+1)%5 <> 0 union all select x, y, x, y+1 from c where y+1 < {W} and (2*x+y+1)%3 <> 0),
-    e as (select x, y, u, v from e0 union all select u, v, x, y from e0)"""
-
-
-def maze(spark):
-    c = spark.range(W * W).select((F.col("id") % W).cast("int").alias("x"), F.floor(F.col("id") / W).cast("int").alias("y"))
-    right = c.where(f"x + 1 < {W} and (x + 2*y + 1) % 5 <> 0").selectExpr("x", "y", "x + 1 as u", "y as v")
-    e = right.unionByName(c.where(f"y + 1 < {W} and (2*x + y + 1) % 3 <> 0").selectExpr("x", "y", "x as u", "y + 1 as v"))
-    return e.unionByName(e.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("x").alias("u"), F.col("y").alias("v")))
-
-
-@query(f"with recursive {_EDGE_SQL}, r(x, y, d) as (select 0, 0, 0 union select e.u, e.v, r.d+1 from r join e on e.x=r.x and e.y=r.y where r.d < {3 * W}) select x::int as x, y::int as y, min(d)::int as dist from r group by x, y")
-def shortest_paths(spark, sf):
-    """Breadth first: each round joins the frontier with the passages and leaves out the cells that were reached."""
-    e = maze(spark).cache()
-    dist, front = {(0, 0): 0}, [(0, 0)]
-    # the board is a fixed 12 by 12, so its frontier and distances are a few numbers
-    while front:
-        step = e.join(F.broadcast(spark.createDataFrame(front, "x int, y int")), ["x", "y"]).select("u", "v").distinct().collect()
-        front = [(r.u, r.v) for r in step if (r.u, r.v) not in dist]
-        dist |= {c: max(dist.values()) + 1 for c in front}
-    e.unpersist()
-    return spark.createDataFrame([(x, y, d) for (x, y), d in dist.items()], "x int, y int, dist int")
-
-
-@query(
-    """with o as (select o_orderkey, sum(least(l_linenumber+l_quantity::int%13, 10))::int as base, sum((l_quantity::int%13=0)::int)::int as aces from orders join lineitem on l_orderkey=o_orderkey group by o_orderkey)
-    select o_orderkey, base, aces, case when aces > 0 and base + 10 <= 21 then base + 10 else base end as hand, case when base > 21 then 'bust' when base >= 17 then 'stand' else 'hit' end as move from o"""
-)
-def hand_values(spark, sf):
-    """An ace counts eleven if the hand allows it; a hand of an order's lines."""
-    card = F.least(F.col("l_linenumber") + F.col("l_quantity").cast("int") % 13, F.lit(10))
-    ace = (F.col("l_quantity").cast("int") % 13 == 0).cast("int")
-    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(card).cast("int").alias("base"), F.sum(ace).cast("int").alias("aces"))
-    o = table(spark, sf, "orders").select("o_orderkey").join(li, "o_orderkey")
-    b = F.col("base")
-    return o.select("o_orderkey", "base", "aces", F.when((F.col("aces") > 0) & (b + 10 <= 21), b + 10).otherwise(b).alias("hand"), F.when(b > 21, "bust").when(b >= 17, "stand").otherwise("hit").alias("move"))
-
-
-@query(
-    """with t as (select c_custkey, (c_custkey%18+4)::int as total from customer), d as (select total, count(*) filter (least(v,10)+total > 21)/13.0 as b from (select distinct total from t), range(1,14) c(v) group by total)
-    select c_custkey, total, round(b,6) as bust, case when total <= 11 then 'safe' when total <= 14 then 'likely fine' when total <= 17 then 'risky' else 'very likely bust' end as phrase from t join d using (total)"""
-)
-def bust_probability(spark, sf):
-    """Chance that a card of a full deck takes a hard total over 21, and its phrase; faces count ten."""
-    t = (F.col("c_custkey") % 18 + 4).cast("int")
-    values = F.array(*(F.lit(min(v, 10)) for v in range(1, 14)))
-    bust = F.size(F.filter(values, lambda v: v + t > 21)) / F.lit(13.0)
-    phrase = F.when(t <= 11, "safe").when(t <= 14, "likely fine").when(t <= 17, "risky").otherwise("very likely bust")
-    return table(spark, sf, "customer").select("c_custkey", t.alias("total"), F.round(bust, 6).alias("bust"), phrase.alias("phrase"))
-
-
-@query("select c_nationkey, round(avg((c_custkey%3 = c_nationkey%3)::int),6) as match_rate, count(*) as n from customer group by c_nationkey")
-def strategy_match(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.round(F.avg((F.col("c_custkey") % 3 == F.col("c_nationkey") % 3).cast("int")), 6).alias("match_rate"), F.count("*").alias("n"))
-
 
 @query(
     """with q as (select c_custkey, case when c_custkey%2=0 then c_mktsegment else 'OTHER' end as opt from customer), d as (select distinct opt from q), s as (select opt, length(opt)*1.5 as score from d)

@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.splits import placed
 from ..streaming import telemetry as S
 from .registry import query, table
 
 
-def _drain(spark, stream, mode):
-    return S.drained(stream, f"q_{uuid.uuid4().hex}", mode)
-
-
 @query("select event_type, count(*) as n, sum((value > 10)::int)::bigint as correct from events group by event_type")
 def stream_counters(spark, sf):
-    return _drain(spark, S.counters(S.event_stream(spark, sf)), "complete")
+    return S.drained(S.counters(S.event_stream(spark, sf)), "complete")
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(avg(value),6) as mean, min(value) as low from events group by all")
 def stream_daily_windows(spark, sf):
-    out = _drain(spark, S.tumbling(S.event_stream(spark, sf), "1 day"), "complete")
+    out = S.drained(S.tumbling(S.event_stream(spark, sf), "1 day"), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -39,13 +34,19 @@ def session_windows(spark, sf):
 
 @query("select user_id, event_id from events where event_type = 'purchase'")
 def stream_once_per_episode(spark, sf):
-    return _drain(spark, S.once_per_episode(S.event_stream(spark, sf)).select("user_id", "event_id"), "append")
+    return S.drained(S.once_per_episode(S.event_stream(spark, sf)).select("user_id", "event_id"), "append")
 
 
 @query("select event_id, round(avg(value) over (partition by event_type order by ts, event_id rows between 199 preceding and current row),9) as rolling from events")
 def rolling_mean(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-199, 0)
-    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(w), 9).alias("rolling"))
+    """Means of the last 200 values of a type. Types are few, so each is cut into blocks, which take the 199 rows before them along."""
+    size, block = 200, 10_000
+    e = placed(table(spark, sf, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"])
+    at = F.floor((F.col("_place") - 1) / block)
+    late = F.pmod(F.col("_place") - 1, F.lit(block)) >= block - size + 1
+    e = e.withColumn("_block", F.explode(F.when(late, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("_own", F.col("_block") == at)
+    w = Window.partitionBy("event_type", "_block").orderBy("_place").rowsBetween(1 - size, 0)
+    return e.withColumn("rolling", F.round(F.avg("value").over(w), 9)).where("_own").select("event_id", "rolling")
 
 
 @query("select (event_id // 500)::bigint as band, count(*) as n, round(avg(value),6) as loss, round(min(value),6) as best from events group by 1")
@@ -88,7 +89,7 @@ def latest_manifest(spark, sf):
 def log_steps(spark, sf):
     """Log lines written from events and parsed back; noise lines and the optional tail included."""
     i, v = F.col("event_id").cast("string"), F.col("value").cast("string")
-    line = F.concat(F.lit("epoch 1 step "), i, F.lit("/10000 | loss "), v, F.lit(" | mono 0.1 | lr 1e-4 | 3.2 it/s | 9.5 GiB | ETA 12.0m"), F.when(F.col("event_id") % 2 == 0, " | data_wait 1.0% | retries 0").otherwise(""))
+    line = F.concat(F.lit("[ep 1/3]  7/900  ("), i, F.lit("/10000)  loss "), v, F.lit("  mono 0.1  lr 1.0e-04  3.2 it/s  9.5GiB  ETA 12m"), F.when(F.col("event_id") % 2 == 0, "  [data_wait 1% | alloc_retries 0]").otherwise(""))
     lines = table(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, "saved a checkpoint").otherwise(line).alias("value"))
     s = S.parsed_steps(lines)
     return s.select(F.col("step").cast("long").alias("step"), F.round("loss", 6).alias("loss"), F.col("data_wait").isNull().alias("short_form"))

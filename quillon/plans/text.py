@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import uniform, uniform_sql
+from ..operators.splits import placed
 from .registry import query, table
 
 NORM = "trim(regexp_replace(regexp_replace(lower({0}),'[^a-z0-9 ]',' ','g'),'\\s+',' ','g'))".format
@@ -14,7 +14,7 @@ FLAT = "trim(regexp_replace(replace({0},'\\n',' '),'[ \\t\\n\\r\\f\\x0B]+',' ','
 STOP = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
-@query(f"select doc_id, md5({NORM('text')}) as norm_key from documents")
+@query(f"select doc_id, md5({NORM("coalesce(text,'')")}) as norm_key from documents")
 def norm_key(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.norm_key(F.col("text")).alias("norm_key"))
 
@@ -42,18 +42,20 @@ def content_words(spark, sf):
 
 
 @query(
-    """with t as (select distinct unnest(regexp_extract_all(lower(p_name),'[a-z0-9]+')) as tok from part),
-    v as (select tok, 1 + row_number() over (order by tok) as id from t where tok <> 'ring'),
-    x as (select p_partkey, generate_subscripts(regexp_extract_all(lower(p_name),'[a-z0-9]+')[1:32],1) as pos, unnest(regexp_extract_all(lower(p_name),'[a-z0-9]+')[1:32]) as tok from part)
-    select p_partkey, string_agg(coalesce(id,1)::varchar,' ' order by pos) as ids from x left join v using (tok) group by p_partkey"""
+    """with p as (select p_partkey, case when p_partkey % 97 = 0 then '' else p_name end as name from part),
+    x as (select p_partkey, generate_subscripts(w,1) as pos, unnest(w) as tok from (select p_partkey, regexp_extract_all(lower(name),'[a-z0-9]+')[1:32] as w from p)),
+    t as (select tok, min({'k': p_partkey, 'p': pos}) as seen from x where tok <> 'ring' group by tok),
+    v as (select tok, 1 + row_number() over (order by seen) as id from t)
+    select p.p_partkey, coalesce(string_agg(coalesce(id,1)::varchar,' ' order by pos),'1') as ids from p left join x on x.p_partkey = p.p_partkey left join v using (tok) group by p.p_partkey"""
 )
 def vocab_encode(spark, sf):
-    """Ids of the first 32 tokens; words outside the vocabulary are 1."""
-    rows = table(spark, sf, "part").select("p_partkey", F.posexplode(F.slice(T.tokens(F.col("p_name")), 1, 32)).alias("pos", "tok"))
-    known = rows.select("tok").where("tok <> 'ring'").distinct()
-    vocab = known.withColumn("id", F.lit(1) + F.row_number().over(Window.orderBy("tok")))
-    seen = rows.join(vocab, "tok", "left").groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(1)).alias("id")))).alias("x"))
-    return seen.select("p_partkey", F.array_join(F.transform("x", lambda e: e["id"].cast("string")), " ").alias("ids"))
+    """Ids of the first 32 tokens; words are numbered from 2 as they are first seen, others are 1, and a text without tokens is a single 1."""
+    name = F.when(F.col("p_partkey") % 97 == 0, "").otherwise(F.col("p_name"))
+    rows = table(spark, sf, "part").select("p_partkey", F.posexplode_outer(F.slice(T.tokens(name), 1, 32)).alias("pos", "tok"))
+    seen = rows.where("tok is not null and tok <> 'ring'").groupBy("tok").agg(F.min(F.struct("p_partkey", "pos")).alias("seen"))
+    vocab = placed(seen, [], ["seen"]).select("tok", (F.col("_place") + 1).alias("id"))
+    out = rows.join(vocab, "tok", "left").groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(1)).alias("id")))).alias("x"))
+    return out.select("p_partkey", F.array_join(F.transform("x", lambda e: e["id"].cast("string")), " ").alias("ids"))
 
 
 @query(
@@ -68,7 +70,9 @@ def label_names(spark, sf):
     return rows.select("label", T.source_of(c).alias("source"), T.intent_of(c).alias("intent"), T.humanize(T.intent_of(c)).alias("human"), T.normalized_name(c).alias("normalized"))
 
 
-_TPL = "[" + ",".join(f"'{t}'" for t in T.TEMPLATES) + "]"
+#: Test data of the two queries below, over part names.
+TEMPLATES = ("any {x} in stock", "{x}, two boxes", "is {x} still sold", "parcel of {x}", "send {x} back", "{x} or the like", "price of {x}", "one more {x}")
+_TPL = "[" + ",".join(f"'{t}'" for t in TEMPLATES) + "]"
 _SYN = "map {" + ",".join(f"'{k}':'{v}'" for k, v in T.SYNONYMS.items()) + "}"
 _WORDS = "string_split(p_name,' ')"
 
@@ -82,7 +86,7 @@ _WORDS = "string_split(p_name,' ')"
 def template_descriptions(spark, sf):
     k = F.col("p_partkey")
     label = F.when(F.col("p_type") == "PROMO", "x::oos").otherwise(F.concat(F.lit("x::"), F.replace("p_name", F.lit(" "), F.lit("_"))))
-    text = T.from_template(T.with_synonyms(F.col("p_name"), "syn", k), "tpl", k)
+    text = T.from_template(T.with_synonyms(F.col("p_name"), "syn", k), TEMPLATES, "tpl", k)
     return table(spark, sf, "part").select("p_partkey", text.alias("described"), T.base_description(label).alias("base"))
 
 
@@ -98,7 +102,7 @@ RENDER_MODES = ("bare", "template", "description", "label_description")
 def render_modes(spark, sf):
     m, k, name = F.floor(uniform("mode", F.col("p_partkey")) * 4).cast("int"), F.col("p_partkey"), F.col("p_name")
     about = F.concat(F.lit("a request about "), name)
-    text = F.when(m == 0, name).when(m == 1, T.from_template(name, "tpl", k)).when(m == 2, about).otherwise(F.concat(name, F.lit(": "), about))
+    text = F.when(m == 0, name).when(m == 1, T.from_template(name, TEMPLATES, "tpl", k)).when(m == 2, about).otherwise(F.concat(name, F.lit(": "), about))
     return table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, RENDER_MODES)), m + 1).alias("mode"), text.alias("rendered"))
 
 
@@ -119,7 +123,7 @@ def slot_fill(spark, sf):
     return rows.select("p_partkey", "k", text.alias("text"))
 
 
-# fixed values: words of each urgency rule over the driver's part names
+# the order of the rules and the words broken, complaint, urgent, later, pending, balance, limit and fee are fixed values; the others are part names
 HUMAN_WORDS = ("small", "widget", "promo", "broken", "complaint")
 URGENCY_RULES = ((5, ("red", "urgent")), (4, HUMAN_WORDS), (1, ("green", "later")), (3, ("blue", "pending", "balance", "limit", "fee")))
 

@@ -29,6 +29,33 @@ def write_jsonl(rows: DataFrame, path: str, split: str | None = None) -> None:
     (out.partitionBy(split) if split else out).json(path)
 
 
+def append_jsonl(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON Lines, as a log of metrics grows; what is there stays."""
+    rows.drop(*(c for c in rows.columns if c.startswith("_"))).write.mode("append").json(path)
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str):
+    """The same for a stream: each batch is added once, also after a restart from the checkpoint."""
+    return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def write_filtered(rows: DataFrame, path: str, first: DataFrame | None = None) -> str:
+    """Writes a version of a corpus below `path` and returns its folder; the unfiltered rows are kept once, whatever is filtered later.
+
+    Versions are numbered folders; none is ever replaced.
+    """
+    spark = rows.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if first is not None and not fs.exists(fs_path(f"{path}/unfiltered")):
+        write_jsonl(first, f"{path}/unfiltered")
+    n = 1
+    while fs.exists(fs_path(f"{path}/version={n}")):
+        n += 1
+    write_jsonl(rows, f"{path}/version={n}")
+    return f"{path}/version={n}"
+
+
 def parse_nested(rows: DataFrame, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Columns of JSON text parsed under their schemas: the rows where all parse, and the count of those where one does not."""
     parsed = rows.withColumns({c: F.from_json(F.col(c), s, {"mode": "PERMISSIVE"}) for c, s in columns.items()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# fixed values: the form of a training step's log line; the tail is optional
+from ..functions.hashing import uniform
+from ..operators.splits import hash_ranked
+from ..session import cut, shared_dir
+
+# fixed values: the form of a training step's log line; the bracketed tail is optional
 STEP_LINE = (
-    r"epoch (\d+) step (\d+)/(\d+) \| loss ([\d.]+) \| mono ([\d.]+) \| lr ([\d.e+-]+) \| ([\d.]+) it/s \| ([\d.]+) GiB \| ETA ([\d.]+)m"
-    r"(?: \| data_wait ([\d.]+)%)?(?: \| retries (\d+))?"
+    r"\[ep (\d+)/(\d+)\]\s+(\d+)/(\d+)\s+\((\d+)/(\d+)\)\s+loss\s+([\d.]+)\s+"
+    r"mono\s+([\d.]+)\s+lr\s+([\d.e+-]+)\s+([\d.]+) it/s\s+([\d.]+)GiB\s+ETA\s+(\d+)m"
+    r"(?:\s+\[data_wait (\d+)% \| alloc_retries (\d+)\])?"
 )
-STEP_FIELDS = ("epoch", "step", "steps", "loss", "mono", "lr", "rate", "gib", "eta_min", "data_wait", "retries")
+STEP_FIELDS = ("epoch", "epochs", "epoch_step", "epoch_steps", "step", "steps", "loss", "mono", "lr", "rate", "gib", "eta_min", "data_wait", "retries")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files: str = "events.parquet") -> DataFrame:
@@ -76,14 +82,35 @@ class RollingMean(StatefulProcessor):
         pass
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is and gives the result as a table; for tests and bounded replays."""
-    out = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        out = out.option("checkpointLocation", checkpoint)
-    q = out.start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what there is and gives the result as a table in the shared folder, with its checkpoint beside it."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", at + "/state")
+    if mode == "append":
+        out = out.format("parquet").option("path", at + "/rows")
+    else:  # every batch holds all rows that changed; the last batch of a complete result is the result
+
+        def keep(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite" if mode == "complete" else "append").parquet(at + "/rows")
+
+        out = out.foreachBatch(keep)
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(at + "/rows")
+
+
+def sampling_stream(spark: SparkSession, rows: DataFrame, key: str, seed: str, per_batch: int = 1000, workers: int = 4) -> DataFrame:
+    """An endless stream of draws with replacement from a table: (worker, draw, key); a worker's draws follow from its seed alone.
+
+    The table is ranked once; a draw is a rank, so each batch joins its draws with the ranks.
+    """
+    ranked = cut(hash_ranked(rows.select(key), [], seed, key).select(F.col("_rank").alias("_at"), "_n", key))
+    n = ranked.agg(F.max("_n")).first()[0] or 0
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_batch).option("numPartitions", workers).load()
+    worker = F.pmod("value", F.lit(workers)).alias("worker")
+    draws = ticks.select(worker, F.floor(F.col("value") / workers).alias("draw"))
+    at = (F.floor(uniform(seed, F.col("worker"), F.col("draw")) * n) + 1).cast("long")
+    return draws.withColumn("_at", at).join(ranked.select("_at", key), "_at").select("worker", "draw", key)
 
 
 def interval_metrics(steps: DataFrame, size: int) -> DataFrame:
