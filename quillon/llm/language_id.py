@@ -10,8 +10,10 @@ sent to the tasks as a broadcast of fixed size.
 Every row gets a learned language; a text that is null or has no letter gets
 `und` and score 0. Rows below the threshold are marked rejected: the threshold
 is the score that all but a small share of the rightly told left-out rows
-reach, one half at most, so clean rows stay, and above an even share, so that
-a text unlike all languages goes. With no labelled rows nothing can be learned:
+reach, one half at most, so clean rows stay, and above an even share. A text
+whose subwords are rarer in the sample than those of any left-out row, by half
+of what lies between the rarest and the middle one, is rejected too: it is of
+no learned language, whatever the softmax makes of it. With no labelled rows nothing can be learned:
 every row is `und` and none is rejected. An empty table gives an empty result. Repeated rows are scored alike; extra columns are not
 read.
 """
@@ -41,16 +43,19 @@ _letter = regex.compile(r"\p{L}").search
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # (2^bits, languages): embedding times output layer
+    table: np.ndarray  # (2^bits, languages + 1): embedding times output layer, and the logarithm of the bucket's share in the sample
     bias: np.ndarray
     temperature: float
     threshold: float
+    usual: float  # the mean of the last column that a text of a learned language has at least
 
-    def scores(self, text: bytes) -> np.ndarray:
+    def judged(self, text: bytes) -> tuple[np.ndarray, bool]:
+        """Probabilities of the languages, and whether the text is rejected."""
         total, n = mean_score(self.table, features(text))
-        z = total / n + self.bias
+        z = total[:-1] / n + self.bias
         z = np.exp((z - z.max()) / self.temperature)
-        return z / z.sum()
+        p = z / z.sum()
+        return p, bool(p.max() < self.threshold or total[-1] / n < self.usual)
 
 
 def features(text: bytes) -> Iterator[np.ndarray]:
@@ -64,7 +69,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_
     if not pairs:
         return None
     names = sorted({y for _, y in pairs})
-    rows, y = sparse([np.concatenate(list(features(t))) for t, _ in pairs]), np.array([names.index(v) for _, v in pairs])
+    found = [np.concatenate(list(features(t))) for t, _ in pairs]
+    rows, sizes, y = sparse(found), [len(x) for x in found], np.array([names.index(v) for _, v in pairs])
+    del found
     test = np.arange(len(rows)) % LEFT_OUT == LEFT_OUT - 1
     rng = np.random.default_rng(3)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
@@ -85,6 +92,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_
         bias -= 0.1 * rate * p
         embed[i] -= rate * 10 * np.outer(x, back)
     table = embed @ out
+    held = np.full(1 << BITS, 0.1)  # what a bucket that the sample lacks counts
+    for k in order:
+        held[rows[k][0]] += rows[k][1] * sizes[k]
+    share = np.log(held / held.sum()).astype(np.float32)
     left = np.flatnonzero(test) if test.any() else np.arange(len(rows))
     z = np.array([x @ table[i] for i, x in (rows[k] for k in left)]) + bias
     temperature = min((float(t) for t in np.geomspace(0.1, 10, 60)), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(left)), y[left]] + 1e-12).sum())
@@ -93,7 +104,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_
     reached = right[int(REJECT_SHARE * len(right))] if len(right) else 0.0
     # no largest probability lies below an even share
     threshold = max(min(0.5, float(reached)), min(1.0, EVEN_SHARES / len(names)))
-    return LanguageModel(names, table.astype(np.float32), bias, temperature, threshold if len(names) > 1 else 0.0)
+    typical = np.array([float(x @ share[i]) for i, x in (rows[k] for k in left)])
+    usual = float(typical.min() - (np.median(typical) - typical.min()) / 2)
+    return LanguageModel(names, np.column_stack([table, share]).astype(np.float32), bias, temperature, threshold if len(names) > 1 else 0.0, usual)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -112,10 +125,10 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
             names, scores, rejected = [], [], []
             for text in utf8(b.column(1)):
                 known = m is not None and _letter(text.decode()) is not None
-                p = m.scores(text) if known else None
+                p, out = m.judged(text) if known else (None, True)
                 names.append(m.languages[int(p.argmax())] if known else UNKNOWN)
                 scores.append(float(p.max()) if known else 0.0)
-                rejected.append(m is not None and (not known or scores[-1] < m.threshold))
+                rejected.append(m is not None and out)
             columns = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "lang_pred", "score", "rejected"])
 
@@ -133,7 +146,7 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, text_col: str = "te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            ok = [_letter(t.decode()) is not None and float(m.scores(t).max()) >= m.threshold for t in utf8(b.column(at))]
+            ok = [_letter(t.decode()) is not None and not m.judged(t)[1] for t in utf8(b.column(at))]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return arrow_scan(docs, scan, docs.schema)
