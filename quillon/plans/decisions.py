@@ -146,23 +146,24 @@ def order_flip_rate(spark, sf):
     return x.agg(F.count("*").alias("n"), F.round(F.avg((F.col("a") != (F.col("b") + 5) % 10).cast("int")), 6).alias("flip_rate"))
 
 
-B = 200
+B = 2000
+# how often a resample holds a row: Poisson(1), by its distribution function
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
 @query(
-    f"""with {REC}, n as (select vec_id, correct, row_number() over (order by vec_id) - 1 as i, count(*) over () as n from rec),
-    d as (select b, floor({uniform_sql('boot', 'b', 'j')}*n)::bigint as i from (select distinct n from n), range({B}) x(b), range(n) y(j)),
-    m as (select b, avg(correct) as a from d join n using (i) group by b)
+    f"""with {REC}, d as (select b, correct, {uniform_sql('boot', 'b', 'vec_id')} as u from rec, range({B}) x(b)),
+    w as (select b, correct, {' + '.join(f'(u >= {t!r})::int' for t in POISSON)} as w from d),
+    m as (select b, sum(w*correct)/sum(w) as a from w group by b having sum(w) > 0)
     select round(quantile_cont(a,0.025),6) as lo, round(quantile_cont(a,0.975),6) as hi from m"""
 )
 def bootstrap_interval(spark, sf):
-    """Resamples by hashed draws; rows get numbers so that a draw is a key."""
+    """Percentiles of 2000 Poisson resamples: how often a row is in a resample is hashed, so rows need no numbers and meet no others."""
     rows = records(spark, sf).select("vec_id", "correct")
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")) - 1)
-    n = rows.count()
-    draws = spark.range(B).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("j"))
-    draws = draws.select("b", F.floor(uniform("boot", F.col("b"), F.col("j")) * n).cast("int").alias("i"))
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("correct").alias("a"))
+    draws = rows.select("correct", "vec_id", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b"))
+    u = uniform("boot", F.col("b"), F.col("vec_id"))
+    draws = draws.select("b", "correct", u.alias("u")).withColumn("w", sum(((F.col("u") >= t).cast("int") for t in POISSON[1:]), (F.col("u") >= POISSON[0]).cast("int")))
+    means = draws.groupBy("b").agg((F.sum(F.col("w") * F.col("correct")) / F.sum("w")).alias("a")).where("a is not null")
     return means.agg(F.round(F.percentile("a", 0.025), 6).alias("lo"), F.round(F.percentile("a", 0.975), 6).alias("hi"))
 
 
@@ -304,25 +305,6 @@ def modality_sweep(spark, sf):
     return records(spark, sf).withColumn("mode", m).groupBy("family").pivot("mode", ["text_only", "vector_only", "both"]).agg(F.round(F.avg("correct"), 6))
 
 
-@query(
-    f"""with ev as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
-    g as (select label, vec_id % 3 as part, i, avg(v[i]) as a from ev, range(1,65) r(i) group by all),
-    c as (select label, part, list(a order by i) as c from g group by all),
-    u as (select label, part, list_transform(c, lambda x: x/sqrt(list_dot_product(c,c))) as c from c),
-    t as (select e.vec_id, u.label, max(list_dot_product(e.v,u.c)/sqrt(list_dot_product(e.v,e.v))) as m, avg(list_dot_product(e.v,u.c)/sqrt(list_dot_product(e.v,e.v))) as a from ev e, u where vec_id % 10 = 0 group by all)
-    select vec_id, label, round(m,6) as max_sim, round(a,6) as mean_sim from t"""
-)
-def late_interaction(spark, sf):
-    """Best and mean cosine of a vector with the part means of each label; the means are one broadcast row."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", P.doubles(F.col("embedding")).alias("v"))
-    g = e.select("label", (F.col("vec_id") % 3).alias("part"), F.posexplode("v").alias("i", "x")).groupBy("label", "part", "i").agg(F.avg("x").alias("a"))
-    c = g.groupBy("label", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("c"))
-    bank = c.groupBy("label").agg(F.collect_list("c").alias("parts")).agg(F.collect_list(F.struct("label", "parts")).alias("bank"))
-    x = e.where("vec_id % 10 = 0").select("vec_id", "v").crossJoin(F.broadcast(bank)).select("vec_id", "v", F.explode("bank").alias("b"))
-    s = F.transform("b.parts", lambda q: P.cosine(F.col("v"), q))
-    return x.select("vec_id", F.col("b.label").alias("label"), F.round(F.array_max(s), 6).alias("max_sim"), F.round(P.total(s) / F.size(s), 6).alias("mean_sim"))
-
-
 @query(
     f"""with ev as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
     g as (select label, vec_id % 3 as part, i, avg(v[i]) as a from ev, range(1,65) r(i) group by all),
@@ -331,8 +313,8 @@ def late_interaction(spark, sf):
     t as (select e.vec_id, u.label, max(list_dot_product(e.v,u.c)/sqrt(list_dot_product(e.v,e.v))) as m, avg(list_dot_product(e.v,u.c)/sqrt(list_dot_product(e.v,e.v))) as a from ev e, u group by all)
     select vec_id, label, round(m,6) as max_sim, round(a,6) as mean_sim from t"""
 )
-def late_interaction_all(spark, sf):
-    """`late_interaction` for every vector."""
+def late_interaction(spark, sf):
+    """Best and mean cosine of every vector with the part means of each label; the means are one broadcast row."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", P.doubles(F.col("embedding")).alias("v"))
     g = e.select("label", (F.col("vec_id") % 3).alias("part"), F.posexplode("v").alias("i", "x")).groupBy("label", "part", "i").agg(F.avg("x").alias("a"))
     c = g.groupBy("label", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("c"))

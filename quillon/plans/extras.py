@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as P
 from ..functions import text as T
 from ..functions.hashing import digest_sql, uniform, uniform_sql
+from ..operators.splits import placed
 from .decisions import REC, records
 from .registry import query, table
 
@@ -23,23 +24,11 @@ def phrase_buckets(spark, sf):
 
 
 @query(
-    """with p as (select list(distinct p_name order by p_name) as pool from part), o as (select p_brand, list(distinct p_name order by p_name) as own from part where p_partkey % 3 = 0 group by p_brand)
+    """with p as (select list(distinct p_name order by p_name) as pool from part), o as (select p_brand, list(distinct p_name order by p_name) as own from part group by p_brand)
     select p_brand, len(list_filter(pool, lambda x: not list_contains(own, x)))::int as n, list_filter(pool, lambda x: not list_contains(own, x))[1] as first from o, p"""
 )
 def foreign_without_own(spark, sf):
     """The pool less the options that are there already; the pool is a catalogue in one broadcast row."""
-    pool = table(spark, sf, "part").agg(F.array_sort(F.collect_set("p_name")).alias("pool"))
-    own = table(spark, sf, "part").where("p_partkey % 3 = 0").groupBy("p_brand").agg(F.collect_set("p_name").alias("own"))
-    rest = F.array_except("pool", "own")
-    return own.crossJoin(F.broadcast(pool)).select("p_brand", F.size(rest).alias("n"), F.try_element_at(rest, F.lit(1)).alias("first"))
-
-
-@query(
-    """with p as (select list(distinct p_name order by p_name) as pool from part), o as (select p_brand, list(distinct p_name order by p_name) as own from part group by p_brand)
-    select p_brand, len(list_filter(pool, lambda x: not list_contains(own, x)))::int as n, list_filter(pool, lambda x: not list_contains(own, x))[1] as first from o, p"""
-)
-def foreign_without_own_all(spark, sf):
-    """`foreign_without_own` with all names of a brand as its own."""
     names = table(spark, sf, "part").select("p_brand", "p_name")
     pool = names.agg(F.array_sort(F.collect_set("p_name")).alias("pool"))
     rest = F.array_except("pool", "own")
@@ -81,10 +70,11 @@ def pairwise_zip(spark, sf):
     return of("user", "asked").join(of("assistant", "answered"), ["conv_id", "k"])
 
 
-@query("select row_number() over (order by n_chars, doc_id)::int as place, doc_id from (select n_chars, doc_id from documents order by n_chars, doc_id limit 200)")
+@query("select row_number() over (order by n_chars, doc_id) as place, doc_id from documents")
 def length_order(spark, sf):
-    head = table(spark, sf, "documents").select("n_chars", "doc_id").orderBy("n_chars", "doc_id").limit(200)
-    return head.select(F.row_number().over(Window.orderBy("n_chars", "doc_id")).alias("place"), "doc_id")
+    """The packing order: every row's place by length."""
+    rows = placed(table(spark, sf, "documents").select("n_chars", "doc_id"), [], ["n_chars", "doc_id"])
+    return rows.select(F.col("_place").alias("place"), "doc_id")
 
 
 @query(

@@ -48,24 +48,6 @@ def foreign_pool(spark, sf):
     return own.crossJoin(F.broadcast(t)).select("source", (F.col("all") - F.col("n")).alias("pool"), (F.col("labels") - F.col("only")).alias("labels"))
 
 
-@query(
-    f"""with s as (select distinct p_brand as source, p_name as label from part), q as (select p_partkey, p_brand, p_name from part where p_partkey % 50 = 0),
-    h as (select p_partkey, 'same' as kind, label, row_number() over (partition by p_partkey order by {digest_sql('hard', 'p_partkey', 'label')}, label) as r from q join s on s.source = q.p_brand and s.label <> q.p_name),
-    g as (select distinct label from s), a as (select p_partkey, 'any' as kind, g.label, row_number() over (partition by p_partkey order by {digest_sql('any', 'p_partkey', 'g.label')}, g.label) as r from q, g
-      where g.label <> q.p_name and not exists (select 1 from h where h.p_partkey = q.p_partkey and h.label = g.label and h.r <= 4))
-    select p_partkey, kind, label from h where r <= 4 union all select p_partkey, kind, label from a where r <= 3"""
-)
-def hard_negatives(spark, sf):
-    """Four other labels of the same source and three of any, for a fixed share of the rows; the catalogue is broadcast."""
-    q = table(spark, sf, "part").where("p_partkey % 50 = 0").select("p_partkey", "p_brand", "p_name")
-    s = table(spark, sf, "part").select(F.col("p_brand").alias("b"), F.col("p_name").alias("label")).distinct()
-    rank = lambda seed: F.row_number().over(Window.partitionBy("p_partkey").orderBy(digest(seed, F.col("p_partkey"), F.col("label")), "label"))
-    same = q.join(s, F.col("b") == F.col("p_brand")).where("label <> p_name").withColumn("r", rank("hard")).where("r <= 4").select("p_partkey", F.lit("same").alias("kind"), "label")
-    bank = F.broadcast(s.select("label").distinct())
-    rest = q.join(bank, F.col("label") != F.col("p_name")).join(same.select("p_partkey", "label"), ["p_partkey", "label"], "left_anti")
-    return same.unionByName(rest.withColumn("r", rank("any")).where("r <= 3").select("p_partkey", F.lit("any").alias("kind"), "label"))
-
-
 def drawn_ranks(seed: str, key: Column, n: Column, taken: Column, k: int) -> Column:
     """Up to k ranks of 0..n-1, uniformly and without repeats, none of them in `taken`; fewer if there are not so many."""
     left = lambda t: n - F.size(t)
@@ -77,8 +59,8 @@ def drawn_ranks(seed: str, key: Column, n: Column, taken: Column, k: int) -> Col
 
 
 @query()
-def hard_negatives_all(spark, sf):
-    """`hard_negatives` for every row: ranks of the catalogue are drawn without repeats and joined by equality, so no row meets all labels."""
+def hard_negatives(spark, sf):
+    """Four other labels of the same source and three of any for every row: ranks of the catalogue are drawn without repeats and joined by equality, so no row meets all labels."""
     q = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name").where("p_name is not null")
     s = q.select(F.col("p_brand").alias("b"), F.col("p_name").alias("label")).distinct()
     place = lambda rows, by, seed: S.hash_ranked(rows, by, seed, "label").select(*by, "label", (F.col("_rank") - 1).alias("pos"), "_n")
@@ -147,29 +129,14 @@ def build_subset(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.size(opts).alias("n"), (F.array_position(opts, truth) - 1).cast("int").alias("answer_idx"))
 
 
-@query(
-    """with r as (select 'paraphrase/all' as grp, item_id as id, 'bool' as qtype, item_id%2 as answer_idx from benchmark union all
-      select 'oos/all', doc_id, 'bool', (lang='en')::int from documents where doc_id%2=0 union all select 'score/orders', o_orderkey, 'score', substr(o_orderpriority,1,1)::int-1 from orders where o_orderkey%10=0)
-    select grp, qtype, count(*) as n, sum(answer_idx)::bigint as checksum, split_part(grp,'/',1) in ('paraphrase','score') as selected from r group by all"""
-)
-def validation_suite(spark, sf):
-    """Named groups in one long table, and whether a group's family takes part in model selection."""
-    one = lambda t, g, i, q, a: t.select(F.lit(g).alias("grp"), i.cast("long").alias("id"), F.lit(q).alias("qtype"), a.cast("int").alias("answer_idx"))
-    r = one(table(spark, sf, "benchmark"), "paraphrase/all", F.col("item_id"), "bool", F.col("item_id") % 2)
-    r = r.unionByName(one(table(spark, sf, "documents").where("doc_id % 2 = 0"), "oos/all", F.col("doc_id"), "bool", F.col("lang") == "en"))
-    r = r.unionByName(one(table(spark, sf, "orders").where("o_orderkey % 10 = 0"), "score/orders", F.col("o_orderkey"), "score", F.substring("o_orderpriority", 1, 1).cast("int") - 1))
-    family = F.split_part("grp", F.lit("/"), F.lit(1))
-    return r.groupBy("grp", "qtype").agg(F.count("*").alias("n"), F.sum("answer_idx").alias("checksum")).withColumn("selected", family.isin("paraphrase", "score"))
-
-
 @query(
     f"""with r as (select 'paraphrase/all' as grp, item_id as id, 'bool' as qtype, item_id%2 as answer_idx from benchmark union all
       select 'oos/all', doc_id, 'bool', (lang='en')::int from documents union all select 'score/orders', o_orderkey, 'score', substr(o_orderpriority,1,1)::int-1 from orders),
     t as (select * from r qualify row_number() over (partition by grp order by {digest_sql('suite', 'id')}, id) <= 500)
     select grp, qtype, count(*) as n, sum(answer_idx)::bigint as checksum, split_part(grp,'/',1) in ('paraphrase','score') as selected from t group by all"""
 )
-def validation_suite_taken(spark, sf):
-    """`validation_suite` with a seeded take of 500 of each group out of all its rows."""
+def validation_suite(spark, sf):
+    """Named groups in one long table, a seeded take of 500 of each, and whether a group's family takes part in model selection."""
     one = lambda t, g, i, q, a: table(spark, sf, t).select(F.lit(g).alias("grp"), i.cast("long").alias("id"), F.lit(q).alias("qtype"), a.cast("int").alias("answer_idx"))
     r = one("benchmark", "paraphrase/all", F.col("item_id"), "bool", F.col("item_id") % 2)
     r = r.unionByName(one("documents", "oos/all", F.col("doc_id"), "bool", F.col("lang") == "en"))

@@ -5,13 +5,13 @@ import collections
 from quillon import plans
 
 
-def test_hard_negatives_all(spark, sf):
+def test_hard_negatives(spark, sf):
     rows = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     own, every = collections.defaultdict(set), {r.p_name for r in rows.values()}
     for r in rows.values():
         own[r.p_brand].add(r.p_name)
     got = collections.defaultdict(list)
-    for r in plans.QUERIES["hard_negatives_all"](spark, sf).collect():
+    for r in plans.QUERIES["hard_negatives"](spark, sf).collect():
         got[r.p_partkey, r.kind].append(r.label)
     for k, r in rows.items():
         same, other = got[k, "same"], got[k, "any"]
@@ -35,10 +35,10 @@ def test_drawn_ranks(spark):
 
 def test_other_tables_are_whole(spark, sf):
     n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
-    assert plans.QUERIES["late_interaction_all"](spark, sf).select("vec_id").distinct().count() == n
+    assert plans.QUERIES["late_interaction"](spark, sf).select("vec_id").distinct().count() == n
     own = collections.defaultdict(set)
     for r in spark.read.parquet(f"{sf}/part.parquet").collect():
         own[r.p_brand].add(r.p_name)
-    assert all(r["first"] not in own[r.p_brand] for r in plans.QUERIES["foreign_without_own_all"](spark, sf).collect())
-    suite = {r.grp: r.n for r in plans.QUERIES["validation_suite_taken"](spark, sf).collect()}
+    assert all(r["first"] not in own[r.p_brand] for r in plans.QUERIES["foreign_without_own"](spark, sf).collect())
+    suite = {r.grp: r.n for r in plans.QUERIES["validation_suite"](spark, sf).collect()}
     assert suite == {g: min(500, spark.read.parquet(f"{sf}/{t}.parquet").count()) for g, t in (("paraphrase/all", "benchmark"), ("oos/all", "documents"), ("score/orders", "orders"))}
