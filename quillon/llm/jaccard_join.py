@@ -20,10 +20,13 @@ The distance 1 - J is a metric; sets are linked within a radius of 1/4.
 3. Recursion. A region above a size chooses several pivots among its members.
    Each member goes to the Voronoi cell of its nearest one, and is replicated
    to any cell whose pivot is farther by two radii at most, where alone it can
-   have links; the cells are treated as regions again. Where members are all
-   equally far from each other the cells do not shrink. Such a region is joined
-   by the shingles that are rare within it, under the same bounds.
-4. Cells of a bounded size are compared exactly by an index of their shingles.
+   have links; the cells are treated as regions again. Where all members are
+   about as far from each other, as in a large group of near copies, the cells
+   do not shrink, and the region is left whole.
+4. Cells of a bounded size are compared exactly by an index of their shingles:
+   each member outside the radius with the members whose distance allows it.
+   Regions left whole are compared in the same way, blocks of their members
+   outside the radius with blocks of all.
 
 Frequent shingles are found by counting over all sets, in two passes: the
 shingles of the lower part of the hash range, then all others of the sets whose
@@ -60,6 +63,8 @@ BROADCAST_IDS = 2_000_000
 SEEN = 100_000
 SALT = 16  # tasks that the holders of one frequent shingle are dealt to
 LEAF, DEPTH, PIVOTS = 256, 4, 16
+#: Shingles of a leaf; and of the open and of all members in a block, about.
+LEAF_SHINGLES, OPEN_SHINGLES, BLOCK_SHINGLES = 1 << 20, 1 << 17, 1 << 19
 
 
 def linked(common, a, b):
@@ -349,8 +354,8 @@ def _links(measured: DataFrame) -> DataFrame:
 
 def _settle(cells: DataFrame, sets: DataFrame, leaf: int, depth: int) -> list[DataFrame]:
     """Links of cells (cell, id, n, d, open, home) between members of which one at least is open (outside the radius) and one at home."""
-    sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("size"), F.max("open").alias("any")).where("any and size > 1").select("cell", "size"))
-    above = maybe_broadcast(cut(sizes.where(F.col("size") > leaf)), BROADCAST_IDS // 20)
+    sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("open").alias("any")).where("any and size > 1").select("cell", "size", "weight"))
+    above = maybe_broadcast(cut(sizes.where((F.col("size") > leaf) | (F.col("weight") > LEAF_SHINGLES)).select("cell", "size")), BROADCAST_IDS // 20)
     out = [_in_leaves(cells.join(above, "cell", "left_anti").join(sizes.select("cell"), "cell", "left_semi"), sets)]
     big = cut(cells.join(above, "cell"))  # a region of any size is not shuffled by its name
     if big.isEmpty():
@@ -360,7 +365,7 @@ def _settle(cells: DataFrame, sets: DataFrame, leaf: int, depth: int) -> list[Da
         inner, stuck, links = _voronoi(big, sets, leaf)
         out += [links, *_settle(inner, sets, leaf, depth - 1)]
     if not stuck.isEmpty():
-        out.append(_links(_measured(stored(_by_shingles(stuck, sets)), sets)))
+        out.append(_in_blocks(stuck, sets))
     return out
 
 
@@ -402,11 +407,12 @@ def _in_leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_scan(rows, run, "a binary, b binary")
 
 
-def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray], others: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Linked pairs of an open member and another one (of `others`, if given) whose distances to the pivot allow it."""
     if len(of) < 2 or not open_.any():
         return
     n = np.array([len(x) for x in of])
-    if len(of) == 2:
+    if len(of) == 2 and others is None:
         if (home.any()) and abs(d[0] - d[1]) <= RADIUS + 1e-9 and linked(_among(of[0], of[1]).sum(), n[0], n[1]):
             yield 0, 1
         return
@@ -422,32 +428,33 @@ def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.
         k = np.bincount(hit, minlength=len(of))
         ok = linked(k, n[r], n) & (np.abs(d - d[r]) <= RADIUS + 1e-9) & (home | home[r])
         ok[r] = False
+        if others is not None:
+            ok &= others
         yield from ((int(r), int(q)) for q in np.flatnonzero(ok))
 
 
-def _by_shingles(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of regions that pivots do not divide, which share a shingle among the deciding ones in the order of the region, rare ones first."""
+def _in_blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Compares the open members of a region of any size with all its members: a block of these with a block of those, in tasks of bounded size."""
+    lots = lambda weight, each: F.greatest(F.lit(1), F.ceil(weight / each)).cast("int")
+    count = cells.groupBy("cell").agg(lots(F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)), OPEN_SHINGLES).alias("p"), lots(F.sum("n"), BLOCK_SHINGLES).alias("q"))
+    rows = cells.join(maybe_broadcast(cut(count), BROADCAST_IDS // 20), "cell").select("cell", "id", "d", "open", "home", "p", "q")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.where("open").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", every("q")).withColumn("role", F.lit(0))
+    b = rows.withColumn("j", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("q")).cast("int")).withColumn("i", every("p")).withColumn("role", F.lit(1))
+    both = a.unionByName(b).select(F.xxhash64("cell", "i", "j").alias("block"), "id", "d", "open", "home", "role").join(sets, "id")
+    both = both.select("block", "id", "d", "open", "home", "role", "set").repartition(shuffle_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "role")
+    return arrow_scan(both, _block_links, "a binary, b binary")
 
-    def run(batches):
-        for b in batches:
-            of = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
-            n = [len(x) for x in of]
-            rows = np.repeat(np.arange(len(of)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), _longs(of)], ["cell", "id", "s"])
-
-    spread = arrow_scan(cells.select("cell", "id").join(sets, "id").select("cell", "id", "set"), run, "cell binary, id binary, s bigint" if cells.schema["cell"].dataType.simpleString() == "binary" else "cell bigint, id binary, s bigint")
-    spread = stored(spread)
-    often = spread.groupBy("cell", "s").agg(F.count("*").alias("c")).where("c > 1")
-    shared = spread.join(often, ["cell", "s"])  # what one member alone holds comes first in the order and meets nobody
-    of = F.struct("c", "s")
-    per = shared.groupBy("cell", "id").agg(F.sort_array(F.collect_list(of)).alias("all"))
-    per = per.join(cells, ["cell", "id"])
-    take = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - (F.col("n") - F.size("all"))).cast("int")
-    first = per.select("cell", "id", "n", "d", "open", "home", F.explode(F.slice("all", 1, take)).alias("x")).select("*", "x.s").drop("x")
-    a, b = (first.select("cell", "s", *(F.col(c).alias(p + c) for c in ("id", "n", "d", "open", "home"))) for p in ("a_", "b_"))
-    near = (F.abs(F.col("a_d") - F.col("b_d")) <= RADIUS + 1e-9) & (F.col("a_open") | F.col("b_open")) & (F.col("a_home") | F.col("b_home"))
-    near &= NUM * F.greatest("a_n", "b_n") <= DEN * F.least("a_n", "b_n")
-    return a.join(b, ["cell", "s"]).where((F.col("a_id") < F.col("b_id")) & near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _by_cell(batches):
+        found: list[tuple[bytes, bytes]] = []
+        for members in _runs(rows):
+            _, ids, d, open_, home, role, of = zip(*members)
+            role = np.array(role)
+            links = _cell_links(np.array(d), np.array(open_) & (role == 0), np.array(home), [np.frombuffer(x, np.uint64) for x in of], role == 1)
+            found += ((ids[a], ids[b]) for a, b in links if ids[a] != ids[b])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
 
 
 def set_links(docs: DataFrame, text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
