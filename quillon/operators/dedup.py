@@ -1,8 +1,8 @@
 """Deduplication, decontamination and label merging as joins and aggregations on keys.
 
-Every rule aggregates by key before it joins back, so a key with a large share
-of the rows costs one partial row for each task; the join that follows is one
-that Spark can split where a key is hot.
+Every rule aggregates by key, so a key with a large share of the rows costs one
+partial row for each task; a join back, where there is one, is one that Spark
+can split where a key is hot.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from ..session import cut
 def first_by_priority(rows: DataFrame, key: str, priority: list[str | Column]) -> DataFrame:
     """The first row of each key in the order of `priority`, which ends in a unique id; null is a key like any other."""
     order = [F.col(p) if isinstance(p, str) else p for p in priority]
-    least = rows.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*order)).alias("_first"))
-    same = rows[key].eqNullSafe(F.col("_k")) & F.struct(*order).eqNullSafe(F.col("_first"))
-    return rows.join(least, same, "left_semi")
+    first = rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def not_in_higher_split(rows: DataFrame, key: str, rank: str) -> DataFrame:

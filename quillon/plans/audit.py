@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import uniform, uniform_sql
 from ..operators.splits import placed
+from ..session import cut
 from .registry import query, table
 
 LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -200,7 +201,9 @@ def blind_nb(spark: SparkSession, sf: str) -> DataFrame:
     n = F.broadcast(nc.crossJoin(F.broadcast(na)).select("fold", (F.col("tp") - F.col("fp")).alias("np"), (F.col("tn") - F.col("fn")).alias("nn")))
     o = wc.join(wa, "w").join(n, "fold")
     odds = F.log((F.col("ap") - F.col("pos") + 1) / (F.col("np") + 2)) - F.log((F.col("an") - F.col("neg") + 1) / (F.col("nn") + 2))
-    s = x.join(o.select("w", "fold", odds.alias("odds")), ["w", "fold"]).groupBy("doc_id", "y", "fold").agg(F.sum("odds").alias("s")).join(n, "fold")
+    # a row for each word and fold; while they are few no row of a common word is shuffled
+    o = cut(o.select("w", "fold", odds.alias("odds")))
+    s = x.join(F.broadcast(o) if o.count() <= 500_000 else o, ["w", "fold"]).groupBy("doc_id", "y", "fold").agg(F.sum("odds").alias("s")).join(n, "fold")
     z = F.greatest(F.least(F.col("s") / 10, F.lit(30.0)), F.lit(-30.0)) + F.log((F.col("np") + 1) / (F.col("nn") + 1))
     return s.select("doc_id", "y", (1 / (1 + F.exp(-z))).alias("p"))
 

@@ -18,8 +18,17 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct().withColumn("w", F.array_distinct(T.tokens(F.col("label"))))
 
 
+#: Labels that are compared with each other at most; an option vocabulary has some hundreds.
+CATALOGUE = 20_000
+
+
 def distractors(catalogue: DataFrame, k: int) -> DataFrame:
-    """(label, other, sim, r): the k others of each label below similarity one half, in hashed order; the least similar if there are too few."""
+    """(label, other, sim, r): the k others of each label below similarity one half, in hashed order; the least similar if there are too few.
+
+    A label is compared with the whole catalogue, which is therefore bounded.
+    """
+    if catalogue.limit(CATALOGUE + 1).count() > CATALOGUE:
+        raise ValueError(f"a catalogue of more than {CATALOGUE} labels")
     a = catalogue.select("label", "w")
     b = F.broadcast(catalogue.select(F.col("label").alias("other"), F.col("w").alias("v")))
     sim = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))

@@ -238,3 +238,208 @@ def choice_rows(rows: DataFrame, choices: str, index: str) -> DataFrame:
     """rows with option_texts and answer_idx, whose index is a place among their choices; others go."""
     at = F.coalesce(F.col(index), F.lit(0)).cast("int")
     return rows.withColumns({"option_texts": F.col(choices), "answer_idx": at}).where((F.size("option_texts") > 0) & F.col("answer_idx").between(0, F.size("option_texts") - 1))
+
+
+@query(
+    f"""select item_id, case when {uniform_sql('swap', 'item_id')} < 0.5 then right(text,20) else left(text,20) end as first,
+      case when {uniform_sql('swap', 'item_id')} < 0.5 then left(text,20) else right(text,20) end as second from benchmark"""
+)
+def swapped_pairs(spark, sf):
+    """Sentence pairs, of which half are turned round."""
+    turn = uniform("swap", F.col("item_id")) < 0.5
+    a, b = F.left("text", F.lit(20)), F.right("text", F.lit(20))
+    return table(spark, sf, "benchmark").select("item_id", F.when(turn, b).otherwise(a).alias("first"), F.when(turn, a).otherwise(b).alias("second"))
+
+
+@query(
+    f"""with r as (select o_orderkey, 'status::'||case o_orderstatus when 'P' then 'oos' else o_orderstatus end as label, {uniform_sql('osplit', 'o_orderkey')} as u from orders)
+    select o_orderkey, label, case when ends_with(label,'::oos') then 'test_oos' when u < 0.1 then 'test' when u < 0.2 then 'val' else 'train' end as split from r"""
+)
+def oos_split(spark, sf):
+    """Rows of the label out of scope go to a split of their own and to no other."""
+    label = F.concat(F.lit("status::"), F.when(F.col("o_orderstatus") == "P", "oos").otherwise(F.col("o_orderstatus")))
+    u = uniform("osplit", F.col("o_orderkey"))
+    split = F.when(F.endswith("label", F.lit("::oos")), "test_oos").when(u < 0.1, "test").when(u < 0.2, "val").otherwise("train")
+    return table(spark, sf, "orders").select("o_orderkey", label.alias("label")).select("o_orderkey", "label", split.alias("split"))
+
+
+@query(
+    f"""with {REC} select vec_id, vec_id % 3 = 0 as reversed, round(case when vec_id % 3 = 0 then len(p)-1-level else level end,6) as level,
+      case when vec_id % 3 = 0 then len(p)-1-y else y end::int as true_level from rec"""
+)
+def ordinal_levels(spark, sf):
+    """Expected levels; where the levels were shown in reverse, counted from the other end."""
+    rev, last = F.col("vec_id") % 3 == 0, F.size("p") - 1
+    turned = lambda x: F.when(rev, last - x).otherwise(x)
+    return records(spark, sf).select("vec_id", rev.alias("reversed"), F.round(turned(F.col("level")), 6).alias("level"), turned(F.col("y")).cast("int").alias("true_level"))
+
+
+SWEEP = (2, 4, 8)
+
+
+@query(
+    f"""with {REC}, n as (select unnest({list(SWEEP)}) as n),
+    o as (select vec_id, y, n, list(i order by {digest_sql('sweep', 'vec_id', 'n', 'i')}) as opts from rec, n, range(10) r(i) where i <> y group by all),
+    c as (select o.vec_id, n, rec.z, o.y, opts[1:(n-1)::int] as others from o join rec using (vec_id))
+    select n::int as n, ['both','text','vector'][(vec_id%3+1)::int] as modality, count(*) as rows, round(avg((z[y+1] >= list_max(list_transform(others, lambda i: z[i+1])))::int),6) as acc from c group by all"""
+)
+def cardinality_sweep(spark, sf):
+    """Accuracy by modality and number of options, with distractors drawn for each row and number."""
+    from ..functions import scoring as P
+
+    x = records(spark, sf).select("vec_id", "y", "z", F.explode(F.array(*map(F.lit, SWEEP))).alias("n"))
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i != F.col("y")), lambda i: F.struct(digest("sweep", F.col("vec_id"), F.col("n"), i).alias("h"), i.alias("i")))
+    best = F.array_max(F.transform(F.slice(F.array_sort(others), F.lit(1), F.col("n") - 1), lambda s: F.element_at("z", s["i"] + 1)))
+    mode = F.element_at(F.array(*map(F.lit, ("both", "text", "vector"))), (F.col("vec_id") % 3 + 1).cast("int"))
+    return x.groupBy("n", mode.alias("modality")).agg(F.count("*").alias("rows"), F.round(F.avg((P.at(F.col("z"), F.col("y")) >= best).cast("int")), 6).alias("acc"))
+
+
+THETAS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
+
+
+@query(
+    f"""with {REC}, k as (select vec_id, y, k, list_transform(z, lambda v: v*k/6.0) as s from rec, range(1,7) t(k)),
+    e as (select *, list_transform(s, lambda v: exp(v-list_max(s))) as ex from k), pk as (select vec_id, y, k, list_transform(ex, lambda x: x/list_sum(ex)) as p from e),
+    h as (select vec_id, y, k, (list_position(p,list_max(p))-1)::int as pred, 1/(1+exp(-12*(list_max(p)-list_sort(p)[9]-0.3))) as halt from pk),
+    t as (select unnest({list(THETAS)})::double as theta), s as (select vec_id, theta, coalesce(min(k) filter (halt >= theta), 6) as stop from h, t group by all)
+    select theta, round(avg(stop),6) as mean_depth, round(avg((pred=y)::int),6) as acc from s join h on h.vec_id = s.vec_id and h.k = s.stop group by theta"""
+)
+def halting_probabilities(spark, sf):
+    """The first pass whose halting probability (of the margin) reaches the threshold, else the last; mean depth and accuracy."""
+    from ..functions import scoring as P
+
+    passes = C.depth_records(records(spark, sf), 6)
+    halt = 1 / (1 + F.exp(-12 * (F.array_max("p") - F.element_at(F.array_sort("p"), -2) - 0.3)))
+    arr = passes.groupBy("vec_id", "y").agg(F.array_sort(F.collect_list(F.struct("k", halt.alias("h"), P.argmax(F.col("p")).alias("pred")))).alias("a"))
+    x = arr.select("y", "a", F.explode(F.array(*map(F.lit, THETAS))).alias("theta"))
+    x = x.withColumn("s", F.coalesce(F.try_element_at(F.filter("a", lambda e: e["h"] >= F.col("theta")), F.lit(1)), F.element_at("a", -1)))
+    return x.groupBy("theta").agg(F.round(F.avg("s.k"), 6).alias("mean_depth"), F.round(F.avg((F.col("s.pred") == F.col("y")).cast("int")), 6).alias("acc"))
+
+
+# fixed values: the words of yes/no options, no first
+BOOL_WORDS = (("no", "yes"), ("false", "true"), ("No", "Yes"))
+#: Descriptive options by status, no first, and those for a status without its own; test data.
+CRITERIA = {"F": ("still open", "all shipped"), "O": ("nothing is due", "parts are due")}
+OTHER_CRITERIA = ("it does not hold", "it holds")
+
+
+@query(
+    f"""with w as (select o_orderkey, o_orderstatus as s, (o_totalprice > 100000)::int as y, {uniform_sql('desc', 'o_orderkey')} < 0.3 as described, o_orderkey % 10 = 0 as pinned,
+      (floor({uniform_sql('words', 'o_orderkey')}*3))::int as k, {uniform_sql('yesfirst', 'o_orderkey')} < 0.5 as turned from orders),
+    p as (select *, case when pinned then 'no' when described then case s when 'F' then 'still open' when 'O' then 'nothing is due' else 'it does not hold' end else ['no','false','No'][k+1] end as neg,
+      case when pinned then 'yes' when described then case s when 'F' then 'all shipped' when 'O' then 'parts are due' else 'it holds' end else ['yes','true','Yes'][k+1] end as pos from w)
+    select o_orderkey, case when turned and not pinned then pos||'|'||neg else neg||'|'||pos end as options, case when turned and not pinned then 1-y else y end as answer_idx from p"""
+)
+def bool_wordings(spark, sf):
+    """Yes/no requests in one of three pairs of words or the criteria of their source, in either order; pinned ones read no, yes."""
+    k = F.col("o_orderkey")
+    pinned, described, turned = k % 10 == 0, uniform("desc", k) < 0.3, uniform("yesfirst", k) < 0.5
+    pair = lambda p: F.array(*map(F.lit, p))
+    words = F.element_at(F.array(*map(pair, BOOL_WORDS)), (F.floor(uniform("words", k) * len(BOOL_WORDS)) + 1).cast("int"))
+    own = F.create_map(*(x for s, p in CRITERIA.items() for x in (F.lit(s), pair(p))))
+    opts = F.when(pinned, pair(BOOL_WORDS[0])).when(described, F.coalesce(F.try_element_at(own, F.col("o_orderstatus")), pair(OTHER_CRITERIA))).otherwise(words)
+    y, turn = (F.col("o_totalprice") > 100000).cast("int"), turned & ~pinned
+    return table(spark, sf, "orders").select(k, F.array_join(F.when(turn, F.reverse(opts)).otherwise(opts), "|").alias("options"), F.when(turn, 1 - y).otherwise(y).alias("answer_idx"))
+
+
+#: Instructions by market segment, and those of segments without their own; test data.
+INSTRUCTIONS = {"BUILDING": ("Which {target} fits?",), "MACHINERY": ("Name the {target}.", "What {target} is meant?")}
+OTHER_INSTRUCTIONS = ("Choose the {target}.", "Tell the {target}.", "")
+
+
+@query(
+    f"""select c_custkey, replace(case c_mktsegment when 'BUILDING' then 'Which {{target}} fits?' when 'MACHINERY' then ['Name the {{target}}.','What {{target}} is meant?'][(floor({uniform_sql('ins', 'c_custkey')}*2)+1)::int]
+      else ['Choose the {{target}}.','Tell the {{target}}.',''][(floor({uniform_sql('ins', 'c_custkey')}*3)+1)::int] end, '{{target}}', case when c_custkey % 2 = 0 then 'segment' else 'answer' end) as instruction from customer"""
+)
+def instruction_choice(spark, sf):
+    """An instruction of the row's source, or of the common bank where it has none, with its target named."""
+    bank = lambda x: F.array(*map(F.lit, x))
+    own = F.create_map(*(x for s, b in INSTRUCTIONS.items() for x in (F.lit(s), bank(b))))
+    texts = F.coalesce(F.try_element_at(own, F.col("c_mktsegment")), bank(OTHER_INSTRUCTIONS))
+    text = F.element_at(texts, (F.floor(uniform("ins", F.col("c_custkey")) * F.size(texts)) + 1).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", F.replace(text, F.lit("{target}"), F.when(F.col("c_custkey") % 2 == 0, "segment").otherwise("answer")).alias("instruction"))
+
+
+@query(
+    f"""with t as (select conv_id, turn, text from conversations), p as (select a.conv_id, a.turn, a.text as x, b.text as y from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1),
+    q as (select 'pair' as kind, conv_id as id, turn, 'Do "'||x||'" and "'||y||'" mean the same?' as question, (x = y)::int as answer_idx from p
+      union all select 'scope', doc_id, 0, 'Is this in scope?', 1 from documents where lang <> 'en' union all select 'scope', item_id, 1, 'Is this in scope?', 0 from benchmark)
+    select kind, id, turn, md5(question) as question, answer_idx from q"""
+)
+def bool_requests(spark, sf):
+    """Yes/no requests of whole sentence pairs, and of texts in and out of scope from two tables."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    after = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    pairs = t.join(after, ["conv_id", "turn"])
+    question = F.concat(F.lit('Do "'), "text", F.lit('" and "'), "next", F.lit('" mean the same?'))
+    out = pairs.select(F.lit("pair").alias("kind"), F.col("conv_id").alias("id"), "turn", question.alias("question"), (F.col("text") == F.col("next")).cast("int").alias("answer_idx"))
+    scope = lambda rows, i, n, inside: rows.select(F.lit("scope").alias("kind"), F.col(i).alias("id"), F.lit(n).cast("long").alias("turn"), F.lit("Is this in scope?").alias("question"), F.lit(inside).alias("answer_idx"))
+    out = out.unionByName(scope(table(spark, sf, "documents").where("lang <> 'en'"), "doc_id", 0, 1)).unionByName(scope(table(spark, sf, "benchmark"), "item_id", 1, 0))
+    return out.withColumn("question", F.md5("question"))
+
+
+@query(
+    """with d as (select doc_id, source, list_filter([case when n_chars < 1000 then 'short' end, case when lang = 'en' then 'english' end, case when source = 'src1' then 'one' end], lambda x: x is not null) as labels from documents where length(text) >= 50),
+    s as (select doc_id, source, labels[1] as label from d where len(labels) = 1), n as (select source, label from s group by all having count(*) >= 3)
+    select doc_id, label from s join n using (source, label)"""
+)
+def single_label_rows(spark, sf):
+    """Rows of a least length with one label only, which enough rows of their source have."""
+    label = lambda cond, name: F.when(cond, name)
+    labels = F.array(label(F.col("n_chars") < 1000, "short"), label(F.col("lang") == "en", "english"), label(F.col("source") == "src1", "one"))
+    d = table(spark, sf, "documents").where(F.char_length("text") >= 50).select("doc_id", "source", F.filter(labels, lambda x: x.isNotNull()).alias("labels"))
+    s = d.where(F.size("labels") == 1).select("doc_id", "source", F.col("labels")[0].alias("label"))
+    n = s.groupBy("source", "label").agg(F.count("*").alias("n")).where("n >= 3")
+    return s.join(n, ["source", "label"], "left_semi").select("doc_id", "label")
+
+
+@query(
+    """with b as (select (event_id // 250)::bigint as band, ts, value, event_type, coalesce((props->>'k')::bigint, 0) as tokens from events)
+    select band, round(sum(tokens)/(epoch(max(ts))-epoch(min(ts))),6) as tokens_per_s, round(avg((value > 10)::int) filter (event_type = 'click'),6) as click_acc,
+      round(avg((value > 10)::int) filter (event_type = 'purchase'),6) as purchase_acc from b group by band"""
+)
+def interval_tokens(spark, sf):
+    """Tokens a second and the accuracy of each family over bands of a log."""
+    k = F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0))
+    e = table(spark, sf, "events").select(F.floor(F.col("event_id") / 250).alias("band"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", (F.col("value") > 10).cast("int").alias("right"), k.alias("tokens"))
+    acc = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("right"))), 6).alias(kind + "_acc")
+    return e.groupBy("band").agg(F.round(F.sum("tokens") / ((F.max("t") - F.min("t")) / 1e6), 6).alias("tokens_per_s"), acc("click"), acc("purchase"))
+
+
+@query(
+    """with s as (select event_id, event_type, case when event_id % 10 = 0 then '{broken' when event_id % 10 = 1 then null else props end as props from events)
+    select event_type, count(*) filter (event_id % 10 > 1) as parsed, count(*) filter (event_id % 10 <= 1) as skipped, sum(case when event_id % 10 > 1 then (props->>'k')::bigint end)::bigint as k from s group by event_type"""
+)
+def tolerant_json(spark, sf):
+    """Properties of which some are broken or missing: those that parse, and the number of the others."""
+    i = F.col("event_id") % 10
+    s = table(spark, sf, "events").select("event_type", F.when(i == 0, "{broken").when(i > 1, F.col("props")).alias("props"))
+    k = F.from_json("props", "k bigint")["k"]
+    good = F.try_parse_json("props").isNotNull()
+    return s.groupBy("event_type").agg(F.count_if(good).alias("parsed"), F.count_if(~good).alias("skipped"), F.sum(F.when(good, k)).alias("k"))
+
+
+@query("select conv_id, turn, role as split from conversations where trim(text) <> ''")
+def answered_rows(spark, sf):
+    """Splits in one table, without rows whose answer is blank."""
+    from ..sources.jsonl import answered
+
+    t = table(spark, sf, "conversations")
+    of = lambda role: t.where(F.col("role") == role).withColumn("split", F.lit(role))
+    return answered(of("user"), of("assistant"), t.where(~F.col("role").isin("user", "assistant")).withColumn("split", F.col("role")), answer="text").select("conv_id", "turn", "split")
+
+
+@query(
+    f"""with c as (select o_orderkey, l_linenumber as direction, (l_quantity::int % 7)::int as d, l_linestatus = 'O' as safe from orders join lineitem on l_orderkey = o_orderkey),
+    w as (select *, max(d) over (partition by o_orderkey) as m from c), s as (select *, (m+1-d)::double / sum(m+1-d) over (partition by o_orderkey) as score from w),
+    q as (select o_orderkey, min({{'u': not safe, 'd': d, 'n': direction}}) as best, count(*) as n, max(score) as top from s group by o_orderkey)
+    select o_orderkey, best.n as choice, not best.u as safe, n, round(top,6) as top_score from q"""
+)
+def safe_first_choice(spark, sf):
+    """Scores that fall with the distance and add up to one, and the choice: safe directions first, then the nearest."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("n"), (F.col("l_quantity").cast("int") % 7).alias("d"), (F.col("l_linestatus") != "O").alias("u"))
+    li = li.join(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    # the scores follow from three aggregates of the order, so no row is joined back
+    a = li.groupBy("o_orderkey").agg(F.min(F.struct("u", "d", "n")).alias("b"), F.count("*").alias("n"), F.max("d").alias("m"), F.min("d").alias("low"), F.sum("d").alias("all"))
+    top = (F.col("m") + 1 - F.col("low")) / (F.col("n") * (F.col("m") + 1) - F.col("all"))
+    return a.select("o_orderkey", F.col("b.n").alias("choice"), (~F.col("b.u")).alias("safe"), "n", F.round(top, 6).alias("top_score"))
