@@ -26,15 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_scan, byte_symbols, utf8
+from .common import arrow_scan, byte_symbols, release, utf8
 
 WINDOW = 2048
 END_ID = 1
 GROUP = 384
 #: Bytes that each of a task's two memos holds at most, and what an entry takes beside its key and value.
-MEMO_BYTES, ENTRY = 24 << 20, 160
+MEMO_BYTES, ENTRY = 16 << 20, 160
 #: Texts and bytes that are encoded at once; a longer text goes by itself.
-TEXTS, BYTES = 512, 2 << 20
+TEXTS, BYTES = 384, 1 << 20
 #: Parts of chunks in a string for the model.
 LINE = 500
 #: One line each: lower-case Latin letters that have one form under NFC, then ASCII marks without the apostrophe; or anything else.
@@ -127,6 +127,8 @@ class WordIds:
         symbols = byte_symbols()
         self.symbols = {chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(128, 256)}
         self.chunks, self.parts = Memo(memo_bytes), Memo(memo_bytes)
+        del vocab
+        release()  # what reading the file took
 
     def _ids(self, texts: list[str], steps: tuple) -> list[np.ndarray]:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
