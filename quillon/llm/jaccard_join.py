@@ -212,8 +212,8 @@ def _elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield members(*rest)
 
 
-def _regions(docs: DataFrame, common, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(pivot, id): the members other than the pivot of every region where two sets may be linked; and (pivot): the regions above the size of a leaf."""
+def _regions(docs: DataFrame, common, leaf: int) -> DataFrame:
+    """(pivot, id, big): the members of every region where two sets may be linked, its pivot among them; big: it is above the size of a leaf."""
     n = shuffle_partitions(docs.sparkSession)
     order = [F.col("rare"), F.xxhash64("id"), F.col("id")]
     cold = _holders(docs, common, False).repartition(n, "s").sortWithinPartitions("s", *order)
@@ -229,8 +229,8 @@ def _regions(docs: DataFrame, common, leaf: int) -> tuple[DataFrame, DataFrame]:
     big = maybe_broadcast(sizes, BROADCAST_IDS // 20)
     rest = rows.join(big, "pivot", "left_anti").join(most, "id").select("pivot", "id", "n", "shared")
     rest = rest.repartition(n, "pivot").sortWithinPartitions("pivot")
-    kept = arrow_scan(rest, _viable, "pivot binary, id binary").unionByName(rows.join(big, "pivot", "left_semi").select("pivot", "id"))
-    return stored(kept.where("id <> pivot")), sizes
+    kept = arrow_scan(rest, _viable, "pivot binary, id binary, big boolean")
+    return stored(kept.unionByName(rows.join(big, "pivot", "left_semi").select("pivot", "id", F.lit(True).alias("big"))))
 
 
 def _salted(rows: DataFrame, key: str) -> DataFrame:
@@ -271,7 +271,7 @@ def _runs(rows: list[tuple]) -> Iterator[list[tuple]]:
 
 
 def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, id) of rows (pivot, id, n, shared) sorted by pivot: members that have another of their region in reach.
+    """(pivot, id, big) of rows (pivot, id, n, shared) sorted by pivot: members that have another of their region in reach, and the pivot if there are any.
 
     A bound of each region: sizes must fit, and neither set may share fewer deciding shingles with all others together
     than linked sets of their sizes share with each other.
@@ -284,8 +284,12 @@ def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = n[:, None], n[None, :]
                 ok = (NUM * np.maximum(a, b) <= DEN * np.minimum(a, b)) & (np.minimum(shared[:, None], shared[None, :]) >= shared_at_least(a, b))
                 np.fill_diagonal(ok, False)
-                out += [m[:2] for m, some in zip(members, ok.any(axis=1)) if some]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["pivot", "id"])
+                some = ok.any(axis=1)
+                if some.any():
+                    some |= np.array([m[0] == m[1] for m in members])
+                    big = bool(n[some].sum() > LEAF_SHINGLES)
+                    out += [(*m[:2], big) for m, s in zip(members, some) if s]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["pivot", "id", "big"])
 
 
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -309,7 +313,10 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _common(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return _shared(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
     return int(_among(x, y).sum()) if len(x) else 0
@@ -391,6 +398,27 @@ def _voronoi(big: DataFrame, sets: DataFrame, leaf: int) -> tuple[DataFrame, Dat
     return cut(inner), big.join(done, "cell", "left_anti"), _links(measured)
 
 
+def _in_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of regions of the size of a leaf: all distances to the pivot, then the members outside its radius with those in their window."""
+    rows = regions.join(sets, "id").select("pivot", (F.col("id") != F.col("pivot")).alias("other"), "id", "set")
+    rows = rows.repartition(shuffle_partitions(sets.sparkSession), "pivot").sortWithinPartitions("pivot", "other")
+
+    def run(batches):
+        for rows in _by_cell(batches):
+            found: list[tuple[bytes, bytes]] = []
+            for members in _runs(rows):
+                of = [np.frombuffer(m[3], np.uint64) for m in members]
+                n = np.array([len(x) for x in of])
+                k = np.array([_shared(of[0], x) for x in of])
+                d = 1 - k / (n[0] + n - k)
+                near = linked(k, n[0], n)
+                found += ((members[0][2], m[2]) for m, ok in zip(members[1:], near[1:]) if ok)
+                found += ((members[a + 1][2], members[b + 1][2]) for a, b in _cell_links(d[1:], ~near[1:], np.ones(len(of) - 1, bool), of[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
+
+    return arrow_scan(rows, run, "a binary, b binary")
+
+
 def _in_leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
     """Compares the members of each bounded cell by an index of their shingles."""
     rows = cells.join(sets, "id").select("cell", "id", "d", "open", "home", "set")
@@ -461,14 +489,16 @@ def set_links(docs: DataFrame, text_col: str = "text", leaf: int = LEAF, depth:
     """(a, b): fingerprints of linked sets; a spanning set of links, enough to connect all that are linked."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    regions, big = _regions(texts, common, leaf)
-    sets = _set_table(texts, cut(regions.select("id").union(regions.select("pivot")).distinct()))
-    stars = stored(_measured(regions.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, big.withColumnRenamed("pivot", "a")))
-    members = stars.select(F.col("a").alias("cell"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
-    members = members.withColumns({"open": F.col("d") > RADIUS, "home": F.lit(True)})
-    out = _links(stars)
-    for x in _settle(members, sets, leaf, depth):
-        out = out.unionByName(x)
+    regions = _regions(texts, common, leaf)
+    sets = _set_table(texts, cut(regions.select("id").distinct()))
+    out = _in_regions(regions.where("not big"), sets)
+    big = regions.where("big and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    if not big.isEmpty():
+        stars = stored(_measured(big, sets, cut(big.select("a").distinct())))
+        members = stars.select(F.col("a").alias("cell"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
+        members = members.withColumns({"open": F.col("d") > RADIUS, "home": F.lit(True)})
+        for x in [_links(stars), *_settle(members, sets, leaf, depth)]:
+            out = out.unionByName(x)
     return out.distinct()
 
 
