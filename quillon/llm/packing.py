@@ -15,6 +15,7 @@ each for itself. An empty table gives no pieces. Extra columns are not read.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,9 +35,9 @@ GROUP = 384
 #: Bytes that each of a task's two memos holds at most, and what an entry takes beside its key and value.
 MEMO_BYTES, ENTRY = 16 << 20, 160
 #: Texts and bytes that are encoded at once; a longer text goes by itself.
-TEXTS, BYTES = 384, 1 << 20
-#: Parts of chunks in a string for the model.
-LINE = 500
+TEXTS, BYTES = 384, 1 << 19
+#: Parts of chunks in a string for the model, and strings that it is given at once.
+LINE, LINES = 500, 32
 #: One line each: lower-case Latin letters that have one form under NFC, then ASCII marks without the apostrophe; or anything else.
 PLAIN = re.compile(r"^(?:([a-z\u00e0-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.MULTILINE).findall
 
@@ -116,6 +117,8 @@ class WordIds:
     """
 
     def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
+        # a task has one core: threads of the library's own would only take memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -132,7 +135,10 @@ class WordIds:
 
     def _ids(self, texts: list[str], steps: tuple) -> list[np.ndarray]:
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), LINES):  # what the library makes of a token takes far more than its id
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[i : i + LINES], add_special_tokens=False)]
+        return out
 
     def _learn_parts(self, parts: list[str]) -> None:
         shown = "\n".join(parts)
