@@ -11,9 +11,10 @@ Every row gets a learned language; a text that is null or has no letter gets
 `und` and score 0. Rows below the threshold are marked rejected: the threshold
 is the score that all but a small share of the rightly told left-out rows
 reach, one half at most, so clean rows stay, and above an even share. A text
-whose subwords are rarer in the sample than those of any left-out row, by half
-of what lies between the rarest and the middle one, is rejected too: it is of
-no learned language, whatever the softmax makes of it. With no labelled rows nothing can be learned:
+whose subwords are so rare in the sample that they lie nearer to subwords drawn
+at random than to those of the least usual left-out row, by three to one, is
+rejected too: it is of no learned language, whatever the softmax makes of it;
+numbers, names and code in a known language do not go that far. With no labelled rows nothing can be learned:
 every row is `und` and none is rejected. An empty table gives an empty result. Repeated rows are scored alike; extra columns are not
 read.
 """
@@ -36,6 +37,8 @@ BITS, DIM, EPOCHS = 16, 16, 6
 SAMPLE_PER_LANGUAGE = 800
 #: The left-out part of the sample; the share of its rightly told rows that may lie below the threshold; and even shares that the threshold is at least.
 LEFT_OUT, REJECT_SHARE, EVEN_SHARES = 5, 0.002, 1.2
+#: How far from the least usual left-out row towards subwords drawn at random a text must lie to be of no learned language.
+UNLIKE = 0.75
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}").search
 
@@ -105,7 +108,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_
     # no largest probability lies below an even share
     threshold = max(min(0.5, float(reached)), min(1.0, EVEN_SHARES / len(names)))
     typical = np.array([float(x @ share[i]) for i, x in (rows[k] for k in left)])
-    usual = float(typical.min() - (np.median(typical) - typical.min()) / 2)
+    usual = float(typical.min() + UNLIKE * (share.mean() - typical.min()))
     return LanguageModel(names, np.column_stack([table, share]).astype(np.float32), bias, temperature, threshold if len(names) > 1 else 0.0, usual)
 
 
