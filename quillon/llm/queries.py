@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, quality, token_count, toxicity
+from . import centroids, chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, quality, token_count, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,9 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 MIX = mixing.Mix(source=0.5, lang={"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}, topic={"table": 0.05, "marked": 0.03, "loud": 0.02}, budget=0.5)
 
 
+LLOYD = {"k": 40, "rounds": 5, "width": 64}
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.with_probability(table(spark, sf_dir, "documents"), MIX)
     names = {"_source": "source", "_lang": "lang", "_topic": "topic", "_tokens": "n_tokens"}
@@ -74,6 +77,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.lloyd(table(spark, sf_dir, "embeddings"), **LLOYD)
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -149,6 +156,7 @@ ORACLES = {
         select doc_id, coalesce(n, 0) as n_shingles, m as component_id
         from (select a as doc_id, min(b) as m from r group by a) left join n using (doc_id)""",
     "op4_url_filters": _link_trust_sql(),
+    "op11_centroids": centroids.oracle(**LLOYD),
     "op5_exact_dedup": f"""
         with d as (select doc_id, {_AZ} as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
