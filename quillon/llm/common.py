@@ -292,6 +292,25 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: A key with more than this part of all rows is hot; there are no more than its inverse of them.
+HOT_SHARE, BROADCAST_ROWS = 1e-3, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Joins left, which is checkpointed or stored, with right, which is too and has each key once; a key may hold most rows of left.
+
+    A small right is broadcast. Else the rows of hot keys are, and the other keys meet by shuffle.
+    """
+    if small(right, BROADCAST_ROWS):
+        return left.join(F.broadcast(right), on, how)
+    most = max(1.0, left.count() * HOT_SHARE)
+    hot = cut(left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > most).dropna(subset=on).select(*on, F.lit(True).alias("_hot")))
+    marked = left.join(F.broadcast(hot), on, "left")
+    few = cut(right.join(F.broadcast(hot.drop("_hot")), on, "left_semi"))
+    heavy = marked.where("_hot").drop("_hot").join(F.broadcast(few), on, how)
+    return marked.where("_hot is null").drop("_hot").join(right, on, how).unionByName(heavy)
+
+
 def sorted_longs(df: DataFrame, column: str) -> np.ndarray:
     """A column of a table whose size was checked, as a sorted array for a broadcast variable."""
     t = df.select(column).toArrow()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, quality, token_count, toxicity
+from . import centroids, chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, prefix_trie, quality, token_count, toxicity
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.lloyd(table(spark, sf_dir, "embeddings"), **LLOYD)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -157,6 +161,7 @@ ORACLES = {
         from (select a as doc_id, min(b) as m from r group by a) left join n using (doc_id)""",
     "op4_url_filters": _link_trust_sql(),
     "op11_centroids": centroids.oracle(**LLOYD),
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op5_exact_dedup": f"""
         with d as (select doc_id, {_AZ} as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
