@@ -15,6 +15,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder for one table, which goes when the session ends."""
+    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def stored(df: DataFrame, *, zstd: bool = True) -> DataFrame:
     """Like `cut`, as a compressed columnar table; for the larger intermediates."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.option("compression", "zstd" if zstd else "none").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -296,19 +303,27 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 HOT_SHARE, BROADCAST_ROWS = 1e-3, 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Joins left, which is checkpointed or stored, with right, which is too and has each key once; a key may hold most rows of left.
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+    """Joins left with right, a checkpointed or stored table that has each key once; a key may hold most rows of left.
 
-    A small right is broadcast. Else the rows of hot keys are, and the other keys meet by shuffle.
+    A small right is broadcast. Else the rows of hot keys are, and rows of left that found theirs go through the shuffle under a number
+    that no row of right has (as do null keys), so only the other keys meet in tasks. counts (on, _n) is counted from left unless given.
     """
     if small(right, BROADCAST_ROWS):
         return left.join(F.broadcast(right), on, how)
-    most = max(1.0, left.count() * HOT_SHARE)
-    hot = cut(left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > most).dropna(subset=on).select(*on, F.lit(True).alias("_hot")))
-    marked = left.join(F.broadcast(hot), on, "left")
-    few = cut(right.join(F.broadcast(hot.drop("_hot")), on, "left_semi"))
-    heavy = marked.where("_hot").drop("_hot").join(F.broadcast(few), on, how)
-    return marked.where("_hot is null").drop("_hot").join(right, on, how).unionByName(heavy)
+    counts = cut(left.groupBy(*on).agg(F.count("*").alias("_n")) if counts is None else counts)
+    most = max(1.0, (counts.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE)
+    values = [c for c in right.columns if c not in on]
+    few = right.join(F.broadcast(counts.where(F.col("_n") > most).select(*on)), on, "left_semi")
+    few = cut(few.select(*on, *(F.col(c).alias("_of_hot" + c) for c in values), F.lit(True).alias("_hot")))
+    rows = left.join(F.broadcast(few), on, "left")
+    alone = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on), F.coalesce("_hot", F.lit(False)))
+    rows = rows.withColumn("_lot", F.when(alone, 1 + F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    out = rows.join(right.withColumns({"_lot": F.lit(0).cast("long"), "_cold": F.lit(True)}), [*on, "_lot"], "left")
+    if how == "inner":
+        out = out.where("_hot or _cold")
+    out = out.withColumns({c: F.when(F.col("_hot"), F.col("_of_hot" + c)).otherwise(F.col(c)) for c in values})
+    return out.select(*on, *(c for c in left.columns if c not in on), *values)
 
 
 def sorted_longs(df: DataFrame, column: str) -> np.ndarray:

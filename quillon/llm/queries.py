@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, prefix_trie, quality, token_count, toxicity
-from .common import held_out, table
+from . import centroids, chat_views, exact_dedup, jaccard_join, language_id, link_trust, mixing, packing, prefix_trie, quality, token_count, toxicity, warc
+from .common import held_out, new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = "word_bpe_49k.json"
@@ -85,6 +85,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.captures(warc.assemble(warc.read_records(spark, folder, with_payload=False)))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -162,6 +168,7 @@ ORACLES = {
     "op4_url_filters": _link_trust_sql(),
     "op11_centroids": centroids.oracle(**LLOYD),
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_warc": warc.ORACLE,
     "op5_exact_dedup": f"""
         with d as (select doc_id, {_AZ} as t from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
