@@ -29,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_batches(df: DataFrame, f, schema: str, most: int = 4 << 20) -> DataFrame:
+    """mapInArrow over batches of a few MB, whatever the length of the rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(key)).rstrip("bB")) > most:
+        conf.set(key, str(most))
+    return df.mapInArrow(f, schema)
+
+
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
