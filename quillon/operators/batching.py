@@ -1,34 +1,32 @@
 """Greedy batches under a token budget, and branch layouts.
 
-Greedy packing depends on order, so it runs within shards: rows go to shards
-by hash, are sorted by length there, and each shard is packed by itself in one
-pass over Arrow batches. A shard's batches differ from those of one global
-pass; the number of shards grows with the rows.
+A greedy pass over all rows in order of length looks sequential: where a batch
+ends decides where the next one starts. But from any row the next start is
+known from the order alone, so the starts are the chain of these jumps from the
+first row. Each range of the order follows the jumps of the few rows at which a
+batch can start that came in from before, to where they leave the range; these
+ways are joined with themselves, doubling in length each time, until the row at
+which the chain enters every range is known; then the ranges mark their starts.
+No task sees more than a range, and the batches are those of one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .splits import hash_ranked
+from ..session import cut, maybe_broadcast
+from .splits import hash_ranked, in_order, running
 
 
 def pad64(n: int) -> int:
     return -(-n // 64) * 64
 
 
-#: Rows of a shard, about; a shard is packed by one task.
-SHARD_ROWS = 100_000
-
-
-def shards_for(rows: DataFrame, size: int = SHARD_ROWS) -> int:
-    return max(8, -(-rows.count() // size))
-
-
 def _packed(rows: DataFrame, group: str, fits: Callable[[int, int, int], bool]) -> DataFrame:
     """(key, group, batch) for rows (key, len, opts, group) sorted by group, length and key; fits(largest, rows, options) of a batch with one more."""
 
@@ -48,16 +46,81 @@ def _packed(rows: DataFrame, group: str, fits: Callable[[int, int, int], bool])
     return rows.mapInPandas(pack, f"key long, {group} long, batch int")
 
 
-def greedy_batches(rows: DataFrame, key: str, length: str, options: str, max_tokens: int = 16_384, max_options: int = 512, shards: int | None = None) -> DataFrame:
-    """(key, shard, batch): a new batch starts when the padded length times the rows, or the options, would exceed the budget.
+def _next_starts(rows: DataFrame, max_tokens: int, max_options: int) -> DataFrame:
+    """Rows (key, len, opts) with _range, _place and _next: the first later row that a batch from this row cannot hold.
 
-    The number of shards follows the number of rows unless it is given. A row above the budget is a batch by itself.
+    Rows come in order of length, so which rows can share a batch with a given last row is a run of places up to it: its begin
+    is bounded by the padded length and by the options, and never falls. A row's next start is the number of such begins up to it.
+    """
+    x = cut(in_order(rows, ["len", "key"], {"_before": "opts"}))
+    padded = F.ceil(F.col("len") / 64) * 64
+    by_length = F.when(padded > 0, F.col("_place") + 1 - F.floor(F.lit(max_tokens) / F.greatest(padded, F.lit(1)))).otherwise(0)
+    # the first place whose earlier options leave room: in the bin of that sum or the next one, each of which has few different sums
+    step = max(1, max_options)
+    bins = x.groupBy(F.floor(F.col("_before") / step).alias("_bin"), "_before").agg(F.min("_place").alias("_at"))
+    bins = cut(bins.groupBy("_bin").agg(F.array_sort(F.collect_list(F.struct("_before", "_at"))).alias("_sums")))
+    least = F.col("_before") + F.col("opts") - max_options
+    asked = x.withColumns({"_by_length": by_length, "_least": F.greatest(least, F.lit(0))})
+    asked = asked.withColumn("_bin", F.explode(F.array(F.floor(F.col("_least") / step), F.floor(F.col("_least") / step) + 1)))
+    found = F.array_min(F.transform(F.filter("_sums", lambda s: s["_before"] >= F.col("_least")), lambda s: s["_at"]))
+    found = asked.join(bins, "_bin", "left").groupBy("_place", "_range", "key", "_by_length").agg(F.min(found).alias("_by_options"))
+    begin = F.greatest(F.lit(0), F.least(F.col("_place"), F.greatest("_by_length", F.coalesce("_by_options", "_place"))))
+    found = cut(found.select("key", "_range", "_place", begin.cast("long").alias("_begin")))
+    begins = found.groupBy(F.col("_begin").alias("_place")).agg(F.count("*").alias("_n"))
+    found = cut(found.join(begins, "_place", "left").select("key", "_range", "_place", F.coalesce("_n", F.lit(0)).alias("_n")))
+    found = running(found, ["_place"], {"_next": F.col("_n")})
+    return cut(found.select("key", "_range", "_place", (F.col("_next") + F.col("_n")).alias("_next")))
+
+
+def _exits(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Where the jumps from each place of a range leave it; at: places one after the other."""
+    first, to = at[0], to.copy()
+    while (inside := to <= at[-1]).any():
+        to[inside] = to[to[inside] - first]
+    return to
+
+
+def greedy_batches(rows: DataFrame, key: str, length: str, options: str, max_tokens: int = 16_384, max_options: int = 512) -> DataFrame:
+    """(key, batch): rows in order of length and key; a batch ends before the row with which the padded length times the rows, or the options, would exceed the budget.
+
+    A row above the budget is a batch by itself. Null lengths and options count as 0; rows without a length take no tokens. Keys are whole numbers.
     """
-    shards = shards or shards_for(rows)
-    shard = F.pmod(F.xxhash64(key), F.lit(shards))
-    dealt = rows.select(F.col(key).cast("long").alias("key"), F.col(length).cast("long").alias("len"), F.col(options).cast("long").alias("opts"), shard.alias("shard"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "len", "key")
-    return _packed(dealt, "shard", lambda top, n, opts: pad64(top) * n <= max_tokens and opts <= max_options)
+    zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    x = _next_starts(rows.select(F.col(key).cast("long").alias("key"), zero(length).alias("len"), zero(options).alias("opts")), max_tokens, max_options)
+    # a batch that came in can start anywhere up to where one from the last row before the range must
+    last = x.groupBy("_range").agg(F.max("_next").alias("_reach"))
+    last = last.select("_range", F.coalesce(F.lag("_reach").over(Window.partitionBy(F.lit(0)).orderBy("_range")), F.lit(0)).alias("_reach"))
+
+    def ways(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place")
+        at, to = pdf["_place"].to_numpy(), pdf["_next"].to_numpy()
+        few = at <= pdf["_reach"].iloc[0]
+        return pd.DataFrame({"_from": at[few], "_to": _exits(at, to)[few]})
+
+    both = x.join(F.broadcast(cut(last)), "_range")
+    jumps = cut(both.select("_range", "_place", "_next", "_reach").groupBy("_range").applyInPandas(ways, "_from long, _to long"))
+    entered = cut(jumps.where("_from = 0").select(F.col("_from").alias("_at")))
+    known = entered.count()
+    while True:
+        entered = cut(entered.unionByName(entered.join(jumps, F.col("_at") == F.col("_from")).select(F.col("_to").alias("_at"))).distinct())
+        if (now := entered.count()) == known:
+            break
+        known = now
+        then = jumps.select(F.col("_from").alias("_to"), F.col("_to").alias("_later"))
+        jumps = cut(jumps.join(then, "_to", "left").select("_from", F.coalesce("_later", "_to").alias("_to")))
+
+    def marked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place")
+        at, to, start = pdf["_place"].to_numpy(), pdf["_next"].to_numpy(), np.zeros(len(pdf), np.int64)
+        now = pdf["_at"].min()  # not a number where no batch starts in the range
+        while now <= at[-1]:
+            start[int(now) - at[0]] = 1
+            now = to[int(now) - at[0]]
+        return pd.DataFrame({"key": pdf["key"], "_range": pdf["_range"], "_place": at, "_start": start})
+
+    x = x.join(maybe_broadcast(entered), F.col("_place") == F.col("_at"), "left")
+    x = cut(x.groupBy("_range").applyInPandas(marked, "key long, _range int, _place long, _start long"))
+    return running(x, ["_place"], {"batch": F.col("_start")}).select("key", (F.col("batch") + F.col("_start") - 1).alias("batch"))
 
 
 def window_batches(rows: DataFrame, key: str, length: str, seed: str, max_tokens: int = 16_384, window_mult: int = 20, least: int = 64, max_rows: int | None = None, cap: int | None = None) -> DataFrame:

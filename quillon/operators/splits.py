@@ -46,6 +46,26 @@ def placed(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     return out.withColumn("_place", F.col("_before") + F.col("_in")).drop("_range", "_r", "_in", "_before", *("_g" + c for c in by))
 
 
+def in_order(rows: DataFrame, order: list, sums: dict[str, str] | None = None) -> DataFrame:
+    """rows with _range, _place (from 0) in the given order, and under each name of `sums` the sum of a column over all earlier rows.
+
+    As in `placed`, ranges are numbered and summed by themselves and the totals of earlier ranges are added.
+    """
+    ranges = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return running(ranges, order, {"_place": F.lit(1), **{k: F.col(c) for k, c in (sums or {}).items()}})
+
+
+def running(ranges: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """ranges, checkpointed rows of which those of a smaller _range come first, with the sums over all earlier rows; a range's rows are one window."""
+    sums = {k: c.cast("long") for k, c in sums.items()}
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranges.groupBy("_range").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    totals = cut(totals.select(F.col("_range").alias("_r"), *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias("_of" + k) for k in sums)))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranges.withColumns({k: F.sum(c).over(inside) - c for k, c in sums.items()}).join(F.broadcast(totals), F.col("_range") == F.col("_r"))
+    return out.withColumns({k: F.col(k) + F.col("_of" + k) for k in sums}).drop("_r", *("_of" + k for k in sums))
+
+
 def ratio_split(rows: DataFrame, by: list[str], seed: str, key: str, test: float = 0.1, val: float = 0.1) -> DataFrame:
     """The first floor(test * n) rows of each group in hashed order are test, the next floor(val * n) val, the rest train."""
     a, b = F.floor(test * F.col("_n")), F.floor(val * F.col("_n"))

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marks a checkpointed table for broadcast if it has at most so many rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def in_batches(df: DataFrame, f, schema: str, most: int = 4 << 20) -> DataFrame:
     """mapInArrow over batches of a few MB, whatever the length of the rows."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

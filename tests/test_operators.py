@@ -134,3 +134,32 @@ def test_reasoning_rows(spark):
     rows = spark.createDataFrame([(" TRUE", 0, ["a"]), ("maybe", 1, ["a"]), (None, None, []), ("unknown", None, ["a", "b"])], "answer string, i int, choices array<string>")
     assert [r.answer_idx for r in theory_rows(rows, "answer").collect()] == [0, 2]
     assert [r.answer_idx for r in choice_rows(rows, "choices", "i").collect()] == [0, 0]
+
+
+def one_pass(rows, max_tokens, max_options):
+    """(key, batch) of a single pass in order of length and key."""
+    out, n, used, batch = [], 0, 0, -1
+    for key, length, opts in sorted(((k, a or 0, b or 0) for k, a, b in rows), key=lambda r: (r[1], r[0])):
+        if batch < 0 or -(-length // 64) * 64 * (n + 1) > max_tokens or used + opts > max_options:
+            batch, n, used = batch + 1, 0, 0
+        n, used = n + 1, used + opts
+        out.append((key, batch))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("lengths", "options", "budget"), [(3000, 12, (16_384, 512)), (400, 3, (1000, 20)), (5, 1, (640, 7)), (1, 2, (64, 1_000_000)), (90, 40, (10**9, 30)), (200, 1, (256, 0)), (50, 60, (5000, 30))])
+def test_greedy_batches_are_those_of_one_pass(spark, lengths, options, budget):
+    rng = random.Random(lengths)
+    rows = [(i, rng.choice([None, rng.randrange(lengths)]) if i % 9 == 0 else rng.randrange(lengths), rng.randrange(options)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, n long, o long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+    try:
+        assert sorted(map(tuple, B.greedy_batches(df, "id", "n", "o", *budget).collect())) == one_pass(rows, *budget)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_greedy_batches_of_few_rows(spark):
+    for rows in ([], [(5, 99, 99)], [(5, None, None), (6, None, None)]):
+        df = spark.createDataFrame(rows, "id long, n long, o long")
+        assert sorted(map(tuple, B.greedy_batches(df, "id", "n", "o", 64, 8).collect())) == one_pass(rows, 64, 8)
