@@ -2,49 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import digest, digest_sql, uniform, uniform_sql
+from ..operators import negatives as N
 from ..operators import splits as S
+from ..operators.negatives import drawn_ranks
 from .registry import query, table
 
-_LABELS = "l as (select distinct p_name as label, list_distinct(regexp_extract_all(lower(p_name),'[a-z0-9]+')) as w from part)"
+_LABELS = "l as (select *, row_number() over (order by label) - 1 as place, count(*) over () as n from (select distinct p_name as label, list_distinct(regexp_extract_all(lower(p_name),'[a-z0-9]+')) as w from part where p_name is not null))"
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct labels with their words: a catalogue, small whatever the number of rows."""
+    """Distinct labels with their words."""
     return table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct().withColumn("w", F.array_distinct(T.tokens(F.col("label"))))
 
 
-#: Labels that are compared with each other at most; an option vocabulary has some hundreds.
-CATALOGUE = 20_000
+def distractors_sql(k: int) -> str:
+    """Tables l and d (label, other, sim, r): the first k of the draws of each label that are unlike it, else the k least similar."""
+    sim = "coalesce(len(list_intersect(a.w,b.w))/nullif(len(list_distinct(a.w||b.w)),0)::double, 0)"
+    return f"""{_LABELS}, t as (select unnest(range({N.DRAWS[-1] * k})) as t),
+    drawn as (select a.label, b.label as other, {sim} as sim, min(t) as t from l a cross join t join l b on b.place = floor({uniform_sql('dis', 'a.label', 't')}*a.n)::bigint
+        where a.label <> b.label and {sim} < {N.ALIKE} group by all),
+    picks as (select label, other, sim, row_number() over (partition by label order by t) as r, count(*) over (partition by label) >= least({k}, (select max(n) - 1 from l)) as ok from drawn),
+    least_ as (select a.label, b.label as other, {sim} as sim, row_number() over (partition by a.label order by {sim}, b.place) as r from l a, l b where a.label <> b.label and a.label not in (select label from picks where ok)),
+    d as (select label, other, sim, r from picks where ok and r <= {k} union all select * from least_ where r <= {k})"""
 
 
-def distractors(catalogue: DataFrame, k: int) -> DataFrame:
-    """(label, other, sim, r): the k others of each label below similarity one half, in hashed order; the least similar if there are too few.
-
-    A label is compared with the whole catalogue, which is therefore bounded.
-    """
-    if catalogue.limit(CATALOGUE + 1).count() > CATALOGUE:
-        raise ValueError(f"a catalogue of more than {CATALOGUE} labels")
-    a = catalogue.select("label", "w")
-    b = F.broadcast(catalogue.select(F.col("label").alias("other"), F.col("w").alias("v")))
-    sim = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
-    x = a.join(b, F.col("label") != F.col("other")).select("label", "other", sim.alias("sim"))
-    near = F.when(F.col("sim") < 0.5, 0).otherwise(1)
-    order = [near, F.when(F.col("sim") >= 0.5, F.col("sim")).otherwise(0.0), digest("dis", F.col("label"), F.col("other")), "other"]
-    return x.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("r") <= k)
-
-
-_DIS = f"""{_LABELS}, j as (select a.label, b.label as other, len(list_intersect(a.w,b.w))/len(list_distinct(a.w||b.w))::double as sim from l a, l b where a.label <> b.label),
-    d as (select *, row_number() over (partition by label order by (sim >= 0.5)::int, case when sim >= 0.5 then sim else 0 end, {digest_sql('dis', 'label', 'other')}, other) as r from j)"""
-
-
-@query(f"with {_DIS} select label, other, round(sim,6) as sim, r::int as r from d where r <= 5")
+@query(f"with {distractors_sql(5)} select label, other, round(sim,6) as sim, r::int as r from d")
 def distractor_labels(spark, sf):
-    return distractors(labels(spark, sf), 5).select("label", "other", F.round("sim", 6).alias("sim"), "r")
+    return N.distractors(labels(spark, sf), 5).select("label", "other", F.round("sim", 6).alias("sim"), "r")
 
 
 @query("with s as (select distinct p_brand as source, p_name as label from part) select a.source, count(*) as pool, count(distinct b.label) as labels from (select distinct source from s) a join s b on a.source <> b.source group by a.source")
@@ -57,16 +46,6 @@ def foreign_pool(spark, sf):
     return own.crossJoin(F.broadcast(t)).select("source", (F.col("all") - F.col("n")).alias("pool"), (F.col("labels") - F.col("only")).alias("labels"))
 
 
-def drawn_ranks(seed: str, key: Column, n: Column, taken: Column, k: int) -> Column:
-    """Up to k ranks of 0..n-1, uniformly and without repeats, none of them in `taken`; fewer if there are not so many."""
-    left = lambda t: n - F.size(t)
-    skip = lambda t, p: F.aggregate(F.array_sort(t), p, lambda at, x: F.when(x <= at, at + 1).otherwise(at))
-    place = lambda t, j: skip(t, F.floor(uniform(seed, key, j) * left(t)).cast("long"))
-    start = taken.cast("array<bigint>")
-    every = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), start, lambda t, j: F.when(left(t) > 0, F.array_append(t, place(t, j))).otherwise(t))
-    return F.slice(every, F.size(start) + 1, F.lit(k))
-
-
 @query()
 def hard_negatives(spark, sf):
     """Four other labels of the same source and three of any for every row: ranks of the catalogue are drawn without repeats and joined by equality, so no row meets all labels."""
@@ -83,7 +62,38 @@ def hard_negatives(spark, sf):
     return same.select("p_partkey", F.lit("same").alias("kind"), "label").unionByName(others.select("p_partkey", F.lit("any").alias("kind"), "label"))
 
 
-_BUILD = f"""with {_DIS}, o as (select p_partkey, p_name as t, p_name as truth from part union all select p_partkey, other, p_name from part join d on d.label = p_name where r <= 3),
+def _mix_sql(options: int = 6) -> str:
+    """Draws without repeats, one common table expression for each: a place among those left, moved past the ones taken."""
+    hard = min(options - 1, max(1, (options - 1) * 2 // 3))
+
+    def steps(name: str, seed: str, times: int, more: str) -> list[str]:
+        out = []
+        for j in range(times):
+            move = f"list_reduce(list_prepend(floor({uniform_sql(seed, 'key', str(j))}*(n-len(t)))::bigint, list_sort(t)), lambda p, x: case when x <= p then p + 1 else p end)"
+            out.append(f"{name}{j + 1} as (select * replace (case when n > len(t) and {more} then list_append(t, {move}) else t end as t) from {name}{j})")
+        return out
+
+    parts = [
+        "q as (select p_partkey as key, p_brand as b, p_name as label from part where p_name is not null)",
+        f"w as (select *, row_number() over (partition by b order by {digest_sql('hard', 'label')}, label) - 1 as pos, count(*) over (partition by b) as n from (select distinct b, label from q))",
+        f"bank as (select *, row_number() over (order by {digest_sql('any', 'label')}, label) - 1 as pos, count(*) over () as n from (select distinct label from q))",
+        "h0 as (select key, q.b, q.label, n, [pos]::bigint[] as t from q join w on w.b is not distinct from q.b and w.label = q.label)",
+        *steps("h", "hard", hard, "true"),
+        f"same as (select key, w.label from (select key, b, unnest(t[2:]) as pos from h{hard}) x join w on w.b is not distinct from x.b and w.pos = x.pos)",
+        "a0 as (select key, any_value(n) as n, list_sort(list(pos))::bigint[] as t, count(*) as had from (select key, label from same union all select key, label from q) join bank using (label) group by key)",
+        *steps("a", "any", options - 1, f"len(t) < {options}"),
+        f"rest as (select key, bank.label from (select key, unnest(t[had + 1:]) as pos from a{options - 1}) x join bank using (pos))",
+    ]
+    return f"with {', '.join(parts)} select key as p_partkey, 'same' as kind, label as p_name from same union all select key, 'any', label from rest"
+
+
+@query(_mix_sql())
+def hard_negative_mix(spark, sf):
+    """Six options a row: three hard negatives of five others, two from anywhere."""
+    return N.hard_negatives(table(spark, sf, "part"), "p_partkey", "p_brand", "p_name")
+
+
+_BUILD = f"""with {distractors_sql(3)}, o as (select p_partkey, p_name as t, p_name as truth from part union all select p_partkey, other, p_name from part join d on d.label = p_name),
     b as (select p_partkey, truth, list(t order by {digest_sql('mix', 'p_partkey', 't')}) as opts from o group by all)"""
 
 
@@ -93,7 +103,7 @@ _BUILD = f"""with {_DIS}, o as (select p_partkey, p_name as t, p_name as truth f
 )
 def build_intent(spark, sf):
     """The true label and three distractors in hashed order, with an instruction from a bank of three."""
-    d = distractors(labels(spark, sf), 3).groupBy("label").agg(F.collect_list("other").alias("others"))
+    d = N.distractors(labels(spark, sf), 3).groupBy("label").agg(F.collect_list("other").alias("others"))
     rows = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label")).join(d, "label")
     keyed = F.transform(F.concat(F.array("label"), "others"), lambda t: F.struct(digest("mix", F.col("p_partkey"), t).alias("h"), t.alias("t")))
     opts = F.transform(F.array_sort(keyed), lambda x: x["t"])
