@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .keys import attach
 
 
 def first_by_priority(rows: DataFrame, key: str, priority: list[str | Column]) -> DataFrame:
@@ -86,6 +87,7 @@ def ambiguous_keys(rows: DataFrame, key: str, answer: str) -> DataFrame:
 
 
 def without_ambiguous(rows: DataFrame, key: str, answer: str) -> DataFrame:
+    """Rows whose key has one answer; a null answer is none and contradicts no other, and rows with a null key stay."""
     return rows.join(ambiguous_keys(rows, key, answer), key, "left_anti")
 
 
@@ -102,6 +104,6 @@ def leakage(rows: DataFrame, key: str, split: str, pairs: list[tuple[str, str]])
 
 
 def merged_labels(labels: DataFrame, label: str, normalized: Column) -> DataFrame:
-    """(label, canonical): the first in order of the labels with one normalised name."""
+    """(label, canonical): the first in order of the labels with one normalised name; a null label is its own."""
     rows = labels.select(F.col(label).alias("label"), normalized.alias("_n")).distinct()
-    return rows.join(rows.groupBy("_n").agg(F.min("label").alias("canonical")), "_n").select("label", "canonical")
+    return attach(rows, rows.groupBy("_n").agg(F.min("label").alias("canonical")), ["_n"]).select("label", "canonical")

@@ -3,7 +3,7 @@
 Order inside a group comes from hashed keys, so results do not depend on the
 partitioning. A rank within a group is the running count of 4096 hash buckets
 plus the rank inside the bucket, so a group with most of the rows is ranked by
-many tasks. `capped` keeps only rows under a hash bound before it ranks them.
+many tasks. Rows whose group is null are a group like any other. `capped` keeps only rows under a hash bound before it ranks them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, uniform
 from ..session import cut
+from .keys import attach
 
 
 def hash_ranked(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFrame:
@@ -24,7 +25,7 @@ def hash_ranked(rows: DataFrame, by: list[str], seed: str, key: str) -> DataFram
     before = F.sum("_c").over(order.orderBy("_bucket")) - F.col("_c")
     counts = counts.select(*by, "_bucket", before.alias("_before"), F.sum("_c").over(order).alias("_n"))
     inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(digest(seed, F.col(key)), key))
-    ranked = rows.withColumn("_in", inside).join(counts, [*by, "_bucket"])
+    ranked = attach(rows.withColumn("_in", inside), counts, [*by, "_bucket"])
     return ranked.withColumn("_rank", F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
 
 
@@ -82,12 +83,12 @@ def group_split(rows: DataFrame, group: str, seed: str, shares: tuple[float, flo
     groups = hash_ranked(rows.select(group).distinct(), [], seed, group)
     a = F.floor(shares[0] * F.col("_n"))
     split = F.when(F.col("_rank") <= a, "train").when(F.col("_rank") <= a + F.floor(shares[1] * F.col("_n")), "val").otherwise("test")
-    return rows.join(groups.select(group, split.alias("split")), group)
+    return attach(rows, groups.select(group, split.alias("split")), [group])
 
 
 def held_out_labels(rows: DataFrame, label: str, seed: str, share: float = 0.15) -> DataFrame:
-    """(label): the first floor(share * n) labels in hashed order."""
-    ranked = hash_ranked(rows.select(label).distinct(), [], seed, label)
+    """(label): the first floor(share * n) labels in hashed order; null is no label."""
+    ranked = hash_ranked(rows.where(F.col(label).isNotNull()).select(label).distinct(), [], seed, label)
     return ranked.where(F.col("_rank") <= F.floor(share * F.col("_n"))).select(label)
 
 
@@ -96,7 +97,7 @@ def capped(rows: DataFrame, by: list[str], cap: DataFrame, seed: str, key: str)
     u = uniform(seed, F.col(key))
     # a hash bound with ample room above the share that is kept; the exact rank follows
     bound = F.when(F.col("cap") >= F.col("n"), 2.0).otherwise((F.col("cap") + 6 * F.sqrt(F.col("cap") + F.lit(1.0)) + 20) / F.col("n"))
-    near = rows.join(cap.select(*by, "cap", "n"), by).where(u <= bound)
+    near = attach(rows, cap.select(*by, "cap", "n"), by).where(u <= bound)
     return hash_ranked(near, by, seed, key).where("_rank <= cap").drop("_rank", "_n", "cap", "n")
 
 
@@ -125,7 +126,7 @@ def equal_cells(rows: DataFrame, stratum: str, cell: str, cells: list, cap: int,
     n = rows.groupBy(stratum, cell).agg(F.count("*").alias("n"))
     have = n.where(F.col(cell).isin(cells)).groupBy(stratum).agg(F.count("*").alias("k"), F.min("n").alias("m"))
     have = have.select(stratum, F.when(F.col("k") == len(cells), F.least("m", F.lit(cap))).otherwise(0).alias("cap"))
-    return capped(rows, [stratum, cell], n.join(have, stratum), seed, key)
+    return capped(rows, [stratum, cell], attach(n, have, [stratum]), seed, key)
 
 
 def source_quota(share: float, other: Column, available: Column) -> Column:

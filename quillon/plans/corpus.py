@@ -74,7 +74,7 @@ def repeated_options(spark, sf):
     f"""with {DOCS} select doc_id from docs qualify row_number() over (partition by k, lang, source order by rnk, doc_id) = 1"""
 )
 def mcq_collapse(spark, sf):
-    d = split_docs(spark, sf).withColumn("kk", F.concat_ws("|", "k", "lang", "source"))
+    d = split_docs(spark, sf).withColumn("kk", F.struct("k", "lang", "source"))
     return D.first_by_priority(d, "kk", ["rnk", "doc_id"]).select("doc_id")
 
 
@@ -126,17 +126,17 @@ def carve_val(spark, sf):
 
 @query(
     f"""with g as (select distinct conv_id from conversations), r as (select conv_id, row_number() over (order by {digest_sql('grp', 'conv_id')}, conv_id) as r, count(*) over () as n from g)
-    select conv_id, turn, case when r <= floor(0.7*n) then 'train' when r <= floor(0.7*n)+floor(0.15*n) then 'val' else 'test' end as split from conversations join r using (conv_id)"""
+    select c.conv_id, turn, case when r <= floor(0.7*n) then 'train' when r <= floor(0.7*n)+floor(0.15*n) then 'val' else 'test' end as split from conversations c join r on r.conv_id is not distinct from c.conv_id"""
 )
 def group_split(spark, sf):
     return S.group_split(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "grp").select("conv_id", "turn", "split")
 
 
 @query(
-    f"""with l as (select distinct p_name from part), r as (select p_name, row_number() over (order by {digest_sql('zero', 'p_name')}, p_name) as r, count(*) over () as n from l),
+    f"""with l as (select distinct p_name from part where p_name is not null), r as (select p_name, row_number() over (order by {digest_sql('zero', 'p_name')}, p_name) as r, count(*) over () as n from l),
     z as (select p_name from r where r <= floor(0.15*n)),
     t as (select p_partkey, p_name, case when {uniform_sql('split', 'p_partkey')} < 0.1 then 'test' else 'train' end as split from part)
-    select p_partkey, case when p_name in (select p_name from z) then 'zero_shot' else split end as split from t where p_name not in (select p_name from z) or split = 'test'"""
+    select p_partkey, case when p_name in (select p_name from z) then 'zero_shot' else split end as split from t where not coalesce(p_name in (select p_name from z), false) or split = 'test'"""
 )
 def zero_shot_holdout(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_name", F.when(uniform("split", F.col("p_partkey")) < 0.1, "test").otherwise("train").alias("split"))
@@ -146,7 +146,7 @@ def zero_shot_holdout(spark, sf):
 
 
 _N = "n as (select lang, count(*) as n, min(count(*)) over () as rarest, count(*) over () as k from documents group by lang)"
-_PICK = "select doc_id from (select doc_id, lang, row_number() over (partition by lang order by {0}, doc_id) as r from documents) join n using (lang) where r <= {1}".format
+_PICK = "select doc_id from (select doc_id, lang, row_number() over (partition by lang order by {0}, doc_id) as r from documents) d join n on n.lang is not distinct from d.lang where r <= {1}".format
 
 
 @query(f"with {_N} {_PICK(digest_sql('bal', 'doc_id'), 'least(200, greatest(rarest, 40))')}")
@@ -171,7 +171,7 @@ def rebalance(spark, sf):
     f"""with x as (select o_orderkey, o_orderpriority as depth, case when o_orderkey % 3 = 0 then 'a' when o_orderpriority = '5-LOW' then 'c' else 'b' end as cell from orders),
     n as (select depth, cell, count(*) as n from x group by all),
     c as (select depth, case when count(*) filter (cell in ('a','b')) = 2 then least(min(n) filter (cell in ('a','b')), 500) else 0 end as cap from n group by depth)
-    select o_orderkey from (select *, row_number() over (partition by depth, cell order by {digest_sql('cells', 'o_orderkey')}, o_orderkey) as r from x) join c using (depth) where r <= cap"""
+    select o_orderkey from (select *, row_number() over (partition by depth, cell order by {digest_sql('cells', 'o_orderkey')}, o_orderkey) as r from x) x join c on c.depth is not distinct from x.depth where r <= cap"""
 )
 def equal_cell_sample(spark, sf):
     cell = F.when(F.col("o_orderkey") % 3 == 0, "a").when(F.col("o_orderpriority") == "5-LOW", "c").otherwise("b")

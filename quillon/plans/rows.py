@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, digest_sql, uniform, uniform_sql
 from ..operators import calibration as C
+from ..operators import draws as W
 from ..operators import splits as S
 from .decisions import REC, SUMMARY, records
 from .registry import query, table
@@ -36,15 +37,15 @@ def length_curriculum_rows(spark, sf):
 
 
 @query(
-    f"""with c as (select count(*) filter (source='src0') as have, count(*) filter (source<>'src0') as other from documents),
+    f"""with c as (select count(*) filter (source='src0') as have, count(*) filter (source is distinct from 'src0') as other from documents),
     r as (select doc_id, source, {_ranked_sql('quota', 'source', 'doc_id', 'r')} from documents)
-    select doc_id from r, c where source <> 'src0' or r <= least(floor(0.15*other/(1-0.15)), have)"""
+    select doc_id from r, c where source is distinct from 'src0' or r <= least(floor(0.15*other/(1-0.15)), have)"""
 )
 def source_quota_rows(spark, sf):
     """All rows of other sources, and so many of one source that it makes up 15 %."""
     d = table(spark, sf, "documents").select("doc_id", "source")
     n = d.groupBy("source").agg(F.count("*").alias("n"))
-    own = F.col("source") == "src0"
+    own = F.col("source").eqNullSafe(F.lit("src0"))
     c = d.agg(F.count_if(own).alias("have"), F.count_if(~own).alias("other"))
     cap = n.where(own).crossJoin(F.broadcast(c)).withColumn("cap", S.source_quota(0.15, F.col("other"), F.col("have")))
     return d.where(~own).select("doc_id").unionByName(S.capped(d.where(own), ["source"], cap, "quota", "doc_id").select("doc_id"))
@@ -53,70 +54,55 @@ def source_quota_rows(spark, sf):
 DRAWS = 1000
 
 
-def cumulated(classes: DataFrame, key: list[str], weight: str) -> DataFrame:
-    """One row with `c`: the classes in order of their key, each with its running weight; classes are few."""
-    arr = classes.agg(F.array_sort(F.collect_list(F.struct(*key, F.col(weight).alias("w")))).alias("a"))
-    kinds = ", ".join(f"{k}:{classes.schema[k].dataType.simpleString()}" for k in key)
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["cum"], F.lit(0.0))
-    add = lambda acc, x: F.concat(acc, F.array(F.struct(*(x[k].alias(k) for k in key), (last(acc) + x["w"]).alias("cum"))))
-    return arr.select(F.aggregate("a", F.array().cast(f"array<struct<{kinds},cum:double>>"), add).alias("c"))
-
-
-def bisected(x: Column) -> Column:
-    """The first class of `c` whose running weight is above x times the total."""
-    return F.coalesce(F.try_element_at(F.filter("c", lambda e: e["cum"] > x * F.element_at("c", -1)["cum"]), F.lit(1)), F.element_at("c", -1))
-
-
 @query(
-    f"""with n as (select lang, count(*) as n, count(*)*pow(1.0/count(*), 0.5) as w from documents group by lang),
-    c as (select lang, n, sum(w) over (order by lang) as cum, sum(w) over () as tot from n),
-    r as (select doc_id, lang, {_ranked_sql('ifw', 'lang', 'doc_id', 'r')} from documents),
-    d as (select k, (select min(lang) from c where cum = (select min(cum) from c where cum > {uniform_sql('ifl', 'k')}*tot)) as lang from range({DRAWS}) t(k))
-    select k as draw, doc_id from d join c using (lang) join r on r.lang = d.lang and r.r = floor({uniform_sql('ifr', 'k')}*n)+1"""
+    f"""with k as (select k as draw from range({DRAWS}) t(k)),
+    n as (select lang, floor(count(*)*pow(1.0/count(*), 0.5)*1000000)::bigint as w from documents group by lang),
+    {W.weighted_sql('l', 'n', 'lang', 'w', 'k', [], uniform_sql('ifl', 'd.draw'), "md5(concat_ws('|', 'ifc', lang))")},
+    x as (select doc_id, lang, 1::bigint as w from documents),
+    {W.weighted_sql('r', 'x', 'doc_id', 'w', 'l', ['lang'], uniform_sql('ifr', 'd.draw'), digest_sql('ifw', 'doc_id'))}
+    select draw, doc_id from r"""
 )
 def inverse_frequency_draws(spark, sf):
-    """Draws with replacement in which a row weighs the inverse root of its class: a class by its weight, then a rank in it."""
-    ranked = S.hash_ranked(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], "ifw", "doc_id")
-    n = ranked.groupBy("lang").agg(F.first("_n").alias("n"))
-    c = cumulated(n.withColumn("w", F.col("n") * F.pow(1.0 / F.col("n"), F.lit(0.5))), ["lang", "n"], "w")
-    k = F.col("draw")
-    draws = spark.range(DRAWS).select(F.col("id").alias("draw")).crossJoin(F.broadcast(c)).select("draw", bisected(uniform("ifl", k)).alias("x"))
-    draws = draws.select("draw", F.col("x.lang").alias("lang"), (F.floor(uniform("ifr", k) * F.col("x.n")) + 1).alias("_rank"))
-    return draws.join(ranked, ["lang", "_rank"]).select("draw", "doc_id")
+    """Draws with replacement in which a row weighs the inverse root of its class: a class by its weight, then a row of it."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    n = d.groupBy("lang").agg(F.count("*").alias("n"))
+    draws, k = spark.range(DRAWS).select(F.col("id").alias("draw")), F.col("draw")
+    draws = W.weighted_draws(n, "lang", F.floor(F.col("n") * F.pow(1.0 / F.col("n"), F.lit(0.5)) * 1_000_000), draws, "draw", [], uniform("ifl", k), "ifc")
+    return W.weighted_draws(d, "doc_id", F.lit(1), draws, "draw", ["lang"], uniform("ifr", k), "ifw").select("draw", "doc_id")
 
 
 _KIND = "case when n_chars < 1000 then 'short' when n_chars < 4000 then 'middle' else 'long' end"
 
 
 @query(
-    f"""with x as (select doc_id, lang, source, {_KIND} as kind from documents),
-    n as (select lang, source, count(*) as n, count(distinct kind) as kinds, sqrt(count(*)) * case source when 'src1' then 2.0 else 1.0 end as ws from x group by lang, source),
-    f as (select lang, case lang when 'en' then 2.0 else 1.0 end as wf from (select distinct lang from n)),
-    p as (select lang, source, kinds, wf * ws / sum(ws) over (partition by lang) as p from n join f using (lang)),
-    c as (select lang, source, kinds, sum(p) over (order by lang, source) as cum, sum(p) over () as tot from p),
-    d as (select k, (select min({{'l': lang, 's': source}}) from c where cum > {uniform_sql('lv1', 'k')}*tot) as ls from range({DRAWS}) t(k)),
-    kk as (select lang, source, kind, count(*) as m, row_number() over (partition by lang, source order by kind) as j from x group by lang, source, kind),
-    r as (select doc_id, lang, source, kind, row_number() over (partition by lang, source, kind order by {digest_sql('lv', 'doc_id')}, doc_id) as r from x),
-    e as (select k, c.lang, c.source, floor({uniform_sql('lv2', 'k')}*kinds)+1 as j from d join c on c.lang = ls.l and c.source = ls.s)
-    select k as draw, doc_id from e join kk using (lang, source, j) join r using (lang, source, kind) where r.r = floor({uniform_sql('lv3', 'k')}*m)+1"""
+    f"""with k as (select k as draw from range({DRAWS}) t(k)),
+    x as (select doc_id, lang, source, case lang when 'en' then {_KIND} else '' end as kind,
+          case lang when 'fr' then least(greatest(10000000 // greatest(n_chars, 1), 2500), 40000) else 1 end::bigint as w from documents),
+    f as (select distinct lang, case lang when 'en' then 2 else 1 end::bigint as w from x),
+    s as (select lang, source, floor(sqrt(count(*))*case source when 'src1' then 2.0 else 1.0 end*1000000)::bigint as w from x group by lang, source),
+    c as (select distinct lang, source, kind, 1::bigint as w from x),
+    {W.weighted_sql('d1', 'f', 'lang', 'w', 'k', [], uniform_sql('lv0', 'd.draw'), "md5(concat_ws('|', 'lvf', lang))")},
+    {W.weighted_sql('d2', 's', 'source', 'w', 'd1', ['lang'], uniform_sql('lv1', 'd.draw'), "md5(concat_ws('|', 'lvs', source))")},
+    {W.weighted_sql('d3', 'c', 'kind', 'w', 'd2', ['lang', 'source'], uniform_sql('lv2', 'd.draw'), digest_sql('lvk', 'kind'))},
+    {W.weighted_sql('d4', 'x', 'doc_id', 'w', 'd3', ['lang', 'source', 'kind'], uniform_sql('lv3', 'd.draw'), digest_sql('lv', 'doc_id'))}
+    select draw, doc_id from d4"""
 )
 def three_level_draws(spark, sf):
-    """Draws with replacement: a family and a source by weight, a class of the source, then any row of the class."""
+    """Draws with replacement: a family by weight, a source by the root of its size and a factor, then a row.
+
+    One family draws a class of the source first, so classes are equally likely; one draws rows by their own weight (that of
+    `bias_w`, here larger for short texts); the others draw any row.
+    """
     kind = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 4000, "middle").otherwise("long")
-    x = table(spark, sf, "documents").select("doc_id", "lang", "source", kind.alias("kind"))
-    ranked = S.hash_ranked(x, ["lang", "source", "kind"], "lv", "doc_id")
-    classes = ranked.groupBy("lang", "source", "kind").agg(F.count("*").alias("m"))
-    n = classes.groupBy("lang", "source").agg(F.sum("m").alias("n"), F.array_sort(F.collect_list(F.struct("kind", "m"))).alias("kinds"))
-    n = n.withColumn("ws", F.sqrt("n") * F.when(F.col("source") == "src1", 2.0).otherwise(1.0))
-    of = n.groupBy("lang").agg(F.sum("ws").alias("s"))
-    p = n.join(of, "lang").withColumn("p", F.when(F.col("lang") == "en", 2.0).otherwise(1.0) * F.col("ws") / F.col("s"))
-    c = cumulated(p, ["lang", "source", "kinds"], "p")
-    k = F.col("draw")
-    draws = spark.range(DRAWS).select(F.col("id").alias("draw")).crossJoin(F.broadcast(c)).select("draw", bisected(uniform("lv1", k)).alias("x"))
-    chosen = F.element_at("x.kinds", (F.floor(uniform("lv2", k) * F.size("x.kinds")) + 1).cast("int"))
-    draws = draws.select("draw", "x.lang", "x.source", chosen.alias("y"))
-    draws = draws.select("draw", "lang", "source", "y.kind", (F.floor(uniform("lv3", k) * F.col("y.m")) + 1).alias("_rank"))
-    return draws.join(ranked, ["lang", "source", "kind", "_rank"]).select("draw", "doc_id")
+    bias = F.when(F.col("lang") == "fr", F.least(F.greatest(F.expr("10000000 div greatest(n_chars, 1)"), F.lit(2500)), F.lit(40000))).otherwise(1)
+    x = table(spark, sf, "documents").select("doc_id", "lang", "source", F.when(F.col("lang") == "en", kind).otherwise("").alias("kind"), bias.alias("w"))
+    s = x.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    root = F.floor(F.sqrt("n") * F.when(F.col("source") == "src1", 2.0).otherwise(1.0) * 1_000_000)
+    draws, k = spark.range(DRAWS).select(F.col("id").alias("draw")), F.col("draw")
+    draws = W.weighted_draws(s.select("lang").distinct(), "lang", F.when(F.col("lang") == "en", 2).otherwise(1), draws, "draw", [], uniform("lv0", k), "lvf")
+    draws = W.weighted_draws(s, "source", root, draws, "draw", ["lang"], uniform("lv1", k), "lvs")
+    draws = W.weighted_draws(x.select("lang", "source", "kind").distinct(), "kind", F.lit(1), draws, "draw", ["lang", "source"], uniform("lv2", k), "lvk")
+    return W.weighted_draws(x, "doc_id", F.col("w"), draws, "draw", ["lang", "source", "kind"], uniform("lv3", k), "lv").select("draw", "doc_id")
 
 
 @query(
