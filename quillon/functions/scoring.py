@@ -14,6 +14,11 @@ def doubles(xs: Column) -> Column:
     return F.transform(xs, lambda x: x.cast("double"))
 
 
+def normalised(xs: Column) -> Column:
+    """Divided by their sum."""
+    return F.transform(xs, lambda x: x / total(xs))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 

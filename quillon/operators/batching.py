@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, maybe_broadcast
@@ -152,3 +152,23 @@ def branch_layout(rows: DataFrame, key: str, prefix: str, branches: str) -> Data
 def visible(q: str = "q", k: str = "k") -> str:
     """SQL predicate: a query sees the prefix and its own branch up to itself."""
     return f"{k}.pos <= {q}.pos and ({k}.segment = 0 or {k}.segment = {q}.segment)"
+
+
+def visible_spans(rows: DataFrame, key: str, prefix: str, branches: str) -> DataFrame:
+    """(key, pos, segment, place, prefix_end, branch_start, seen): what `visible` allows each position of `branch_layout`, as two spans.
+
+    A position sees the positions before prefix_end and those from branch_start up to itself, `seen` in all; in the prefix the
+    second span is empty (branch_start is the next position). Whether a pair is allowed, and the area of a row of any length,
+    follow from the spans without a table of pairs.
+    """
+    x = branch_layout(rows, key, prefix, branches).join(rows.select(F.col(key), F.col(prefix).alias("_p")), key)
+    inside = F.col("segment") == 0
+    end = F.when(inside, F.col("pos") + 1).otherwise(F.col("_p"))
+    start = F.when(inside, F.col("pos") + 1).otherwise(F.col("pos") - F.col("place") + F.col("_p"))
+    x = x.withColumns({"prefix_end": end, "branch_start": start})
+    return x.withColumn("seen", F.col("prefix_end") + F.col("pos") + 1 - F.col("branch_start")).drop("_p")
+
+
+def sees(k: Column) -> Column:
+    """Whether the row of `visible_spans` allows position k."""
+    return (k < F.col("prefix_end")) | ((k >= F.col("branch_start")) & (k <= F.col("pos")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as P
+from ..functions.hashing import gamma, normal, uniform
 from .splits import placed
 
 
@@ -67,6 +68,56 @@ def best_temperature(rows: DataFrame, by: list[str], grid: list[float], least: i
     return best.select(*by, F.col("m.t").alias("temperature"), F.round("m.nll", 6).alias("nll"))
 
 
+#: Counts up to which a Poisson number is drawn from its own distribution; above it a cubed normal number is as near as makes no difference.
+EXACT = 100
+
+
+def poisson(seed: str, n: Column, *keys) -> Column:
+    """A Poisson number of mean n, which is a whole number."""
+    m = F.least(n, F.lit(EXACT)).cast("double")
+    steps = F.sequence(F.lit(1), (m + 10 * F.sqrt(m) + 12).cast("int"))  # beyond any uniform of 48 bits
+    start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("c"), F.lit(0).alias("k"))
+    u = uniform(seed, *keys)
+
+    def step(a: Column, i: Column) -> Column:
+        p = a["p"] * m / i
+        return F.struct(p.alias("p"), (a["c"] + p).alias("c"), F.when(a["c"] <= u, i).otherwise(a["k"]).alias("k"))
+
+    few = F.aggregate(steps, start, step, lambda a: a["k"])
+    many = F.floor(n * F.pow(1 - 1 / (9 * n) + normal(seed, *keys) / (3 * F.sqrt(n)), F.lit(3.0)) + 0.5)
+    return F.when(n <= EXACT, few).otherwise(F.greatest(many, F.lit(0))).cast("long")
+
+
+def bootstrap_means(rows: DataFrame, value: str, seed: str, resamples: int) -> DataFrame:
+    """(b, mean) of each Poisson resample: a row is in it Poisson(1) times, so the rows of one value are in it Poisson(their number) times.
+
+    The rows are counted by value once; the work after that is resamples times values. Resamples without a row have no mean; null values are left out.
+    """
+    n = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    x = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    x = x.withColumn("k", poisson(seed, F.col("n"), F.col("b"), F.col("v")))
+    return x.groupBy("b").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("mean")).where("mean is not null")
+
+
+def dirichlet_rewards(rows: DataFrame, key: str, draws: int, kappa: float, seed: str, spherical: float = 0.5, ranked: float = 0.0) -> DataFrame:
+    """(key, g, reward, advantage) of `draws` reports drawn around each row's probabilities p by Dirichlet(kappa p), scored against the answer y.
+
+    The reward is the logarithmic score and `spherical` times the spherical one, less `ranked` times the ranked one; the advantage is
+    it against the mean of the row's reports, in units of their standard deviation.
+    """
+    shape = F.transform("p", lambda x: F.greatest(kappa * F.greatest(x, F.lit(1e-6)), F.lit(1e-3)))
+    x = rows.select(key, "y", shape.alias("_shape"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("g"))
+    x = x.withColumn("_q", F.transform("_shape", lambda a, i: F.greatest(gamma(seed, a, F.col(key), F.col("g"), i), F.lit(1e-300))))
+    q = P.normalised(F.transform(P.normalised(F.col("_q")), lambda v: F.greatest(v, F.lit(1e-8))))
+    x = x.withColumn("_q", q)
+    p, y = F.col("_q"), F.col("y")
+    reward = F.log(P.at(p, y)) + spherical * P.spherical(p, y) - ranked * P.ranked_probability_score(p, y)
+    x = x.select(key, "g", reward.alias("reward"))
+    one = Window.partitionBy(key)  # as many rows as draws
+    spread = F.greatest(F.stddev_samp("reward").over(one), F.lit(1e-6))
+    return x.withColumn("advantage", (F.col("reward") - F.avg("reward").over(one)) / spread)
+
+
 def conformal(scores: DataFrame, score: str, alpha: float, key: str) -> DataFrame:
     """The sorted score at floor(alpha * (n + 1)) - 1, clamped to the list; one half if there are none."""
     n = scores.agg(F.count("*").alias("n")).first()[0]  # one number

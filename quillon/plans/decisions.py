@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as P
-from ..functions.hashing import uniform, uniform_sql
+from ..functions.hashing import gamma_sql, normal_sql, uniform, uniform_sql
 from ..operators import calibration as C
 from .registry import query, table
 
@@ -147,24 +147,38 @@ def order_flip_rate(spark, sf):
 
 
 B = 2000
-# how often a resample holds a row: Poisson(1), by its distribution function
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
 @query(
-    f"""with {REC}, d as (select b, correct, {uniform_sql('boot', 'b', 'vec_id')} as u from rec, range({B}) x(b)),
-    w as (select b, correct, {' + '.join(f'(u >= {t!r})::int' for t in POISSON)} as w from d),
-    m as (select b, sum(w*correct)/sum(w) as a from w group by b having sum(w) > 0)
+    f"""with {REC}, n as (select correct as v, count(*) as n from rec group by correct),
+    cdf as (select v, k, sum(exp(k*ln(n)-n-lgamma(k+1))) over (partition by v order by k) as c from n, range({3 * C.EXACT}) t(k) where n <= {C.EXACT}),
+    u as (select b, v, n, {uniform_sql('boot', 'b', 'v')} as u, {normal_sql('boot', 'b', 'v')} as z from n, range({B}) t(b)),
+    w as (select b, v, case when n <= {C.EXACT} then (select count(*) from cdf where cdf.v = u.v and c <= u.u) else greatest(floor(n*pow(1-1/(9.0*n)+z/(3*sqrt(n)),3)+0.5),0) end::bigint as k from u),
+    m as (select b, sum(k*v)/sum(k) as a from w group by b having sum(k) > 0)
     select round(quantile_cont(a,0.025),6) as lo, round(quantile_cont(a,0.975),6) as hi from m"""
 )
 def bootstrap_interval(spark, sf):
-    """Percentiles of 2000 Poisson resamples: how often a row is in a resample is hashed, so rows need no numbers and meet no others."""
-    rows = records(spark, sf).select("vec_id", "correct")
-    draws = rows.select("correct", "vec_id", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b"))
-    u = uniform("boot", F.col("b"), F.col("vec_id"))
-    draws = draws.select("b", "correct", u.alias("u")).withColumn("w", sum(((F.col("u") >= t).cast("int") for t in POISSON[1:]), (F.col("u") >= POISSON[0]).cast("int")))
-    means = draws.groupBy("b").agg((F.sum(F.col("w") * F.col("correct")) / F.sum("w")).alias("a")).where("a is not null")
-    return means.agg(F.round(F.percentile("a", 0.025), 6).alias("lo"), F.round(F.percentile("a", 0.975), 6).alias("hi"))
+    """Percentiles of 2000 Poisson resamples, drawn for each distinct value in place of each row."""
+    means = C.bootstrap_means(records(spark, sf), "correct", "boot", B)
+    return means.agg(F.round(F.percentile("mean", 0.025), 6).alias("lo"), F.round(F.percentile("mean", 0.975), 6).alias("hi"))
+
+
+DRAWN, KAPPA = 8, 50.0
+
+
+@query(
+    f"""with {REC}, x as (select vec_id, y, g, i - 1 as i, greatest({KAPPA}*greatest(p[i],1e-6),1e-3) as a from rec, range({DRAWN}) t(g), range(1, {LABELS} + 1) s(i)),
+    d as (select *, case when a < 1 then a + 1 else a end - 1.0::double/3 as d from x),
+    v as (select vec_id, y, g, i, greatest({gamma_sql('dir', 'd', 'vec_id', 'g', 'i')}*case when a < 1 then pow(1-{uniform_sql('dir', 'vec_id', 'g', 'i', "'b'")}, 1/a) else 1.0 end, 1e-300) as v from d),
+    n as (select *, greatest(v/sum(v) over (partition by vec_id, g), 1e-8) as n from v),
+    q as (select *, n/sum(n) over (partition by vec_id, g) as q from n),
+    r as (select vec_id, g, max(ln(q)) filter (i = y) + 0.5*max(q) filter (i = y)/greatest(sqrt(sum(q*q)),1e-8) as reward from q group by vec_id, g)
+    select vec_id, g::int as g, round(reward,6) as reward, round((reward-avg(reward) over w)/greatest(stddev_samp(reward) over w,1e-6),6) as advantage from r window w as (partition by vec_id)"""
+)
+def dirichlet_advantages(spark, sf):
+    """Eight reports around each record's probabilities, their rewards, and these against the mean of the record's reports."""
+    x = C.dirichlet_rewards(records(spark, sf), "vec_id", DRAWN, KAPPA, "dir")
+    return x.select("vec_id", "g", F.round("reward", 6).alias("reward"), F.round("advantage", 6).alias("advantage"))
 
 
 @query(f"with {REC} select pred, count(*) as n, round(count(*)/sum(count(*)) over (),6) as share, count(*)/sum(count(*)) over () > 0.85 as collapsed from rec group by pred")
