@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import digest_sql, uniform_sql
 from ..operators.splits import placed
+from ..session import shared_dir
+from ..sources import metrics as M
+from ..sources.logs import log_lines, log_stream
 from ..streaming import telemetry as S
 from .registry import query, table
 
@@ -93,3 +99,49 @@ def log_steps(spark, sf):
     lines = table(spark, sf, "events").select(F.when(F.col("event_id") % 5 == 0, "saved a checkpoint").otherwise(line).alias("value"))
     s = S.parsed_steps(lines)
     return s.select(F.col("step").cast("long").alias("step"), F.round("loss", 6).alias("loss"), F.col("data_wait").isNull().alias("short_form"))
+
+
+def _log_line(step, value):
+    """A training step's line with what varies in it."""
+    tail = F.when(step % 2 == 0, "  [data_wait 1% | alloc_retries 0]").otherwise("")
+    return F.concat(F.lit("[ep 1/3]  7/900  ("), step.cast("string"), F.lit("/10000)  loss "), value.cast("string"), F.lit("  mono 0.1  lr 1.0e-04  3.2 it/s  9.5GiB  ETA 12m"), tail)
+
+
+def _written_log(spark, sf):
+    """A folder with a log of all events in order, as a Spark job writes it, and two logs that must not be taken for it."""
+    at = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select("event_id", "value")
+    line = F.when(F.col("event_id") % 5 == 0, "saved a checkpoint").otherwise(_log_line(F.col("event_id"), F.col("value")))
+    ranges = e.repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ranges.select(line.alias("value")).write.text(f"{at}/train.log")
+    for other in ("train.err.log", "dashboard.log"):
+        spark.range(1).selectExpr("'not this one' as value").write.text(f"{at}/{other}")
+    return at
+
+
+@query(
+    """with t as (select event_id, value from events order by event_id desc limit 1000), s as (select * from t where event_id % 5 <> 0 order by event_id desc limit 300)
+    select event_id::bigint as step, round(value, 6) as loss, event_id % 2 <> 0 as short_form from s"""
+)
+def log_tail_steps(spark, sf):
+    """The last 300 steps among the last 1000 lines of a log written from all events, read backwards from its end."""
+    lines = log_lines(spark, _written_log(spark, sf), 1000)
+    s = S.parsed_steps(lines.select(F.col("line").alias("value"))).orderBy(F.desc("step")).limit(300)
+    return s.select(F.col("step").cast("long").alias("step"), F.round("loss", 6).alias("loss"), F.col("data_wait").isNull().alias("short_form"))
+
+
+@query("select (event_id // 500)::bigint as band, count(*) as n, round(avg(value), 6) as loss from events where event_id % 5 <> 0 group by 1")
+def log_stream_bands(spark, sf):
+    """The whole log as a stream of byte ranges, its steps written by an idempotent sink and read back by the manifest, in means over 500 steps."""
+    at = _written_log(spark, sf)
+    steps = S.parsed_steps(log_stream(spark, at).select(F.col("line").alias("value"))).select("step", "loss", F.lit("train").alias("kind"))
+    M.metrics_sink(steps, f"{at}/metrics", "one", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = M.read_metrics(spark, f"{at}/metrics", "step double, loss double, kind string")
+    return rows.groupBy(F.floor(F.col("step") / 500).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query(f"select key as draw, doc_id from (select k as key, floor({uniform_sql('endless', 'k % 4', 'k // 4')}*n)::bigint + 1 as r from range(1000) t(k), (select count(*) as n from documents)) d join (select doc_id, row_number() over (order by {digest_sql('endless', 'doc_id')}, doc_id) as r from documents) using (r)")
+def sampled_stream(spark, sf):
+    """The first batch of the endless sampler: 1000 draws with replacement by four workers, each by its own seed."""
+    stream = S.sampling_stream(spark, table(spark, sf, "documents"), "doc_id", "endless", 1000, 4)
+    return S.drained(stream, "append").select((F.col("draw") * 4 + F.col("worker")).alias("draw"), "doc_id")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .logs import OWN, log_lines
+
 # fixed values: record schemas of decision corpora
 SCHEMAS = {
     "intent": "text string, label string",
@@ -88,16 +90,6 @@ def latest_by(rows: DataFrame, key: str, version: str) -> DataFrame:
     return best.select(key, *(F.col(f"_m.{c}").alias(c) for c in rest))
 
 
-def log_tail(spark: SparkSession, folder: str, n: int = 300, own: str = "dashboard.log") -> DataFrame:
-    """(line, at): the last n lines of train.log if it is there, else of the newest log, the reader's own left out.
-
-    The place of a line is counted within its file, which is read as a whole by one task since logs are not split here.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder).drop("content")
-    name = F.element_at(F.split("path", "/"), -1)
-    files = files.withColumn("name", name).where(F.col("name") != own)
-    pick = files.agg(F.max(F.struct((F.col("name") == "train.log").alias("main"), "modificationTime", "path"))["path"].alias("path")).first()[0]
-    if pick is None:
-        return spark.createDataFrame([], "line string, at bigint")
-    lines = spark.read.text(pick, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
-    return lines.orderBy(F.desc("at")).limit(n).select("line", F.col("at").cast("bigint").alias("at"))
+def log_tail(spark: SparkSession, folder: str, n: int = 300, own: str = OWN) -> DataFrame:
+    """(line, part, at): the last n lines of train.log if it is there, else of the newest log, the reader's own left out; the last line first."""
+    return log_lines(spark, folder, n, own).orderBy(F.desc("part"), F.desc("at")).select("line", "part", "at")

@@ -83,7 +83,10 @@ class RollingMean(StatefulProcessor):
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is and gives the result as a table in the shared folder, with its checkpoint beside it."""
+    """Runs a stream over what there is and gives the result as a table in the shared folder, with its checkpoint beside it.
+
+    In update mode every batch has a folder of its own, which a replay of the batch replaces. A stream without a batch gives no rows.
+    """
     spark = stream.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", at + "/state")
@@ -92,10 +95,14 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     else:  # every batch holds all rows that changed; the last batch of a complete result is the result
 
         def keep(rows: DataFrame, batch: int) -> None:
-            rows.write.mode("overwrite" if mode == "complete" else "append").parquet(at + "/rows")
+            rows.write.mode("overwrite").parquet(at + ("/rows" if mode == "complete" else f"/rows/_batch={batch}"))
 
+        empty = spark.createDataFrame([], stream.schema)
+        empty.write.parquet(at + ("/rows" if mode == "complete" else "/rows/_batch=-1"))
         out = out.foreachBatch(keep)
     out.start().awaitTermination()
+    if mode == "update":
+        return spark.read.schema(stream.schema).option("basePath", at + "/rows").parquet(at + "/rows/_batch=*").drop("_batch")
     return spark.read.schema(stream.schema).parquet(at + "/rows")
 
 
