@@ -213,8 +213,8 @@ def depth_features(spark, sf):
 
 
 @query(
-    f"""with {REC}, {PASSES}, a as (select vec_id, y, k, list_position(p,list_max(p))-1 as pred from pk), f as (select vec_id, pred as last from a where k={DEPTHS})
-    select vec_id, k, pred = last as halt, pred <> y as escalate from a join f using (vec_id)"""
+    f"""with {REC}, {PASSES}, a as materialized (select vec_id, y, k, list_position(p,list_max(p))-1 as pred from pk)
+    select vec_id, k, pred = last_value(pred) over (partition by vec_id order by k rows between unbounded preceding and unbounded following) as halt, pred <> y as escalate from a"""
 )
 def halt_targets(spark, sf):
     x = C.depth_records(records(spark, sf), DEPTHS).withColumn("pred", P.argmax(F.col("p")))
@@ -222,7 +222,7 @@ def halt_targets(spark, sf):
     return x.select("vec_id", "k", (F.col("pred") == last).alias("halt"), (F.col("pred") != F.col("y")).alias("escalate"))
 
 
-THETAS = [0.2, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9]
+THETAS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]  # fixed values: the thresholds of the curve
 
 
 @query(
@@ -344,19 +344,6 @@ def mean_pool(spark, sf):
     return x.groupBy("label", (F.col("i") + 1).alias("i")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
-@query(
-    """select step::int as step, round(case when step < 100 then (step+1)/100.0 else 0.1+0.9*0.5*(1+cos(pi()*(step-100)/900.0)) end,9) as lr,
-      round((1+step%6)/21.0,9) as depth_weight, round(0.3*step+(1-0.3)*(1000-step),6) as blended from range(1000) r(step)"""
-)
-def schedules(spark, sf):
-    """Warm-up then cosine; ascending depth weights; a blend of two series."""
-    import math
-
-    s = F.col("id")
-    lr = F.when(s < 100, (s + 1) / 100.0).otherwise(0.1 + 0.9 * 0.5 * (1 + F.cos(F.lit(math.pi) * (s - 100) / 900.0)))
-    return spark.range(1000).select(s.cast("int").alias("step"), F.round(lr, 9).alias("lr"), F.round((1 + s % 6) / 21.0, 9).alias("depth_weight"), F.round(0.3 * s + 0.7 * (1000 - s), 6).alias("blended"))
-
-
 @query(
     f"""with {REC}, s as (select vec_id%4 as step, grp, correct from rec), m as (select step, grp, avg(correct) as a from s group by all), t as (select step, avg(a) as macro, max(a) as best from m group by step)
     select (select step from t order by round(macro,9) desc, step limit 1)::int as best_macro_step, (select step from t order by round(best,9) desc, step limit 1)::int as best_group_step, round(max(macro),6) as macro from t"""

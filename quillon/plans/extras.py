@@ -36,17 +36,6 @@ def foreign_without_own(spark, sf):
     return own.crossJoin(F.broadcast(pool)).select("p_brand", F.size(rest).alias("n"), F.try_element_at(rest, F.lit(1)).alias("first"))
 
 
-@query(
-    f"""select k::int as draw, case when {uniform_sql('task', 'k')} < 0.5 then 'intent' when {uniform_sql('task', 'k')} < 0.8 then 'mcq' else 'bool' end as task, floor({uniform_sql('item', 'k')}*1000)::bigint as item from range(500) r(k)"""
-)
-def task_mixer(spark, sf):
-    """A task by weight, then an item of it by a uniform draw."""
-    k = F.col("id")
-    u = uniform("task", k)
-    task = F.when(u < 0.5, "intent").when(u < 0.8, "mcq").otherwise("bool")
-    return spark.range(500).select(k.cast("int").alias("draw"), task.alias("task"), F.floor(uniform("item", k) * 1000).alias("item"))
-
-
 @query(
     f"""with {REC}, c as (select vec_id, y, z, list_filter(range(10), lambda i: (i + vec_id) % 3 <> 0 or i = y) as own from rec),
     s as (select vec_id, y, list_transform(own, lambda i: z[i+1]) as zz, own from c) select vec_id, len(own)::int as n, (own[list_position(zz, list_max(zz))] = y)::int as correct from s"""

@@ -25,8 +25,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(SCHEMAS.get(schema, schema) if isinstance(schema, str) else schema).option("mode", "FAILFAST").json(path)
 
 
-def write_jsonl(rows: DataFrame, path: str, split: str | None = None) -> None:
-    """Private columns (leading underscore) are dropped; a split column becomes folders. Nothing is overwritten."""
+def write_jsonl(rows: DataFrame, path: str, split: str | None = None, seed: str | None = None) -> None:
+    """Private columns (leading underscore) are dropped; a split column becomes folders. Nothing is overwritten.
+
+    With a seed rows are written in the order of a hash of theirs, over all files by name, so that no file holds one source.
+    """
+    if seed is not None:
+        mixed = F.xxhash64(F.lit(seed), *rows.columns)
+        rows = rows.withColumn("_mixed", mixed).repartitionByRange("_mixed").sortWithinPartitions("_mixed")
     out = rows.drop(*(c for c in rows.columns if c.startswith("_"))).write.mode("errorifexists")
     (out.partitionBy(split) if split else out).json(path)
 
