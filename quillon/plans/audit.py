@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import uniform, uniform_sql
 from ..operators.splits import placed
-from ..session import cut
+from ..session import cut, maybe_broadcast
 from .registry import query, table
 
 LEVELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -192,19 +194,25 @@ def blind_nb(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-fitted naive Bayes over the words of a text, in hashed folds: each row is scored by the other folds' counts."""
     d = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id")
     d = d.select("doc_id", "y", F.floor(uniform("fold", F.col("doc_id")) * 5).cast("int").alias("fold"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("ws"))
+    # the words stay with their row and are not shuffled; only counts and the odds of words that rows have in common are
+    d = cut(d)
     x = d.select("doc_id", "y", "fold", F.explode("ws").alias("w"))
-    count = [F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg")]
-    wc = x.groupBy("w", "fold").agg(*count)
-    wa = wc.groupBy("w").agg(F.sum("pos").alias("ap"), F.sum("neg").alias("an"))
-    nc = d.groupBy("fold").agg(F.sum("y").alias("fp"), (F.count("*") - F.sum("y")).alias("fn"))
-    na = nc.agg(F.sum("fp").alias("tp"), F.sum("fn").alias("tn"))
-    n = F.broadcast(nc.crossJoin(F.broadcast(na)).select("fold", (F.col("tp") - F.col("fp")).alias("np"), (F.col("tn") - F.col("fn")).alias("nn")))
-    o = wc.join(wa, "w").join(n, "fold")
-    odds = F.log((F.col("ap") - F.col("pos") + 1) / (F.col("np") + 2)) - F.log((F.col("an") - F.col("neg") + 1) / (F.col("nn") + 2))
-    # a row for each word and fold; while they are few no row of a common word is shuffled
-    o = cut(o.select("w", "fold", odds.alias("odds")))
-    s = x.join(F.broadcast(o) if o.count() <= 500_000 else o, ["w", "fold"]).groupBy("doc_id", "y", "fold").agg(F.sum("odds").alias("s")).join(n, "fold")
-    z = F.greatest(F.least(F.col("s") / 10, F.lit(30.0)), F.lit(-30.0)) + F.log((F.col("np") + 1) / (F.col("nn") + 1))
+    per = [F.sum(F.when(F.col("fold") == k, F.lit(1) if y is None else F.col("y")).otherwise(0)).alias(f"{n}{k}") for n, y in (("n", None), ("p", "y")) for k in range(5)]
+    wc = x.groupBy("w").agg(F.count("*").alias("all"), F.sum("y").alias("ap"), *per)
+    nc = d.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("p")).collect()  # a row for each fold
+    n, p = ({r.fold: r[c] for r in nc} for c in ("n", "p"))
+    held = lambda k: (sum(p.values()) - p.get(k, 0), sum(n.values()) - sum(p.values()) - n.get(k, 0) + p.get(k, 0))  # noqa: E731  rows of the other folds with and without the label
+
+    def odds(k: int):
+        pos, neg = F.col("ap") - F.col(f"p{k}"), (F.col("all") - F.col(f"n{k}")) - (F.col("ap") - F.col(f"p{k}"))
+        return F.log((pos + 1) / (held(k)[0] + 2)) - F.log((neg + 1) / (held(k)[1] + 2))
+
+    o = cut(wc.select("w", F.array(*map(odds, range(5))).alias("odds")))
+    # while the words are few no row of a common word is shuffled
+    x = x.join(maybe_broadcast(o, 200_000), "w")
+    s = x.groupBy("doc_id", "y", "fold").agg(F.sum(F.element_at("odds", F.col("fold") + 1)).alias("s"))
+    prior = F.element_at(F.array(*(F.lit(math.log((held(k)[0] + 1) / (held(k)[1] + 1))) for k in range(5))), F.col("fold") + 1)
+    z = F.greatest(F.least(F.col("s") / 10, F.lit(30.0)), F.lit(-30.0)) + prior
     return s.select("doc_id", "y", (1 / (1 + F.exp(-z))).alias("p"))
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_sql, uniform_sql
-from ..operators.splits import placed
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..sources import metrics as M
 from ..sources.logs import log_lines, log_stream
 from ..streaming import telemetry as S
@@ -45,14 +44,20 @@ def stream_once_per_episode(spark, sf):
 
 @query("select event_id, round(avg(value) over (partition by event_type order by ts, event_id rows between 199 preceding and current row),9) as rolling from events")
 def rolling_mean(spark, sf):
-    """Means of the last 200 values of a type. Types are few, so each is cut into blocks, which take the 199 rows before them along."""
-    size, block = 200, 10_000
-    e = placed(table(spark, sf, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"])
-    at = F.floor((F.col("_place") - 1) / block)
-    late = F.pmod(F.col("_place") - 1, F.lit(block)) >= block - size + 1
-    e = e.withColumn("_block", F.explode(F.when(late, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("_own", F.col("_block") == at)
-    w = Window.partitionBy("event_type", "_block").orderBy("_place").rowsBetween(1 - size, 0)
-    return e.withColumn("rolling", F.round(F.avg("value").over(w), 9)).where("_own").select("event_id", "rolling")
+    """Means of the last 200 values of a type. Types are few, so each is cut into ranges of time, which take the 199 rows before them along."""
+    order, before = ["ts", "event_id"], 199
+    e = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    e = cut(e.repartitionByRange("event_type", *order).withColumn("_range", F.spark_partition_id()))
+    row = F.struct(*order, "value")
+    last = Window.partitionBy("event_type", "_range").orderBy(*(F.desc(c) for c in order))
+    tails = e.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= before).groupBy("event_type", "_range").agg(F.collect_list(row).alias("_tail"))
+    # every range of a type has a row, so no more ranges than rows are needed before one
+    earlier = F.flatten(F.collect_list("_tail").over(Window.partitionBy("event_type").orderBy("_range").rowsBetween(-before, -1)))
+    tails = tails.withColumn("_tail", F.slice(F.reverse(F.array_sort(earlier)), F.lit(1), F.lit(before)))
+    carried = tails.select("event_type", "_range", F.explode("_tail").alias("_t")).select("event_type", "_range", "_t.*").withColumn("_own", F.lit(False))
+    rows = e.withColumn("_own", F.lit(True)).unionByName(carried)
+    w = Window.partitionBy("event_type", "_range").orderBy(*order).rowsBetween(-before, 0)
+    return rows.withColumn("rolling", F.round(F.avg("value").over(w), 9)).where("_own").select("event_id", "rolling")
 
 
 @query("select (event_id // 500)::bigint as band, count(*) as n, round(avg(value),6) as loss, round(min(value),6) as best from events group by 1")
