@@ -2,10 +2,12 @@
 
 Documents fall into cells of source, language and topic; one aggregation (with
 partial sums on the map side) gives the tokens of each cell. The cell weights
-are raked to the marginal targets in a fixed number of sweeps. Sampling keeps
-a document of a cell with probability min(1, c * raked / available), where c
-solves for the token budget, so the expected tokens of the sample follow the
-raked weights as far as the documents there are allow.
+are raked to the marginal targets with what there is as an upper bound inside the
+loop: each step scales the cells of a value to its share of the token budget,
+and what full cells cannot take goes to the others of the value, so the next
+steps see it. Sweeps end when none moves. Sampling keeps a document with the
+probability raked / available of its cell, so the expected tokens of the sample
+follow the margins; `margins` shows targets that the documents cannot meet.
 
 While the cells are within a checked bound they are raked in numpy on the
 driver and their probabilities are broadcast; beyond it the same steps run as
@@ -27,15 +29,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, spread_join
 
 DIMS = ("source", "lang", "topic")
-SWEEPS, FILLS = 15, 8
-#: Cells that are raked on the driver at most; tasks that a hot cell's rows are dealt to beyond that.
-DRIVER_CELLS, SALT = 100_000, 16
+#: Sweeps at most, which end when none moves more than this part of all tokens; cells that are raked on the driver at most.
+SWEEPS, TOLERANCE = 40, 1e-10
+DRIVER_CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -104,31 +106,45 @@ def rake(cells: DataFrame, mix: Mix) -> DataFrame:
     for d, n in zip(DIMS, names):
         own = (pdf.groupby(n)["base"].sum() / total).to_dict()
         margins[n] = _shares({k: v for k, v in own.items() if v > 0}, getattr(mix, d))
-    w = base / total
     codes = {n: pdf[n].astype("category").cat.codes.to_numpy() for n in names}
-    want = {n: np.array([margins[n].get(v, 0.0) for v in pdf[n].astype("category").cat.categories]) for n in names}
+    want = {n: mix.budget * total * np.array([margins[n].get(v, 0.0) for v in pdf[n].astype("category").cat.categories]) for n in names}
+    m = mix.budget * base
     for _ in range(SWEEPS):
+        before = m
         for n in names:
-            have = np.bincount(codes[n], w, len(want[n]))
-            w = w * np.divide(want[n], have, out=np.zeros_like(have), where=have > 0)[codes[n]]
-    p = np.zeros(len(w))
-    ratio = np.divide(w, base, out=np.zeros_like(w), where=base > 0)
-    full = np.zeros(len(w), bool)
-    for _ in range(FILLS):
-        left, open_ = mix.budget * total - base[full].sum(), w[~full].sum()
-        c = left / open_ if open_ > 0 else 0.0
-        p = np.where(full, 1.0, np.minimum(1.0, c * ratio))
-        full |= c * ratio >= 1
-    pdf["probability"] = np.where(base > 0, p, 1.0)
+            m = _filled(m, base, codes[n], want[n])
+        if np.abs(m - before).max(initial=0) <= TOLERANCE * total:
+            break
+    pdf["probability"] = np.where(base > 0, m / np.where(base > 0, base, 1), 1.0)
     return F.broadcast(spark.createDataFrame(pdf, cells.schema.add("probability", "double")))
 
 
+def _filled(m: np.ndarray, base: np.ndarray, code: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """m scaled within each value to its wanted sum, no cell above its base: cells that the factor lifts above it are set to it, and the others get more."""
+    room = np.divide(base, m, out=np.full_like(m, np.inf), where=m > 0)
+    order = np.lexsort((room, code))
+    c, first = code[order], np.ones(len(code), bool)
+    first[1:] = c[1:] != c[:-1]
+    start = np.flatnonzero(first)[np.cumsum(first) - 1]
+    before = lambda x: np.concatenate(([0.0], np.cumsum(x[order])))
+    b, o = before(base), before(m)
+    at = np.arange(len(code))
+    left = np.bincount(code, m, len(want))[c] - (o[at] - o[start])
+    factor = np.divide(want[c] - (b[at] - b[start]), left, out=np.zeros(len(code)), where=left > 0)
+    best = np.full(len(want), -np.inf)
+    ok = factor <= room[order]
+    np.maximum.at(best, c[ok], factor[ok])
+    best = np.where(best == -np.inf, np.inf, best)[code]
+    return np.minimum(base, np.multiply(best, m, out=np.zeros_like(m), where=m > 0))
+
+
 def _rake_spread(cells: DataFrame, mix: Mix, total: float) -> DataFrame:
     """The same steps with the cells left where they are; margins are joined back."""
-    w = cells.withColumn("w", F.col("base") / total)
+    names = ["_" + d for d in DIMS]
+    w = cells.withColumn("m", F.col("base") * mix.budget)
     for d in DIMS:
         n, target = "_" + d, getattr(mix, d)
-        own = w.groupBy(n).agg(F.sum("w").alias("own")).where("own > 0")
+        own = w.groupBy(n).agg((F.sum("base") / total).alias("own")).where("own > 0")
         if isinstance(target, dict):
             pairs = F.create_map(*(F.lit(x) for k, v in target.items() for x in (k, float(v)))) if target else None
             want = F.coalesce(F.try_element_at(pairs, F.col(n)), F.col("own")) if target else F.col("own")
@@ -136,33 +152,60 @@ def _rake_spread(cells: DataFrame, mix: Mix, total: float) -> DataFrame:
             want = F.pow("own", F.lit(float(target)))
         own = own.withColumn("want", want)
         whole = own.agg(F.sum("want")).first()[0]
-        w = cut(w.join(own.select(n, (F.col("want") / whole).alias("want" + n)), n, "left").fillna(0.0, ["want" + n]))
+        w = cut(w.join(own.select(n, (F.col("want") / whole * mix.budget * total).alias("want" + n)), n, "left").fillna(0.0, ["want" + n]))
     for _ in range(SWEEPS):
-        for n in ("_" + d for d in DIMS):
-            have = w.groupBy(n).agg(F.sum("w").alias("have"))
-            w = cut(w.join(have, n).withColumn("w", F.when(F.col("have") > 0, F.col("w") * F.col("want" + n) / F.col("have")).otherwise(0.0)).drop("have"))
-    w = w.withColumn("ratio", F.when(F.col("base") > 0, F.col("w") / F.col("base")).otherwise(0.0)).withColumn("full", F.lit(False))
-    p, full = F.lit(0.0), F.lit(False)
-    for _ in range(FILLS):
-        a, b = w.agg(F.sum(F.when(full, F.col("base"))), F.sum(F.when(~full, F.col("w")))).first()
-        c = (mix.budget * total - (a or 0.0)) / b if b else 0.0
-        p = F.when(full, 1.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * c))
-        full = full | (F.col("ratio") * c >= 1)
-    return cut(w.withColumn("probability", F.when(F.col("base") > 0, p).otherwise(1.0))).select(*cells.columns, "probability")
+        w = w.withColumn("was", F.col("m"))
+        for n in names:
+            w = w.withColumn("room", F.when(F.col("m") > 0, F.col("base") / F.col("m")).otherwise(float("inf")))
+            of = Window.partitionBy(n)
+            upto = of.orderBy("room", *names).rowsBetween(Window.unboundedPreceding, 0)
+            left = F.sum("m").over(of) - (F.sum("m").over(upto) - F.col("m"))
+            w = w.withColumns({"left": left, "capped": F.sum("base").over(upto) - F.col("base")})
+            w = w.withColumn("factor", F.when(F.col("left") > 0, (F.col("want" + n) - F.col("capped")) / F.col("left")).otherwise(0.0))
+            best = F.coalesce(F.max(F.when(F.col("factor") <= F.col("room"), F.col("factor"))).over(of), F.lit(float("inf")))
+            w = w.withColumn("m", F.when(F.col("m") > 0, F.least(F.col("base"), best * F.col("m"))).otherwise(0.0))
+            w = cut(w.drop("room", "left", "capped", "factor"))
+        moved = w.agg(F.max(F.abs(F.col("m") - F.col("was")))).first()[0] or 0.0
+        w = w.drop("was")
+        if moved <= TOLERANCE * total:
+            break
+    return cut(w.withColumn("probability", F.when(F.col("base") > 0, F.col("m") / F.col("base")).otherwise(1.0))).select(*cells.columns, "probability")
+
+
+def margins(cells: DataFrame, mix: Mix) -> DataFrame:
+    """(dimension, value, wanted, got): shares of the expected tokens of a sample for raked cells; a target that the documents cannot meet shows as a difference.
+
+    Wanted shares are of the budget, got shares of the expected sample.
+    """
+    whole = cells.agg(F.sum(F.col("base") * F.col("probability")).alias("_kept"), F.sum("base").alias("_all"))
+    out = None
+    for d in DIMS:
+        own = cells.groupBy(F.col("_" + d).alias("value")).agg(F.sum("base").alias("_own"), F.sum(F.col("base") * F.col("probability")).alias("_got")).crossJoin(F.broadcast(whole))
+        target, share = getattr(mix, d), F.try_divide(F.col("_own"), F.col("_all"))
+        named = F.lit(None).cast("double")
+        if isinstance(target, dict):
+            for k, v in target.items():
+                named = F.when(F.col("value") == k, float(v)).otherwise(named)
+        want = F.coalesce(named, share) if isinstance(target, dict) else F.pow(share, F.lit(float(target)))
+        own = own.withColumn("_want", F.when(F.col("_own") > 0, want).otherwise(0.0))
+        own = own.crossJoin(F.broadcast(own.agg(F.sum("_want").alias("_sum"))))
+        one = own.select(F.lit(d).alias("dimension"), "value", F.try_divide(F.col("_want"), F.col("_sum")).alias("wanted"), F.try_divide(F.col("_got"), F.col("_kept")).alias("got"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def with_probability(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", topic: Topic = topic_of) -> DataFrame:
     """(_row, _source, _lang, _topic, _tokens, _p, _sampled) of every row of docs."""
     names = ["_" + d for d in DIMS]
     rows = described(docs, text_col, topic)
-    cells = cut(rows.groupBy(*names).agg(F.sum("_tokens").cast("double").alias("base")))
-    rates = rake(cells, mix).select(*names, F.col("probability").alias("_p"))
+    cells = cut(rows.groupBy(*names).agg(F.sum("_tokens").cast("double").alias("base"), F.count("*").alias("_n")))
+    rates = rake(cells.drop("_n"), mix).select(*names, F.col("probability").alias("_p"))
     id_ = F.col("_row").getField(id_col)
-    if not small(cells, DRIVER_CELLS):  # no broadcast: the rows of a cell are dealt by salt, each salt with its own copy of the rate
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(id_), F.lit(SALT)).cast("int"))
-        rates = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        names = [*names, "_salt"]
-    return rows.join(rates, names, "left").drop("_salt").withColumn("_sampled", draw(mix.seed, id_) < F.col("_p"))
+    if small(cells, DRIVER_CELLS):
+        rows = rows.join(rates, names, "left")
+    else:  # no broadcast: a hot cell's rows do not meet
+        rows = spread_join(rows, rates, names, counts=cells.select(*names, "_n"))
+    return rows.withColumn("_sampled", draw(mix.seed, id_) < F.col("_p"))
 
 
 def sample(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", topic: Topic = topic_of) -> DataFrame:
@@ -191,19 +234,20 @@ def oracle(mix: Mix) -> str:
             want = f"pow(sum(w0), {target})"
         parts.append(f"m_{d} as (select _{d}, want / sum(want) over () as want_{d} from (select _{d}, {want} as want from b group by _{d} having sum(w0) > 0))")
     joins = " ".join(f"join m_{d} using (_{d})" for d in DIMS)
-    parts.append(f"s0 as (select b.*, {', '.join('want_' + d for d in DIMS)}, w0 as w from b {joins})")
+    parts.append(f"s0 as (select b.* exclude (w0), {', '.join('want_' + d for d in DIMS)}, {mix.budget} * base as m from b {joins} where base > 0)")
     k = 0
     for _ in range(SWEEPS):
         for d in DIMS:
-            parts.append(f"s{k + 1} as (select * replace (case when sum(w) over (partition by _{d}) > 0 then w * want_{d} / sum(w) over (partition by _{d}) else 0 end as w) from s{k})")
+            parts.append(f"a{k} as (select *, case when m > 0 then base / m else 'infinity'::double end as room from s{k})")
+            parts.append(f"""l{k} as (select *, case when rest > 0 then (want_{d} * {mix.budget} * total - capped) / rest else 0 end as factor from (
+                select *, sum(m) over (partition by _{d}) - (sum(m) over w - m) as rest, sum(base) over w - base as capped from a{k}
+                window w as (partition by _{d} order by room, {n} rows unbounded preceding)))""")
+            best = f"coalesce(max(case when factor <= room then factor end) over (partition by _{d}), 'infinity'::double)"
+            parts.append(f"s{k + 1} as (select * exclude (room, rest, capped, factor) replace (case when m > 0 then least(base, {best} * m) else 0 end as m) from l{k})")
             k += 1
-    parts.append(f"f0 as (select *, w / base as ratio, false as is_full, 0.0::double as p from s{k} where base > 0)")
-    for i in range(FILLS):
-        c = f"({mix.budget} * total - coalesce(sum(case when is_full then base end) over (), 0)) / sum(case when not is_full then w end) over ()"
-        parts.append(f"g{i} as (select *, coalesce({c}, 0) as c from f{i})")
-        parts.append(f"f{i + 1} as (select * exclude (c) replace (case when is_full then 1.0 else least(1.0, c * ratio) end as p, is_full or c * ratio >= 1 as is_full) from g{i})")
+    parts.append(f"p as (select {n}, m / base as p from s{k})")
     u = f"('0x' || substr(md5('{mix.seed}|' || coalesce(doc_id::varchar, '')), 1, 12))::ubigint::double / {2**48}.0"
     return f"""with {", ".join(p if i < 0 else p.replace(" as (", " as materialized (", 1) for i, p in enumerate(parts))}
         select doc_id, _source as source, _lang as lang, _topic as topic, _tokens as n_tokens,
                round(coalesce(p, 1.0), 6) as probability, {u} < coalesce(p, 1.0) as sampled
-        from x left join f{FILLS} using ({n})"""
+        from x left join p using ({n})"""
