@@ -1,38 +1,37 @@
 """Exact Jaccard similarity join of shingle sets as a metric-space join with document pivots.
 
-The distance 1 - J is a metric; sets are linked within a radius of 1/4.
-
-1. Pivots. With 5-word shingles nearly every document is at distance 1 from any
-   other, so a pivot serves only those that share shingles with it. In one
-   global order of shingles (frequent ones last) two linked sets share one of
-   the first n - ceil(3n/4) + 1 of each. The sets that hold such a shingle
-   elect one of themselves as its pivot: the one with the smallest share of
-   infrequent shingles, so that one document is elected by most shingles of its
-   like. A set belongs to the regions of all pivots that its shingles elect,
-   and linked sets always meet in a region. No pair is formed within the
-   holders of a shingle. Members leave a region if sizes and numbers of shared
-   shingles alone put all others of the region out of their reach.
-2. Distances. Every member is measured against the pivot of its region. Members
-   within the radius are linked through the pivot. A region is done unless a
-   member lies outside the radius; then only pairs with such a member remain,
-   and of those only pairs whose distances to the pivot differ by the radius at
-   most (the triangle inequality).
-3. Recursion. A region above a size chooses several pivots among its members.
-   Each member goes to the Voronoi cell of its nearest one, and is replicated
-   to any cell whose pivot is farther by two radii at most, where alone it can
-   have links; the cells are treated as regions again. Where all members are
-   about as far from each other, as in a large group of near copies, the cells
-   do not shrink, and the region is left whole.
-4. Cells of a bounded size are compared exactly by an index of their shingles:
-   each member outside the radius with the members whose distance allows it.
-   Regions left whole are compared in the same way, blocks of their members
-   outside the radius with blocks of all.
-
-Frequent shingles are found by counting over all sets, in two passes: the
-shingles of the lower part of the hash range, then all others of the sets whose
-first shingles would be frequent.
-
-Equal sets are one node, known by a 128-bit fingerprint of the set. Links are
+The distance 1 - J is a metric; sets are linked within a radius of 1/4. With
+5-word shingles nearly every document is at distance 1 from any other, so a
+pivot chosen without regard to content tells nothing, and a set that is far
+from all pivots needs others of its own kind. The join goes in rounds over the
+sets that are still far from all pivots (at first all that can have a link):
+
+1. Pivots. The sets that hold a deciding shingle elect one of themselves, in
+   later rounds eight times as many, so every kind of set soon has a pivot.
+2. Voronoi cells. Every set is measured against the pivots that can be within
+   the radius. Those within it are linked through the pivot, and the nearest
+   one is the set's home. Pivots are at home with themselves.
+3. Windows. A set can have a link into another cell only if it is within two
+   radii of its pivot (the triangle inequality): the set is measured against
+   the pivots of cells into which it may have a link, and replicated to those
+   within two radii.
+4. Cells. Members at home are connected by their pivot. Each replica outside the
+   radius is compared with the members whose distances to the pivot differ from
+   its own by a radius at most; a cell of any size is compared in blocks.
+5. Recursion. Sets without a home go to the next round, where they alone elect
+   new pivots. Links between a set with a home and one without were found in
+   step 4, so nothing else is needed; a round takes away its pivots at least,
+   and rounds end when no two of the sets left share a deciding shingle.
+
+What bounds the work is a prefix filter: in one global order of shingles
+(frequent ones last) two linked sets share one, and by their sizes a known
+number, of the first n - ceil(3n/4) + 1 of each. Sets without a partner by that
+bound never enter, and only pairs of a set and a pivot (or a cell) that meet it
+are measured. Shingle sets travel for those pairs only.
+
+A shingle found in more than a few sets is looked up in a broadcast array of
+bounded size, and the sets that hold one are dealt to as many tasks as there
+are shuffle partitions; a pivot's sets are measured in lots. Links are
 joined to components, so near copies are never expanded into all pairs.
 
 Texts that are null, empty or without words have no shingles and link with
@@ -51,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, arrow_scan, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, stored, utf8, without_listed
+from .common import among, arrow_scan, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, spread_join, stored, utf8, without_listed
 from .components import components
 
 NUM, DEN = 3, 4  # similarity of at least 3/4
@@ -61,10 +60,10 @@ FREQUENT = 16
 MAX_FREQUENT = 2_000_000
 BROADCAST_IDS = 2_000_000
 SEEN = 100_000
-SALT = 16  # tasks that the holders of one frequent shingle are dealt to
-LEAF, DEPTH, PIVOTS = 256, 4, 16
-#: Shingles of a leaf; and of the open and of all members in a block, about.
-LEAF_SHINGLES, OPEN_SHINGLES, BLOCK_SHINGLES = 1 << 20, 1 << 17, 1 << 19
+#: Pivots that a shingle's sets elect in a round, against the round before; sets measured against a pivot in one lot.
+MORE, LOT = 8, 256
+#: Shingles of the open and of all members in a block, about.
+OPEN_SHINGLES, BLOCK_SHINGLES = 1 << 17, 1 << 19
 
 
 def linked(common, a, b):
@@ -156,89 +155,98 @@ def _above(shingles: DataFrame) -> np.ndarray:
     return sorted_longs(counts.where(F.col("count") > least), "s")
 
 
-def _holders(docs: DataFrame, common, hot: bool) -> DataFrame:
-    """(s, id, rare, n, hp): the deciding shingles of every set, infrequent or frequent (hot) ones.
+def _holders(docs: DataFrame, common) -> DataFrame:
+    """(s, id, rare, n, hot): the deciding shingles of every set; hot: frequent ones.
 
-    rare: the share of infrequent shingles in the set; n: its size; hp: how many deciding ones are frequent.
+    rare: the share of infrequent shingles in the set; n: its size.
     """
 
     def run(batches):
         fresh = _Fresh()
         for b in batches:
-            s_, id_, count, rare, n, hp = [], [], [], [], [], []
+            s_, id_, count, rare, n, hot = [], [], [], [], [], []
             for i, s in fresh(b.column(0)):
                 p = prefix_size(len(s))
                 often = among(signed(s), common.value)
                 cold = s[~often]
-                of_hot = p - min(p, len(cold))
-                take = s[often][:of_hot] if hot else cold[:p]
-                if len(take):
-                    s_.append(take)
-                    id_.append(i)
-                    count.append(len(take))
-                    rare.append(len(cold) / len(s))
-                    n.append(len(s))
-                    hp.append(of_hot)
+                take = np.concatenate([cold[:p], s[often][: p - min(p, len(cold))]])
+                s_.append(take)
+                id_.append(i)
+                count.append(len(take))
+                rare.append(len(cold) / len(s))
+                n.append(len(s))
+                hot.append(np.arange(len(take)) >= min(p, len(cold)))
             if s_:
                 ids = np.frombuffer(b"".join(id_), np.uint64).reshape(-1, 2)
-                per_set = [pa.array(np.repeat(np.array(x, t), count)) for x, t in ((rare, np.float32), (n, np.int32), (hp, np.int32))]
-                yield pa.RecordBatch.from_arrays([_longs(s_), _id_array(np.repeat(ids, count, axis=0)), *per_set], ["s", "id", "rare", "n", "hp"])
+                per_set = [pa.array(np.repeat(np.array(x, t), count)) for x, t in ((rare, np.float32), (n, np.int32))]
+                yield pa.RecordBatch.from_arrays([_longs(s_), _id_array(np.repeat(ids, count, axis=0)), *per_set, pa.array(np.concatenate(hot))], ["s", "id", "rare", "n", "hot"])
 
-    return arrow_scan(docs, run, "s bigint, id binary, rare float, n int, hp int")
+    return arrow_scan(docs, run, "s bigint, id binary, rare float, n int, hot boolean")
 
 
-def _elected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, id, n, hp) for the holders of each infrequent shingle that has two; rows are sorted by shingle, and within it by the order of election."""
-    rest: list[np.ndarray] = []
+def _in_runs(columns: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """The number of each row's run of equal values of the first column, and of runs."""
+    s = columns[0]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    run = np.cumsum(first) - 1
+    return run, int(run[-1]) + 1 if len(s) else 0
 
-    def members(s: np.ndarray, ids: np.ndarray, n: np.ndarray, hp: np.ndarray) -> pa.RecordBatch:
-        first = np.ones(len(s), bool)
-        first[1:] = s[1:] != s[:-1]
-        run = np.cumsum(first) - 1
-        pivot = ids[np.flatnonzero(first)[run]]
-        other = (pivot != ids).any(axis=1)
-        keep = np.bincount(run, other, run[-1] + 1)[run] > 0 if len(s) else other
-        keep[1:] &= first[1:] | (ids[1:] != ids[:-1]).any(axis=1)  # a set that several tasks met
-        return pa.RecordBatch.from_arrays([_id_array(pivot[keep]), _id_array(ids[keep]), pa.array(n[keep]), pa.array(hp[keep])], ["pivot", "id", "n", "hp"])
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], read) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, in parts that hold each value's rows whole."""
+    rest: list[np.ndarray] = []
     for batch in batches:
-        now = [batch.column(0).to_numpy(zero_copy_only=False), _id_rows(batch.column(1)), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))]
+        now = read(batch)
         rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
         if len(rest[0]):
-            end = int(np.searchsorted(rest[0], rest[0][-1]))  # the last shingle may go on
-            yield members(*(x[:end] for x in rest))
-            rest = [x[end:] for x in rest]
+            end = int(np.searchsorted(rest[0], rest[0][-1]))  # the last value may go on
+            if end:
+                yield [x[:end] for x in rest]
+                rest = [x[end:] for x in rest]
     if rest and len(rest[0]):
-        yield members(*rest)
+        yield rest
 
 
-def _regions(docs: DataFrame, common, leaf: int) -> DataFrame:
-    """(pivot, id, big): the members of every region where two sets may be linked, its pivot among them; big: it is above the size of a leaf."""
-    n = shuffle_partitions(docs.sparkSession)
-    order = [F.col("rare"), F.xxhash64("id"), F.col("id")]
-    cold = _holders(docs, common, False).repartition(n, "s").sortWithinPartitions("s", *order)
-    cold = arrow_scan(cold.select("s", "id", "n", "hp"), _elected, "pivot binary, id binary, n int, hp int").withColumn("m", F.lit(1))
-    hot = stored(_holders(docs, common, True).distinct())
-    pivots = hot.groupBy("s").agg(F.min(F.struct(order[0].alias("x"), order[1].alias("h"), order[2].alias("id")))["id"].alias("pivot"))
-    # many sets hold one shingle: they are dealt by salt, each salt with its own copy of the pivot
-    hot = _salted(hot, "id").join(_each_salt(pivots), ["s", "_salt"]).select("pivot", "id", "n", "hp", F.lit(0).alias("m"))
-    rows = cold.unionByName(hot).groupBy("pivot", "id").agg(F.first("n").alias("n"), F.first("hp").alias("hp"), F.sum("m").alias("m"))
-    rows = stored(rows)
-    most = rows.groupBy("id").agg((F.sum("m") + F.first("hp")).alias("shared"))
-    sizes = cut(rows.groupBy("pivot").agg(F.count("*").alias("size")).where(F.col("size") > leaf).select("pivot"))
-    big = maybe_broadcast(sizes, BROADCAST_IDS // 20)
-    rest = rows.join(big, "pivot", "left_anti").join(most, "id").select("pivot", "id", "n", "shared")
-    rest = rest.repartition(n, "pivot").sortWithinPartitions("pivot")
-    kept = arrow_scan(rest, _viable, "pivot binary, id binary, big boolean")
-    return stored(kept.unionByName(rows.join(big, "pivot", "left_semi").select("pivot", "id", F.lit(True).alias("big"))))
+def _numbers(b: pa.RecordBatch, *at: int) -> list[np.ndarray]:
+    return [b.column(k).to_numpy(zero_copy_only=False) for k in at]
 
 
-def _salted(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (s, id, rare, n), sorted by s and id, of shingles that two sets hold, once for each set."""
+    for s, ids, rare, n in _whole_runs(batches, lambda b: [*_numbers(b, 0), _id_rows(b.column(1)), *_numbers(b, 2, 3)]):
+        new = np.ones(len(s), bool)  # a set that several tasks met is several rows
+        new[1:] = (s[1:] != s[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+        run, runs = _in_runs([s])
+        keep = new & (np.bincount(run, new, runs)[run] > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), _id_array(ids[keep]), pa.array(rare[keep]), pa.array(n[keep])], ["s", "id", "rare", "n"])
 
 
-def _each_salt(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def _held(docs: DataFrame, common) -> DataFrame:
+    """(s, id, rare, n, hot): the deciding shingles that two sets hold, of sets that may have a link."""
+    parts = shuffle_partitions(docs.sparkSession)
+    every = _holders(docs, common)
+    cold = every.where("not hot").drop("hot").repartition(parts, "s").sortWithinPartitions("s", "id")
+    cold = arrow_scan(cold, _held_twice, "s bigint, id binary, rare float, n int").withColumn("hot", F.lit(False))
+    hot = every.where("hot").distinct()
+    held = stored(cold.unionByName(hot))
+    # a bound over each shingle's sets: no set of a link shares fewer with all others together than the two with each other
+    total = held.groupBy("id").agg(F.count("*").cast("int").alias("c"))
+    rows = held.where("not hot").join(total, "id").select("s", "id", "n", "c").repartition(parts, "s").sortWithinPartitions("s")
+    viable = arrow_scan(rows, _viable, "id binary").unionByName(held.where("hot").select("id")).distinct()
+    return stored(held.join(maybe_broadcast(cut(viable), BROADCAST_IDS // 20), "id", "left_semi").select(*held.columns))
+
+
+def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id) of rows (s, id, n, c), sorted by s, with another set of their shingle in reach; few sets hold one."""
+    for s, ids, n, c in _whole_runs(batches, lambda b: [*_numbers(b, 0), _id_rows(b.column(1)), *(x.astype(np.int64) for x in _numbers(b, 2, 3))]):
+        run, runs = _in_runs([s])
+        most, ok = int(np.bincount(run).max()), np.zeros(len(s), bool)
+        for away in range(1, most):  # each row with the one so far below it
+            a, b = np.arange(len(s) - away), np.arange(away, len(s))
+            both = (run[a] == run[b]) & (NUM * np.maximum(n[a], n[b]) <= DEN * np.minimum(n[a], n[b])) & (np.minimum(c[a], c[b]) >= shared_at_least(n[a], n[b]))
+            ok[a[both]] = ok[b[both]] = True
+        yield pa.RecordBatch.from_arrays([_id_array(np.unique(ids[ok], axis=0))], ["id"])
 
 
 def shared_at_least(n, m):
@@ -270,28 +278,6 @@ def _runs(rows: list[tuple]) -> Iterator[list[tuple]]:
         i = j
 
 
-def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, id, big) of rows (pivot, id, n, shared) sorted by pivot: members that have another of their region in reach, and the pivot if there are any.
-
-    A bound of each region: sizes must fit, and neither set may share fewer deciding shingles with all others together
-    than linked sets of their sizes share with each other.
-    """
-    for rows in _by_cell(batches):
-        out = []
-        for members in _runs(rows):
-            if len(members) > 1:
-                n, shared = (np.array([m[k] for m in members], np.int64) for k in (2, 3))
-                a, b = n[:, None], n[None, :]
-                ok = (NUM * np.maximum(a, b) <= DEN * np.minimum(a, b)) & (np.minimum(shared[:, None], shared[None, :]) >= shared_at_least(a, b))
-                np.fill_diagonal(ok, False)
-                some = ok.any(axis=1)
-                if some.any():
-                    some |= np.array([m[0] == m[1] for m in members])
-                    big = bool(n[some].sum() > LEAF_SHINGLES)
-                    out += [(*m[:2], big) for m, s in zip(members, some) if s]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["pivot", "id", "big"])
-
-
 def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set): the whole sets of the ids, once each."""
     few = small(ids, BROADCAST_IDS)
@@ -312,10 +298,6 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(sets.dropDuplicates(["id"]), zstd=False)
 
 
-def _common(a: bytes, b: bytes) -> int:
-    return _shared(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
-
-
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -328,111 +310,97 @@ def _among(a: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == a
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """The columns of pairs (a, b, ...) and na, nb, k: sizes and exact overlap of every pair; pairs of an `a` in hot (a) are dealt by salt."""
-    names = pairs.columns
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, id, n, d): the distance of each pair (pivot, id) from their whole sets; a pivot's pairs go in lots, each with the pivot's set once."""
+    lots = cut(pairs.groupBy("pivot").agg(F.count("*").alias("_n")))
+    dealt = spread_join(pairs, lots.select("pivot", F.ceil(F.col("_n") / LOT).cast("int").alias("_lots")), ["pivot"], "inner", lots)
+    dealt = dealt.select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("_lots")).cast("int").alias("lot"))
+    whole = sets.select("id", "set")
+    others = dealt.join(whole, "id").select("pivot", "lot", F.lit(1).alias("role"), "id", "set")
+    own = lots.select(F.col("pivot"), F.ceil(F.col("_n") / LOT).cast("int").alias("_lots")).join(whole.withColumnRenamed("id", "pivot"), "pivot")
+    own = own.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("lot"), F.lit(0).alias("role"), F.col("pivot").alias("id"), "set")
+    rows = own.unionByName(others).repartition(shuffle_partitions(sets.sparkSession), "pivot", "lot").sortWithinPartitions("pivot", "lot", "role")
 
     def run(batches):
-        for t in batches:
-            a, b = t.column(len(names)).to_pylist(), t.column(len(names) + 1).to_pylist()
-            sizes = [pa.array([len(x) // 8 for x in y], pa.int64()) for y in (a, b)]
-            yield pa.RecordBatch.from_arrays([*t.columns[: len(names)], *sizes, pa.array([_common(x, y) for x, y in zip(a, b)], pa.int64())], [*names, "na", "nb", "k"])
-
-    of_a = sets.select(F.col("id").alias("a"), F.col("set").alias("_sa"))
-    if hot is None:
-        rows = pairs.join(of_a, "a")
-    else:
-        small_list = maybe_broadcast(hot, BROADCAST_IDS // 20)
-        rows = pairs.join(small_list, "a", "left_anti").join(of_a, "a")
-        many = _salted(pairs.join(small_list, "a", "left_semi"), "b").join(_each_salt(of_a.join(small_list, "a", "left_semi")), ["a", "_salt"])
-        rows = rows.unionByName(many.drop("_salt"))
-    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("set").alias("_sb")), "b")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    return arrow_scan(rows.select(*names, "_sa", "_sb"), run, kinds + ", na bigint, nb bigint, k bigint")
-
-
-def _distance() -> Column:
-    return 1 - F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-
-
-def _links(measured: DataFrame) -> DataFrame:
-    return measured.where(linked(F.col("k"), F.col("na"), F.col("nb"))).select("a", "b")
-
-
-def _settle(cells: DataFrame, sets: DataFrame, leaf: int, depth: int) -> list[DataFrame]:
-    """Links of cells (cell, id, n, d, open, home) between members of which one at least is open (outside the radius) and one at home."""
-    sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("open").alias("any")).where("any and size > 1").select("cell", "size", "weight"))
-    above = maybe_broadcast(cut(sizes.where((F.col("size") > leaf) | (F.col("weight") > LEAF_SHINGLES)).select("cell", "size")), BROADCAST_IDS // 20)
-    out = [_in_leaves(cells.join(above, "cell", "left_anti").join(sizes.select("cell"), "cell", "left_semi"), sets)]
-    big = cut(cells.join(above, "cell"))  # a region of any size is not shuffled by its name
-    if big.isEmpty():
-        return out
-    stuck = big
-    if depth:
-        inner, stuck, links = _voronoi(big, sets, leaf)
-        out += [links, *_settle(inner, sets, leaf, depth - 1)]
-    if not stuck.isEmpty():
-        out.append(_in_blocks(stuck, sets))
-    return out
-
-
-def _voronoi(big: DataFrame, sets: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The Voronoi cells of the regions that they divide, the regions that they do not, and the links to the pivots."""
-    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    # the smallest few by hash, as partial results of fixed size
-    slots = big.withColumn("slot", F.pmod(F.xxhash64(F.lit(5), "id"), F.least(F.lit(PIVOTS), 2 * F.ceil(F.col("size") / leaf))))
-    pivots = cut(slots.groupBy("cell", "slot").agg(F.min(order)["id"].alias("pivot")).select("cell", "pivot"))
-    listed = maybe_broadcast(pivots, BROADCAST_IDS // 20)
-    pairs = big.select("cell", "id", "n", "size").join(listed, "cell").where("id <> pivot")
-    measured = stored(_measured(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"), "cell", "size"), sets, cut(pivots.select(F.col("pivot").alias("a")).distinct())))
-    rows = measured.select("cell", "size", F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
-    # a pivot is in its own cell through its distance 0; it is linked or compared as a member of the others
-    nearest = rows.unionByName(big.select("cell", "size", "id", "n").join(listed, "cell").where("id = pivot").withColumn("d", F.lit(0.0)))
-    least = nearest.groupBy("cell", "id").agg(F.min(F.struct("d", "pivot")).alias("own"))
-    within = cut(nearest.join(least, ["cell", "id"]).where(F.col("d") <= F.col("own.d") + 2 * RADIUS + 1e-9).withColumn("home", F.col("pivot") == F.col("own.pivot")))
-    spread = within.groupBy("cell", "pivot").agg(F.count("*").alias("m"), F.first("size").alias("size")).groupBy("cell").agg((F.max("m") <= 0.7 * F.first("size")).alias("fewer"), (F.sum("m") <= 3 * F.first("size")).alias("lean"))
-    done = cut(spread.where("fewer and lean").select("cell"))
-    done = maybe_broadcast(done, BROADCAST_IDS // 20)
-    inner = within.join(done, "cell", "left_semi").where("id <> pivot")
-    inner = inner.select(F.xxhash64("cell", "pivot").alias("cell"), "id", "n", "d", (F.col("d") > RADIUS).alias("open"), "home")
-    return cut(inner), big.join(done, "cell", "left_anti"), _links(measured)
-
-
-def _in_regions(regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of regions of the size of a leaf: all distances to the pivot, then the members outside its radius with those in their window."""
-    rows = regions.join(sets, "id").select("pivot", (F.col("id") != F.col("pivot")).alias("other"), "id", "set")
-    rows = rows.repartition(shuffle_partitions(sets.sparkSession), "pivot").sortWithinPartitions("pivot", "other")
-
-    def run(batches):
-        for rows in _by_cell(batches):
-            found: list[tuple[bytes, bytes]] = []
-            for members in _runs(rows):
-                of = [np.frombuffer(m[3], np.uint64) for m in members]
-                n = np.array([len(x) for x in of])
-                k = np.array([_shared(of[0], x) for x in of])
-                d = 1 - k / (n[0] + n - k)
-                near = linked(k, n[0], n)
-                found += ((members[0][2], m[2]) for m, ok in zip(members[1:], near[1:]) if ok)
-                found += ((members[a + 1][2], members[b + 1][2]) for a, b in _cell_links(d[1:], ~near[1:], np.ones(len(of) - 1, bool), of[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
-
-    return arrow_scan(rows, run, "a binary, b binary")
-
-
-def _in_leaves(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """Compares the members of each bounded cell by an index of their shingles."""
-    rows = cells.join(sets, "id").select("cell", "id", "d", "open", "home", "set")
-    rows = rows.repartition(shuffle_partitions(sets.sparkSession), "cell").sortWithinPartitions("cell")
-
-    def run(batches):
-        for rows in _by_cell(batches):
-            found: list[tuple[bytes, bytes]] = []
-            for members in _runs(rows):
-                _, ids, d, open_, home, of = zip(*members)
-                found += ((ids[a], ids[b]) for a, b in _cell_links(np.array(d), np.array(open_), np.array(home), [np.frombuffer(x, np.uint64) for x in of]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
-
-    return arrow_scan(rows, run, "a binary, b binary")
+        of = None
+        for b in batches:
+            pivot, role, ids, of_set = (b.column(k).to_pylist() for k in (0, 2, 3, 4))
+            out = []
+            for p, r, i, x in zip(pivot, role, ids, of_set):
+                x = np.frombuffer(x, np.uint64)
+                if r == 0:
+                    of = x
+                else:
+                    k = _shared(of, x)
+                    out.append((p, i, len(x), 1 - k / (len(of) + len(x) - k), bool(linked(k, len(of), len(x)))))
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["pivot", "id", "n", "d", "near"])
+
+    return arrow_scan(rows, run, "pivot binary, id binary, n int, d double, near boolean")
+
+
+def _least_shared(n: Column, m: Column) -> Column:
+    """`shared_at_least` of columns."""
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    return up(NUM * (n + m), NUM + DEN) - F.greatest(up(NUM * n, DEN), up(NUM * m, DEN)) + 1
+
+
+def _by_shingle(held: DataFrame, others: DataFrame) -> DataFrame:
+    """held joined with others (s, ...) on s; the sets of a hot shingle are dealt to tasks, each with its own copy of the others."""
+    lots = shuffle_partitions(held.sparkSession)
+    left = held.withColumn("_lot", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(lots))).otherwise(F.lit(0)))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return left.join(others.withColumn("_lot", F.explode(every)).drop("_hot"), ["s", "_lot"]).drop("_lot")
+
+
+def _fits(n: Column, least: Column, most: Column) -> Column:
+    """Whether a set of n can be linked with one whose size is from least to most."""
+    return (NUM * n <= DEN * most) & (NUM * least <= DEN * n)
+
+
+def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+    """Links (a, b) by their origin, `pivot` or `window`, of each round."""
+    elect, small_list = 1, BROADCAST_IDS // 20
+    while True:
+        several = cut(held.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"))
+        held = stored(held.join(maybe_broadcast(several, small_list), "s", "left_semi").select("s", "id", "rare", "n", "hot"))
+        if held.isEmpty():
+            return
+        lot = F.pmod(F.xxhash64(F.lit(elect), "id"), F.lit(elect))
+        order = F.min(F.struct("rare", F.xxhash64("id").alias("h"), "id"))["id"]
+        pivots = maybe_broadcast(cut(held.groupBy("s", lot.alias("_l")).agg(order.alias("id")).select("id").distinct()), small_list)
+
+        of_pivots = held.join(pivots, "id", "left_semi").select("s", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("hot").alias("_hot"))
+        pairs = _by_shingle(held, of_pivots).where((F.col("id") != F.col("pivot")) & _fits(F.col("n"), F.col("pn"), F.col("pn")))
+        pairs = pairs.groupBy("pivot", "id").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+        star = stored(_measured(cut(pairs.where(F.col("m") >= _least_shared(F.col("n"), F.col("pn"))).select("pivot", "id")), sets))
+        yield "pivot", star.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+
+        # homes: the nearest pivot within the radius, pivots with themselves
+        nearest = star.where("near").join(pivots, "id", "left_anti").groupBy("id").agg(F.min(F.struct("d", "pivot")).alias("x"), F.first("n").alias("n"))
+        own = held.join(pivots, "id", "left_semi").select("id", "n").distinct()
+        homes = nearest.select("id", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"), "n")
+        homes = stored(homes.unionByName(own.select("id", F.col("id").alias("home"), F.lit(0.0).alias("d"), "n")))
+
+        # windows: sets that may have a link into a cell, by their shingles and sizes, and are within two radii of its pivot
+        cells = cut(homes.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("_size")))
+        placed = cut(held.join(maybe_broadcast(homes.select("id", "home"), small_list), "id", "left"))
+        index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), F.col("hot").alias("_hot")).distinct()
+        index = spread_join(cut(index), cells.select(F.col("home").alias("pivot"), "least", "most"), ["pivot"], "inner")
+        asked = _by_shingle(placed, index).where(~F.col("home").eqNullSafe(F.col("pivot")) & _fits(F.col("n"), F.col("least"), F.col("most")))
+        asked = asked.groupBy("pivot", "id").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("n", "least", "most")))
+        enough = F.least(*(_least_shared(F.col("n"), F.greatest(F.col("least"), F.least(F.col("most"), b))) for b in (F.col("least"), F.col("most"))))
+        asked = asked.where(F.col("m") >= enough).select("pivot", "id").join(star.select("pivot", "id"), ["pivot", "id"], "left_anti")
+        more = _measured(cut(asked), sets)
+        # sets measured in step 2 that are outside the radius are replicas as well
+        replicas = stored(star.where("not near").unionByName(more.where("not near")).where(F.col("d") <= 2 * RADIUS + 1e-9).select(F.col("pivot").alias("cell"), "id", "n", "d"))
+        busy = cut(replicas.select("cell").distinct())
+        members = homes.select(F.col("home").alias("cell"), "id", "n", "d").join(maybe_broadcast(busy, small_list), "cell", "left_semi").where("id <> cell")
+        both = members.select("cell", "id", "n", "d", F.lit(False).alias("open"), F.lit(True).alias("home")).unionByName(replicas.withColumns({"open": F.lit(True), "home": F.lit(False)}))
+        yield "window", stored(_in_blocks(cut(both), sets))
+
+        held = held.join(maybe_broadcast(homes.select("id"), small_list), "id", "left_anti")
+        elect *= MORE
 
 
 def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray], others: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -485,24 +453,20 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["a", "b"])
 
 
-def set_links(docs: DataFrame, text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """(a, b): fingerprints of linked sets; a spanning set of links, enough to connect all that are linked."""
+def set_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(a, b, origin): fingerprints of linked sets, and whether a pivot or a window gave the link; a spanning set of links, enough to connect all that are linked."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    regions = _regions(texts, common, leaf)
-    sets = _set_table(texts, cut(regions.select("id").distinct()))
-    out = _in_regions(regions.where("not big"), sets)
-    big = regions.where("big and id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    if not big.isEmpty():
-        stars = stored(_measured(big, sets, cut(big.select("a").distinct())))
-        members = stars.select(F.col("a").alias("cell"), F.col("b").alias("id"), F.col("nb").alias("n"), _distance().alias("d"))
-        members = members.withColumns({"open": F.col("d") > RADIUS, "home": F.lit(True)})
-        for x in [_links(stars), *_settle(members, sets, leaf, depth)]:
-            out = out.unionByName(x)
-    return out.distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    held = _held(texts, common)
+    sets = _set_table(texts, cut(held.select("id").distinct()))
+    out = None
+    for origin, links in _rounds(held, sets):
+        links = links.withColumn("origin", F.lit(origin))
+        out = links if out is None else out.unionByName(links)
+    return docs.sparkSession.createDataFrame([], "a binary, b binary, origin string") if out is None else out.distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id and _key (a hash of the text) of every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -515,7 +479,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     rows = stored(arrow_scan(rows, facts, f"_id {kind}, _key bigint, n_shingles bigint, _set binary"))
-    roots = cut(components(set_links(docs, text_col, leaf, depth)))
+    roots = cut(components(set_links(docs, text_col)))
     roots = maybe_broadcast(roots, BROADCAST_IDS // 20)
     sets = rows.where("_set is not null").join(roots.withColumnRenamed("node", "_set"), "_set", "left")
     sets = sets.withColumn("_root", F.coalesce("root", "_set"))

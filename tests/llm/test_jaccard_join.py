@@ -54,16 +54,17 @@ def cluster(rng, size, words, edits):
     return out
 
 
-@pytest.mark.parametrize("leaf,depth,frequent", [(256, 4, 16), (10, 3, 3), (6, 0, 2), (5, 4, 10**6)])
-def test_matches_brute_force(spark, monkeypatch, leaf, depth, frequent):
-    monkeypatch.setattr(J, "FREQUENT", frequent)
-    rng = random.Random(leaf)
+@pytest.mark.parametrize("seed,frequent,more,lot,block", [(256, 16, 8, 256, 1 << 19), (10, 3, 2, 3, 200), (6, 2, 1, 1, 50), (5, 10**6, 8, 7, 1000)])
+def test_matches_brute_force(spark, monkeypatch, seed, frequent, more, lot, block):
+    for name, x in (("FREQUENT", frequent), ("MORE", more), ("LOT", lot), ("BLOCK_SHINGLES", block), ("OPEN_SHINGLES", block)):
+        monkeypatch.setattr(J, name, x)
+    rng = random.Random(seed)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = cluster(rng, 60, 80, 9) + cluster(rng, 12, 30, 3) + cluster(rng, 40, 45, 4)
     texts += [passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))) for _ in range(50)]
     texts += ["", None, "  \n", "one two", "ONE two", "one", "a b c d e", "a b c d e", "A b\tc\nd e f", "é É a b c d"] + ["same text of some seven words here"] * 30
     rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(7, texts[0]), (7, texts[0]), (None, texts[1]), (None, None)]
-    assert run(spark, rows, leaf=leaf, depth=depth) == brute(rows)
+    assert run(spark, rows) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -85,3 +86,23 @@ def test_whole_table(spark, sf):
 def test_keep_one_has_the_same_columns(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", 1), (1, "a b c d e f", 2), (3, None, 3)], "doc_id long, text string, s int")
     assert sorted(map(tuple, J.keep_one(docs).collect())) == [(1, "a b c d e f", 2), (3, None, 3)]
+
+
+def test_links_come_from_cells(spark):
+    """On a whole table every link is one to a pivot within the radius, which makes a Voronoi cell, or one found in a cell's window."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    n = {r.origin: r["count"] for r in J.set_links(docs).groupBy("origin").count().collect()}
+    assert set(n) <= {"pivot", "window"} and sum(n.values()) > 100 and n["pivot"] > sum(n.values()) / 2
+
+
+def test_windows_and_rounds(spark, monkeypatch):
+    """Chains whose ends are in different cells, and sets that are far from the first pivots, need windows and later rounds."""
+    rounds = []
+    real = J._rounds
+    monkeypatch.setattr(J, "_rounds", lambda *a: (rounds.append(o) or (o, x) for o, x in real(*a)))
+    words = [f"w{i}" for i in range(100)]
+    # neighbours differ by about a fifth of their shingles, so the ends of a chain share little
+    chain = [" ".join(f"{w}x{i}" if j < 3 * i else w for j, w in enumerate(words)) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(chain)] + [(100 + i, " ".join(words[:40] + [f"y{i}z{j}" for j in range(60)])) for i in range(20)]
+    assert run(spark, rows) == brute(rows)
+    assert rounds.count("pivot") > 1
