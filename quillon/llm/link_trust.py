@@ -6,9 +6,11 @@ schemes (mailto and the like) are no links, a link without a host stays on its
 own, and every host also links to its parent domain. Personalised PageRank runs from the hosts that allow rules
 cover whole (trust, along links) and from hosts by their share of blocked
 pages (distrust, against links). Edges are counted before they are shuffled,
-so a host with a third of all pages is one row for each task; ranks are small
-rows of hosts, are checkpointed every few rounds, and are done when a round
-moves no more than a set part of all rank. Trust and distrust are
+so a host with a third of all pages is one row for each task. Links that lead
+through few hosts are followed in doubling lengths, so a tree of hosts takes a
+handful of rounds; a dense graph is followed link by link, with its links kept
+where their source is and hubs joined with a broadcast of their rank. Rounds end
+when the walks left out hold no more than a set part of all rank. Trust and distrust are
 given as multiples of an even share over all hosts, so the threshold means the
 same for any number of them. A host is blocked if its distrust is above the
 threshold and above its trust.
@@ -20,15 +22,18 @@ empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut, maybe_broadcast
+from .common import UPPER, cut, maybe_broadcast, shuffle_partitions
 
 DAMPING, EACH = 0.85, 5
-TOLERANCE = 1e-7  # of all rank, moved by the last round
+TOLERANCE = 1e-7  # of all rank, in walks that are not summed
+#: How many times more walks of twice the length there may be; rows of a part of a small graph.
+WIDEST, PART_ROWS = 4.0, 100_000
 THRESHOLD = 1.0  # multiple of an even share of all distrust
 BROADCAST_HOSTS = 200_000
 
@@ -79,29 +84,79 @@ def edges(pages: DataFrame) -> DataFrame:
     return out.unionByName(up).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(graph: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+@dataclass(frozen=True)
+class Walks:
+    """(kind, src, dst, p): how much rank walks of one length carry from a host to another. Hubs are hosts with more than a thousandth of all rows."""
+
+    rest: DataFrame
+    hubs: DataFrame | None
+    sources: DataFrame | None
+    rows: int
+
+    def moved(self, ranks: DataFrame) -> DataFrame:
+        """(kind, host, r): the rank that the walks carry; rows of `rest` stay where they are, and a hub's rank is broadcast."""
+        ranks = ranks.withColumnRenamed("host", "src")
+        out = self.rest.join(F.broadcast(ranks) if self.rows <= BROADCAST_HOSTS else ranks, ["kind", "src"])
+        if self.hubs is not None:
+            few = ranks.join(F.broadcast(self.sources), ["kind", "src"], "left_semi")
+            out = out.unionByName(self.hubs.join(F.broadcast(few), ["kind", "src"]))
+        return out.select("kind", F.col("dst").alias("host"), (F.col("p") * F.col("r")).alias("r"))
+
+    def every(self) -> DataFrame:
+        return self.rest if self.hubs is None else self.rest.unionByName(self.hubs)
+
+
+def _cut_by(df: DataFrame) -> DataFrame:
+    """A checkpoint that still knows how its rows are dealt, which a plan that adapts while it runs does not tell."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set(key, was)
+
+
+def _kept(steps: DataFrame) -> Walks:
+    """Checkpointed walks: few ones in few parts, many ones by their source, so that a round shuffles ranks and no walks."""
+    steps = cut(steps)
+    n, parts = steps.count(), shuffle_partitions(steps.sparkSession)
+    if n <= BROADCAST_HOSTS:
+        return Walks(steps.coalesce(max(1, -(-n // PART_ROWS))), None, None, n)
+    hot = cut(steps.groupBy("kind", "src").agg(F.count("*").alias("_n")).where(F.col("_n") > n / 1000).select("kind", "src"))
+    rest = _cut_by(steps.join(F.broadcast(hot), ["kind", "src"], "left_anti").repartition(parts, "kind", "src"))
+    return Walks(rest, None, None, n) if hot.isEmpty() else Walks(rest, cut(steps.join(F.broadcast(hot), ["kind", "src"], "left_semi")), hot, n)
+
+
+def propagate(graph: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, widest: float = WIDEST) -> DataFrame:
     """(kind, host, r) by personalised PageRank; graph (kind, src, dst, w), seeds (kind, host, v), v sums to 1 for each kind.
 
-    Hosts without links out keep their rank. What is left to move is at most DAMPING / (1 - DAMPING) of the tolerance.
+    Hosts without links out keep their rank. All but `tolerance` of the rank is where it ends. A round doubles the length of the
+    walks that are summed, as long as those of twice the length are at most `widest` times as many as now, which is counted
+    beforehand; from then on a round adds the walks of the length reached.
     """
     out = graph.groupBy("kind", "src").agg(F.sum("w").alias("all"))
     ends = graph.select("kind", F.col("dst").alias("src")).union(seeds.select("kind", "host")).distinct()
-    loops = ends.join(out, ["kind", "src"], "left_anti").select("kind", "src", F.col("src").alias("dst"), F.lit(1.0).alias("p"))
-    steps = cut(graph.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("all")).alias("p")).unionByName(loops))
-    seeds = cut(seeds)
-    ranks = seeds.select("kind", "host", F.col("v").alias("r"))
-    base = seeds.select("kind", "host", ((1 - DAMPING) * F.col("v")).alias("r"))
-    while True:  # a round moves at most DAMPING of what the one before moved, so this ends
-        for k in range(EACH):
-            last = ranks
-            moved = steps.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("p") * F.col("r")).alias("r"))
-            parts = moved.unionByName(base).withColumn("was", F.lit(0.0))
-            if k == EACH - 1:
-                parts = parts.unionByName(last.select("kind", "host", F.lit(0.0).alias("r"), F.col("r").alias("was")))
-            ranks = parts.groupBy("kind", "host").agg(F.sum("r").alias("r"), F.sum("was").alias("was"))
-        ranks = cut(ranks)
-        if (ranks.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0) <= tolerance:
-            return ranks.drop("was")
+    loops = ends.join(out, ["kind", "src"], "left_anti").select("kind", "src", F.col("src").alias("dst"), F.lit(DAMPING).alias("p"))
+    walks = _kept(graph.join(out, ["kind", "src"]).select("kind", "src", "dst", (DAMPING * F.col("w") / F.col("all")).alias("p")).unionByName(loops))
+    base = ranks = cut(seeds.select("kind", "host", ((1 - DAMPING) * F.col("v")).alias("r")))
+    left, length, doubling, rounds = DAMPING, 1, True, 0  # left: of all rank, in longer walks than are summed
+    while left > tolerance:
+        ranks = base.unionByName(walks.moved(ranks)).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        left, rounds = left * DAMPING**length, rounds + 1
+        if doubling or rounds % EACH == 0:
+            ranks = cut(ranks)
+        if doubling and left > tolerance:
+            every = walks.every()
+            into = every.groupBy("kind", F.col("dst").alias("host")).agg(F.count("*").alias("i"))
+            onward = every.groupBy("kind", F.col("src").alias("host")).agg(F.count("*").alias("o"))
+            longer = into.join(onward, ["kind", "host"]).agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0.0
+            doubling = longer <= widest * walks.rows
+            if doubling:
+                then = every.select("kind", F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("p").alias("q"))
+                walks = _kept(every.join(then, ["kind", "dst"]).groupBy("kind", "src", F.col("end").alias("dst")).agg(F.sum(F.col("p") * F.col("q")).alias("p")))
+                base, length = ranks, 2 * length
+    return cut(ranks)
 
 
 def verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

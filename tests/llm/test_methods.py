@@ -89,13 +89,15 @@ def test_edges(spark):
     assert got == {("a.com", "b.net"): 1, ("a.com", "c.net"): 1, ("a.com", "d.net"): 1, ("a.com", "i.net:80"): 1, ("a.com", "a.com"): 3, ("x.a.com", "a.com"): 1}
 
 
-def test_ranks_as_a_power_iteration_gives_them(spark):
+@pytest.mark.parametrize(("widest", "few"), [(4.0, 200_000), (0.0, 200_000), (10.0**9, 0), (0.0, 0)])  # doubled or not, broadcast or by source with hubs
+def test_ranks_as_a_power_iteration_gives_them(spark, monkeypatch, widest, few):
+    monkeypatch.setattr(link_trust, "BROADCAST_HOSTS", few)
     rng = random.Random(6)
     hosts = [f"h{i}.x" for i in range(25)]
     links = [(k, rng.choice(hosts), rng.choice(hosts), float(rng.randrange(1, 5))) for k in ("trust", "distrust") for _ in range(70)]
     graph = spark.createDataFrame(links, "kind string, src string, dst string, w double").groupBy("kind", "src", "dst").agg(F.sum("w").alias("w"))
     seeds = spark.createDataFrame([(k, h, 0.25) for k in ("trust", "distrust") for h in hosts[:4]], "kind string, host string, v double")
-    got = {(r.kind, r.host): r.r for r in link_trust.propagate(graph, seeds).collect()}
+    got = {(r.kind, r.host): r.r for r in link_trust.propagate(graph, seeds, widest=widest).collect()}
     for kind in ("trust", "distrust"):
         m = np.zeros((25, 25))
         for k, s, d, w in links:
@@ -109,6 +111,30 @@ def test_ranks_as_a_power_iteration_gives_them(spark):
         assert all(abs(got.get((kind, h), 0.0) - x) < 1e-6 for h, x in zip(hosts, r))
 
 
+def test_walks_stay_where_they_are(spark, monkeypatch):
+    """Beyond the broadcast bound a round shuffles ranks, not walks."""
+    monkeypatch.setattr(link_trust, "BROADCAST_HOSTS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = spark.range(5000).select(F.lit("trust").alias("kind"), (F.col("id") % 2000).cast("string").alias("src"), (F.col("id") % 77).cast("string").alias("dst"), F.lit(0.1).alias("p"))
+        walks = link_trust._kept(steps)
+        ranks = common.cut(spark.range(2000).select(F.lit("trust").alias("kind"), F.col("id").cast("string").alias("host"), F.lit(1.0).alias("r")))
+        moved = walks.moved(ranks).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        assert moved.agg(F.sum("r")).first()[0] == pytest.approx(500)
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(kind") == 2  # of the ranks, and of the sums
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_very_long_page(spark):
+    html = '<a href="http://b.net/x">' * 200_000 + "text " * 1_000_000 + '<a href="http://c.net">'
+    pages = spark.createDataFrame([(1, "http://a.com/", html), (2, "http://b.net/", None)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.host, r.verdict) for r in link_trust.verdicts(pages, [("allow", "com/")]).collect()) == [(1, "a.com", "allow"), (2, "b.net", "allow")]
+    got = {(r.src, r.dst): r.w for r in link_trust.edges(pages.select(link_trust.host_of(F.col("url")).alias("host"), "html")).collect()}
+    assert got == {("a.com", "b.net"): 200_000, ("a.com", "c.net"): 1}
+
+
 def test_a_far_mark_of_inches_cites_nothing():
     lexicon = toxicity.Lexicon({"idiot": 3.0}, {}, frozenset())
     far = 'a 5" pipe ' + "and so on " * 15 + "you idiot go away"
