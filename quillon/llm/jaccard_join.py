@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, arrow_scan, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, spread_join, stored, utf8, without_listed
+from .common import among, arrow_scan, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, spread_join, stored, utf8, with_hit, without_listed
 from .components import components
 
 NUM, DEN = 3, 4  # similarity of at least 3/4
@@ -213,23 +213,21 @@ def _numbers(b: pa.RecordBatch, *at: int) -> list[np.ndarray]:
 
 
 def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, id, rare, n), sorted by s and id, of shingles that two sets hold, once for each set."""
-    for s, ids, rare, n in _whole_runs(batches, lambda b: [*_numbers(b, 0), _id_rows(b.column(1)), *_numbers(b, 2, 3)]):
+    """Rows (s, hot, id, rare, n), sorted by s and id, once for each set, without infrequent shingles that only one set holds."""
+    for s, hot, ids, rare, n in _whole_runs(batches, lambda b: [*_numbers(b, 0, 1), _id_rows(b.column(2)), *_numbers(b, 3, 4)]):
         new = np.ones(len(s), bool)  # a set that several tasks met is several rows
         new[1:] = (s[1:] != s[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
         run, runs = _in_runs([s])
-        keep = new & (np.bincount(run, new, runs)[run] > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), _id_array(ids[keep]), pa.array(rare[keep]), pa.array(n[keep])], ["s", "id", "rare", "n"])
+        keep = new & (hot | (np.bincount(run, new, runs)[run] > 1))
+        yield pa.RecordBatch.from_arrays([pa.array(s[keep]), _id_array(ids[keep]), pa.array(rare[keep]), pa.array(n[keep]), pa.array(hot[keep])], ["s", "id", "rare", "n", "hot"])
 
 
 def _held(docs: DataFrame, common) -> DataFrame:
     """(s, id, rare, n, hot): the deciding shingles that two sets hold, of sets that may have a link."""
     parts = shuffle_partitions(docs.sparkSession)
-    every = _holders(docs, common)
-    cold = every.where("not hot").drop("hot").repartition(parts, "s").sortWithinPartitions("s", "id")
-    cold = arrow_scan(cold, _held_twice, "s bigint, id binary, rare float, n int").withColumn("hot", F.lit(False))
-    hot = every.where("hot").distinct()
-    held = stored(cold.unionByName(hot))
+    lot = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0))  # the sets of a frequent one do not meet
+    every = _holders(docs, common).withColumn("_lot", lot).repartition(parts, "s", "_lot").sortWithinPartitions("s", "id")
+    held = stored(arrow_scan(every.select("s", "hot", "id", "rare", "n"), _held_twice, "s bigint, id binary, rare float, n int, hot boolean"))
     # a bound over each shingle's sets: no set of a link shares fewer with all others together than the two with each other
     total = held.groupBy("id").agg(F.count("*").cast("int").alias("c"))
     rows = held.where("not hot").join(total, "id").select("s", "id", "n", "c").repartition(parts, "s").sortWithinPartitions("s")
@@ -310,14 +308,22 @@ def _among(a: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == a
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (id, ...) with the set of their id. Sets that no row asks for are not shuffled: few rows are broadcast, and many leave a bit map of their ids."""
+    rows = cut(rows)
+    if small(rows, BROADCAST_IDS // 10):
+        return sets.join(F.broadcast(rows), "id")
+    asked = cut(rows.select(F.xxhash64("id").alias("_asked")).distinct())
+    return with_hit(sets.withColumn("_own", F.xxhash64("id")), "_own", asked, "_asked").where("_hit").drop("_own", "_hit").join(rows, "id")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(pivot, id, n, d): the distance of each pair (pivot, id) from their whole sets; a pivot's pairs go in lots, each with the pivot's set once."""
     lots = cut(pairs.groupBy("pivot").agg(F.count("*").alias("_n")))
     dealt = spread_join(pairs, lots.select("pivot", F.ceil(F.col("_n") / LOT).cast("int").alias("_lots")), ["pivot"], "inner", lots)
     dealt = dealt.select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("_lots")).cast("int").alias("lot"))
-    whole = sets.select("id", "set")
-    others = dealt.join(whole, "id").select("pivot", "lot", F.lit(1).alias("role"), "id", "set")
-    own = lots.select(F.col("pivot"), F.ceil(F.col("_n") / LOT).cast("int").alias("_lots")).join(whole.withColumnRenamed("id", "pivot"), "pivot")
+    others = _with_sets(dealt, sets).select("pivot", "lot", F.lit(1).alias("role"), "id", "set")
+    own = _with_sets(lots.select(F.col("pivot").alias("id"), F.ceil(F.col("_n") / LOT).cast("int").alias("_lots")), sets).withColumnRenamed("id", "pivot")
     own = own.select("pivot", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("lot"), F.lit(0).alias("role"), F.col("pivot").alias("id"), "set")
     rows = own.unionByName(others).repartition(shuffle_partitions(sets.sparkSession), "pivot", "lot").sortWithinPartitions("pivot", "lot", "role")
 
@@ -437,7 +443,7 @@ def _in_blocks(cells: DataFrame, sets: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = rows.where("open").withColumn("i", F.pmod(F.xxhash64("id"), F.col("p")).cast("int")).withColumn("j", every("q")).withColumn("role", F.lit(0))
     b = rows.withColumn("j", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("q")).cast("int")).withColumn("i", every("p")).withColumn("role", F.lit(1))
-    both = a.unionByName(b).select(F.xxhash64("cell", "i", "j").alias("block"), "id", "d", "open", "home", "role").join(sets, "id")
+    both = _with_sets(a.unionByName(b).select(F.xxhash64("cell", "i", "j").alias("block"), "id", "d", "open", "home", "role"), sets)
     both = both.select("block", "id", "d", "open", "home", "role", "set").repartition(shuffle_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "role")
     return arrow_scan(both, _block_links, "a binary, b binary")
 
