@@ -5,8 +5,9 @@ twice go on to the hash of a prefix, and only rows whose group still has two
 members have their whole content hashed. Both levels are columns of the scan.
 Every level counts with aggregation on the map side, so a group with a third of
 all rows costs one row for each task. The prefix hashes that survive are looked
-up in a bit map of bounded size, whatever their number: a false hit costs one
-more hash, and no text is shuffled to find groups.
+up in Bloom maps, one for each range of some 20 million of them: a false hit, of
+which there is less than one in a hundred, costs one more hash, and no text is
+shuffled to find groups.
 
 Texts are equal when they are identical after lower-casing A-Z; null counts as
 empty. The row with the largest id stays. Rows that repeat both id and text

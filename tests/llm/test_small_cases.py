@@ -32,9 +32,11 @@ def az(t):
 
 def test_exact_dedup(spark, monkeypatch):
     ids = [*range(len(TEXTS) - 1), 3]  # an id that repeats with another text
-    for rows, words in ((10**6, 1 << 20), (0, 1 << 20), (0, 1)):  # by broadcast, by a join of suspects, and with a bit map that is full
+    for rows, keys, maps in ((10**6, 85, 16), (0, 85, 16), (0, 1, 16), (0, 1, 0)):  # by broadcast, by a join of suspects, by many maps, and with none
         monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", rows)
-        monkeypatch.setattr(common, "BITMAP_WORDS", words)
+        monkeypatch.setattr(common, "MAP_BLOCKS", 1 << 18 if keys > 1 else 1)
+        monkeypatch.setattr(common, "KEYS_PER_BLOCK", keys)
+        monkeypatch.setattr(common, "MAPS", maps)
         got = exact_dedup.exact_duplicates(table(spark, ids=ids)).collect()
         groups = collections.defaultdict(list)
         for i, t in zip(ids, TEXTS):
@@ -49,6 +51,31 @@ def test_exact_dedup(spark, monkeypatch):
         assert sorted((r.doc_id, r._digest.hex()) for r in got) == sorted((i, hashlib.sha256(az(t).encode()).hexdigest()) for i, t in zip(ids, TEXTS))
 
 
+@pytest.mark.parametrize("blocks", [1 << 18, 40])  # one map, and several
+def test_maps_of_keys(spark, monkeypatch, blocks):
+    """Every key hits, and others under one in a hundred, however many maps the keys take."""
+    monkeypatch.setattr(common, "MAP_BLOCKS", blocks)
+    keys = common.cut(spark.range(40_000).select(F.xxhash64("id").alias("k")))
+    rows = spark.range(80_000).select("id", F.xxhash64("id").alias("own"))
+    hit = common.with_hit(rows, "own", keys, "k")
+    assert hit.columns == ["id", "own", "_hit"]
+    n = hit.groupBy((F.col("id") < 40_000).alias("key"), "_hit").count().collect()
+    n = {(r.key, r._hit): r["count"] for r in n}
+    assert n[True, True] == 40_000 and n.get((True, False), 0) == 0 and n.get((False, True), 0) < 400
+
+
+def test_few_texts_are_shuffled(spark, monkeypatch):
+    """Beyond the broadcast bound, with small maps, whole rows go through the shuffle only where a copy may go."""
+    monkeypatch.setattr(common, "MAP_BLOCKS", 4)
+    seen = []
+    real = common.with_hit
+    monkeypatch.setattr(common, "with_hit", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.greatest(F.col("id"), F.lit(900)).cast("string")).alias("text"))
+    assert exact_dedup.keep_last(docs, broadcast_rows=0).count() == 2100
+    (marked,) = seen
+    assert 900 <= marked.where("_hit").count() <= 900 + 21
+
+
 def test_exact_dedup_null_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (1, "a"), (None, "b")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs).collect()), key=str)
