@@ -12,7 +12,9 @@ dialogues are counted where they are equal and dealt to ranges of that order,
 so that a dialogue with a third of all messages, or a message repeated without
 end, is spread over as many tasks as there are shuffle partitions. What earlier
 ranges hold of a dialogue reaches a range as counts and lengths, which are
-summed without texts.
+summed without texts. Ranges are told by the first characters of a text, which
+is all that Spark samples; different texts of one turn and role that agree in
+them stay in one range.
 
 Null texts count as empty and null roles as `unknown`; repeated messages are
 repeated in the rendering; a null turn comes first. Dialogues of system
@@ -27,12 +29,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, stored
+from .common import cut, maybe_broadcast, shuffle_partitions, stored
 
 SYSTEM = "system"
 ASSISTANT_HEAD, SYSTEM_HEAD, END = "<|assistant|>\n", "<|system|>\n", "<|end|>\n"
 USER_HEAD = len("<|user name=|>\n")
 HOT = 1000
+#: Characters of a role, and a quarter of those of a text, that tell ranges of long dialogues.
+HEAD = 64
 #: Array entries that are broadcast; beyond it the join is a shuffle.
 BROADCAST_ENTRIES = 50_000
 
@@ -57,9 +61,16 @@ def _spread(rows: DataFrame, hot: DataFrame) -> DataFrame:
     same = ["_conv", "_turn", "_role", "_text", "_len"]
     big = rows.where("_count is not null").groupBy(*same).agg(F.count("*").alias("_all"))
     # a message repeated without end is dealt in lots
+    # ranges are told by the heads of role and text, so no whole text is sampled; lots of one text stand apart if no other has its heads
+    short = F.char_length("_role") <= HEAD
+    big = big.withColumns({"_who": F.substring("_role", 1, HEAD), "_head": F.when(short, F.substring("_text", 1, 4 * HEAD)).otherwise("")})
+    heads = ["_conv", "_turn", "_who", "_head"]
+    shared = cut(big.groupBy(*heads).agg(F.count("*").alias("_same")).where("_same > 1"))
+    big = _attach(big, maybe_broadcast(shared, BROADCAST_ENTRIES), heads)
     big = big.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_all - 1) div {HOT}"))))
     big = big.withColumn("_copies", F.least(F.lit(HOT), F.col("_all") - F.col("_lot") * HOT).cast("long")).drop("_all")
-    big = big.repartitionByRange(shuffle_partitions(rows.sparkSession), "_conv", "_turn", "_role", "_text", "_lot")
+    big = big.withColumn("_own_lot", F.when(F.col("_same").isNull(), F.col("_lot")).otherwise(0)).drop("_same")
+    big = big.repartitionByRange(shuffle_partitions(rows.sparkSession), *heads, "_own_lot").drop("_who", "_head", "_own_lot")
     big = stored(big.withColumn("_part", F.spark_partition_id() + 1))
 
     units = cut(big.groupBy("_conv", "_part", "_role").agg(F.sum("_copies").alias("_rows"), F.sum(F.col("_len") * F.col("_copies")).alias("_chars")))

@@ -206,3 +206,18 @@ def test_word_ids_as_the_library_gives_them():
     texts = [f(x) for x in texts for f in (str, lambda s: unicodedata.normalize("NFD", s))]
     got = [x for i in range(0, len(texts), 300) for x in mine.encode([t.encode() for t in texts[i : i + 300]])]
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_no_text_is_sampled(spark, monkeypatch):
+    """Texts of hundreds of kilobytes that share their begin, and long roles, keep the views of a dialogue that is not cut; ranges see heads only."""
+    long = "shared begin " * 20_000
+    rows = [(1, i % 3, "ann" if i % 2 else "r" * 100 + str(i % 4), long + str(i % 5)) for i in range(40)] + [(1, 5, "bob", f"m{i}") for i in range(40)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    digest = lambda df: sorted(df.select("perspective", "position", "turn", "speaker", "role_out", F.md5("rendered"), "char_start", "mask_start", "mask_end").collect(), key=repr)
+    want = digest(chat_views.rotate(turns))
+    keys = []
+    real = type(turns).repartitionByRange
+    monkeypatch.setattr(chat_views, "HOT", 10)
+    monkeypatch.setattr(type(turns), "repartitionByRange", lambda self, n, *cols: keys.append(self.agg(F.max(F.length(F.concat_ws("", *(F.col(c).cast("string") for c in cols)))).alias("n")).first().n) or real(self, n, *cols))
+    assert digest(chat_views.rotate(turns)) == want
+    assert keys and max(keys) < 400
