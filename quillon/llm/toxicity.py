@@ -40,6 +40,7 @@ SPAN, REACH, PART = 6, 240, 1 << 16
 _space = regex.compile(r"\s").search
 MEMO = 400_000
 _words = regex.compile(r"[^\W\d_]+")
+_mark = regex.compile(r"[^\W\d_][^\s\p{L}\p{M}][^\W\d_]").search  # what any of the next has inside
 _joined = regex.compile(r"(?<![^\W\d_])(?=([^\W\d_]++[^\s\p{L}\p{M}][^\W\d_]++))[^\W\d_]++")  # two runs of letters and the mark or digit between
 
 # fixed values: words of saying and marks of quotation
@@ -166,7 +167,7 @@ class Lexicon:
         """Number of words from a to b, and the hits there: (start, end, kind and strength, what was found)."""
         found = _words.findall(low, a, b)
         kinds = {w: k for w in set(found) if (k := self.kind(w))[0]}
-        marked = {w: k for w in set(_joined.findall(low, a, b)) if (k := self.kind(w))[0] == 3}
+        marked = {w: k for w in set(_joined.findall(low, a, b)) if (k := self.kind(w))[0] == 3} if _mark(low, a, b) else {}
         if not kinds and not marked:
             return len(found), []
         spans = [m.span() for m in _words.finditer(low, a, b)]
@@ -177,23 +178,22 @@ class Lexicon:
                     hits.append((x, v, k, low[x:v]))
         return len(found), hits
 
-    def features(self, text: str, as_terms: bool = False) -> list[float]:
-        """Strength of hits by kind and context, their density, and the sum and maximum over different terms; as_terms: misspelt terms count as terms."""
+    def found(self, text: str) -> tuple[list[float], float, list[tuple[int, float]]]:
+        """Strength of hits by kind and context, their density, and kind and strength of the different ones."""
         low = text.lower()
-        out, words, places, different = [0.0] * 9, 0, 0, {}
+        out, words, places, different = [0.0] * 6, 0, 0, {}
         for a, b in _parts(low):
             n, hits = self._hits(low, a, b)
             words += n
             places += len(hits)
             for start, end, (k, strength), what in hits:
-                k = 1 if as_terms and k == 3 else k
                 out[k - 1 + 3 * self._cited(low, start, end)] += strength
                 different[what] = (k, strength)
-        if places:
-            terms = [strength for k, strength in different.values() if k < 3]
-            out[6] = min(1.0, 20 * places / words)
-            out[7], out[8] = sum(terms) / 4, float(max(terms, default=0))
-        return [*np.log1p(out[:6]), *out[6:]]
+        return out, min(1.0, 20 * places / words) if places else 0.0, list(different.values())
+
+    def features(self, text: str, as_terms: bool = False) -> list[float]:
+        """Nine numbers of what is found, see `numbers`."""
+        return numbers(*self.found(text), as_terms)
 
     @staticmethod
     def _cited(low: str, start: int, end: int) -> bool:
@@ -217,6 +217,14 @@ class Lexicon:
         return opens and (low[right] in "”»" or not low[right - 1].isspace())
 
 
+def numbers(by_kind: list[float], density: float, different: list[tuple[int, float]], as_terms: bool = False) -> list[float]:
+    """Logarithms of the strength by kind and context, the density, and the sum and maximum over different terms; as_terms: misspelt terms count as terms."""
+    if as_terms:
+        by_kind = [by_kind[0] + by_kind[2], by_kind[1], 0.0, by_kind[3] + by_kind[5], by_kind[4], 0.0]
+    terms = [strength for k, strength in different if k < 3 or as_terms]
+    return [*np.log1p(by_kind), density, sum(terms) / 4, float(max(terms, default=0))]
+
+
 def _parts(low: str) -> Iterator[tuple[int, int]]:
     """Parts of a long text that end after white space, so that no list of all its words is held."""
     a = 0
@@ -271,10 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, i
         return None
     texts = [t.decode() for t in texts]
     lexicon = learn_lexicon(texts, y)
-    x = np.array([lexicon.features(t) for t in texts])
-    as_terms = bool(((x[:, 2] + x[:, 5] > 0) & (y > 0)).sum() < LEAST_TEXTS)
-    if as_terms:
-        x = np.array([lexicon.features(t, True) for t in texts])
+    found = [lexicon.found(t) for t in texts]
+    as_terms = sum(f[0][2] + f[0][5] > 0 and label > 0 for f, label in zip(found, y)) < LEAST_TEXTS
+    x = np.array([numbers(*f, as_terms) for f in found])
     x1, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     ridge = np.diag([0.5] * x.shape[1] + [1e-6])
     for _ in range(40):  # Newton's method with a small penalty
