@@ -364,6 +364,26 @@ def _fits(n: Column, least: Column, most: Column) -> Column:
     return (NUM * n <= DEN * most) & (NUM * least <= DEN * n)
 
 
+def _elected(held: DataFrame, times: int) -> DataFrame:
+    """(id): the pivots. The sets of a shingle, dealt to so many lots, elect one of each lot, the one with the smallest share of infrequent shingles; a set votes for the first of those its shingles elected."""
+    lot = F.pmod(F.xxhash64(F.lit(times), "id"), F.lit(times))
+    order = F.struct("rare", F.xxhash64("id").alias("h"), "id")
+    held = held.select("s", "id", "hot", lot.alias("lot"), order.alias("x"))
+    elected = held.groupBy("s", "lot").agg(F.min("x").alias("e"), F.first("hot").alias("_hot"))
+    votes = _by_shingle(held.drop("x"), elected.withColumnRenamed("lot", "l")).where("lot = l")
+    return votes.groupBy("id").agg(F.min("e")["id"].alias("pivot")).select(F.col("pivot").alias("id")).distinct()
+
+
+def _parts(near: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(pivot, part): pivots of one part are connected by links (pivot, id); some that are connected may be in different parts."""
+    links = cut(near.unionByName(pivots.select(F.col("id").alias("pivot"), "id")))
+    parts = links.groupBy("pivot").agg(F.min("id").alias("part"))
+    for _ in range(2):
+        least = links.join(parts, "pivot").groupBy("id").agg(F.min("part").alias("part"))
+        parts = links.join(least, "id").groupBy("pivot").agg(F.min("part").alias("part"))
+    return parts
+
+
 def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]:
     """Links (a, b) by their origin, `pivot` or `window`, of each round."""
     elect, small_list = 1, BROADCAST_IDS // 20
@@ -372,9 +392,7 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         held = stored(held.join(maybe_broadcast(several, small_list), "s", "left_semi").select("s", "id", "rare", "n", "hot"))
         if held.isEmpty():
             return
-        lot = F.pmod(F.xxhash64(F.lit(elect), "id"), F.lit(elect))
-        order = F.min(F.struct("rare", F.xxhash64("id").alias("h"), "id"))["id"]
-        pivots = maybe_broadcast(cut(held.groupBy("s", lot.alias("_l")).agg(order.alias("id")).select("id").distinct()), small_list)
+        pivots = maybe_broadcast(cut(_elected(held, elect)), small_list)
 
         of_pivots = held.join(pivots, "id", "left_semi").select("s", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("hot").alias("_hot"))
         pairs = _by_shingle(held, of_pivots).where((F.col("id") != F.col("pivot")) & _fits(F.col("n"), F.col("pn"), F.col("pn")))
@@ -388,18 +406,26 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         homes = nearest.select("id", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"), "n")
         homes = stored(homes.unionByName(own.select("id", F.col("id").alias("home"), F.lit(0.0).alias("d"), "n")))
 
-        # windows: sets that may have a link into a cell, by their shingles and sizes, and are within two radii of its pivot
-        cells = cut(homes.groupBy("home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("_size")))
-        placed = cut(held.join(maybe_broadcast(homes.select("id", "home"), small_list), "id", "left"))
+        # windows: sets that may have a link into a cell that they are not known to be connected with, by their shingles and sizes,
+        # and are within two radii of its pivot; shingles that one connected part alone holds lead nowhere
+        parts = cut(_parts(star.where("near").select("pivot", "id"), pivots))
+        cells = homes.join(maybe_broadcast(parts.withColumnRenamed("pivot", "home"), small_list), "home")
+        cells = cut(cells.groupBy("home", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+        own = homes.join(maybe_broadcast(cells.select("home", "part"), small_list), "home").select("id", "home", "part")
+        placed = held.join(maybe_broadcast(cut(own), small_list), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        placed = stored(placed.select("s", "id", "n", "hot", "home", "part"))
+        mixed = cut(placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("s"))
+        placed = placed.join(maybe_broadcast(mixed, small_list), "s", "left_semi")
         index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), F.col("hot").alias("_hot")).distinct()
-        index = spread_join(cut(index), cells.select(F.col("home").alias("pivot"), "least", "most"), ["pivot"], "inner")
-        asked = _by_shingle(placed, index).where(~F.col("home").eqNullSafe(F.col("pivot")) & _fits(F.col("n"), F.col("least"), F.col("most")))
+        index = spread_join(cut(index), cells.select(F.col("home").alias("pivot"), F.col("part").alias("of"), "least", "most"), ["pivot"], "inner")
+        asked = _by_shingle(placed, index).where((F.col("part") != F.col("of")) & _fits(F.col("n"), F.col("least"), F.col("most")))
         asked = asked.groupBy("pivot", "id").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("n", "least", "most")))
-        enough = F.least(*(_least_shared(F.col("n"), F.greatest(F.col("least"), F.least(F.col("most"), b))) for b in (F.col("least"), F.col("most"))))
-        asked = asked.where(F.col("m") >= enough).select("pivot", "id").join(star.select("pivot", "id"), ["pivot", "id"], "left_anti")
-        more = _measured(cut(asked), sets)
-        # sets measured in step 2 that are outside the radius are replicas as well
-        replicas = stored(star.where("not near").unionByName(more.where("not near")).where(F.col("d") <= 2 * RADIUS + 1e-9).select(F.col("pivot").alias("cell"), "id", "n", "d"))
+        enough = F.least(_least_shared(F.col("n"), F.col("least")), _least_shared(F.col("n"), F.col("most")))
+        asked = cut(asked.where(F.col("m") >= enough).select("pivot", "id"))
+        known = star.join(maybe_broadcast(asked, small_list), ["pivot", "id"], "left_semi")
+        more = _measured(cut(asked.join(known.select("pivot", "id"), ["pivot", "id"], "left_anti")), sets)
+        replicas = known.where("not near").unionByName(more.where("not near")).where(F.col("d") <= 2 * RADIUS + 1e-9)
+        replicas = stored(replicas.select(F.col("pivot").alias("cell"), "id", "n", "d"))
         busy = cut(replicas.select("cell").distinct())
         members = homes.select(F.col("home").alias("cell"), "id", "n", "d").join(maybe_broadcast(busy, small_list), "cell", "left_semi").where("id <> cell")
         both = members.select("cell", "id", "n", "d", F.lit(False).alias("open"), F.lit(True).alias("home")).unionByName(replicas.withColumns({"open": F.lit(True), "home": F.lit(False)}))
