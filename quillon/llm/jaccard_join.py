@@ -400,41 +400,51 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         star = stored(_measured(cut(pairs.where(F.col("m") >= _least_shared(F.col("n"), F.col("pn"))).select("pivot", "id")), sets))
         yield "pivot", star.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
-        # homes: the nearest pivot within the radius, pivots with themselves
-        nearest = star.where("near").join(pivots, "id", "left_anti").groupBy("id").agg(F.min(F.struct("d", "pivot")).alias("x"), F.first("n").alias("n"))
-        own = held.join(pivots, "id", "left_semi").select("id", "n").distinct()
-        homes = nearest.select("id", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"), "n")
-        homes = stored(homes.unionByName(own.select("id", F.col("id").alias("home"), F.lit(0.0).alias("d"), "n")))
-
-        # windows: sets that may have a link into a cell that they are not known to be connected with, by their shingles and sizes,
-        # and are within two radii of its pivot; shingles that one connected part alone holds lead nowhere
-        parts = cut(_parts(star.where("near").select("pivot", "id"), pivots))
-        cells = homes.join(maybe_broadcast(parts.withColumnRenamed("pivot", "home"), small_list), "home")
-        cells = cut(cells.groupBy("home", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-        own = homes.join(maybe_broadcast(cells.select("home", "part"), small_list), "home").select("id", "home", "part")
-        placed = held.join(maybe_broadcast(cut(own), small_list), "id", "left").withColumn("part", F.coalesce("part", "id"))
-        placed = stored(placed.select("s", "id", "n", "hot", "home", "part"))
-        mixed = cut(placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("s"))
-        placed = placed.join(maybe_broadcast(mixed, small_list), "s", "left_semi")
-        index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), F.col("hot").alias("_hot")).distinct()
-        index = spread_join(cut(index), cells.select(F.col("home").alias("pivot"), F.col("part").alias("of"), "least", "most"), ["pivot"], "inner")
-        asked = _by_shingle(placed, index).where((F.col("part") != F.col("of")) & _fits(F.col("n"), F.col("least"), F.col("most")))
-        asked = asked.groupBy("pivot", "id").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("n", "least", "most")))
-        enough = F.least(_least_shared(F.col("n"), F.col("least")), _least_shared(F.col("n"), F.col("most")))
-        asked = cut(asked.where(F.col("m") >= enough).select("pivot", "id"))
-        known = star.join(maybe_broadcast(asked, small_list), ["pivot", "id"], "left_semi")
-        more = _measured(cut(asked.join(known.select("pivot", "id"), ["pivot", "id"], "left_anti")), sets)
-        replicas = known.where("not near").unionByName(more.where("not near")).where(F.col("d") <= 2 * RADIUS + 1e-9)
-        replicas = stored(replicas.select(F.col("pivot").alias("cell"), "id", "n", "d"))
-        busy = cut(replicas.select("cell").distinct())
-        members = homes.select(F.col("home").alias("cell"), "id", "n", "d").join(maybe_broadcast(busy, small_list), "cell", "left_semi").where("id <> cell")
-        both = members.select("cell", "id", "n", "d", F.lit(False).alias("open"), F.lit(True).alias("home")).unionByName(replicas.withColumns({"open": F.lit(True), "home": F.lit(False)}))
-        yield "window", stored(_in_blocks(cut(both), sets))
-
-        held = held.join(maybe_broadcast(homes.select("id"), small_list), "id", "left_anti")
+        # homes: the nearest pivot within the radius; pivots are at home with themselves
+        near = star.where("near")
+        nearest = near.join(pivots, "id", "left_anti").groupBy("id").agg(F.min(F.struct("d", "pivot")).alias("x"), F.first("n").alias("n"))
+        homes = stored(nearest.select("id", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"), "n"))
+        if not homes.isEmpty():  # every set was measured against the pivots themselves
+            yield "window", _from_windows(held, sets, star, homes, pivots)
+        gone = maybe_broadcast(cut(homes.select("id").unionByName(pivots.select("id"))), small_list)
+        held = held.join(gone, "id", "left_anti")
         elect *= MORE
 
 
+def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Links (a, b) of members at home in a cell with sets from elsewhere that are within two radii of its pivot.
+
+    Sets are asked for by their shingles and sizes, and only for cells that they are not known to be connected with; shingles
+    that one connected part alone holds lead nowhere.
+    """
+    small_list = BROADCAST_IDS // 20
+    parts = cut(_parts(star.where("near").select("pivot", "id"), pivots))
+    at_home = homes.join(maybe_broadcast(parts.withColumnRenamed("pivot", "home"), small_list), "home")
+    cells = cut(at_home.groupBy("home", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    own = at_home.select("id", "home", "part").unionByName(parts.select(F.col("pivot").alias("id"), F.lit(None).cast("binary").alias("home"), "part"))
+    placed = held.join(maybe_broadcast(cut(own), small_list), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    placed = stored(placed.select("s", "id", "n", "hot", "home", "part"))
+    of_homes = F.count(F.when(F.col("home").isNotNull(), 1))
+    mixed = cut(placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), of_homes.alias("c")).where("p <> q and c > 0").select("s"))
+    if mixed.isEmpty():
+        return star.where("false").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    placed = placed.join(maybe_broadcast(mixed, small_list), "s", "left_semi")
+    index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), F.col("hot").alias("_hot")).distinct()
+    index = spread_join(cut(index), cells.select(F.col("home").alias("pivot"), F.col("part").alias("of"), "least", "most"), ["pivot"], "inner")
+    asked = _by_shingle(placed, index).where((F.col("part") != F.col("of")) & _fits(F.col("n"), F.col("least"), F.col("most")))
+    asked = asked.groupBy("pivot", "id").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("n", "least", "most")))
+    enough = F.least(_least_shared(F.col("n"), F.col("least")), _least_shared(F.col("n"), F.col("most")))
+    asked = cut(asked.where(F.col("m") >= enough).select("pivot", "id"))
+    known = star.join(maybe_broadcast(asked, small_list), ["pivot", "id"], "left_semi")
+    more = _measured(cut(asked.join(known.select("pivot", "id"), ["pivot", "id"], "left_anti")), sets)
+    replicas = known.where("not near").unionByName(more.where("not near")).where(F.col("d") <= 2 * RADIUS + 1e-9)
+    replicas = stored(replicas.select(F.col("pivot").alias("cell"), "id", "n", "d"))
+    busy = cut(replicas.select("cell").distinct())
+    members = homes.select(F.col("home").alias("cell"), "id", "n", "d").join(maybe_broadcast(busy, small_list), "cell", "left_semi")
+    both = members.withColumns({"open": F.lit(False), "home": F.lit(True)}).unionByName(replicas.withColumns({"open": F.lit(True), "home": F.lit(False)}))
+    return stored(_in_blocks(cut(both), sets))
+
+
 def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray], others: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Linked pairs of an open member and another one (of `others`, if given) whose distances to the pivot allow it."""
     if len(of) < 2 or not open_.any():
