@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, maybe_broadcast
 from .keys import attach
 
 
@@ -76,9 +76,10 @@ def without_passages(rows: DataFrame, key: str, text: str, passages: DataFrame)
     run = lambda n: F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("_w", i + 1, F.lit(n)), " ")))
     runs = [F.when(F.size("_w") >= n, run(n)) for n in lengths]
     found = words.select(key, F.explode(F.array_distinct(F.concat(*(F.coalesce(r, F.array().cast("array<bigint>")) for r in runs)))).alias("_h"))
-    found = found.join(keyed.select("_h", "_p"), "_h").select(key, "_p")
-    hits = found.join(rows.select(key, text), key).where(F.contains(F.col(text), F.col("_p"))).select(key).distinct()
-    return rows.join(hits, key, "left_anti")
+    # while they are few, candidates and hits are broadcast and no text is shuffled
+    found = cut(found.join(maybe_broadcast(cut(keyed.select("_h", "_p"))), "_h").select(key, "_p"))
+    hits = cut(rows.select(key, text).join(maybe_broadcast(found), key).where(F.contains(F.col(text), F.col("_p"))).select(key).distinct())
+    return rows.join(maybe_broadcast(hits), key, "left_anti")
 
 
 def ambiguous_keys(rows: DataFrame, key: str, answer: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, uniform
-from ..session import cut
+from ..session import cut, maybe_broadcast
 from .keys import attach
 
 
@@ -43,7 +43,7 @@ def placed(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     for c in by:
         same &= F.col(c).eqNullSafe(F.col("_g" + c))
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
-    out = ranges.withColumn("_in", inside).join(F.broadcast(sizes), same)  # as many rows as ranges and groups that they hold
+    out = ranges.withColumn("_in", inside).join(maybe_broadcast(cut(sizes)), same)  # as many rows as ranges and groups that they hold
     return out.withColumn("_place", F.col("_before") + F.col("_in")).drop("_range", "_r", "_in", "_before", *("_g" + c for c in by))
 
 

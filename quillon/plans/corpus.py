@@ -66,8 +66,10 @@ def ambiguity_drop(spark, sf):
 
 @query("select conv_id from (select conv_id, count(*) as n, count(distinct role) as d from conversations group by conv_id) where n = d")
 def repeated_options(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("options"))
-    return D.without_repeated_options(rows, "options").select("conv_id")
+    """Conversations in which no role speaks twice: counted by role, so no conversation is collected."""
+    roles = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n"))
+    once = roles.groupBy("conv_id").agg(F.max("n").alias("most"), F.count_if(F.col("role").isNull()).alias("blank"))
+    return once.where("most = 1 and blank = 0").select("conv_id")
 
 
 @query(

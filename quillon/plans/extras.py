@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring as P
 from ..functions import text as T
 from ..functions.hashing import digest_sql, uniform, uniform_sql
-from ..operators.splits import placed
+from ..operators.keys import attach
+from ..operators.splits import in_order, placed
+from ..session import cut
 from .decisions import REC, records
 from .registry import query, table
 
@@ -28,12 +30,16 @@ def phrase_buckets(spark, sf):
     select p_brand, len(list_filter(pool, lambda x: not list_contains(own, x)))::int as n, list_filter(pool, lambda x: not list_contains(own, x))[1] as first from o, p"""
 )
 def foreign_without_own(spark, sf):
-    """The pool less the options that are there already; the pool is a catalogue in one broadcast row."""
-    names = table(spark, sf, "part").select("p_brand", "p_name")
-    pool = names.agg(F.array_sort(F.collect_set("p_name")).alias("pool"))
-    rest = F.array_except("pool", "own")
-    own = names.groupBy("p_brand").agg(F.collect_set("p_name").alias("own"))
-    return own.crossJoin(F.broadcast(pool)).select("p_brand", F.size(rest).alias("n"), F.try_element_at(rest, F.lit(1)).alias("first"))
+    """How many labels of the pool a brand has not, and the first of them: the first gap in the places of its own."""
+    own = table(spark, sf, "part").where("p_name is not null").select("p_brand", "p_name").distinct()
+    pool = in_order(own.select("p_name").distinct(), ["p_name"])
+    pool = cut(pool.select("p_name", "_place"))
+    places = attach(own, pool, ["p_name"]).select("p_brand", "_place")
+    seat = F.row_number().over(Window.partitionBy("p_brand").orderBy("_place")) - 1
+    gap = F.min(F.when(F.col("_place") != F.col("seat"), F.col("seat")))
+    g = places.withColumn("seat", seat.cast("long")).groupBy("p_brand").agg(F.count("*").alias("k"), gap.alias("gap"))
+    g = g.withColumn("_place", F.coalesce("gap", "k")).crossJoin(F.broadcast(pool.agg(F.count("*").alias("all"))))
+    return g.join(pool, "_place", "left").select("p_brand", (F.col("all") - F.col("k")).cast("int").alias("n"), F.col("p_name").alias("first"))
 
 
 @query(
@@ -89,11 +95,12 @@ def poly_attention(spark, sf):
 )
 def marker_positions(spark, sf):
     """The first three places of a mark, padded by 0; and the last and mean of a per-turn value."""
-    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.char_length("text").cast("double").alias("n")))).alias("t"))
-    at = F.filter(F.transform("t", lambda x, i: F.when(x["role"] == "assistant", i)), lambda i: i.isNotNull())
-    marks = F.slice(F.concat(at, F.array(F.lit(0), F.lit(0), F.lit(0))), 1, 3)
-    n = F.transform("t", lambda x: x["n"])
-    return t.select("conv_id", F.array_join(F.transform(marks, lambda i: i.cast("string")), ",").alias("marks"), F.element_at(n, -1).alias("last"), F.round(P.total(n) / F.size(n), 6).alias("pooled"))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.char_length("text").cast("double").alias("n"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = t.withColumn("at", F.row_number().over(w) - 1).withColumn("mark", (F.col("role") == "assistant").cast("int"))
+    t = t.withColumn("k", F.sum("mark").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = [F.coalesce(F.max(F.when((F.col("mark") == 1) & (F.col("k") == k), F.col("at"))), F.lit(0)).cast("string") for k in (1, 2, 3)]
+    return t.groupBy("conv_id").agg(F.concat_ws(",", *first).alias("marks"), F.max_by("n", "at").alias("last"), F.round(F.avg("n"), 6).alias("pooled"))
 
 
 @query(
