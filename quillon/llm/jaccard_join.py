@@ -29,7 +29,9 @@ number, of the first n - ceil(3n/4) + 1 of each. Sets without a partner by that
 bound never enter, and only pairs of a set and a pivot (or a cell) that meet it
 are measured. Shingle sets travel for those pairs only.
 
-A shingle found in more than a few sets is looked up in a broadcast array of
+Shingles that one set alone holds decide nothing; most are told by a bit map of
+fixed size and stay where they are (with more data it tells fewer, and the
+shuffle tells the rest). A shingle found in more than a few sets is looked up in a broadcast array of
 bounded size, and the sets that hold one are dealt to as many tasks as there
 are shuffle partitions; a pivot's sets are measured in lots. Links are
 joined to components, so near copies are never expanded into all pairs.
@@ -60,6 +62,7 @@ FREQUENT = 16
 MAX_FREQUENT = 2_000_000
 BROADCAST_IDS = 2_000_000
 SEEN = 100_000
+BITS = 1 << 27  # of the map of shingles that two sets hold
 #: Pivots that a shingle's sets elect in a round, against the round before; sets measured against a pivot in one lot.
 MORE, LOT = 8, 256
 #: Shingles of the open and of all members in a block, about.
@@ -124,8 +127,8 @@ def _lacking(s: np.ndarray, common: np.ndarray) -> bool:
     return len(low) - among(signed(low), common).sum() < prefix_size(len(s))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles found in more than FREQUENT sets, sorted; the bound rises if they are too many to broadcast."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in more than FREQUENT sets, sorted (the bound rises if they are too many to broadcast), and a bit map that has all counted ones that two sets may hold."""
     sc = docs.sparkSession.sparkContext
 
     def counted(batches):
@@ -133,9 +136,10 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_longs([s[: np.searchsorted(s, COUNTED)] for _, s in fresh(b.column(0))])], ["s"])
 
-    first = _above(arrow_scan(docs, counted, "s bigint"))
+    counts = cut(arrow_scan(docs, counted, "s bigint").groupBy("s").count().where("count > 1"))
+    twice, first = _bit_map(counts), _above(counts)
     if not len(first):
-        return first
+        return first, twice
     known = sc.broadcast(first)
 
     def others(batches):
@@ -144,19 +148,37 @@ def _frequent(docs: DataFrame) -> np.ndarray:
             parts = [s[np.searchsorted(s, COUNTED) :] for _, s in fresh(b.column(0)) if _lacking(s, known.value)]
             yield pa.RecordBatch.from_arrays([_longs(parts)], ["s"])
 
-    return np.union1d(first, _above(arrow_scan(docs, others, "s bigint")))
+    rest = arrow_scan(docs, others, "s bigint").groupBy("s").count().where(F.col("count") > FREQUENT)
+    return np.union1d(first, _above(cut(rest))), twice
 
 
-def _above(shingles: DataFrame) -> np.ndarray:
+def _above(counts: DataFrame) -> np.ndarray:
     least = FREQUENT
-    counts = cut(shingles.groupBy("s").count().where(F.col("count") > least))
     while not small(counts.where(F.col("count") > least), MAX_FREQUENT):
         least *= 2
     return sorted_longs(counts.where(F.col("count") > least), "s")
 
 
-def _holders(docs: DataFrame, common) -> DataFrame:
-    """(s, id, rare, n, hot): the deciding shingles of every set; hot: frequent ones.
+def _bit_map(counts: DataFrame) -> np.ndarray:
+    """A bit for each shingle of the table, by its lowest bits; of fixed size, so with more shingles more others have a bit, too."""
+    at = F.col("s").bitwiseAND(BITS - 1)
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    words = counts.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(mark).alias("b")).toArrow()
+    out = np.zeros(BITS >> 6, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+def _may_be_held_twice(s: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which sorted shingles two sets may hold: all that were not counted, and counted ones with a bit."""
+    out, n = np.ones(len(s), bool), np.searchsorted(s, COUNTED)
+    at = s[:n] & np.uint64(BITS - 1)
+    out[:n] = (twice[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def _holders(docs: DataFrame, common, twice) -> DataFrame:
+    """(s, id, rare, n, hot): the deciding shingles of every set, as far as two sets may hold them; hot: frequent ones.
 
     rare: the share of infrequent shingles in the set; n: its size.
     """
@@ -169,13 +191,17 @@ def _holders(docs: DataFrame, common) -> DataFrame:
                 p = prefix_size(len(s))
                 often = among(signed(s), common.value)
                 cold = s[~often]
-                take = np.concatenate([cold[:p], s[often][: p - min(p, len(cold))]])
+                first = cold[:p]
+                first = first[_may_be_held_twice(first, twice.value)]
+                take = np.concatenate([first, s[often][: p - min(p, len(cold))]])
+                if not len(take):
+                    continue
                 s_.append(take)
                 id_.append(i)
                 count.append(len(take))
                 rare.append(len(cold) / len(s))
                 n.append(len(s))
-                hot.append(np.arange(len(take)) >= min(p, len(cold)))
+                hot.append(np.arange(len(take)) >= len(first))
             if s_:
                 ids = np.frombuffer(b"".join(id_), np.uint64).reshape(-1, 2)
                 per_set = [pa.array(np.repeat(np.array(x, t), count)) for x, t in ((rare, np.float32), (n, np.int32))]
@@ -213,20 +239,23 @@ def _numbers(b: pa.RecordBatch, *at: int) -> list[np.ndarray]:
 
 
 def _held_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (s, hot, id, rare, n), sorted by s and id, once for each set, without infrequent shingles that only one set holds."""
+    """Rows (s, hot, id, rare, n), sorted by s, once for each set, without infrequent shingles that only one set holds."""
     for s, hot, ids, rare, n in _whole_runs(batches, lambda b: [*_numbers(b, 0, 1), _id_rows(b.column(2)), *_numbers(b, 3, 4)]):
+        run, runs = _in_runs([s])
+        some = np.flatnonzero(hot | (np.bincount(run, minlength=runs)[run] > 1))
+        some = some[np.lexsort((ids[some, 1], ids[some, 0], run[some]))]
+        s, hot, ids, rare, n, run = (x[some] for x in (s, hot, ids, rare, n, run))
         new = np.ones(len(s), bool)  # a set that several tasks met is several rows
         new[1:] = (s[1:] != s[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
-        run, runs = _in_runs([s])
         keep = new & (hot | (np.bincount(run, new, runs)[run] > 1))
         yield pa.RecordBatch.from_arrays([pa.array(s[keep]), _id_array(ids[keep]), pa.array(rare[keep]), pa.array(n[keep]), pa.array(hot[keep])], ["s", "id", "rare", "n", "hot"])
 
 
-def _held(docs: DataFrame, common) -> DataFrame:
+def _held(docs: DataFrame, common, twice) -> DataFrame:
     """(s, id, rare, n, hot): the deciding shingles that two sets hold, of sets that may have a link."""
     parts = shuffle_partitions(docs.sparkSession)
     lot = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0))  # the sets of a frequent one do not meet
-    every = _holders(docs, common).withColumn("_lot", lot).repartition(parts, "s", "_lot").sortWithinPartitions("s", "id")
+    every = _holders(docs, common, twice).withColumn("_lot", lot).repartition(parts, "s", "_lot").sortWithinPartitions("s")
     held = stored(arrow_scan(every.select("s", "hot", "id", "rare", "n"), _held_twice, "s bigint, id binary, rare float, n int, hot boolean"))
     # a bound over each shingle's sets: no set of a link shares fewer with all others together than the two with each other
     total = held.groupBy("id").agg(F.count("*").cast("int").alias("c"))
@@ -498,8 +527,8 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def set_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(a, b, origin): fingerprints of linked sets, and whether a pivot or a window gave the link; a spanning set of links, enough to connect all that are linked."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_frequent(texts))
-    held = _held(texts, common)
+    common, twice = (docs.sparkSession.sparkContext.broadcast(x) for x in _frequent(texts))
+    held = _held(texts, common, twice)
     sets = _set_table(texts, cut(held.select("id").distinct()))
     out = None
     for origin, links in _rounds(held, sets):
