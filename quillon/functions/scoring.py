@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once for a row, however often f names it and whatever lambda it stands in."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -16,7 +23,7 @@ def doubles(xs: Column) -> Column:
 
 def normalised(xs: Column) -> Column:
     """Divided by their sum."""
-    return F.transform(xs, lambda x: x / total(xs))
+    return let(xs, lambda v: let(total(v), lambda t: F.transform(v, lambda x: x / t)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,21 +35,24 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return let(a, lambda v: let(b, lambda w: dot(v, w) / (norm(v) * norm(w))))
+
+
+def unit(xs: Column) -> Column:
+    return let(xs, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / total(e))
+    return normalised(let(z, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def log_sum_exp(z: Column) -> Column:
-    return F.array_max(z) + F.log(total(F.transform(z, lambda x: F.exp(x - F.array_max(z)))))
+    return let(z, lambda v: let(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def argmax(xs: Column) -> Column:
     """The first index of the maximum, from 0."""
-    return (F.array_position(xs, F.array_max(xs)) - 1).cast("int")
+    return let(xs, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def at(xs: Column, index: Column) -> Column:

@@ -211,14 +211,10 @@ def _label_means(e):
     return d.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("p")).agg(F.collect_list(F.struct("label", "p")).alias("bank"))
 
 
-def _unit(xs):
-    return F.transform(xs, lambda x: x / P.norm(xs))
-
-
 def _parts(v, normalised: bool = True):
     """Four tokens of a vector, of unit length."""
-    cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.slice(v, 16 * m + 1, F.lit(16)))
-    return F.transform(cut, _unit) if normalised else cut
+    cut = P.let(v, lambda xs: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda m: F.slice(xs, 16 * m + 1, F.lit(16))))
+    return F.transform(cut, P.unit) if normalised else cut
 
 
 @query(
@@ -244,10 +240,10 @@ def token_max_sim(spark, sf):
 def poly_scores(spark, sf):
     """Poly-encoder scores: a label attends to the four codes of a vector, which are blended by its weights, brought to unit length, and compared with it at a temperature."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", P.doubles(F.col("embedding")).alias("v"))
-    mean = lambda ps: F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: P.total(F.transform(ps, lambda t: F.element_at(t, j))) / 4)
-    bank = _label_means(e).select(F.transform("bank", lambda b: F.struct(b["label"].alias("label"), _unit(mean(_parts(b["p"], False))).alias("o"))).alias("bank"))
+    places = F.sequence(F.lit(1), F.lit(16))
+    mean = lambda ps: P.let(ps, lambda ts: F.transform(places, lambda j: P.total(F.transform(ts, lambda t: F.element_at(t, j))) / 4))
+    bank = _label_means(e).select(F.transform("bank", lambda b: F.struct(b["label"].alias("label"), P.unit(mean(_parts(b["p"], False))).alias("o"))).alias("bank"))
     x = e.select("vec_id", _parts(F.col("v")).alias("c")).crossJoin(F.broadcast(bank)).select("vec_id", "c", F.explode("bank").alias("b")).select("vec_id", "c", "b.label", "b.o")
-    x = x.withColumn("w", P.softmax(F.transform("c", lambda t: P.dot(t, F.col("o")) / 4.0)))
-    blend = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda j: P.total(F.zip_with("w", "c", lambda w, t: w * F.element_at(t, j))))
-    x = x.withColumn("f", blend)
-    return x.select("vec_id", "label", F.round(P.cosine(F.col("f"), F.col("o")) / 0.07, 6).alias("score"))
+    weights = P.softmax(F.transform("c", lambda t: P.dot(t, F.col("o")) / 4.0))
+    blend = P.let(weights, lambda ws: F.transform(places, lambda j: P.total(F.zip_with(ws, "c", lambda w, t: w * F.element_at(t, j)))))
+    return x.select("vec_id", "label", F.round(P.cosine(blend, F.col("o")) / 0.07, 6).alias("score"))
