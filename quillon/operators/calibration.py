@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as P
 from ..functions.hashing import gamma, normal, uniform
+from ..session import cut
 from .splits import placed
 
 
@@ -120,11 +121,12 @@ def dirichlet_rewards(rows: DataFrame, key: str, draws: int, kappa: float, seed:
 
 def conformal(scores: DataFrame, score: str, alpha: float, key: str) -> DataFrame:
     """The sorted score at floor(alpha * (n + 1)) - 1, clamped to the list; one half if there are none."""
+    scores = cut(scores.select(score, key))
     n = scores.agg(F.count("*").alias("n")).first()[0]  # one number
     if not n:
         return scores.sparkSession.range(1).select(F.lit(0.5).alias("threshold"), F.lit(0).cast("long").alias("n"))
     rank = min(max(int(alpha * (n + 1)) - 1, 0), n - 1)
-    at = placed(scores.select(score, key), [], [score, key]).where(F.col("_place") == rank + 1)
+    at = placed(scores, [], [score, key]).where(F.col("_place") == rank + 1)
     return at.agg(F.max(score).alias("threshold"), F.lit(n).cast("long").alias("n"))
 
 

@@ -23,9 +23,11 @@ def prototypes(spark: SparkSession, sf: str) -> DataFrame:
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Prediction records of the rows left out: the label bank is one broadcast row, so no row is multiplied."""
-    bank = prototypes(spark, sf).agg(F.array_sort(F.collect_list(F.struct("label", "proto"))).alias("bank"))
+    bank = prototypes(spark, sf).agg(F.array_sort(F.collect_list(F.struct("label", "proto", P.norm(F.col("proto")).alias("size")))).alias("bank"))
     e = table(spark, sf, "embeddings").where(uniform("train", F.col("vec_id")) >= 0.8).select("vec_id", F.col("label").alias("y"), P.doubles(F.col("embedding")).alias("v"))
-    rows = e.crossJoin(F.broadcast(bank)).withColumn("z", F.transform("bank", lambda b: P.cosine(F.col("v"), b["proto"]) / TAU)).drop("bank", "v")
+    near = lambda v, size: F.transform("bank", lambda b: P.dot(v, b["proto"]) / (size * b["size"]) / TAU)
+    z = P.let(F.col("v"), lambda v: P.let(P.norm(v), lambda size: near(v, size)))
+    rows = e.crossJoin(F.broadcast(bank)).withColumn("z", z).drop("bank", "v")
     rows = rows.withColumn("p", P.softmax(F.col("z")))
     i = F.col("vec_id")
     return C.scored(rows).withColumns({"family": F.when(i % 2 == 0, "intent").otherwise("mcq"), "grp": F.concat(F.lit("g"), (i % 5).cast("string")), "blind_easy": i % 3 == 0})
