@@ -7,6 +7,8 @@ so they are expanded per record before one aggregation with partial sums.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,24 @@ def bootstrap_means(rows: DataFrame, value: str, seed: str, resamples: int) -> D
     return x.groupBy("b").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("mean")).where("mean is not null")
 
 
+#: The distribution function of Poisson(1) from 0 on, as far as a resample holds a row: 8 times at most.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+
+
+def resampled_means(rows: DataFrame, key: str, value: str, seed: str, resamples: int) -> DataFrame:
+    """(b, mean) of each Poisson resample, drawn for each row: a row is in it Poisson(1) times, by a hash of its key and the resample.
+
+    The rows are stored before they are multiplied, and dealt to all cores, since a small table may come in one part.
+    """
+    rows = cut(rows.select(key, value))
+    x = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, key)
+    x = x.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    x = x.select("b", value, uniform(seed, F.col("b"), F.col(key)).alias("_u"))
+    times = reduce(Column.__add__, ((F.col("_u") >= t).cast("int") for t in POISSON))
+    x = x.select("b", value, times.alias("_k"))
+    return x.groupBy("b").agg(F.try_divide(F.sum(F.col("_k") * F.col(value)), F.sum("_k")).alias("mean")).where("mean is not null")
+
+
 def dirichlet_rewards(rows: DataFrame, key: str, draws: int, kappa: float, seed: str, spherical: float = 0.5, ranked: float = 0.0) -> DataFrame:
     """(key, g, reward, advantage) of `draws` reports drawn around each row's probabilities p by Dirichlet(kappa p), scored against the answer y.
 

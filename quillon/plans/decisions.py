@@ -152,16 +152,14 @@ B = 2000
 
 
 @query(
-    f"""with {REC}, n as (select correct as v, count(*) as n from rec group by correct),
-    cdf as (select v, k, sum(exp(k*ln(n)-n-lgamma(k+1))) over (partition by v order by k) as c from n, range({3 * C.EXACT}) t(k) where n <= {C.EXACT}),
-    u as (select b, v, n, {uniform_sql('boot', 'b', 'v')} as u, {normal_sql('boot', 'b', 'v')} as z from n, range({B}) t(b)),
-    w as (select b, v, case when n <= {C.EXACT} then (select count(*) from cdf where cdf.v = u.v and c <= u.u) else greatest(floor(n*pow(1-1/(9.0*n)+z/(3*sqrt(n)),3)+0.5),0) end::bigint as k from u),
-    m as (select b, sum(k*v)/sum(k) as a from w group by b having sum(k) > 0)
+    f"""with {REC}, d as (select b, correct, {uniform_sql('boot', 'b', 'vec_id')} as u from rec, range({B}) x(b)),
+    w as (select b, correct, {' + '.join(f'(u >= {t!r})::int' for t in C.POISSON)} as w from d),
+    m as (select b, sum(w*correct)/sum(w) as a from w group by b having sum(w) > 0)
     select round(quantile_cont(a,0.025),6) as lo, round(quantile_cont(a,0.975),6) as hi from m"""
 )
 def bootstrap_interval(spark, sf):
-    """Percentiles of 2000 Poisson resamples, drawn for each distinct value in place of each row."""
-    means = C.bootstrap_means(records(spark, sf), "correct", "boot", B)
+    """Percentiles of 2000 Poisson resamples: how often a row is in a resample is hashed for each row and resample."""
+    means = C.resampled_means(records(spark, sf), "vec_id", "correct", "boot", B)
     return means.agg(F.round(F.percentile("mean", 0.025), 6).alias("lo"), F.round(F.percentile("mean", 0.975), 6).alias("hi"))
 
 
