@@ -33,7 +33,7 @@ WINDOW = 2048
 END_ID = 1
 GROUP = 384
 #: Bytes that each of a task's two memos holds at most, and what an entry takes beside its key and value.
-MEMO_BYTES, ENTRY = 16 << 20, 160
+MEMO_BYTES, ENTRY = 96 << 20, 160
 #: Texts and bytes that are encoded at once; a longer text goes by itself.
 TEXTS, BYTES = 384, 1 << 19
 #: Parts of chunks in a string for the model, and strings that it is given at once.
@@ -157,11 +157,10 @@ class WordIds:
         found = PLAIN(b"\n".join(chunks).decode().lower())
         if len(found) != len(chunks):
             raise ValueError("a chunk has a line break")
-        new = {x for pair in found for x in pair}.difference(self.parts)
-        new.discard("")
+        parts = self.parts
+        new = {x for pair in found for x in pair if x and x not in parts}
         if new:
             self._learn_parts(list(new))
-        parts = self.parts
         out = [parts[a] + parts[b] if b else parts[a] if a else b"" for a, b in found]
         odd = [k for k, (a, _) in enumerate(found) if not a]
         if odd:
@@ -174,10 +173,11 @@ class WordIds:
         self.chunks.trim()
         self.parts.trim()
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.chunks)
+        chunks = self.chunks
+        new = [w for w in set().union(*split) if w not in chunks]  # a set's difference would walk the whole memo
         if new:
-            self._learn(list(new))
-        return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
+            self._learn(new)
+        return [b"".join(map(chunks.__getitem__, words)) for words in split]
 
 
 def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
