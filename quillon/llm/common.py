@@ -65,7 +65,21 @@ def stored(df: DataFrame, *, zstd: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.option("compression", "zstd" if zstd else "none").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that `stored` gave and that no later step reads."""
+    for t in tables:
+        _remove(t.sparkSession, t._folder)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files and checkpoints of tables that nothing names any more, which else stay until the driver happens to collect its garbage."""
+    release()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, arrow_scan, cut, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, spread_join, stored, utf8, with_hit, without_listed
+from .common import among, arrow_scan, cut, discard, maybe_broadcast, shingle_set, shuffle_partitions, signed, small, sorted_longs, spread_join, stored, tidy, utf8, with_hit, without_listed
 from .components import components
 
 NUM, DEN = 3, 4  # similarity of at least 3/4
@@ -138,6 +138,8 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = cut(arrow_scan(docs, counted, "s bigint").groupBy("s").count().where("count > 1"))
     twice, first = _bit_map(counts), _above(counts)
+    del counts
+    tidy(docs.sparkSession)
     if not len(first):
         return first, twice
     known = sc.broadcast(first)
@@ -149,7 +151,9 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([_longs(parts)], ["s"])
 
     rest = arrow_scan(docs, others, "s bigint").groupBy("s").count().where(F.col("count") > FREQUENT)
-    return np.union1d(first, _above(cut(rest))), twice
+    out = np.union1d(first, _above(cut(rest)))
+    known.destroy()
+    return out, twice
 
 
 def _above(counts: DataFrame) -> np.ndarray:
@@ -257,11 +261,14 @@ def _held(docs: DataFrame, common, twice) -> DataFrame:
     lot = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(F.lit(0))  # the sets of a frequent one do not meet
     every = _holders(docs, common, twice).withColumn("_lot", lot).repartition(parts, "s", "_lot").sortWithinPartitions("s")
     held = stored(arrow_scan(every.select("s", "hot", "id", "rare", "n"), _held_twice, "s bigint, id binary, rare float, n int, hot boolean"))
+    tidy(docs.sparkSession)
     # a bound over each shingle's sets: no set of a link shares fewer with all others together than the two with each other
     total = held.groupBy("id").agg(F.count("*").cast("int").alias("c"))
     rows = held.where("not hot").join(total, "id").select("s", "id", "n", "c").repartition(parts, "s").sortWithinPartitions("s")
     viable = arrow_scan(rows, _viable, "id binary").unionByName(held.where("hot").select("id")).distinct()
-    return stored(held.join(maybe_broadcast(cut(viable), BROADCAST_IDS // 20), "id", "left_semi").select(*held.columns))
+    out = stored(held.join(maybe_broadcast(cut(viable), BROADCAST_IDS // 20), "id", "left_semi").select(*held.columns))
+    discard(held)
+    return out
 
 
 def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +329,10 @@ def _set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     sets = arrow_scan(docs, run, "id binary, set binary")
     if not few:
         sets = sets.join(ids, "id", "left_semi")
-    return stored(sets.dropDuplicates(["id"]), zstd=False)
+    out = stored(sets.dropDuplicates(["id"]), zstd=False)
+    wanted.destroy()
+    tidy(docs.sparkSession)
+    return out
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -414,12 +424,15 @@ def _parts(near: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]:
-    """Links (a, b) by their origin, `pivot` or `window`, of each round."""
-    elect, small_list = 1, BROADCAST_IDS // 20
+    """Links (a, b) by their origin, `pivot` or `window`, of each round. held is gone at the end, and what a round made goes with it, but for its links."""
+    elect, small_list, before = 1, BROADCAST_IDS // 20, held
     while True:
         several = cut(held.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"))
         held = stored(held.join(maybe_broadcast(several, small_list), "s", "left_semi").select("s", "id", "rare", "n", "hot"))
+        discard(before)
+        before = held
         if held.isEmpty():
+            discard(held)
             return
         pivots = maybe_broadcast(cut(_elected(held, elect)), small_list)
 
@@ -427,6 +440,8 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         pairs = _by_shingle(held, of_pivots).where((F.col("id") != F.col("pivot")) & _fits(F.col("n"), F.col("pn"), F.col("pn")))
         pairs = pairs.groupBy("pivot", "id").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("pn").alias("pn"))
         star = stored(_measured(cut(pairs.where(F.col("m") >= _least_shared(F.col("n"), F.col("pn"))).select("pivot", "id")), sets))
+        del several, of_pivots, pairs
+        tidy(sets.sparkSession)
         yield "pivot", star.where("near").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
 
         # homes: the nearest pivot within the radius; pivots are at home with themselves
@@ -436,8 +451,10 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         if not homes.isEmpty():  # every set was measured against the pivots themselves
             yield "window", _from_windows(held, sets, star, homes, pivots)
         gone = maybe_broadcast(cut(homes.select("id").unionByName(pivots.select("id"))), small_list)
+        discard(homes)
         held = held.join(gone, "id", "left_anti")
         elect *= MORE
+        tidy(sets.sparkSession)
 
 
 def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -452,10 +469,11 @@ def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: Data
     cells = cut(at_home.groupBy("home", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     own = at_home.select("id", "home", "part").unionByName(parts.select(F.col("pivot").alias("id"), F.lit(None).cast("binary").alias("home"), "part"))
     placed = held.join(maybe_broadcast(cut(own), small_list), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    placed = stored(placed.select("s", "id", "n", "hot", "home", "part"))
+    placed = every = stored(placed.select("s", "id", "n", "hot", "home", "part"))
     of_homes = F.count(F.when(F.col("home").isNotNull(), 1))
     mixed = cut(placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), of_homes.alias("c")).where("p <> q and c > 0").select("s"))
     if mixed.isEmpty():
+        discard(every)
         return star.where("false").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     placed = placed.join(maybe_broadcast(mixed, small_list), "s", "left_semi")
     index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), F.col("hot").alias("_hot")).distinct()
@@ -468,10 +486,15 @@ def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: Data
     more = _measured(cut(asked.join(known.select("pivot", "id"), ["pivot", "id"], "left_anti")), sets)
     replicas = known.where("not near").unionByName(more.where("not near")).where(F.col("d") <= 2 * RADIUS + 1e-9)
     replicas = stored(replicas.select(F.col("pivot").alias("cell"), "id", "n", "d"))
+    discard(every)
+    del every, placed, own, at_home, index, asked, known, more
+    tidy(sets.sparkSession)
     busy = cut(replicas.select("cell").distinct())
     members = homes.select(F.col("home").alias("cell"), "id", "n", "d").join(maybe_broadcast(busy, small_list), "cell", "left_semi")
     both = members.withColumns({"open": F.lit(False), "home": F.lit(True)}).unionByName(replicas.withColumns({"open": F.lit(True), "home": F.lit(False)}))
-    return stored(_in_blocks(cut(both), sets))
+    out = stored(_in_blocks(cut(both), sets))
+    discard(replicas)
+    return out
 
 
 def _cell_links(d: np.ndarray, open_: np.ndarray, home: np.ndarray, of: list[np.ndarray], others: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -529,11 +552,14 @@ def set_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     common, twice = (docs.sparkSession.sparkContext.broadcast(x) for x in _frequent(texts))
     held = _held(texts, common, twice)
+    common.destroy()
+    twice.destroy()
     sets = _set_table(texts, cut(held.select("id").distinct()))
     out = None
     for origin, links in _rounds(held, sets):
         links = links.withColumn("origin", F.lit(origin))
         out = links if out is None else out.unionByName(links)
+    discard(sets)
     return docs.sparkSession.createDataFrame([], "a binary, b binary, origin string") if out is None else out.distinct()
 
 
@@ -551,6 +577,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     rows = stored(arrow_scan(rows, facts, f"_id {kind}, _key bigint, n_shingles bigint, _set binary"))
     roots = cut(components(set_links(docs, text_col)))
+    tidy(docs.sparkSession)
     roots = maybe_broadcast(roots, BROADCAST_IDS // 20)
     sets = rows.where("_set is not null").join(roots.withColumnRenamed("node", "_set"), "_set", "left")
     sets = sets.withColumn("_root", F.coalesce("root", "_set"))

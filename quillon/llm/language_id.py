@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_scan, utf8
+from .common import arrow_scan, release, utf8
 from .linear import gram_buckets, mean_score, sparse, training_sample
 
 BITS, DIM, EPOCHS = 16, 16, 6
@@ -67,6 +67,13 @@ def features(text: bytes) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel | None:
+    try:
+        return _fit(docs, lang_col, per_language, id_col, text_col)
+    finally:
+        release()  # the driver keeps the model, not what training took
+
+
+def _fit(docs: DataFrame, lang_col: str, per_language: int, id_col: str, text_col: str) -> LanguageModel | None:
     texts, labels = training_sample(docs, lang_col, per_language, id_col, text_col)
     pairs = [(t, y) for t, y in zip(texts, labels) if _letter(t.decode())]
     if not pairs:
