@@ -2,8 +2,8 @@
 
 Subwords are byte n-grams of the folded text and whole words, hashed to
 buckets. Embeddings and output layer are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows (see `linear`); a fifth
-of the sample is left out to fit a temperature and the rejection threshold.
+descent in numpy, in one task, on a bounded sample of labelled rows (see
+`linear`); a fifth of the sample is left out to fit a temperature and the rejection threshold.
 The trained product of embedding and output is one row of scores per bucket,
 sent to the tasks as a broadcast of fixed size.
 
@@ -21,7 +21,8 @@ read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_scan, release, utf8
-from .linear import gram_buckets, mean_score, sparse, training_sample
+from .common import arrow_scan, utf8
+from .linear import first_of_each, gram_buckets, mean_score, sparse, training_rows
 
 BITS, DIM, EPOCHS = 16, 16, 6
 SAMPLE_PER_LANGUAGE = 800
@@ -67,21 +68,30 @@ def features(text: bytes) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> LanguageModel | None:
-    try:
-        return _fit(docs, lang_col, per_language, id_col, text_col)
-    finally:
-        release()  # the driver keeps the model, not what training took
+    """Learns in a task, which gets the bounded sample; the driver gets the model alone."""
+    sample = training_rows(docs, lang_col, per_language, id_col, text_col)
+    if sample is None:
+        return None
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for b in batches:
+            texts += utf8(b.column(1))
+            labels += b.column(0).to_pylist()
+        of = first_of_each(labels, per_language)
+        model = _trained([texts[k] for k in of], [labels[k] for k in of])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
+    found = [pickle.loads(r[0]) for r in arrow_scan(sample, learn, "model binary").collect()]  # of one part, or of none where no row was picked
+    return next((m for m in found if m is not None), None)
 
-def _fit(docs: DataFrame, lang_col: str, per_language: int, id_col: str, text_col: str) -> LanguageModel | None:
-    texts, labels = training_sample(docs, lang_col, per_language, id_col, text_col)
-    pairs = [(t, y) for t, y in zip(texts, labels) if _letter(t.decode())]
-    if not pairs:
+
+def _trained(texts: list[bytes], labels: list) -> LanguageModel | None:
+    lettered = [k for k, t in enumerate(texts) if _letter(t.decode())]
+    if not lettered:
         return None
-    names = sorted({y for _, y in pairs})
-    found = [np.concatenate(list(features(t))) for t, _ in pairs]
-    rows, sizes, y = sparse(found), [len(x) for x in found], np.array([names.index(v) for _, v in pairs])
-    del found
+    names, sizes = sorted({labels[k] for k in lettered}), []
+    rows, y = sparse(_found((texts[k] for k in lettered), sizes)), np.array([names.index(labels[k]) for k in lettered])
     test = np.arange(len(rows)) % LEFT_OUT == LEFT_OUT - 1
     rng = np.random.default_rng(3)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
@@ -119,6 +129,14 @@ def _fit(docs: DataFrame, lang_col: str, per_language: int, id_col: str, text_co
     return LanguageModel(names, np.column_stack([table, share]).astype(np.float32), bias, temperature, threshold if len(names) > 1 else 0.0, usual)
 
 
+def _found(texts: Iterable[bytes], sizes: list[int]) -> Iterator[np.ndarray]:
+    """All buckets of one text after the other, repeats included; sizes gets their numbers."""
+    for t in texts:
+        out = np.concatenate(list(features(t)))
+        sizes.append(len(out))
+        yield out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z = np.exp(z - z.max(axis=-1, keepdims=True))
     return z / z.sum(axis=-1, keepdims=True)

@@ -7,7 +7,8 @@ by hashed id. Scoring covers every row and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,8 +53,8 @@ def mean_score(table: np.ndarray, blocks: Iterator[np.ndarray]) -> tuple[np.ndar
     return total, n
 
 
-def training_sample(docs: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text"):
-    """(texts, labels) of at most `limit` rows of each label value outside the held-out fifth.
+def training_rows(docs: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """(y, t) by hashed id, of somewhat more than `limit` rows of each label value outside the held-out fifth, in one part; None without a label.
 
     The rate for each label comes from its count over all rows; the number of label values is bounded by 1000.
     """
@@ -61,19 +62,39 @@ def training_sample(docs: DataFrame, label: str, limit: int, id_col: str = "doc_
     sizes = rows.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes"))
     counts = {r[0]: (r[1], r[2]) for r in sizes.orderBy(F.desc("n"), label).limit(1000).collect()}
     if not counts:
-        return [], []
+        return None
     u = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     share = MAX_SAMPLE_BYTES / len(counts)
     rates = F.create_map(*(F.lit(x) for k, (n, size) in counts.items() for x in (k, min(1.0, 1.3 * limit / n, share / max(size, 1)))))
     picked = rows.where(u < F.try_element_at(rates, F.col(label)))
     got = picked.select(F.col(label).alias("y"), F.col(text_col).alias("t"), u.alias("u"), F.col(id_col).alias("i"))
-    got = got.orderBy("u", "i").limit(int(1.3 * limit * len(counts)) + 1).toPandas()
-    got = got.groupby("y", sort=True).head(limit).sort_values(["u", "i"], kind="stable")
-    return [x.encode() for x in got.t], got.y.tolist()
+    return got.orderBy("u", "i").limit(int(1.3 * limit * len(counts)) + 1).select("y", "t")
+
+
+def first_of_each(labels: list, limit: int) -> list[int]:
+    """Places of the first `limit` of each label."""
+    taken: Counter = Counter()
+    out = []
+    for k, y in enumerate(labels):
+        taken[y] += 1
+        if taken[y] <= limit:
+            out.append(k)
+    return out
+
+
+def training_sample(docs: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text"):
+    """(texts, labels) of at most `limit` rows of each label value outside the held-out fifth, see `training_rows`."""
+    rows = training_rows(docs, label, limit, id_col, text_col)
+    if rows is None:
+        return [], []
+    got = rows.toPandas()
+    labels, texts = got.y.tolist(), got.t.tolist()
+    of = first_of_each(labels, limit)
+    return [texts[k].encode() for k in of], [labels[k] for k in of]
 
 
-def sparse(rows: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each row with their share."""
+def sparse(rows: Iterable[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each row with their share; of an iterator one row at a time is held whole."""
     out = []
     for r in rows:
         i, n = np.unique(r, return_counts=True)
