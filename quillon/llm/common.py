@@ -20,7 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,9 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, no lineage, readable by every executor."""
+    """Reliable checkpoint: computed once, no lineage, readable by every executor. Its rows are counted as it is made."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df, rows = _counted(df)
+    out = df.checkpoint(eager=True)
+    out._rows = rows.get.get("n")
+    return out
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    rows = Observation()
+    return df.observe(rows, F.count(F.lit(1)).alias("n")), rows
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -64,9 +72,11 @@ def stored(df: DataFrame, *, zstd: bool = True) -> DataFrame:
     """Like `cut`, as a compressed columnar table; for the larger intermediates."""
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.option("compression", "zstd" if zstd else "none").parquet(path)
+    df, rows = _counted(df)
+    # no _SUCCESS file: the driver would start a process for it where Hadoop has no native library
+    df.write.option("compression", "zstd" if zstd else "none").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._folder = path
+    out._folder, out._rows = path, rows.get.get("n")
     return out
 
 
@@ -322,8 +332,9 @@ def signed(a: np.ndarray) -> np.ndarray:
 
 
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether a checkpointed or stored table has at most so many rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a checkpointed or stored table has at most so many rows; as `cut` and `stored` gave it, without a job."""
+    known = vars(df).get("_rows")
+    return known <= rows if known is not None else df.limit(rows + 1).count() <= rows
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -431,7 +431,7 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         held = stored(held.join(maybe_broadcast(several, small_list), "s", "left_semi").select("s", "id", "rare", "n", "hot"))
         discard(before)
         before = held
-        if held.isEmpty():
+        if small(held, 0):
             discard(held)
             return
         pivots = maybe_broadcast(cut(_elected(held, elect)), small_list)
@@ -448,7 +448,7 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         near = star.where("near")
         nearest = near.join(pivots, "id", "left_anti").groupBy("id").agg(F.min(F.struct("d", "pivot")).alias("x"), F.first("n").alias("n"))
         homes = stored(nearest.select("id", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"), "n"))
-        if not homes.isEmpty():  # every set was measured against the pivots themselves
+        if not small(homes, 0):  # every set was measured against the pivots themselves
             yield "window", _from_windows(held, sets, star, homes, pivots)
         gone = maybe_broadcast(cut(homes.select("id").unionByName(pivots.select("id"))), small_list)
         discard(homes)
@@ -472,7 +472,7 @@ def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: Data
     placed = every = stored(placed.select("s", "id", "n", "hot", "home", "part"))
     of_homes = F.count(F.when(F.col("home").isNotNull(), 1))
     mixed = cut(placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), of_homes.alias("c")).where("p <> q and c > 0").select("s"))
-    if mixed.isEmpty():
+    if small(mixed, 0):
         discard(every)
         return star.where("false").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     placed = placed.join(maybe_broadcast(mixed, small_list), "s", "left_semi")
