@@ -32,9 +32,9 @@ are measured. Shingle sets travel for those pairs only.
 Shingles that one set alone holds decide nothing; most are told by a bit map of
 fixed size and stay where they are (with more data it tells fewer, and the
 shuffle tells the rest). A shingle found in more than a few sets is looked up in a broadcast array of
-bounded size, and the sets that hold one are dealt to as many tasks as there
-are shuffle partitions; a pivot's sets are measured in lots. Links are
-joined to components, so near copies are never expanded into all pairs.
+bounded size. The sets that hold a shingle are dealt to lots of bounded size,
+as a pivot's sets are when they are measured. Links are joined to components,
+so near copies are never expanded into all pairs.
 
 Texts that are null, empty or without words have no shingles and link with
 nothing; repeated rows have equal sets and share a component. A null id is
@@ -63,8 +63,10 @@ MAX_FREQUENT = 2_000_000
 BROADCAST_IDS = 2_000_000
 SEEN = 100_000
 BITS = 1 << 27  # of the map of shingles that two sets hold
-#: Pivots that a shingle's sets elect in a round, against the round before; sets measured against a pivot in one lot.
+#: Pivots that a shingle's sets elect in a round, against the round before; sets of a shingle or of a pivot in one lot.
 MORE, LOT = 8, 256
+#: Rows of a round up to which what is joined with them by shingle is broadcast.
+FEW = 20_000
 #: Shingles of the open and of all members in a block, about.
 OPEN_SHINGLES, BLOCK_SHINGLES = 1 << 17, 1 << 19
 
@@ -390,12 +392,18 @@ def _least_shared(n: Column, m: Column) -> Column:
     return up(NUM * (n + m), NUM + DEN) - F.greatest(up(NUM * n, DEN), up(NUM * m, DEN)) + 1
 
 
-def _by_shingle(held: DataFrame, others: DataFrame) -> DataFrame:
-    """held joined with others (s, ...) on s; the sets of a hot shingle are dealt to tasks, each with its own copy of the others."""
-    lots = shuffle_partitions(held.sparkSession)
-    left = held.withColumn("_lot", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(lots))).otherwise(F.lit(0)))
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    return left.join(others.withColumn("_lot", F.explode(every)).drop("_hot"), ["s", "_lot"]).drop("_lot")
+def _by_shingle(held: DataFrame, others: DataFrame, few: bool, on: tuple[str, ...] = ("s",), each: int = LOT) -> DataFrame:
+    """held joined with others; both have m, how many sets hold the shingle. few: whether others is broadcast.
+
+    Else the sets of a shingle go in lots of about `each`, each with its own copy of the others. The copies go through a shuffle:
+    left to choose, the planner goes by the others' size without their copies, and may broadcast what is too large for the driver.
+    """
+    if few:
+        return held.drop("m").join(F.broadcast(others.drop("m")), list(on))
+    lots = F.ceil(F.col("m") / each)
+    left = held.withColumn("_lot", F.pmod(F.xxhash64("id"), lots)).drop("m")
+    copies = others.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1))).drop("m")
+    return left.join(copies.hint("merge"), [*on, "_lot"]).drop("_lot")
 
 
 def _fits(n: Column, least: Column, most: Column) -> Column:
@@ -403,13 +411,13 @@ def _fits(n: Column, least: Column, most: Column) -> Column:
     return (NUM * n <= DEN * most) & (NUM * least <= DEN * n)
 
 
-def _elected(held: DataFrame, times: int) -> DataFrame:
+def _elected(held: DataFrame, times: int, few: bool) -> DataFrame:
     """(id): the pivots. The sets of a shingle, dealt to so many lots, elect one of each lot, the one with the smallest share of infrequent shingles; a set votes for the first of those its shingles elected."""
     lot = F.pmod(F.xxhash64(F.lit(times), "id"), F.lit(times))
     order = F.struct("rare", F.xxhash64("id").alias("h"), "id")
-    held = held.select("s", "id", "hot", lot.alias("lot"), order.alias("x"))
-    elected = held.groupBy("s", "lot").agg(F.min("x").alias("e"), F.first("hot").alias("_hot"))
-    votes = _by_shingle(held.drop("x"), elected.withColumnRenamed("lot", "l")).where("lot = l")
+    held = held.select("s", "id", "m", lot.alias("lot"), order.alias("x"))
+    elected = held.groupBy("s", "lot").agg(F.min("x").alias("e"), F.first("m").alias("m"))
+    votes = _by_shingle(held.drop("x"), elected, few, ("s", "lot"), LOT * times)
     return votes.groupBy("id").agg(F.min("e")["id"].alias("pivot")).select(F.col("pivot").alias("id")).distinct()
 
 
@@ -427,17 +435,18 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
     """Links (a, b) by their origin, `pivot` or `window`, of each round. held is gone at the end, and what a round made goes with it, but for its links."""
     elect, small_list, before = 1, BROADCAST_IDS // 20, held
     while True:
-        several = cut(held.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"))
-        held = stored(held.join(maybe_broadcast(several, small_list), "s", "left_semi").select("s", "id", "rare", "n", "hot"))
+        several = cut(held.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"))
+        held = stored(held.select("s", "id", "rare", "n").join(maybe_broadcast(several, small_list), "s"))
         discard(before)
         before = held
         if small(held, 0):
             discard(held)
             return
-        pivots = maybe_broadcast(cut(_elected(held, elect)), small_list)
+        few = small(held, FEW)
+        pivots = maybe_broadcast(cut(_elected(held, elect, few)), small_list)
 
-        of_pivots = held.join(pivots, "id", "left_semi").select("s", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("hot").alias("_hot"))
-        pairs = _by_shingle(held, of_pivots).where((F.col("id") != F.col("pivot")) & _fits(F.col("n"), F.col("pn"), F.col("pn")))
+        of_pivots = held.join(pivots, "id", "left_semi").select("s", F.col("id").alias("pivot"), F.col("n").alias("pn"), "m")
+        pairs = _by_shingle(held, of_pivots, few).where((F.col("id") != F.col("pivot")) & _fits(F.col("n"), F.col("pn"), F.col("pn")))
         pairs = pairs.groupBy("pivot", "id").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("pn").alias("pn"))
         star = stored(_measured(cut(pairs.where(F.col("m") >= _least_shared(F.col("n"), F.col("pn"))).select("pivot", "id")), sets))
         del several, of_pivots, pairs
@@ -449,7 +458,7 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         nearest = near.join(pivots, "id", "left_anti").groupBy("id").agg(F.min(F.struct("d", "pivot")).alias("x"), F.first("n").alias("n"))
         homes = stored(nearest.select("id", F.col("x.pivot").alias("home"), F.col("x.d").alias("d"), "n"))
         if not small(homes, 0):  # every set was measured against the pivots themselves
-            yield "window", _from_windows(held, sets, star, homes, pivots)
+            yield "window", _from_windows(held, sets, star, homes, pivots, few)
         gone = maybe_broadcast(cut(homes.select("id").unionByName(pivots.select("id"))), small_list)
         discard(homes)
         held = held.join(gone, "id", "left_anti")
@@ -457,7 +466,7 @@ def _rounds(held: DataFrame, sets: DataFrame) -> Iterator[tuple[str, DataFrame]]
         tidy(sets.sparkSession)
 
 
-def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: DataFrame, pivots: DataFrame) -> DataFrame:
+def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: DataFrame, pivots: DataFrame, few: bool) -> DataFrame:
     """Links (a, b) of members at home in a cell with sets from elsewhere that are within two radii of its pivot.
 
     Sets are asked for by their shingles and sizes, and only for cells that they are not known to be connected with; shingles
@@ -469,16 +478,16 @@ def _from_windows(held: DataFrame, sets: DataFrame, star: DataFrame, homes: Data
     cells = cut(at_home.groupBy("home", "part").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     own = at_home.select("id", "home", "part").unionByName(parts.select(F.col("pivot").alias("id"), F.lit(None).cast("binary").alias("home"), "part"))
     placed = held.join(maybe_broadcast(cut(own), small_list), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    placed = every = stored(placed.select("s", "id", "n", "hot", "home", "part"))
+    placed = every = stored(placed.select("s", "id", "n", "m", "home", "part"))
     of_homes = F.count(F.when(F.col("home").isNotNull(), 1))
     mixed = cut(placed.groupBy("s").agg(F.min("part").alias("p"), F.max("part").alias("q"), of_homes.alias("c")).where("p <> q and c > 0").select("s"))
     if small(mixed, 0):
         discard(every)
         return star.where("false").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     placed = placed.join(maybe_broadcast(mixed, small_list), "s", "left_semi")
-    index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), F.col("hot").alias("_hot")).distinct()
+    index = placed.where("home is not null").select("s", F.col("home").alias("pivot"), "m").distinct()
     index = spread_join(cut(index), cells.select(F.col("home").alias("pivot"), F.col("part").alias("of"), "least", "most"), ["pivot"], "inner")
-    asked = _by_shingle(placed, index).where((F.col("part") != F.col("of")) & _fits(F.col("n"), F.col("least"), F.col("most")))
+    asked = _by_shingle(placed, index, few).where((F.col("part") != F.col("of")) & _fits(F.col("n"), F.col("least"), F.col("most")))
     asked = asked.groupBy("pivot", "id").agg(F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("n", "least", "most")))
     enough = F.least(_least_shared(F.col("n"), F.col("least")), _least_shared(F.col("n"), F.col("most")))
     asked = cut(asked.where(F.col("m") >= enough).select("pivot", "id"))
